@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,13 +59,15 @@ def cells_of(rows: DataFrame) -> DataFrame:
     return rows.groupBy(*DIMENSIONS).agg(F.count("*").alias("docs"), F.sum("tokens").cast("double").alias("tokens"))
 
 
-def _looked_up(rows: DataFrame, key: str, values: Mapping[str, float], into: str) -> DataFrame:
-    """Add the value of a mapping that the driver holds; null where it has none."""
-    pairs = F.from_json(F.lit(json.dumps(dict(values))), "map<string,double>")
-    if len(values) <= 200:
-        return rows.withColumn(into, F.element_at(pairs, F.col(key)))
-    out = rows.sparkSession.range(1).select(F.explode(pairs).alias("_k", into))
-    return rows.join(F.broadcast(out) if len(values) <= 20_000 else out, F.col(key) == F.col("_k"), "left").drop("_k")
+def _looked_up(rows: DataFrame, values: Mapping[str, Mapping[str, float]]) -> DataFrame:
+    """Add ``_f_`` and the dimension's name: the value of a mapping that the driver holds; null where it has none."""
+    pairs = {d: F.from_json(F.lit(json.dumps(dict(v))), "map<string,double>") for d, v in values.items()}
+    small = [d for d, v in values.items() if len(v) <= 200]
+    out = rows.select("*", *[F.element_at(pairs[d], F.col(d)).alias(f"_f_{d}") for d in small])
+    for d in values.keys() - small:
+        found = rows.sparkSession.range(1).select(F.explode(pairs[d]).alias(f"_k_{d}", f"_f_{d}"))
+        out = out.join(F.broadcast(found) if len(values[d]) <= 20_000 else found, F.col(d) == F.col(f"_k_{d}"), "left").drop(f"_k_{d}")
+    return out
 
 
 def rake(cells: DataFrame, targets: Mapping[str, Mapping[str, float]], rounds: int = 12, tolerance: float = 1e-9) -> DataFrame:
@@ -78,19 +81,18 @@ def rake(cells: DataFrame, targets: Mapping[str, Mapping[str, float]], rounds: i
     factors = {d: dict.fromkeys(t, 1.0) for d, t in live.items()}
     known = materialise(cells, "cells")
 
-    def weighted() -> DataFrame:
-        out = known.withColumn("weight", F.col("tokens"))
-        for d, f in factors.items():
-            # before a dimension's first step all its values count
-            out = _looked_up(out, d, f, "_f").withColumn("weight", F.col("weight") * F.coalesce("_f", F.lit(0.0 if d in raked else 1.0))).drop("_f")
-        return out
-
     raked: set[str] = set()
+
+    def weight() -> Column:
+        # before a dimension's first step all its values count
+        return reduce(lambda w, d: w * F.coalesce(F.col(f"_f_{d}"), F.lit(0.0 if d in raked else 1.0)), live, F.col("tokens"))
+
     for _ in range(rounds):
         worst = 0.0
         for d, shares in live.items():
-            listed = _looked_up(weighted(), d, shares, "_s")
-            met = listed.groupBy(F.when(F.col("_s").isNotNull(), F.col(d)).alias("v")).agg(F.sum("weight").alias("w")).collect()
+            now = _looked_up(known, factors)
+            value = F.when(F.col(f"_f_{d}").isNotNull(), F.col(d))  # all others count as one
+            met = now.groupBy(value.alias("v")).agg(F.sum(weight()).alias("w")).collect()
             whole = sum(r["w"] or 0.0 for r in met)
             sums = {r["v"]: r["w"] for r in met if r["v"] is not None and r["w"] > 0}
             total = sum(max(0.0, shares[v]) for v in sums)
@@ -101,7 +103,7 @@ def rake(cells: DataFrame, targets: Mapping[str, Mapping[str, float]], rounds: i
             raked.add(d)
         if worst <= tolerance:
             break
-    return weighted()
+    return _looked_up(known, factors).withColumn("weight", weight()).drop(*[f"_f_{d}" for d in live])
 
 
 def probabilities(cells: DataFrame, keep_share: float, rounds: int = 50) -> DataFrame:
