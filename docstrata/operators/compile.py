@@ -71,7 +71,7 @@ def register_maps(svd_chunks: DataFrame, peripherals: DataFrame) -> DataFrame:
 
 def mentioning(chunks: DataFrame, peripherals: DataFrame) -> DataFrame:
     """Other chunks by the peripherals that an element of their path names; an equi-join on the elements."""
-    names = chunks.withColumn("_name", F.explode(F.array_distinct(F.transform(sections(F.col("section_path")), F.lower))))
+    names = chunks.drop("peripheral").withColumn("_name", F.explode(F.array_distinct(F.transform(sections(F.col("section_path")), F.lower))))
     own = peripherals.select("peripheral", F.col("chip").alias("p_chip"), F.lower("peripheral").alias("_key"), "register_map", "description")
     return names.join(own, (F.col("_name") == F.col("_key")) & ((F.col("p_chip") == "") | (F.col("chip") == F.col("p_chip")))).drop("_name", "_key")
 

@@ -81,7 +81,7 @@ def dataset_header(questions: DataFrame, name: str, chip: str) -> DataFrame:
 def read_dataset(spark, path: str) -> DataFrame:
     """The questions of a JSON file, defaults filled in."""
     q = "struct<id:string,category:string,peripheral:string,register:string,field_name:string,question:string,answer:string,answer_format:string,difficulty:string,source_ref:string>"
-    raw = spark.read.schema(f"questions array<{q}>, _bad string").option("multiLine", "true").option("columnNameOfCorruptRecord", "_bad").json(path).cache()
+    raw = spark.read.schema(f"questions array<{q}>, _bad string").option("multiLine", "true").option("columnNameOfCorruptRecord", "_bad").json(path)
     if raw.where("_bad is not null or questions is null").count():
         raise BenchmarkError(f"{path}: not a question set")
     out = raw.select(F.explode("questions").alias("q")).select("q.*").fillna({"difficulty": "medium", "source_ref": ""})
@@ -219,7 +219,8 @@ def wilson(correct: Column, total: Column) -> tuple[Column, Column]:
     p, z2 = correct / n, Z * Z
     mid = (p + F.lit(z2) / (n * 2)) / (F.lit(1.0) + F.lit(z2) / n)
     half = F.lit(Z) * F.sqrt(p * (F.lit(1.0) - p) / n + F.lit(z2) / (n * n * 4)) / (F.lit(1.0) + F.lit(z2) / n)
-    return F.coalesce(F.greatest(F.lit(0.0), mid - half), F.lit(0.0)), F.coalesce(F.least(F.lit(1.0), mid + half), F.lit(0.0))
+    bound = lambda c: F.when(n.isNull(), 0.0).otherwise(c)
+    return bound(F.greatest(F.lit(0.0), mid - half)), bound(F.least(F.lit(1.0), mid + half))
 
 
 def core_metrics(responses: DataFrame, group: list[str]) -> DataFrame:

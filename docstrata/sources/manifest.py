@@ -19,8 +19,8 @@ def empty(spark: SparkSession) -> DataFrame:
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     """Rows of a manifest file; one that lacks an id, path, hash or date is an error."""
     try:
-        raw = spark.read.schema(SHAPE).option("multiLine", "true").option("columnNameOfCorruptRecord", "_bad").json(path).cache()
-        if raw.where("_bad is not null").count():
+        raw = spark.read.schema(SHAPE).option("multiLine", "true").option("columnNameOfCorruptRecord", "_bad").json(path)
+        if raw.where("_bad is not null and documents is null").limit(1).count():
             raise ManifestError(f"{path}: not a manifest")
     except ManifestError:
         raise
