@@ -10,8 +10,9 @@ of the driver, because the fingerprints of a whole corpus may not be gathered
 there. Trees emit a spanning forest of each shard, never all its pairs.
 
 ``near_duplicates`` is meant for texts that share only most of their shingles.
-It takes longer signatures, whose bands deal the texts into shards, and links
-signatures whose angle stands for the wanted similarity.
+It takes longer signatures, whose bands deal the texts into shards. In a shard's
+BK-tree, texts whose signatures are near enough are candidates, and those whose
+sets of shingles are as similar as wanted, counted exactly, are linked.
 
 Defined results: a null text counts as empty; a text without words has
 fingerprint zero and is linked like any other; repeated rows are repeated in
@@ -23,7 +24,7 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -119,8 +120,17 @@ def signature_udf(words: int, bits: int):
     return signed
 
 
-def bk_links(values: list[int], radius: int) -> list[tuple[int, int]]:
-    """Spanning forest, as index pairs, of the graph that links values within ``radius`` bits.
+def set_udf(words: int):
+    @F.pandas_udf("binary")
+    def made(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in texts:
+            yield pd.Series([shingle_set(t, words) for t in s], dtype="object")
+
+    return made
+
+
+def bk_links(values: list[int], radius: int, same: Callable[[int, int], bool] | None = None) -> list[tuple[int, int]]:
+    """Spanning forest, as index pairs, of the graph that links values within ``radius`` bits, if ``same`` says so too.
 
     The values go into one BK-tree. A subtree whose members all belong to the
     component that the searching value is in already needs no visit; that keeps
@@ -142,7 +152,7 @@ def bk_links(values: list[int], radius: int) -> list[tuple[int, int]]:
         while todo:
             j = todo.pop()
             d = (v ^ values[j]).bit_count()
-            if d <= radius and (a := root(i)) != (b := root(j)):
+            if d <= radius and (a := root(i)) != (b := root(j)) and (same is None or same(i, j)):
                 parent[max(a, b)] = min(a, b)
                 links.append((i, j))
             if uniform[j] and root(i) == root(j):
@@ -200,10 +210,36 @@ def _tree_links(radius: int):
         for key, ids, values in _whole_groups(batches):
             pairs = []
             for i, j in _runs(key):
-                part = values[i:j].tolist()
-                part = [int.from_bytes(x, "little") for x in part] if isinstance(part[0], bytes) else [x & MASK for x in part]
                 own = ids[i:j].tolist()
-                pairs += [(own[x], own[y]) for x, y in bk_links(part, radius)]
+                pairs += [(own[x], own[y]) for x, y in bk_links([x & MASK for x in values[i:j].tolist()], radius)]
+            if pairs:
+                yield _links(pairs)
+
+    return run
+
+
+def shingle_set(text: str | None, words: int) -> bytes:
+    """Sorted 32-bit hashes of the distinct runs of words."""
+    return np.unique((mixed_shingles(text, words) >> np.uint64(32)).astype(np.uint32)).tobytes()
+
+
+def similar(a: np.ndarray, b: np.ndarray, least: float) -> bool:
+    """Whether the Jaccard similarity of two sorted sets is ``least`` or more."""
+    small, large = sorted((len(a), len(b)))
+    if small < least * large:
+        return False
+    both = small + large - len(np.union1d(a, b))
+    return both >= least * (small + large - both)
+
+
+def _verified_links(radius: int, least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, ids, sigs, sets in _whole_groups(batches):
+            pairs = []
+            for i, j in _runs(key):
+                own, part = ids[i:j].tolist(), [np.frombuffer(x, np.uint32) for x in sets[i:j]]
+                found = bk_links([int.from_bytes(x, "little") for x in sigs[i:j]], radius, lambda x, y, p=part: similar(p[x], p[y], least))
+                pairs += [(own[x], own[y]) for x, y in found]
             if pairs:
                 yield _links(pairs)
 
@@ -264,20 +300,21 @@ def _bands(bits: int, band_bits: int):
 
 
 def _likely(limit: int):
-    """Keep the (key, id) of which another row of the key has a near check word."""
+    """Keep the (key, id) of which another row of the key differs in no more bits of the third column."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, ids, check in _whole_groups(batches):
             n, hit = len(key), np.zeros(len(key), bool)
-            check = check.view(np.uint64)
+            bits = (np.frombuffer(b"".join(check), np.uint64) if check.dtype == object else check.view(np.uint64)).reshape(n, -1)
             end = np.searchsorted(key, key, side="right")
             at, step = np.arange(n - 1), 1
             while len(at):
                 at = at[at < n - step]
                 at = at[key[at] == key[at + step]]
                 open_ = at[~(hit[at] & hit[at + step])]
-                near = open_[np.bitwise_count(check[open_] ^ check[open_ + step]) <= limit]
-                hit[near] = hit[near + step] = True
+                for part in np.array_split(open_, len(open_) // 100_000 + 1):  # bounds the memory
+                    near = part[np.bitwise_count(bits[part] ^ bits[part + step]).sum(axis=1, dtype=np.int64) <= limit]
+                    hit[near] = hit[near + step] = True
                 if step & (step - 1) == 0:  # rows of which no pair is open any more
                     missed = np.concatenate(([0], np.cumsum(~hit)))
                     at = at[~hit[at] | (missed[end[at]] > missed[at])]
@@ -288,34 +325,44 @@ def _likely(limit: int):
 
 
 def near_duplicates(
-    docs: DataFrame, id_col: str, text_col: str, words: int = 5, similarity: float = 0.8, bits: int = 1024, band_bits: int = 16, slack: float = 2.0
+    docs: DataFrame, id_col: str, text_col: str, words: int = 5, similarity: float = 0.8, bits: int = 1024, band_bits: int = 16, slack: float = 3.0
 ) -> DataFrame:
     """(doc_id, text_hash, component, component_id, copies) of every distinct (id, text).
 
-    Two texts are linked if their signatures differ in no more bits than those
-    of two texts of the wanted similarity do, plus ``slack`` standard
-    deviations of that number, so that about 98 in 100 pairs at the very limit
-    are found, and more above it. Signatures meet in the shards of their
+    Two texts are candidates if their signatures differ in no more bits than
+    those of two texts of the wanted similarity do, plus ``slack`` standard
+    deviations of that number. Signatures meet in the shards of their
     ``bits / band_bits`` bands; a pair at similarity 0.8 shares one at least
-    with a probability of 0.99. ``text_hash`` is xxhash64 of the text (null as
-    empty) and ``copies`` counts equal rows.
+    with a probability of 0.99, and more similar pairs with a higher one.
+    Candidates are linked if their sets of shingles are as similar as wanted.
+    ``text_hash`` is xxhash64 of the text (null as empty) and ``copies`` counts
+    equal rows.
     """
     expect = angle_bits(similarity, bits)
     radius = round(expect + slack * math.sqrt(expect * (1 - expect / bits)))
     share = expect / bits
-    limit = math.ceil(64 * share + 4 * math.sqrt(64 * share * (1 - share)))
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    known = materialise(
-        docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_hash"), signature_udf(words, bits)(F.col(text_col)).alias("sig")), "signatures"
-    )
-    classes = materialise(known.groupBy("sig").agg(F.min("doc_id").alias("least")).withColumn("sid", F.xxhash64("sig")), "classes")
+    limit = math.ceil(64 * share + slack * math.sqrt(64 * share * (1 - share)))
+    text_hash = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    known = materialise(docs.select(F.col(id_col).alias("doc_id"), text_hash.alias("text_hash"), signature_udf(words, bits)(F.col(text_col)).alias("sig")), "signatures")
+    picked = F.min(F.struct("doc_id", "text_hash")).alias("picked")
+    classes = materialise(known.groupBy("sig").agg(F.min("doc_id").alias("least"), picked).withColumn("sid", F.xxhash64("sig")), "classes")
     dealt = _shards(classes.select("sid", "sig").mapInArrow(_bands(bits, band_bits), "key long, id long, check long"), "key")
-    likely = materialise(dealt.mapInArrow(_likely(limit), "key long, id long"), "likely")
-    whole = likely.join(classes.select("sid", "sig"), F.col("id") == F.col("sid")).select("key", "id", "sig")
-    found = connected_components(_shards(whole, "key").mapInArrow(_tree_links(radius), "a long, b long"), "a", "b")
+    # first by one word of the signatures, then by all of them
+    maybe = materialise(dealt.mapInArrow(_likely(limit), "key long, id long"), "maybe")
+    signed = maybe.join(classes.select("sid", "sig"), F.col("id") == F.col("sid")).select("key", "id", "sig")
+    likely = materialise(_shards(signed, "key").mapInArrow(_likely(radius), "key long, id long"), "likely")
+    drop_table(maybe)
+    # only texts with a likely partner are read again, one of each class
+    wanted = classes.join(likely.select(F.col("id").alias("sid")).distinct(), "sid", "left_semi").select("sid", "sig", "picked.*")
+    rows = docs.select(F.col(id_col).alias("_i"), text_hash.alias("_h"), F.col(text_col).alias("_t"))
+    texts = rows.join(wanted, F.col("_i").eqNullSafe(F.col("doc_id")) & (F.col("_h") == F.col("text_hash")))
+    sets = materialise(texts.select("sid", "sig", set_udf(words)(F.col("_t")).alias("set")).dropDuplicates(["sid"]), "sets")
+    whole = likely.join(sets, F.col("id") == F.col("sid")).select("key", "id", "sig", "set")
+    found = connected_components(_shards(whole, "key").mapInArrow(_verified_links(radius, similarity), "a long, b long"), "a", "b")
     drop_table(likely)
-    rows = known.groupBy("doc_id", "text_hash", "sig").agg(F.count("*").alias("copies")).withColumn("sid", F.xxhash64("sig"))
-    return _with_component(rows, "sid", classes, found).select("doc_id", "text_hash", "component", "component_id", "copies")
+    drop_table(sets)
+    counted = known.groupBy("doc_id", "text_hash", "sig").agg(F.count("*").alias("copies")).withColumn("sid", F.xxhash64("sig"))
+    return _with_component(counted, "sid", classes.select("sid", "least"), found).select("doc_id", "text_hash", "component", "component_id", "copies")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str, text_col: str, **options) -> DataFrame:
