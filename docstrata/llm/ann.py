@@ -10,8 +10,9 @@ in closed form given the other.
 
 A search sends queries in blocks of bounded size to all rows. A task adds up
 table entries for its rows' codes, two codes a byte, keeps the best
-``keep`` rows of each batch for each query, and reranks them by the exact
-distance in double precision before anything leaves the task.
+``keep`` rows of each batch for each query and all rows that share their codes,
+which the tables cannot tell apart, and reranks them by the exact distance in
+double precision before anything leaves the task.
 
 The codebooks are fitted on at most ``sample`` vectors; every vector is
 indexed. Defined results: vectors that are null, zero, hold a null or
@@ -144,6 +145,24 @@ def _best(score: np.ndarray, n: int) -> np.ndarray:
     return np.concatenate([above, np.flatnonzero(score == limit)[: n - len(above)]])
 
 
+class _Alike:
+    """Rows of a batch by their codes."""
+
+    def __init__(self, codes: np.ndarray):
+        rows = np.ascontiguousarray(codes).view(np.dtype((np.void, codes.shape[1]))).ravel()
+        _, self.group, self.size = np.unique(rows, return_inverse=True, return_counts=True)
+        self.rows = np.argsort(self.group, kind="stable")
+        self.end = np.cumsum(self.size)
+
+    def of(self, top: np.ndarray) -> np.ndarray:
+        """The given rows and all with the codes of one of them."""
+        many = np.unique(self.group[top])
+        many = many[self.size[many] > 1]
+        if not len(many):
+            return top
+        return np.union1d(top, np.concatenate([self.rows[self.end[g] - self.size[g] : self.end[g]] for g in many]))
+
+
 def _searcher(book: Codebook, query_ids: np.ndarray, queries: np.ndarray, k: int, keep: int):
     dim = queries.shape[1]
 
@@ -158,6 +177,7 @@ def _searcher(book: Codebook, query_ids: np.ndarray, queries: np.ndarray, k: int
             ids, x = ids[order], x[order]
             codes = np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint8).reshape(len(ids), -1)[order]
             bias = (-(x**2).sum(axis=1) / 2).astype(np.float32)
+            alike = _Alike(codes)
             if tables is None:
                 tables = book.tables(queries)
             for q0 in range(0, len(queries), 256):
@@ -167,7 +187,7 @@ def _searcher(book: Codebook, query_ids: np.ndarray, queries: np.ndarray, k: int
                     for n in range(codes.shape[1]):
                         score[at : at + 2000] += table[n][codes[at : at + 2000, n]]
                 for j, s in enumerate(np.ascontiguousarray(score.T), q0):
-                    top = _best(s, keep)
+                    top = alike.of(_best(s, keep))
                     top = top[ids[top] != query_ids[j]]
                     far = np.sqrt(((x[top] - queries[j]) ** 2).sum(axis=1))
                     far, near = np.concatenate([best[j][0], far]), np.concatenate([best[j][1], ids[top]])
@@ -202,7 +222,7 @@ def build_index(vectors: DataFrame, id_col: str, vector_col: str, sample: int =
     return materialise(rows.mapInArrow(_encoder(book, x.shape[1]), f"vec_id long, embedding {kind}, codes binary"), "index"), book
 
 
-def search(index: DataFrame, book: Codebook | None, is_query: Column, k: int = 10, keep: int = 100, block: int = 4096) -> DataFrame:
+def search(index: DataFrame, book: Codebook | None, is_query: Column, k: int = 10, keep: int = 256, block: int = 4096) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest found of each query, a row of the index.
 
     Queries go out ``block`` at a time, so what is broadcast is bounded; each
