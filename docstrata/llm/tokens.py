@@ -181,7 +181,7 @@ def _framer(path: str, end_id: int):
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for part in _parts(texts):
                 coded = encode([t or "" for t in texts[part]])
-                made = [frame(i, c + end, encode.wide) for i, c in zip(ids[part], coded)]
+                made = [frame(i, c + end, encode.wide)[:-1] for i, c in zip(ids[part], coded)]  # the writer adds the newline
                 yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], names=["frame"])
 
     return run
@@ -203,9 +203,8 @@ def write_records(docs: DataFrame, id_col: str, text_col: str, tokenizer_path: s
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     ranged = rows.repartitionByRange(max(1, -(-chars // shard_chars)), F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"), "text")
-    framed = ranged.mapInArrow(_framer(tokenizer_path, end_id), "frame binary").select(F.col("frame").cast("string").alias("value"))
-    # the frame's own newline is the writer's
-    framed.select(F.expr("substring(cast(value as binary), 1, octet_length(value) - 1)").cast("string").alias("value")).write.option("lineSep", "\n").text(f"{out}/shards")
+    framed = ranged.mapInArrow(_framer(tokenizer_path, end_id), "frame binary")
+    framed.select(F.col("frame").cast("string").alias("value")).write.option("lineSep", "\n").text(f"{out}/shards")
 
 
 def read_index(spark: SparkSession, out: str) -> DataFrame:
