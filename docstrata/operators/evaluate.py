@@ -323,6 +323,52 @@ def pivot_accuracy(by: DataFrame, name: str, conditions_: list[str]) -> DataFram
     return by.groupBy(name).pivot("condition", conditions_).agg(F.first("accuracy")).fillna(0.0)
 
 
+def with_source_ref(responses: DataFrame, questions: DataFrame) -> DataFrame:
+    """Where a question's answer stands, and the answer itself."""
+    q = questions.select(F.col("id").alias("_q"), F.coalesce("source_ref", F.lit("")).alias("source_ref"), F.col("answer").alias("expected"))
+    return responses.join(q, F.col("question_id") == F.col("_q"), "left").drop("_q")
+
+
+def run_costs(runs: DataFrame) -> DataFrame:
+    """Tokens of each condition, and their cost at the rate of its first run's provider."""
+    first = F.min_by("provider", F.struct("started", "run_id"))
+    sums = runs.groupBy("condition").agg(F.sum("total_tokens").alias("total_tokens"), first.alias("provider"))
+    return sums.withColumn("cost", cost(F.col("provider"), F.col("total_tokens")))
+
+
+def default_chip(dataset_name: str) -> str:
+    return dataset_name.split("_", 1)[0]
+
+
+def report(responses: DataFrame, questions: DataFrame | None, dataset_name: str, chip: str = "") -> DataFrame:
+    """One row: chip, dataset_name, and the metrics of each condition with its maps and calibration error."""
+    group = ["condition"]
+    entries = lambda df, key: df.groupBy(*group).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(key, "accuracy")))).alias(f"by_{key}"))
+    out = core_metrics(responses, group).join(entries(accuracy_by(responses, group, infer_category(F.col("question_id")), "category"), "category"), group, "left")
+    if questions is not None:
+        out = out.join(entries(accuracy_by(with_difficulty(responses, questions), group, F.col("difficulty"), "difficulty"), "difficulty"), group, "left")
+    else:
+        out = out.withColumn("by_difficulty", F.create_map().cast("map<string,double>"))
+    out = out.join(calibration_error(responses, group), group, "left")
+    rows = F.sort_array(F.collect_list(F.struct("condition", "total", "correct", "accuracy", "hallucination_rate", "avg_latency_ms", "avg_partial_score", "ci_lower", "ci_upper", "ece")))
+    maps = F.map_from_entries(F.collect_list(F.struct("condition", F.struct("by_category", "by_difficulty").alias("maps"))))
+    return out.agg(rows.alias("metrics"), maps.alias("maps")).select(F.lit(chip or default_chip(dataset_name)).alias("chip"), F.lit(dataset_name).alias("dataset_name"), "metrics", "maps")
+
+
+def write_json(rows: DataFrame, path: str) -> None:
+    """A report or question set, a JSON object a row."""
+    rows.write.mode("overwrite").json(path)
+
+
+def read_report(spark, path: str) -> DataFrame:
+    m = "struct<condition:string,total:long,correct:long,accuracy:double,hallucination_rate:double,avg_latency_ms:double,avg_partial_score:double,ci_lower:double,ci_upper:double,ece:double>"
+    by = "map<string,struct<by_category:map<string,double>,by_difficulty:map<string,double>>>"
+    out = spark.read.schema(f"chip string, dataset_name string, metrics array<{m}>, maps {by}").json(path)
+    if out.where("metrics is null or dataset_name is null").limit(1).count():
+        raise BenchmarkError(f"{path}: not a report")
+    return out
+
+
 def report_markdown(metrics: DataFrame, by_category: DataFrame, conditions_: list[str], chip: str) -> str:
     """A table of conditions and one of categories; both have a row for each, a handful."""
     rows = metrics.orderBy("condition").collect()

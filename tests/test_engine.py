@@ -116,6 +116,20 @@ def test_statistics(spark):
     assert evaluate.comparison(m).first()["best_condition"] == "hot"
 
 
+def test_report(spark, tmp_path):
+    rows = [("p_a_offset", "hot", True, 1.0, 2.0, 0.9), ("p_a_bits", "hot", False, 0.5, 4.0, 0.2), ("p_base_address", "no_context", False, 0.0, 1.0, None)]
+    r = spark.createDataFrame(rows, "question_id string, condition string, correct boolean, partial_score double, latency_ms double, confidence double")
+    q = spark.createDataFrame([("p_a_offset", "easy", "0x0", "p. 3"), ("p_a_bits", "hard", "[1]", None)], "id string, difficulty string, answer string, source_ref string")
+    evaluate.write_json(evaluate.report(r, q, "CHIP1_set"), str(tmp_path / "r"))
+    got = evaluate.read_report(spark, str(tmp_path / "r")).first()
+    assert got["chip"] == "CHIP1" and [(m["condition"], m["total"], m["accuracy"]) for m in got["metrics"]] == [("hot", 2, 0.5), ("no_context", 1, 0.0)]
+    assert got["maps"]["hot"]["by_category"] == {"register_offset": 1.0, "bit_field": 0.0} and got["maps"]["hot"]["by_difficulty"] == {"easy": 1.0, "hard": 0.0}
+    assert got["maps"]["no_context"]["by_difficulty"] == {"medium": 0.0} and got["metrics"][1]["ece"] is None
+    assert {x["question_id"]: x["expected"] for x in evaluate.with_source_ref(r, q).collect()} == {"p_a_offset": "0x0", "p_a_bits": "[1]", "p_base_address": None}
+    runs = spark.createDataFrame([("2", "hot", "ollama", "b", 5), ("1", "hot", "openai", "a", 1_000_000)], "run_id string, condition string, provider string, started string, total_tokens int")
+    assert evaluate.run_costs(runs).first()["cost"] == pytest.approx(10.00005)
+
+
 def test_pages(spark):
     spans = [("d", 1, 0, 0, 0, "Title", 24.0, True), ("d", 1, 1, 0, 0, "Body text of some length", 10.0, False), ("d", 1, 1, 1, 0, "goes on", 10.0, False), ("d", 1, 2, 0, 0, "In table", 10.0, False), ("d", 1, 3, 0, 0, "Header", 8.0, False)]
     y = {0: 100, 1: 150, 2: 300, 3: 10}
