@@ -216,9 +216,14 @@ def identify(docs: DataFrame, labelled: DataFrame, id_col: str, text_col: str, l
 
 
 def drop_unknown(docs: DataFrame, labelled: DataFrame, id_col: str, text_col: str, lang_col: str, **bounds) -> DataFrame:
-    """The documents, with their own columns, that are in some language; those without a letter go."""
-    named = predictor(learn(labelled, id_col, text_col, lang_col, **bounds))(F.col(text_col))
-    return docs.where(named["lang_pred"] != UNKNOWN)
+    """The documents, with their own columns, that are in some language; those without a letter go.
+
+    Without labels to learn from, all documents with a letter stay.
+    """
+    samples = learn(labelled, id_col, text_col, lang_col, **bounds)
+    if not samples:
+        return docs.where(F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)))
+    return docs.where(predictor(samples)(F.col(text_col))["lang_pred"] != UNKNOWN)
 
 
 def in_fold(id_col: Column, folds: int, fold: int) -> Column:

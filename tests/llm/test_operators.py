@@ -104,6 +104,8 @@ def test_language_without_labels(spark):
     docs = spark.createDataFrame([(1, "words", None)], "doc_id long, text string, lang string")
     assert [r["lang_pred"] for r in langid.identify(docs, docs, "doc_id", "text", "lang").collect()] == ["und"]
     assert langid.identify(docs.limit(0), docs, "doc_id", "text", "lang").count() == 0
+    mixed = spark.createDataFrame([(1, "words", None), (2, None, None), (3, "12", None)], docs.schema)
+    assert [r["doc_id"] for r in langid.drop_unknown(mixed, mixed, "doc_id", "text", "lang").collect()] == [1]
 
 
 # 2 Mixing
