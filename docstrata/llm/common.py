@@ -67,6 +67,23 @@ def delete_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+_HELD: dict = {}
+
+
+def held(key, make: Callable | None = None):
+    """What a Python worker keeps from task to task; one object at a time, so that stages do not add up.
+
+    Without ``make``, all is given up.
+    """
+    if make is None:
+        _HELD.clear()
+        return None
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
 def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFrame:
     """Connected components of an undirected graph, as (node, root).
 

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
-from .common import materialise
+from .common import held, materialise
 
 WINDOW, GRAM = 10, 5
 #: A-Z to a-z, every other ASCII character but digits and letters to a space.
@@ -154,7 +154,6 @@ def _among(values: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return keys[at] == values
 
 
-_BLOCKS: dict[str, Block] = {}
 #: Columns added to the documents: number of words, positions of hit words, items found.
 ADDED = "__words", "__hits", "__items"
 
@@ -163,10 +162,7 @@ def _searcher(items: list[tuple[str, str | None]], window: int, key: str, text_a
     """Add the three columns, or merge into those of the blocks before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _BLOCKS:  # one block stays in a worker
-            _BLOCKS.clear()
-            _BLOCKS[key] = Block(items, window)
-        block = _BLOCKS[key]
+        block = held(("benchmark", key), lambda: Block(items, window))
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)

@@ -35,6 +35,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import held
+
 UNKNOWN = "und"
 SEGMENT = 256
 GAP = 0  # class of all that is no letter; runs of it count as one
@@ -150,15 +152,9 @@ class Model:
         return [self.names[b] if ok else UNKNOWN for b, ok in zip(best, lettered)], score, low
 
 
-_MODELS: dict[str, Model] = {}
-
-
 def _model(samples: dict[str, str]) -> Model:
     key = hashlib.sha256(repr(sorted(samples.items())).encode()).hexdigest()
-    if key not in _MODELS:  # one model stays in a worker
-        _MODELS.clear()
-        _MODELS[key] = Model(samples)
-    return _MODELS[key]
+    return held(("languages", key), lambda: Model(samples))
 
 
 def predictor(samples: dict[str, str]):

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, drop_table, materialise
+from .common import connected_components, drop_table, held, materialise
 
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))  # (first bit, bits)
 SEED = 42
@@ -114,6 +114,7 @@ def fingerprint_udf(words: int):
 def signature_udf(words: int, bits: int):
     @F.pandas_udf("binary")
     def signed(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        held(None)
         for s in texts:
             yield pd.Series([signature(t, words, bits) for t in s], dtype="object")
 
@@ -172,24 +173,24 @@ def bk_links(values: list[int], radius: int, same: Callable[[int, int], bool] |
 
 def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
     """Columns of a partition sorted by its first column, cut between keys only."""
-    held: list[list[np.ndarray]] = []
+    open_: list[list[np.ndarray]] = []
     for batch in batches:
         cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
         if not len(cols[0]):
             continue
         key = cols[0]
         cut = int(np.searchsorted(key, key[-1]))  # where the last key of the batch begins
-        if cut and held:
-            yield [np.concatenate(x) for x in zip(*held, [c[:cut] for c in cols])]
-            held = []
+        if cut and open_:
+            yield [np.concatenate(x) for x in zip(*open_, [c[:cut] for c in cols])]
+            open_ = []
         elif cut:
             yield [c[:cut] for c in cols]
-        elif held and held[-1][0][-1] != key[0]:
-            yield [np.concatenate(x) for x in zip(*held)]
-            held = []
-        held.append([c[cut:] for c in cols])
-    if held:
-        yield [np.concatenate(x) for x in zip(*held)]
+        elif open_ and open_[-1][0][-1] != key[0]:
+            yield [np.concatenate(x) for x in zip(*open_)]
+            open_ = []
+        open_.append([c[cut:] for c in cols])
+    if open_:
+        yield [np.concatenate(x) for x in zip(*open_)]
 
 
 def _runs(key: np.ndarray) -> Iterator[tuple[int, int]]:

@@ -41,6 +41,8 @@ import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import held
+
 MASK_DELTA = 0xA282EAD8
 HEAD = struct.Struct("<QI")
 INDEX = "file string, offset long, length long, doc_id long, n_tokens long, before long, ids_crc32 long"
@@ -119,7 +121,7 @@ class WordEncoder:
     tokenizer is of another kind, goes to the tokenizer as a whole.
     """
 
-    def __init__(self, path: str, most: int = 800_000):
+    def __init__(self, path: str, most: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -153,13 +155,8 @@ class WordEncoder:
         return out
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
-
-
 def encoder(path: str) -> WordEncoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
+    return held(("encoder", path), lambda: WordEncoder(path))
 
 
 def _parts(texts: list, most: int = 4_000_000) -> Iterator[slice]:
