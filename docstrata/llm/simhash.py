@@ -10,9 +10,13 @@ of the driver, because the fingerprints of a whole corpus may not be gathered
 there. Trees emit a spanning forest of each shard, never all its pairs.
 
 ``near_duplicates`` is meant for texts that share only most of their shingles.
-It takes longer signatures, whose bands deal the texts into shards. In a shard's
-BK-tree, texts whose signatures are near enough are candidates, and those whose
-sets of shingles are as similar as wanted, counted exactly, are linked.
+It takes longer signatures of the distinct shingles, whose bands deal the texts
+into shards. In a shard's BK-tree, texts whose signatures are near enough are
+candidates, and those whose sets of shingles are as similar as wanted, counted
+exactly, are linked. A second way finds what the signatures miss: two sets that
+are similar enough share a shingle among the first few of each in any order that
+all sets keep (prefix filtering), so texts of different components that do are
+compared exactly too. The order puts shingles that are common in a sample last.
 
 Defined results: a null text counts as empty; a text without words has
 fingerprint zero and is linked like any other; repeated rows are repeated in
@@ -88,9 +92,9 @@ def simhash64(text: str | None, words: int) -> int:
     return int(np.packbits(majority_bits(h.reshape(-1, 1)), bitorder="little").view("<i8")[0])
 
 
-def signature(text: str | None, words: int, bits: int) -> bytes:
-    """SimHash of ``bits`` bits, each further word a mix of the shingle's hash."""
-    h, m = mixed_shingles(text, words), bits // 64
+def set_signature(h: np.ndarray, bits: int) -> bytes:
+    """SimHash of a set of shingles in ``bits`` bits, each further word a mix of the shingle's hash."""
+    m = bits // 64
     if not len(h):
         return b"\0" * (bits // 8)
     wide = np.empty((len(h), m), np.uint64)
@@ -111,14 +115,58 @@ def fingerprint_udf(words: int):
     return fingerprint
 
 
-def signature_udf(words: int, bits: int):
-    @F.pandas_udf("binary")
-    def signed(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def prefix(h: np.ndarray, similarity: float, common: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The first shingles of a sorted set, one of which any set as similar as wanted has among its first ones too.
+
+    ``common`` are sorted shingles that come last, in the order of ``rank``.
+    """
+    if not len(h):
+        return h
+    size = len(h) - max(1, math.ceil(similarity * len(h) - 1e-6)) + 1
+    if len(common):
+        at = np.minimum(np.searchsorted(common, h), len(common) - 1)
+        late = common[at] == h
+        h = np.concatenate((h[~late], h[late][np.argsort(rank[at[late]])]))
+    return h[:size]
+
+
+def described_udf(words: int, bits: int, similarity: float, common: np.ndarray, rank: np.ndarray):
+    @F.pandas_udf("sig binary, n int, prefix binary")
+    def described(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         held(None)
         for s in texts:
-            yield pd.Series([signature(t, words, bits) for t in s], dtype="object")
+            rows = []
+            for t in s:
+                h = np.unique(mixed_shingles(t, words))
+                rows.append((set_signature(h, bits), len(h), prefix(h, similarity, common, rank).tobytes()))
+            yield pd.DataFrame(rows, columns=["sig", "n", "prefix"])
+
+    return described
+
+
+def shingles_udf(words: int):
+    @F.pandas_udf("array<long>")
+    def shingles(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in texts:
+            yield pd.Series([np.unique(mixed_shingles(t, words)).view(np.int64) for t in s], dtype="object")
+
+    return shingles
 
-    return signed
+
+def common_shingles(docs: DataFrame, text_col: str, words: int, chars: int = 40_000_000, least: int = 4, most: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted shingles of ``least`` texts or more of a sample, and their ranks from rare to common.
+
+    They only make the search for candidates cheaper: any order finds the same pairs.
+    """
+    t = F.coalesce(F.col(text_col), F.lit(""))
+    whole = docs.agg(F.sum(F.length(t))).first()[0] or 0
+    rate = min(1.0, chars / max(1, whole))
+    texts = docs.select(t.alias("t")).where(F.pmod(F.xxhash64("t", F.lit("common")), F.lit(1 << 40)) < rate * float(1 << 40)).dropDuplicates(["t"])
+    met = texts.select(F.explode(shingles_udf(words)("t")).alias("s")).groupBy("s").count().where(F.col("count") >= least)
+    rows = met.orderBy(F.desc("count"), "s").limit(most).collect()
+    h = np.array([r["s"] for r in reversed(rows)], np.int64).view(np.uint64)
+    order = np.argsort(h)
+    return h[order], order
 
 
 def set_udf(words: int):
@@ -201,7 +249,7 @@ def _runs(key: np.ndarray) -> Iterator[tuple[int, int]]:
     yield from zip(first[many].tolist(), end[many].tolist())
 
 
-def _links(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+def _links(pairs: list[tuple[int, int]] | np.ndarray) -> pa.RecordBatch:
     a = np.array(pairs, np.int64).reshape(-1, 2)
     return pa.RecordBatch.from_arrays([pa.array(a[:, 0]), pa.array(a[:, 1])], names=["a", "b"])
 
@@ -325,6 +373,89 @@ def _likely(limit: int):
     return run
 
 
+def _prefix_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each shingle of each prefix: the shingle, the id, and the set's size and the shingle's place in one number."""
+    for batch in batches:
+        first = [np.frombuffer(x, np.int64) for x in batch.column(2).to_pylist()]
+        for i in range(0, len(first), 500):
+            part = first[i : i + 500]
+            size = np.array([len(x) for x in part], np.int64)
+            ids, n = (np.repeat(batch.column(c).to_numpy()[i : i + 500].astype(np.int64), size) for c in (0, 1))
+            at = np.concatenate([np.arange(x) for x in size])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(part)), pa.array(ids), pa.array(n << 32 | at)], names=["key", "id", "place"])
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows whose key another row has."""
+    for key, ids, place in _whole_groups(batches):
+        same = key[1:] == key[:-1]
+        many = np.concatenate((same, [False])) | np.concatenate(([False], same))
+        yield pa.RecordBatch.from_arrays([pa.array(c[many]) for c in (key, ids, place)], names=["key", "id", "place"])
+
+
+def _prefix_pairs(least: float):
+    """Pairs of different roots that share a key, as far as sizes and places let them be similar enough."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, ids, place, root in _whole_groups(batches):
+            order = np.lexsort((place, key))
+            key, ids, place, root = (c[order] for c in (key, ids, place, root))
+            size, left = place >> 32, (place >> 32) - (place & 0xFFFFFFFF)
+            # groups of one root have no pair
+            edge = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+            mixed = np.repeat(np.minimum.reduceat(root, edge) != np.maximum.reduceat(root, edge), np.diff(np.append(edge, len(key))))
+            at, step = np.flatnonzero(mixed), 1
+            while len(at):
+                at = at[at < len(key) - step]
+                to = at + step
+                at = at[(key[at] == key[to]) & (size[at] >= least * size[to] - 1e-6)]
+                for part in np.array_split(at, len(at) // 1_000_000 + 1):
+                    to = part + step
+                    need = least / (1 + least) * (size[part] + size[to]) - 1e-6
+                    ok = part[(root[part] != root[to]) & (np.minimum(left[part], left[to]) >= need)]
+                    if len(ok):
+                        a, b = ids[ok], ids[ok + step]
+                        yield _links(np.stack((np.minimum(a, b), np.maximum(a, b)), axis=1))
+                step += 1
+
+    return run
+
+
+def _similar_pairs(least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, x, y = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            ok = np.array([similar(np.frombuffer(p, np.uint32), np.frombuffer(q, np.uint32), least) for p, q in zip(x, y)], bool)
+            yield _links(np.stack((a[ok], b[ok]), axis=1))
+
+    return run
+
+
+def _sets(docs: DataFrame, id_col: str, text_col: str, words: int, wanted: DataFrame) -> DataFrame:
+    """(sid, set) of the picked texts of ``wanted``, read again."""
+    rows = docs.select(F.col(id_col).alias("_i"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_h"), F.col(text_col).alias("_t"))
+    texts = rows.join(wanted.select("sid", "picked.*"), F.col("_i").eqNullSafe(F.col("doc_id")) & (F.col("_h") == F.col("text_hash")))
+    return materialise(texts.select("sid", set_udf(words)(F.col("_t")).alias("set")).dropDuplicates(["sid"]), "sets")
+
+
+def _missed_links(docs: DataFrame, id_col: str, text_col: str, words: int, similarity: float, classes: DataFrame, found: DataFrame) -> DataFrame:
+    """(a, b): similar classes of different components of ``found``."""
+    # sets of fewer shingles are similar enough to others only if they are equal
+    some = classes.where(F.col("n") >= math.floor(similarity / (1 - similarity) + 1e-6) if similarity < 1 else F.lit(False))
+    dealt = _shards(some.select("sid", "n", "prefix").mapInArrow(_prefix_rows, "key long, id long, place long"), "key")
+    shared = materialise(dealt.mapInArrow(_shared, "key long, id long, place long"), "shared")
+    rooted = shared.join(found, F.col("id") == F.col("node"), "left").select("key", "id", "place", F.coalesce("root", "id").alias("root"))
+    pairs = materialise(_shards(rooted, "key").mapInArrow(_prefix_pairs(similarity), "a long, b long").distinct(), "pairs")
+    drop_table(shared)
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
+    sets = _sets(docs, id_col, text_col, words, classes.join(ends, "sid", "left_semi"))
+    one, other = sets.select(F.col("sid").alias("a"), F.col("set").alias("x")), sets.select(F.col("sid").alias("b"), F.col("set").alias("y"))
+    links = materialise(pairs.join(one, "a").join(other, "b").select("a", "b", "x", "y").mapInArrow(_similar_pairs(similarity), "a long, b long"), "links")
+    drop_table(pairs)
+    drop_table(sets)
+    return links
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str, text_col: str, words: int = 5, similarity: float = 0.8, bits: int = 1024, band_bits: int = 16, slack: float = 3.0
 ) -> DataFrame:
@@ -332,9 +463,9 @@ def near_duplicates(
 
     Two texts are candidates if their signatures differ in no more bits than
     those of two texts of the wanted similarity do, plus ``slack`` standard
-    deviations of that number. Signatures meet in the shards of their
-    ``bits / band_bits`` bands; a pair at similarity 0.8 shares one at least
-    with a probability of 0.99, and more similar pairs with a higher one.
+    deviations of that number, and share one of ``bits / band_bits`` bands. Texts
+    that this leaves in different components are candidates too if they share a
+    shingle of their prefixes, which all similar ones do.
     Candidates are linked if their sets of shingles are as similar as wanted.
     ``text_hash`` is xxhash64 of the text (null as empty) and ``copies`` counts
     equal rows.
@@ -344,9 +475,11 @@ def near_duplicates(
     share = expect / bits
     limit = math.ceil(64 * share + slack * math.sqrt(64 * share * (1 - share)))
     text_hash = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    known = materialise(docs.select(F.col(id_col).alias("doc_id"), text_hash.alias("text_hash"), signature_udf(words, bits)(F.col(text_col)).alias("sig")), "signatures")
+    described = described_udf(words, bits, similarity, *common_shingles(docs, text_col, words))(F.col(text_col))
+    rows = docs.select(F.col(id_col).alias("doc_id"), text_hash.alias("text_hash"), described.alias("d"))
+    known = materialise(rows.select("doc_id", "text_hash", "d.*"), "signatures")
     picked = F.min(F.struct("doc_id", "text_hash")).alias("picked")
-    classes = materialise(known.groupBy("sig").agg(F.min("doc_id").alias("least"), picked).withColumn("sid", F.xxhash64("sig")), "classes")
+    classes = materialise(known.groupBy("sig").agg(F.min("doc_id").alias("least"), picked, F.first("n").alias("n"), F.first("prefix").alias("prefix")).withColumn("sid", F.xxhash64("sig")), "classes")
     dealt = _shards(classes.select("sid", "sig").mapInArrow(_bands(bits, band_bits), "key long, id long, check long"), "key")
     # first by one word of the signatures, then by all of them
     maybe = materialise(dealt.mapInArrow(_likely(limit), "key long, id long"), "maybe")
@@ -354,14 +487,15 @@ def near_duplicates(
     likely = materialise(_shards(signed, "key").mapInArrow(_likely(radius), "key long, id long"), "likely")
     drop_table(maybe)
     # only texts with a likely partner are read again, one of each class
-    wanted = classes.join(likely.select(F.col("id").alias("sid")).distinct(), "sid", "left_semi").select("sid", "sig", "picked.*")
-    rows = docs.select(F.col(id_col).alias("_i"), text_hash.alias("_h"), F.col(text_col).alias("_t"))
-    texts = rows.join(wanted, F.col("_i").eqNullSafe(F.col("doc_id")) & (F.col("_h") == F.col("text_hash")))
-    sets = materialise(texts.select("sid", "sig", set_udf(words)(F.col("_t")).alias("set")).dropDuplicates(["sid"]), "sets")
-    whole = likely.join(sets, F.col("id") == F.col("sid")).select("key", "id", "sig", "set")
+    wanted = classes.join(likely.select(F.col("id").alias("sid")).distinct(), "sid", "left_semi")
+    sets = _sets(docs, id_col, text_col, words, wanted)
+    whole = likely.join(sets.join(classes.select("sid", "sig"), "sid"), F.col("id") == F.col("sid")).select("key", "id", "sig", "set")
     found = connected_components(_shards(whole, "key").mapInArrow(_verified_links(radius, similarity), "a long, b long"), "a", "b")
     drop_table(likely)
     drop_table(sets)
+    missed = _missed_links(docs, id_col, text_col, words, similarity, classes, found)
+    if missed.limit(1).count():
+        found = connected_components(found.select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(missed), "a", "b")
     counted = known.groupBy("doc_id", "text_hash", "sig").agg(F.count("*").alias("copies")).withColumn("sid", F.xxhash64("sig"))
     return _with_component(counted, "sid", classes.select("sid", "least"), found).select("doc_id", "text_hash", "component", "component_id", "copies")
 

@@ -283,6 +283,45 @@ def test_near_duplicates_are_found_and_others_left(spark):
     assert {5000 + i for i in range(30)} <= {r["doc_id"] for r in kept} and not {r["doc_id"] for r in kept} & {d for d in group if found[d] != d}
 
 
+def test_near_duplicates_beyond_the_signatures(spark):
+    rng = random.Random(71)
+    pairs, rows = [], []
+    for _ in range(6):  # a footer that repeats, a shingle that repeats, a short text with one more word
+        text, short, run = prose(rng, 200), prose(rng, 8), prose(rng, 5)
+        pairs += [(text, text + (" " + prose(rng, 12)) * 5), (short, short + " more"), (text + " x" + " end" * 6, text + " x" + " end" * 400), (run + " z", " ".join([run, "z"] * 60))]
+    for i, (a, b) in enumerate(pairs):
+        rows += [(10 * i, a), (10 * i + 1, b)]
+    want = {10 * i + 1: 10 * i for i, (a, b) in enumerate(pairs) if jaccard(a, b) >= 0.8}
+    found = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(documents(spark, rows), "doc_id", "text").collect()}
+    assert len(want) >= 12
+    parent = list(range(len(rows)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if jaccard(rows[i][1], rows[j][1]) >= 0.8:
+                a, b = root(i), root(j)
+                parent[max(a, b)] = min(a, b)
+    assert found == {d: rows[root(i)][0] for i, (d, _) in enumerate(rows)}
+
+
+def test_prefixes_meet_in_any_order():
+    rng = np.random.default_rng(72)
+    for n in (1, 4, 5, 9, 60, 300):
+        a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        for _ in range(20):
+            drop = rng.permutation(len(a))[: len(a) // 9]
+            b = np.unique(np.concatenate((np.delete(a, drop), rng.integers(0, 1 << 63, len(drop)).astype(np.uint64))))
+            common = np.sort(rng.permutation(a)[: len(a) // 2])
+            p, q = (simhash.prefix(x, 0.8, common, np.arange(len(common))[::-1]) for x in (a, b))
+            if simhash.similar(a, b, 0.8):
+                assert set(p.tolist()) & set(q.tolist())
+
+
 # 5 Records
 
 
