@@ -13,7 +13,7 @@ there. Trees emit a spanning forest of each shard, never all its pairs.
 It takes longer signatures of the distinct shingles, whose bands deal the texts
 into shards. In a shard's BK-tree, texts whose signatures are near enough are
 candidates, and those whose sets of shingles are as similar as wanted, counted
-exactly, are linked. A second way finds what the signatures miss: two sets that
+exactly, are linked. Only texts of equal sets are taken as one. A second way finds what the signatures miss: two sets that
 are similar enough share a shingle among the first few of each in any order that
 all sets keep (prefix filtering), so texts of different components that do are
 compared exactly too. The order puts shingles that are common in a sample last.
@@ -131,15 +131,16 @@ def prefix(h: np.ndarray, similarity: float, common: np.ndarray, rank: np.ndarra
 
 
 def described_udf(words: int, bits: int, similarity: float, common: np.ndarray, rank: np.ndarray):
-    @F.pandas_udf("sig binary, n int, prefix binary")
+    @F.pandas_udf("sid long, sig binary, n int, prefix binary")
     def described(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         held(None)
         for s in texts:
             rows = []
             for t in s:
                 h = np.unique(mixed_shingles(t, words))
-                rows.append((set_signature(h, bits), len(h), prefix(h, similarity, common, rank).tobytes()))
-            yield pd.DataFrame(rows, columns=["sig", "n", "prefix"])
+                sid = np.uint64(xxhash.xxh64_intdigest(h.tobytes(), SEED)).view(np.int64)
+                rows.append((sid, set_signature(h, bits), len(h), prefix(h, similarity, common, rank).tobytes()))
+            yield pd.DataFrame(rows, columns=["sid", "sig", "n", "prefix"])
 
     return described
 
@@ -479,7 +480,9 @@ def near_duplicates(
     rows = docs.select(F.col(id_col).alias("doc_id"), text_hash.alias("text_hash"), described.alias("d"))
     known = materialise(rows.select("doc_id", "text_hash", "d.*"), "signatures")
     picked = F.min(F.struct("doc_id", "text_hash")).alias("picked")
-    classes = materialise(known.groupBy("sig").agg(F.min("doc_id").alias("least"), picked, F.first("n").alias("n"), F.first("prefix").alias("prefix")).withColumn("sid", F.xxhash64("sig")), "classes")
+    # a class is a set of shingles; all that its texts have in common follows from it
+    same = [F.first(c).alias(c) for c in ("sig", "n", "prefix")]
+    classes = materialise(known.groupBy("sid").agg(F.min("doc_id").alias("least"), picked, *same), "classes")
     dealt = _shards(classes.select("sid", "sig").mapInArrow(_bands(bits, band_bits), "key long, id long, check long"), "key")
     # first by one word of the signatures, then by all of them
     maybe = materialise(dealt.mapInArrow(_likely(limit), "key long, id long"), "maybe")
@@ -496,7 +499,7 @@ def near_duplicates(
     missed = _missed_links(docs, id_col, text_col, words, similarity, classes, found)
     if missed.limit(1).count():
         found = connected_components(found.select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(missed), "a", "b")
-    counted = known.groupBy("doc_id", "text_hash", "sig").agg(F.count("*").alias("copies")).withColumn("sid", F.xxhash64("sig"))
+    counted = known.groupBy("doc_id", "text_hash", "sid").agg(F.count("*").alias("copies"))
     return _with_component(counted, "sid", classes.select("sid", "least"), found).select("doc_id", "text_hash", "component", "component_id", "copies")
 
 

@@ -309,6 +309,26 @@ def test_near_duplicates_beyond_the_signatures(spark):
     assert found == {d: rows[root(i)][0] for i, (d, _) in enumerate(rows)}
 
 
+def test_texts_of_equal_signature_are_compared(spark, monkeypatch):
+    rng = random.Random(73)
+    line, base = prose(rng, 11), prose(rng, 100)
+    rows = [(i, (line + " ") * 40 + prose(rng, 60)) for i in range(4)] + [(10 + i, "go " * 80 + prose(rng, 60)) for i in range(4)] + [(20, base), (21, base + " more")]
+    apart = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(documents(spark, rows), "doc_id", "text").collect()}
+    want = {d: 20 if d == 21 else d for d, _ in rows}
+    assert apart == want
+    # also where all signatures are the same
+    monkeypatch.setattr(simhash, "described_udf", _one_signature(simhash.described_udf))
+    assert {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(documents(spark, rows), "doc_id", "text").collect()} == want
+
+
+def _one_signature(made):
+    def described(*args):
+        d = made(*args)
+        return lambda c: F.struct(*[F.lit(bytes(128)).alias("sig") if k == "sig" else d(c)[k].alias(k) for k in ("sid", "sig", "n", "prefix")])
+
+    return described
+
+
 def test_prefixes_meet_in_any_order():
     rng = np.random.default_rng(72)
     for n in (1, 4, 5, 9, 60, 300):
