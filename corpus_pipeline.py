@@ -30,9 +30,9 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sample in the target proportions."""
+    """A sample in the target proportions; sources and languages without a target, or null, keep their share."""
     topic = mixing.rules_topic(F.coalesce("text", F.lit("")), queries.TOPICS, queries.OTHER_TOPIC)
-    mixed = mixing.mix(docs, "doc_id", "text", "source", "lang", topic, queries.TARGETS, queries.KEEP_SHARE)
+    mixed = mixing.mix(docs, "doc_id", "text", "source", "lang", topic, queries.TARGETS, queries.KEEP_SHARE, rest=True)
     return mixed.where("kept").select("row.*")
 
 

@@ -14,7 +14,9 @@ cells; the driver holds the factors of the values that have a target, which are
 as many as the caller gave.
 
 Defined results: a null in a dimension is a value of its own, ``(none)``; a value
-without a target has target zero and its documents go; targets that are empty
+without a target has target zero and its documents go, or, with ``rest``, all
+values of the dimension without a target keep their observed share of the tokens
+together and those with one divide what is left; targets that are empty
 for a dimension leave that dimension as it is; documents without tokens are kept
 if their cell's weight is above zero; a null id has a hash of its own; repeated
 rows share their fate; an empty table gives an empty result.
@@ -70,22 +72,26 @@ def _looked_up(rows: DataFrame, values: Mapping[str, Mapping[str, float]]) -> Da
     return out
 
 
-def rake(cells: DataFrame, targets: Mapping[str, Mapping[str, float]], rounds: int = 12, tolerance: float = 1e-9) -> DataFrame:
+def rake(cells: DataFrame, targets: Mapping[str, Mapping[str, float]], rounds: int = 12, tolerance: float = 1e-9, rest: bool = False) -> DataFrame:
     """``cells`` with ``weight``, the raked tokens, whose sums meet the target shares.
 
     A cell's weight is its tokens times a factor for each of its values, so all
-    that a step has to learn is the sums for the values that have a target.
+    that a step has to learn is the sums for the values that have a target, and
+    for all others together.
     """
     spark = cells.sparkSession
     live = {d: dict(t) for d, t in targets.items() if t}
     factors = {d: dict.fromkeys(t, 1.0) for d, t in live.items()}
     known = materialise(cells, "cells")
-
-    raked: set[str] = set()
+    others = dict.fromkeys(live, 1.0)  # factors of the values without a target; one before a dimension's first step
+    kept = dict.fromkeys(live, 0.0)  # and the shares that they are to have
+    if rest and live:
+        unlisted = [F.sum(F.when(F.col(f"_f_{d}").isNull(), F.col("tokens")).otherwise(0.0)).alias(f"_s_{d}") for d in live]
+        met = _looked_up(known, factors).agg(F.sum("tokens").alias("whole"), *unlisted).first()
+        kept = {d: met[f"_s_{d}"] / met["whole"] if met["whole"] else 0.0 for d in live}
 
     def weight() -> Column:
-        # before a dimension's first step all its values count
-        return reduce(lambda w, d: w * F.coalesce(F.col(f"_f_{d}"), F.lit(0.0 if d in raked else 1.0)), live, F.col("tokens"))
+        return reduce(lambda w, d: w * F.coalesce(F.col(f"_f_{d}"), F.lit(others[d])), live, F.col("tokens"))
 
     for _ in range(rounds):
         worst = 0.0
@@ -96,11 +102,15 @@ def rake(cells: DataFrame, targets: Mapping[str, Mapping[str, float]], rounds: i
             whole = sum(r["w"] or 0.0 for r in met)
             sums = {r["v"]: r["w"] for r in met if r["v"] is not None and r["w"] > 0}
             total = sum(max(0.0, shares[v]) for v in sums)
+            left = sum(r["w"] for r in met if r["v"] is None and r["w"])
+            share = (kept[d] if total > 0 else 1.0) if rest and left > 0 else 0.0
+            step = share * whole / left if left > 0 else 0.0
+            worst = max(worst, abs(step - 1) if step > 0 else 0.0)
+            others[d] *= step
             for v in shares:
-                step = shares[v] / total * whole / sums[v] if v in sums and total > 0 else 0.0
+                step = shares[v] / total * (1 - share) * whole / sums[v] if v in sums and total > 0 else 0.0
                 worst = max(worst, abs(step - 1) if v in sums and step > 0 else 0.0)
                 factors[d][v] *= step
-            raked.add(d)
         if worst <= tolerance:
             break
     return _looked_up(known, factors).withColumn("weight", weight()).drop(*[f"_f_{d}" for d in live])
@@ -125,7 +135,7 @@ def probabilities(cells: DataFrame, keep_share: float, rounds: int = 50) -> Data
 
 
 def mix(
-    docs: DataFrame, id_col: str, text_col: str, source_col: str, lang_col: str, topic: Column, targets: Mapping[str, Mapping[str, float]], keep_share: float = 0.5
+    docs: DataFrame, id_col: str, text_col: str, source_col: str, lang_col: str, topic: Column, targets: Mapping[str, Mapping[str, float]], keep_share: float = 0.5, rest: bool = False
 ) -> DataFrame:
     """Every document, as a struct ``row``, with its cell, tokens, ``weight``, ``probability`` and ``kept``."""
     named = lambda c: F.coalesce(c.cast("string"), F.lit(NONE))
@@ -134,7 +144,7 @@ def mix(
         row, F.col(id_col).alias("doc_id"), named(F.col(source_col)).alias("source"), named(F.col(lang_col)).alias("lang"), named(topic).alias("topic"),
         tokens_in(F.col(text_col)).alias("tokens"),
     )
-    fitted = probabilities(rake(cells_of(rows), targets), keep_share)
+    fitted = probabilities(rake(cells_of(rows), targets, rest=rest), keep_share)
     keys = fitted.select(*[F.col(d).alias(f"_{d}") for d in DIMENSIONS], "weight", "probability")
     out = rows.join(keys, [F.col(d) == F.col(f"_{d}") for d in DIMENSIONS]).drop(*[f"_{d}" for d in DIMENSIONS])
     return out.withColumn("kept", unit_hash(F.col("doc_id")) < F.col("probability"))

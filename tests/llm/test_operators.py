@@ -132,6 +132,23 @@ def test_mixing_full_cells_and_odd_rows(spark):
     assert mixing.mix(docs.limit(0), "doc_id", "text", "source", "lang", F.lit("t"), queries.TARGETS, 0.5).count() == 0
 
 
+def test_mixing_keeps_the_rest(spark):
+    rng = random.Random(31)
+    rows = [(i, prose(rng, 20), rng.choice(["a", "a", "a", "b", "new", None]), rng.choice(["x", "x", "y", None])) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    targets = {"source": {"a": 0.4, "b": 0.6, "absent": 0.1}, "lang": {"x": 0.7, "y": 0.3}, "topic": {}}
+    out = mixing.mix(docs, "doc_id", "text", "source", "lang", F.lit("t"), targets, 0.3, rest=True).toPandas()
+    out["w"] = out["tokens"] * out["probability"]
+    for c, listed, shares in (("source", ("a", "b"), {"a": 0.4, "b": 0.6}), ("lang", ("x", "y"), {"x": 0.7, "y": 0.3})):
+        got, before = out.groupby(c)["w"].sum() / out["w"].sum(), out.groupby(c)["tokens"].sum() / out["tokens"].sum()
+        kept = before[~before.index.isin(listed)].sum()
+        assert got[~got.index.isin(listed)].sum() == pytest.approx(kept, abs=1e-3) and kept > 0.2
+        assert [got[v] for v in listed] == pytest.approx([shares[v] * (1 - kept) for v in listed], abs=1e-3)
+    assert out.loc[out.source == "(none)", "kept"].any() and out.loc[out.source == "new", "kept"].any() and out.loc[out.lang == "(none)", "kept"].any()
+    none = docs.withColumn("lang", F.lit(None).cast("string"))
+    assert mixing.mix(none, "doc_id", "text", "source", "lang", F.lit("t"), targets, 0.3, rest=True).where("kept").count() > 0
+
+
 # 3 URLs
 
 

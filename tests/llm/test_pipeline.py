@@ -4,6 +4,7 @@ import random
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
@@ -49,6 +50,14 @@ def test_stages(spark, corpus):
     assert whole == last
 
 
+def test_mixture_keeps_unlabelled_documents(spark, corpus):
+    docs = spark.read.parquet(f"{corpus}/documents.parquet").where("doc_id < 120")
+    for column, value in (("lang", None), ("source", None), ("lang", "pl"), ("source", "src99")):
+        odd = docs.withColumn(column, F.when(F.col("doc_id") < 60, F.lit(value).cast("string")).otherwise(F.col(column)))
+        kept = {r["doc_id"] for r in corpus_pipeline.mixture(spark, odd, corpus).collect()}
+        assert any(i < 60 for i in kept) and any(i >= 60 for i in kept)
+
+
 def test_pipeline_of_nothing(spark, corpus, tmp_path):
     spark.read.parquet(f"{corpus}/documents.parquet").limit(0).write.parquet(str(tmp_path / "documents.parquet"))
     spark.read.parquet(f"{corpus}/benchmark.parquet").write.parquet(str(tmp_path / "benchmark.parquet"))
