@@ -14,8 +14,8 @@ It takes longer signatures of the distinct shingles, whose bands deal the texts
 into shards. In a shard's BK-tree, texts whose signatures are near enough are
 candidates, and those whose sets of shingles are as similar as wanted, counted
 exactly, are linked. Only texts of equal sets are taken as one. A second way finds what the signatures miss: two sets that
-are similar enough share a shingle among the first few of each in any order that
-all sets keep (prefix filtering), so texts of different components that do are
+are similar enough share some shingles among the first of each in any order that all
+sets keep (prefix filtering), so texts of different components that do are
 compared exactly too. The order puts shingles that are common in a sample last.
 
 Defined results: a null text counts as empty; a text without words has
@@ -115,14 +115,19 @@ def fingerprint_udf(words: int):
     return fingerprint
 
 
+def shared_least(n, similarity: float):
+    """Shingles that the prefixes of a set of ``n`` and any larger one as similar as wanted, but unequal, share at least."""
+    return np.maximum(max(1, math.floor(similarity / (1 - similarity) + 1e-6) if similarity < 1 else 1), n // 20)
+
+
 def prefix(h: np.ndarray, similarity: float, common: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """The first shingles of a sorted set, one of which any set as similar as wanted has among its first ones too.
+    """The first shingles of a sorted set; any set as similar as wanted has ``shared_least`` of them among its first ones too.
 
     ``common`` are sorted shingles that come last, in the order of ``rank``.
     """
     if not len(h):
         return h
-    size = len(h) - max(1, math.ceil(similarity * len(h) - 1e-6)) + 1
+    size = len(h) - max(1, math.ceil(similarity * len(h) - 1e-6)) + int(shared_least(len(h), similarity))
     if len(common):
         at = np.minimum(np.searchsorted(common, h), len(common) - 1)
         late = common[at] == h
@@ -139,7 +144,7 @@ def described_udf(words: int, bits: int, similarity: float, common: np.ndarray,
             for t in s:
                 h = np.unique(mixed_shingles(t, words))
                 sid = np.uint64(xxhash.xxh64_intdigest(h.tobytes(), SEED)).view(np.int64)
-                rows.append((sid, set_signature(h, bits), len(h), prefix(h, similarity, common, rank).tobytes()))
+                rows.append((sid, set_signature(h, bits), len(h), (prefix(h, similarity, common, rank) >> np.uint64(32)).astype(np.uint32).tobytes()))
             yield pd.DataFrame(rows, columns=["sid", "sig", "n", "prefix"])
 
     return described
@@ -154,7 +159,7 @@ def shingles_udf(words: int):
     return shingles
 
 
-def common_shingles(docs: DataFrame, text_col: str, words: int, chars: int = 40_000_000, least: int = 4, most: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
+def common_shingles(docs: DataFrame, text_col: str, words: int, chars: int = 10_000_000, least: int = 4, most: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
     """Sorted shingles of ``least`` texts or more of a sample, and their ranks from rare to common.
 
     They only make the search for candidates cheaper: any order finds the same pairs.
@@ -375,9 +380,9 @@ def _likely(limit: int):
 
 
 def _prefix_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each shingle of each prefix: the shingle, the id, and the set's size and the shingle's place in one number."""
+    """A row for each shingle of each prefix: 32 bits of the shingle, the id, and the set's size and the shingle's place in one number."""
     for batch in batches:
-        first = [np.frombuffer(x, np.int64) for x in batch.column(2).to_pylist()]
+        first = [np.frombuffer(x, np.int32) for x in batch.column(2).to_pylist()]
         for i in range(0, len(first), 500):
             part = first[i : i + 500]
             size = np.array([len(x) for x in part], np.int64)
@@ -395,7 +400,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _prefix_pairs(least: float):
-    """Pairs of different roots that share a key, as far as sizes and places let them be similar enough."""
+    """Pairs of different roots, once for each key that they share, as far as sizes and places let them be similar enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, ids, place, root in _whole_groups(batches):
@@ -412,11 +417,13 @@ def _prefix_pairs(least: float):
                 at = at[(key[at] == key[to]) & (size[at] >= least * size[to] - 1e-6)]
                 for part in np.array_split(at, len(at) // 1_000_000 + 1):
                     to = part + step
-                    need = least / (1 + least) * (size[part] + size[to]) - 1e-6
+                    # at most so many of the shared shingles that count come before this one
+                    need = least / (1 + least) * (size[part] + size[to]) - 1e-6 - shared_least(size[part], least) + 1
                     ok = part[(root[part] != root[to]) & (np.minimum(left[part], left[to]) >= need)]
                     if len(ok):
                         a, b = ids[ok], ids[ok + step]
-                        yield _links(np.stack((np.minimum(a, b), np.maximum(a, b)), axis=1))
+                        cols = np.minimum(a, b), np.maximum(a, b), shared_least(size[ok], least)
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["a", "b", "least"])
                 step += 1
 
     return run
@@ -443,10 +450,11 @@ def _missed_links(docs: DataFrame, id_col: str, text_col: str, words: int, simil
     """(a, b): similar classes of different components of ``found``."""
     # sets of fewer shingles are similar enough to others only if they are equal
     some = classes.where(F.col("n") >= math.floor(similarity / (1 - similarity) + 1e-6) if similarity < 1 else F.lit(False))
-    dealt = _shards(some.select("sid", "n", "prefix").mapInArrow(_prefix_rows, "key long, id long, place long"), "key")
-    shared = materialise(dealt.mapInArrow(_shared, "key long, id long, place long"), "shared")
+    dealt = _shards(some.select("sid", "n", "prefix").mapInArrow(_prefix_rows, "key int, id long, place long"), "key")
+    shared = materialise(dealt.mapInArrow(_shared, "key int, id long, place long"), "shared")
     rooted = shared.join(found, F.col("id") == F.col("node"), "left").select("key", "id", "place", F.coalesce("root", "id").alias("root"))
-    pairs = materialise(_shards(rooted, "key").mapInArrow(_prefix_pairs(similarity), "a long, b long").distinct(), "pairs")
+    met = _shards(rooted, "key").mapInArrow(_prefix_pairs(similarity), "a long, b long, least long")
+    pairs = materialise(met.groupBy("a", "b").agg(F.count("*").alias("n"), F.first("least").alias("least")).where("n >= least").select("a", "b"), "pairs")
     drop_table(shared)
     ends = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
     sets = _sets(docs, id_col, text_col, words, classes.join(ends, "sid", "left_semi"))
@@ -465,8 +473,8 @@ def near_duplicates(
     Two texts are candidates if their signatures differ in no more bits than
     those of two texts of the wanted similarity do, plus ``slack`` standard
     deviations of that number, and share one of ``bits / band_bits`` bands. Texts
-    that this leaves in different components are candidates too if they share a
-    shingle of their prefixes, which all similar ones do.
+    that this leaves in different components are candidates too if their prefixes
+    share as many shingles as those of all similar ones do.
     Candidates are linked if their sets of shingles are as similar as wanted.
     ``text_hash`` is xxhash64 of the text (null as empty) and ``copies`` counts
     equal rows.

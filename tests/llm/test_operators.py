@@ -357,6 +357,8 @@ def test_prefixes_meet_in_any_order():
             p, q = (simhash.prefix(x, 0.8, common, np.arange(len(common))[::-1]) for x in (a, b))
             if simhash.similar(a, b, 0.8):
                 assert set(p.tolist()) & set(q.tolist())
+            if simhash.similar(a, b, 0.8) and set(a.tolist()) != set(b.tolist()):
+                assert len(set(p.tolist()) & set(q.tolist())) >= simhash.shared_least(min(len(a), len(b)), 0.8)
 
 
 # 5 Records
