@@ -1,18 +1,21 @@
 """Approximate nearest neighbours by score-aware anisotropic quantisation.
 
 The nearest vectors in Euclidean distance are those with the largest inner
-product less half the squared norm. Norms are kept exactly; the inner product
-is read from four-bit codes. Pairs of components are quantised to sixteen
+product less half the squared norm. Distances do not change if a vector is taken
+from all; the mean of the sample is, so that a common offset does not swamp what
+tells vectors apart. Norms are kept exactly; the inner product is read from
+four-bit codes. Pairs of components are quantised to sixteen
 codewords, with a loss that weighs the part of the residual parallel to the
 vector more than the part across it, as that is the part which spoils large
 inner products (Guo et al., 2020). Codewords and codes are found in turn, each
 in closed form given the other.
 
-A search sends queries in blocks of bounded size to all rows. A task adds up
-table entries for its rows' codes, two codes a byte, keeps the best
-``keep`` rows of each batch for each query and all rows that share their codes,
+A search sends queries in blocks of bounded bytes to all rows. A task adds up
+table entries for its rows' codes, two codes a byte, keeps the best ``keep`` of
+each ``CHUNK`` rows at most for each query and all rows that share their codes,
 which the tables cannot tell apart, and reranks them by the exact distance in
-double precision before anything leaves the task.
+double precision before anything leaves the task. Every row meets every query:
+the work is rows times queries, with one pass over the rows a block.
 
 The codebooks are fitted on at most ``sample`` vectors; every vector is
 indexed. Defined results: vectors that are null, zero, hold a null or
@@ -35,13 +38,15 @@ from pyspark.sql import functions as F
 from .common import materialise
 
 FOUND = "query_id long, vec_id long, score double"
+CHUNK = 10_000  # rows that are scanned together
 
 
 @dataclass
 class Codebook:
-    """``words`` is subspaces x 16 x 2; an odd dimension is padded with a zero."""
+    """``words`` is subspaces x 16 x 2; an odd dimension is padded with a zero; ``centre`` is taken from all vectors."""
 
     words: np.ndarray
+    centre: np.ndarray
 
     @property
     def dim(self) -> int:
@@ -51,8 +56,8 @@ class Codebook:
         return np.pad(x, ((0, 0), (0, self.dim - x.shape[1])))
 
     def tables(self, queries: np.ndarray) -> np.ndarray:
-        """(bytes, 256, queries): inner products of a query with each pair of codewords."""
-        q = self.padded(queries).reshape(len(queries), -1, 2)
+        """(bytes, 256, queries): inner products of a centred query with each pair of codewords."""
+        q = self.padded(queries - self.centre).reshape(len(queries), -1, 2)
         one = np.einsum("qmd,mkd->mkq", q, self.words)
         if len(one) % 2:
             one = np.concatenate([one, np.zeros_like(one[:1])])
@@ -87,8 +92,8 @@ def _weight(dim: int, threshold: float) -> float:
 
 
 def fit(x: np.ndarray, threshold: float = 0.2, rounds: int = 8, seed: int = 7) -> Codebook:
-    m = -(-x.shape[1] // 2)
-    x = np.pad(x, ((0, 0), (0, 2 * m - x.shape[1])))
+    m, centre = -(-x.shape[1] // 2), x.mean(axis=0)
+    x = np.pad(x - centre, ((0, 0), (0, 2 * m - x.shape[1])))
     part, unit = _split(x, m)
     rng, weight = np.random.default_rng(seed), _weight(x.shape[1], threshold)
     words = part[rng.choice(len(x), 16, replace=len(x) < 16)].transpose(1, 0, 2).copy()
@@ -107,12 +112,12 @@ def fit(x: np.ndarray, threshold: float = 0.2, rounds: int = 8, seed: int = 7) -
                 else:
                     words[k, c] = p[rng.integers(len(p))]
         codes = _assign(part, unit, words, codes, weight, 1)
-    return Codebook(words)
+    return Codebook(words, centre)
 
 
 def encode(book: Codebook, x: np.ndarray, threshold: float = 0.2) -> np.ndarray:
     """Packed codes, two a byte, of each row."""
-    part, unit = _split(book.padded(x), len(book.words))
+    part, unit = _split(book.padded(x - book.centre), len(book.words))
     codes = np.stack([((part[:, k, None] - w) ** 2).sum(axis=2).argmin(axis=1) for k, w in enumerate(book.words)], axis=1)
     codes = _assign(part, unit, book.words, codes, _weight(book.dim, threshold), 2)
     if codes.shape[1] % 2:
@@ -168,20 +173,17 @@ def _searcher(book: Codebook, query_ids: np.ndarray, queries: np.ndarray, k: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0), np.empty(0, np.int64))] * len(queries)
-        tables = None
-        for b in batches:
+        met = False
+        for b in (whole.slice(at, CHUNK) for whole in batches for at in range(0, whole.num_rows, CHUNK)):
+            met = True
             ids, x = b.column(0).to_numpy(), _matrix(b.column(1), dim)
-            if not len(ids):
-                continue
             order = np.argsort(ids, kind="stable")
             ids, x = ids[order], x[order]
             codes = np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint8).reshape(len(ids), -1)[order]
-            bias = (-(x**2).sum(axis=1) / 2).astype(np.float32)
+            bias = (-((x - book.centre) ** 2).sum(axis=1) / 2).astype(np.float32)
             alike = _Alike(codes)
-            if tables is None:
-                tables = book.tables(queries)
             for q0 in range(0, len(queries), 256):
-                table = tables[:, :, q0 : q0 + 256]
+                table = book.tables(queries[q0 : q0 + 256])
                 score = np.repeat(bias[:, None], table.shape[2], axis=1)
                 for at in range(0, len(ids), 2000):
                     for n in range(codes.shape[1]):
@@ -193,7 +195,7 @@ def _searcher(book: Codebook, query_ids: np.ndarray, queries: np.ndarray, k: int
                     far, near = np.concatenate([best[j][0], far]), np.concatenate([best[j][1], ids[top]])
                     first = np.lexsort((near, far))[:k]
                     best[j] = far[first], near[first]
-        if tables is not None:
+        if met:
             cols = [np.repeat(query_ids, [len(f) for f, _ in best]), np.concatenate([n for _, n in best]), np.concatenate([f for f, _ in best])]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["query_id", "vec_id", "score"])
 
@@ -222,41 +224,36 @@ def build_index(vectors: DataFrame, id_col: str, vector_col: str, sample: int =
     return materialise(rows.mapInArrow(_encoder(book, x.shape[1]), f"vec_id long, embedding {kind}, codes binary"), "index"), book
 
 
-def search(index: DataFrame, book: Codebook | None, is_query: Column, k: int = 10, keep: int = 256, block: int = 4096) -> DataFrame:
+def search(index: DataFrame, book: Codebook | None, is_query: Column, k: int = 10, keep: int = 256, block_bytes: int = 32_000_000) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest found of each query, a row of the index.
 
-    Queries go out ``block`` at a time, so what is broadcast is bounded; each
-    block meets all rows.
+    Queries go out in blocks of ``block_bytes`` of vectors, so what is broadcast
+    is bounded; each block meets all rows. What a block found is written before
+    the next one goes out, but for the last.
     """
     spark = index.sparkSession
-    parts: list[DataFrame] = []
-    if book is not None:
-        held: list = []
-        rows = index.where(is_query).select("vec_id", "embedding").distinct()
-        for r in _blocks(rows, block):
-            held.append(index.mapInArrow(_searcher(book, *r, k, keep), FOUND))
-            if len(held) > 1:
-                held[-2] = materialise(held[-2], "nearest")
-        parts = held
-    if not parts:
+    if book is None:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    rows = index.where(is_query).select("vec_id", "embedding").distinct()
+    found: DataFrame | None = None
+    for ids, queries in _blocks(rows, max(1, block_bytes // (8 * len(book.centre)))):
+        now = index.mapInArrow(_searcher(book, ids, queries, k, keep), FOUND)
+        found = now if found is None else materialise(found, "nearest").unionByName(now)
+    if found is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
     ranked = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def _blocks(rows: DataFrame, block: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    held: list = []
+    """(ids, vectors) of at most ``block`` rows, one block at a time on the driver."""
+    ids: list[int] = []
+    held: list[np.ndarray] = []
     for r in rows.toLocalIterator():
-        held.append(r)
-        if len(held) == block:
-            yield _arrays(held)
-            held = []
-    if held:
-        yield _arrays(held)
-
-
-def _arrays(rows: list) -> tuple[np.ndarray, np.ndarray]:
-    return np.array([r["vec_id"] for r in rows], np.int64), np.array([r["embedding"] for r in rows], float)
+        ids.append(r["vec_id"])
+        held.append(np.array(r["embedding"], float))
+        if len(ids) == block:
+            yield np.array(ids, np.int64), np.stack(held)
+            ids, held = [], []
+    if ids:
+        yield np.array(ids, np.int64), np.stack(held)

@@ -8,6 +8,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -543,7 +544,7 @@ def test_neighbours(spark):
     index, book = ann.build_index(rows, "vec_id", "embedding")
     assert index.count() == 900
     out = defaultdict(list)
-    for r in ann.search(index, book, F.col("vec_id") % 100 == 0, keep=60, block=4).orderBy("query_id", "rank").collect():
+    for r in ann.search(index, book, F.col("vec_id") % 100 == 0, keep=60, block_bytes=4 * 8 * 24).orderBy("query_id", "rank").collect():
         out[r["query_id"]].append((r["vec_id"], r["score"]))
     v = np.array([r for _, r in good])
     hits = total = 0
@@ -556,6 +557,23 @@ def test_neighbours(spark):
     assert hits / total >= 0.9 and [i for i, _ in out[200]] == list(range(300, 310))
 
 
+@pytest.mark.parametrize("offset", [0, 3, 10, 100])
+def test_recall_off_centre(offset):
+    rng = np.random.default_rng(6)
+    x = (rng.normal(size=(20_000, 64)) + offset).astype(np.float32).astype(float)
+    book, ids = ann.fit(x[:4000], rounds=3), np.arange(len(x))
+    rows = pa.RecordBatch.from_arrays([pa.array(ids), pa.array(list(x), pa.list_(pa.float64()))], names=["vec_id", "embedding"])
+    index = list(ann._encoder(book, 64)([rows]))
+    whole = pa.Table.from_batches(index).combine_chunks().to_batches()
+    asked = ids[::1000]
+    out = defaultdict(set)
+    for b in ann._searcher(book, asked, x[asked], 10, 256)(iter(whole)):
+        for q, i in zip(b["query_id"].to_pylist(), b["vec_id"].to_pylist()):
+            out[q].add(i)
+    near = {q: set(np.argsort(((x - x[q]) ** 2).sum(axis=1))[1:11].tolist()) for q in asked.tolist()}
+    assert sum(len(out[q] & near[q]) for q in near) / (10 * len(near)) >= 0.9
+
+
 def test_neighbours_of_few_and_none(spark):
     rows = spark.createDataFrame([(0, [1.0, 2.0, 3.0]), (1, [1.0, 2.0, 4.0]), (1, [1.0, 2.0, 4.0])], "vec_id long, embedding array<float>")
     index, book = ann.build_index(rows, "vec_id", "embedding")
