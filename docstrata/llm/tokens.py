@@ -1,8 +1,10 @@
 """Token ids in length-delimited binary records, with a separate offset index.
 
-Documents are dealt into shards by ranges of their id, so that the files, in
-order of their names, hold them in ascending order. A shard is a sequence of
-frames, each of which is
+Documents are dealt into shards by ranges of their id and a hash of their text,
+so that the files, in the order of the numbers in their names, hold them in
+ascending order of ids and no id, however many rows it has, makes a shard long.
+A file takes a bounded number of records. A shard is a sequence of frames, each
+of which is
 
     length      unsigned 64 bits, of the payload
     check       unsigned 32 bits, masked CRC-32 of the length's eight bytes
@@ -21,8 +23,11 @@ file, offset, length, doc_id, tokens, the ids before it in the shard and the
 CRC-32 of its ids. It is made from the files as they were read back, with all
 checks made, and lets a reader that shuffles fetch any record by a seek.
 
+Texts are encoded as the tokenizer does by default without special tokens of its
+own: a special token's string in a text becomes that token.
+
 Defined results: a null text is empty and has the end id only; rows of equal id
-are ordered by text; null ids come first; repeated rows are repeated; an empty
+are ordered by a hash of the text, then by text; null ids come first; repeated rows are repeated; an empty
 table has no records; other columns are ignored. A damaged file raises.
 """
 
@@ -38,10 +43,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import held
+from .common import held, named
 
 MASK_DELTA = 0xA282EAD8
 HEAD = struct.Struct("<QI")
@@ -117,8 +122,9 @@ class WordEncoder:
     A byte-level tokenizer that splits before each single space and around each
     newline encodes the parts independently of each other. Where a text has
     only single spaces and newlines between non-spaces, its words are encoded
-    once each by the tokenizer's model; any other text, and any text if the
-    tokenizer is of another kind, goes to the tokenizer as a whole.
+    once each by the tokenizer's model; any other text, one that holds the
+    string of an added token, and any text if the tokenizer is of another kind,
+    goes to the tokenizer as a whole.
     """
 
     def __init__(self, path: str, most: int = 400_000):
@@ -126,7 +132,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = t = Tokenizer.from_file(path)
-        t.encode_special_tokens = True
+        self.added = [x.content for x in t.get_added_tokens_decoder().values()]
         self.wide = t.get_vocab_size() > 1 << 16
         self.kind = np.dtype("<u4" if self.wide else "<u2")
         probe = "ab, cd.\nEf's 1g-h é"
@@ -147,7 +153,8 @@ class WordEncoder:
             for i, t in enumerate(texts):
                 found = t.split()
                 gaps = len(found) - 1
-                if gaps >= 0 and len(t) - sum(map(len, found)) == gaps == t.count(" ") + t.count("\n") and "\0" not in t:
+                plain = gaps >= 0 and len(t) - sum(map(len, found)) == gaps == t.count(" ") + t.count("\n") and "\0" not in t
+                if plain and not any(x in t for x in self.added):
                     out[i] = b"".join(map(code, ("\0" + t).replace("\n", " \n").split(" ")))
         rest = [i for i, x in enumerate(out) if x is None]
         for i, x in zip(rest, self._ids([texts[i] for i in rest])):
@@ -196,12 +203,20 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def write_records(docs: DataFrame, id_col: str, text_col: str, tokenizer_path: str, end_id: int, out: str, shard_chars: int = 16_000_000) -> None:
-    """Write the shards to ``out``/shards, about ``shard_chars`` characters each."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    ranged = rows.repartitionByRange(max(1, -(-chars // shard_chars)), F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"), "text")
+    """Write the shards to ``out``/shards, about ``shard_chars`` characters each.
+
+    Rows that are equal in id and text cannot be told apart by a range, so a
+    file also ends after as many records as have four times that length on
+    average.
+    """
+    rows = docs.select(named(id_col).cast("long").alias("doc_id"), F.coalesce(named(text_col), F.lit("")).alias("text"))
+    n, chars = rows.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+    key = F.asc_nulls_first("doc_id"), F.xxhash64("text")
+    ranged = rows.repartitionByRange(max(1, -(-chars // shard_chars)), *key).sortWithinPartitions(*key, "text")
     framed = ranged.mapInArrow(_framer(tokenizer_path, end_id), "frame binary")
-    framed.select(F.col("frame").cast("string").alias("value")).write.option("lineSep", "\n").text(f"{out}/shards")
+    most = max(1, 4 * shard_chars * n // max(1, chars))
+    lines = framed.select(F.col("frame").cast("string").alias("value")).write.option("lineSep", "\n").option("compression", "none")
+    lines.option("maxRecordsPerFile", min(most, 2**31 - 1)).text(f"{out}/shards")
 
 
 def read_index(spark: SparkSession, out: str) -> DataFrame:
@@ -212,10 +227,22 @@ def read_index(spark: SparkSession, out: str) -> DataFrame:
     return spark.read.schema(found.schema).parquet(f"{out}/index")
 
 
-def with_starts(index: DataFrame) -> DataFrame:
-    """Add ``start``: the ids of all documents before each record in the order of the files."""
-    shards = index.groupBy("file").agg(F.sum("n_tokens").alias("total"))
-    name = F.regexp_extract("file", r"[^/]+$", 0)
-    base = F.coalesce(F.sum("total").over(Window.orderBy(name).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    at = shards.select(F.col("file").alias("f"), base.alias("base"))
+def file_number(file: Column) -> Column:
+    """(task, file of the task) from a shard's name, as numbers: names stop sorting as text at 100,000."""
+    part = lambda p: F.coalesce(F.nullif(F.regexp_extract(file, p, 1), F.lit("")).cast("long"), F.lit(0).cast("long"))
+    return F.struct(part(r"part-([0-9]+)[^/]*$").alias("task"), part(r"-c([0-9]+)[^/]*$").alias("file"))
+
+
+def with_starts(index: DataFrame, group: int = 1000) -> DataFrame:
+    """Add ``start``: the ids of all documents before each record in the order of the files.
+
+    Totals are added up in two steps, within groups of ``group`` tasks and over
+    the groups, so no task sees all files.
+    """
+    n = file_number(F.col("file"))
+    shards = index.groupBy("file").agg(F.sum("n_tokens").alias("total")).select("file", "total", n.alias("n"), F.floor(n["task"] / group).alias("g"))
+    before = lambda w: F.coalesce(F.sum("total").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    groups = shards.groupBy(F.col("g").alias("h")).agg(F.sum("total").alias("total")).select("h", before(Window.orderBy("h")).alias("far"))
+    near = shards.select("file", "g", before(Window.partitionBy("g").orderBy("n")).alias("near"))
+    at = near.join(groups, F.col("g") == F.col("h")).select(F.col("file").alias("f"), (F.col("far") + F.col("near")).alias("base"))
     return index.join(at, F.col("file") == F.col("f")).select(*index.columns, (F.col("base") + F.col("before")).alias("start"))

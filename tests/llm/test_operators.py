@@ -370,16 +370,17 @@ def test_records_round_trip(spark):
 
     path = queries.tokenizer_path()
     plain = Tokenizer.from_file(path)
-    plain.encode_special_tokens = True
     rng = random.Random(8)
-    odd = ["", None, "  two  spaces ", "tab\there", "a\n\nb", "it's we'll x's 12's", "\n", "é ü\u00a0ß", "a\x85b\x1fc", "<|endoftext|> x", "nul\0 b\0", "x" * 5000, prose(rng, 20_000), "ende.\nAnfang, \u4e2d\u6587 \U0001f600", "a\r\nb"]
+    odd = ["", None, "  two  spaces ", "tab\there", "a\n\nb", "it's we'll x's 12's", "\n", "é ü\u00a0ß", "a\x85b\x1fc", "<|endoftext|> x", "a <|endoftext|> b<|endoftext|>", "<|endoftext", "nul\0 b\0", "x" * 5000, prose(rng, 20_000), "ende.\nAnfang, \u4e2d\u6587 \U0001f600", "a\r\nb"]
     rows = [(rng.randrange(-50, 50), prose(rng, 30)) for _ in range(60)] + list(enumerate(odd, 100)) + [(None, "null id"), (3, "again"), (3, "again")]
     out = common.new_path(spark, "t")
     tokens.write_records(documents(spark, rows), "doc_id", "text", path, 2, out, shard_chars=20_000)
     index = tokens.read_index(spark, out)
     got = tokens.with_starts(index).orderBy("start").collect()
+    texts = spark.createDataFrame([(t or "",) for _, t in rows], "t string")
+    order = {r["t"]: r["h"] for r in texts.select("t", F.xxhash64("t").alias("h")).collect()}
     want, start = [], 0
-    for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, (r[1] or "").encode())):
+    for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, order[r[1] or ""])):
         ids = [*plain.encode(t or "", add_special_tokens=False).ids, 2]
         want.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         start += len(ids)
@@ -402,6 +403,25 @@ def test_damaged_records_raise():
         list(tokens.frames(data[:-3]))
 
 
+def test_hot_ids_are_split(spark):
+    rows = [(None, f"text {n} " + "word " * 40) for n in range(300)] + [(5, "the same")] * 3000
+    out = common.new_path(spark, "t")
+    tokens.write_records(documents(spark, rows), "doc_id", "text", queries.tokenizer_path(), 2, out, shard_chars=4000)
+    index = tokens.with_starts(tokens.read_index(spark, out))
+    got = index.orderBy("start").collect()
+    assert [r["doc_id"] for r in got] == [i for i, _ in rows] and got[0]["start"] == 0
+    assert all(a["start"] + a["n_tokens"] == b["start"] for a, b in zip(got, got[1:]))
+    assert max(r["count"] for r in index.groupBy("file").count().collect()) <= 4 * 4000 * 3300 // sum(len(t) for _, t in rows)
+
+
+def test_starts_follow_the_numbers_of_files(spark):
+    names = [(5, 0), (5, 1), (99_999, 0), (100_000, 0), (100_000, 10), (1_000_000, 2)]
+    rows = [(f"s3://x/shards/part-{n:05d}-3f2a0c1e-1111-c{c:03d}.txt", 10**k) for k, (n, c) in enumerate(names)]
+    index = spark.createDataFrame([(f, 0, 1, 1, t, 0, 0) for f, t in rows], tokens.INDEX).repartition(3)
+    got = {r["file"]: r["start"] for r in tokens.with_starts(index).collect()}
+    assert [got[f] for f, _ in rows] == [sum(t for _, t in rows[:k]) for k in range(len(rows))]
+
+
 def test_no_records(spark):
     out = common.new_path(spark, "t")
     tokens.write_records(documents(spark, []), "doc_id", "text", queries.tokenizer_path(), 2, out)
