@@ -8,24 +8,36 @@ sample, over the characters give the cross-parsing entropy, and the language
 with the smallest one wins.
 
 An automaton is flattened into one table that holds, for each state and class
-of characters, the next state and whether a phrase ends there, so that many
-segments of text are parsed in step with numpy. Parsing starts anew every
-``SEGMENT`` characters.
+of characters, the next state and whether a new phrase begins there, so that
+many segments of text are parsed in step with numpy. Segments are parsed from
+the start state at first; then each is parsed again from the state in which the
+one before it ended, until both parses are in the same state, from where on they
+agree. The result is the parse of the whole text.
 
-The sample is bounded by ``sample_chars`` characters over all languages; which
-documents are in it follows from a hash of their id. Documents longer than a
-language's share are scored but not learnt from. At most ``max_languages``
-labels, those with most text, are learnt.
+The sample is bounded by ``sample_chars`` characters over all languages, or
+``least`` a language where these are more; which texts are in it follows from a
+hash. Of a text longer than an eighth of a language's share, a window at a
+place that follows from the hash is learnt from. Every label is learnt.
+
+Beside the languages there is a null model, in which each character costs as
+many bits as letters are known. ``unknown`` is its share of the odds; it tells
+texts in no learnt language, whose prediction means little.
+
+Letters beyond the ``MOST`` commonest of the samples share ``HASHED`` classes by
+a hash, so that scripts of many letters keep the table small and still have
+matches; letters that no sample holds match nothing.
 
 Defined results: a text that is null or has no letters is ``und`` with score
 zero; ties go to the label that sorts first; repeated rows are repeated; if
 there is nothing to learn from, all texts are ``und``; the label, source and id
-of a document never enter its prediction.
+of a document never enter its prediction; other columns stay, but those of the
+names that are added are replaced.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import math
 from collections import Counter
 from collections.abc import Iterator
@@ -35,12 +47,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import held
+from .common import fresh, held, named
 
 UNKNOWN = "und"
 SEGMENT = 256
 GAP = 0  # class of all that is no letter; runs of it count as one
-SCHEMA = "lang_pred string, score double, entropy double"
+MOST, HASHED = 192, 63  # letters with a class of their own; classes of the other letters of the samples
+ADDED = "lang_pred", "score", "entropy", "unknown"
+SCHEMA = "lang_pred string, score double, entropy double, unknown double"
 
 
 def suffix_automaton(codes: list[int]) -> list[dict[int, int]]:
@@ -76,14 +90,18 @@ def suffix_automaton(codes: list[int]) -> list[dict[int, int]]:
 class Alphabet:
     """Classes of characters: the gap, the letters of the samples, any other letter, padding."""
 
-    def __init__(self, texts: list[str], most: int = 256):
+    def __init__(self, texts: list[str], most: int = MOST, hashed: int = HASHED):
         met = Counter(c for t in texts for c in t.lower() if c.isalpha())
-        letters = sorted(sorted(met, key=lambda c: (-met[c], c))[:most])
-        self.size = len(letters) + 3
+        ranked = sorted(met, key=lambda c: (-met[c], c))
+        letters, rare = sorted(ranked[:most]), ranked[most:]
+        self.known = len(met)
+        self.size = len(letters) + 3 + (hashed if rare else 0)
         self.other, self.pad = self.size - 2, self.size - 1
         self.table = np.fromiter((self.other if chr(c).isalpha() else GAP for c in range(0x110000)), np.uint16, 0x110000)
         for n, c in enumerate(letters, 1):
             self.table[ord(c)] = n
+        for c in rare:
+            self.table[ord(c)] = len(letters) + 1 + ord(c) * 2_654_435_761 % (1 << 32) * hashed // (1 << 32)
 
     def codes(self, text: str) -> np.ndarray:
         points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -92,32 +110,62 @@ class Alphabet:
 
 
 class Language:
-    """A sample's automaton as one table: next state times classes, times two, plus one where a phrase ends."""
+    """A sample's automaton as one table: next state times classes, times two, plus one where a phrase begins after another.
+
+    The last state is the one after a character that the sample lacks, which is
+    a phrase of its own; the first is that before the text.
+    """
 
     def __init__(self, text: str, alphabet: Alphabet):
         codes = alphabet.codes(text)
         step, width = suffix_automaton(codes.tolist()), alphabet.size
         self.bits = math.log2(max(2, len(codes)))
-        start = np.ones(width, np.int32)  # a character that the sample lacks is a phrase of its own
+        lost = len(step) * width * 2
+        begin = np.full(width, lost + 1, np.int32)
         for c, to in step[0].items():
-            start[c] = to * width * 2 + 1
-        table = np.tile(start, (len(step), 1))
+            begin[c] = to * width * 2 + 1
+        begin[alphabet.pad] = 0
+        table = np.tile(begin, (len(step) + 1, 1))
         for s, out in enumerate(step):
             for c, to in out.items():
                 table[s, c] = to * width * 2
-        table[:, alphabet.other] = 1
-        table[:, alphabet.pad] = 0
+        table[0] &= ~1
         self.table = table.ravel()
 
-    def phrases(self, lanes: np.ndarray) -> np.ndarray:
-        """Phrases begun after the first in each lane; ``lanes`` has a row for each step."""
-        state = np.zeros(lanes.shape[1], np.int32)
-        ended = np.zeros(lanes.shape[1], np.int32)
-        for row in lanes:
+    def phrases(self, lanes: np.ndarray, follows: np.ndarray) -> np.ndarray:
+        """Phrases begun after the first in each lane; ``lanes`` has a row for each step, ``follows`` says which lane goes on with the one before."""
+        steps, n = lanes.shape
+        state, ended = np.zeros(n, np.int32), np.zeros(n, np.int32)
+        states, counts = np.empty((steps, n), np.int32), np.empty((steps, n), np.int16)
+        for i, row in enumerate(lanes):
             got = self.table[state + row]
             ended += got & 1
             state = got >> 1
-        return ended
+            states[i], counts[i] = state, ended
+        total, last = ended.copy(), state.copy()
+        todo = np.flatnonzero(follows)
+        while len(todo):
+            begun, carry, found = todo, last[todo - 1], np.zeros(len(todo), np.int32)
+            old = last[todo]
+            left = np.arange(len(todo))
+            for i in range(steps):
+                got = self.table[carry + lanes[i, begun[left]]]
+                found[left] += got & 1
+                carry = got >> 1
+                same = carry == states[i, begun[left]]
+                met = left[same]
+                total[begun[met]] = found[met] + ended[begun[met]] - counts[i, begun[met]]
+                last[begun[met]] = state[begun[met]]
+                left, carry = left[~same], carry[~same]
+                if not len(left):
+                    break
+            total[begun[left]] = found[left]
+            last[begun[left]] = carry
+            # a lane that now ends in another state changes the one after it
+            moved = begun[last[begun] != old] + 1
+            todo = moved[moved < n]
+            todo = todo[follows[todo]]
+        return total
 
 
 class Model:
@@ -126,30 +174,35 @@ class Model:
         self.alphabet = Alphabet(list(samples.values()))
         self.languages = [Language(samples[n], self.alphabet) for n in self.names]
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+        """Language, score, entropy and odds of the null model of each text."""
         a, n = self.alphabet, len(texts)
         codes = [a.codes(t or "") for t in texts]
         size = np.array([len(c) for c in codes], np.int64)
         lettered = np.array([bool((c != GAP).any()) for c in codes], bool)
         if not self.names or not lettered.any():
-            return [UNKNOWN] * n, np.zeros(n), np.zeros(n)
+            return [UNKNOWN] * n, np.zeros(n), np.zeros(n), np.ones(n)
         pieces = -(-size // SEGMENT)
         grid = np.full(int(pieces.sum()) * SEGMENT, a.pad, np.int32)
         first = np.concatenate(([0], np.cumsum(pieces)))
         for c, at in zip(codes, first.tolist()):
             grid[at * SEGMENT : at * SEGMENT + len(c)] = c
         lanes = np.ascontiguousarray(grid.reshape(-1, SEGMENT).T)
+        follows = np.ones(lanes.shape[1], bool)
+        follows[first[:-1][pieces > 0]] = False
         entropy = np.zeros((len(self.names), n))
         for k, lang in enumerate(self.languages):
-            counted = np.concatenate(([0], np.cumsum(lang.phrases(lanes))))
-            phrases = counted[first[1:]] - counted[first[:-1]] + pieces
-            entropy[k] = phrases * lang.bits / np.maximum(size, 1)
+            counted = np.concatenate(([0], np.cumsum(lang.phrases(lanes, follows))))
+            entropy[k] = (counted[first[1:]] - counted[first[:-1]] + 1) * lang.bits / np.maximum(size, 1)
         best = entropy.argmin(axis=0)
         low = entropy.min(axis=0)
-        # the posterior odds that the entropies give a document of a nominal length
-        weight = np.exp2(-np.clip((entropy - low) * 32, 0, 1000)).sum(axis=0)
-        score = np.where(lettered, 1 / weight, 0.0)
-        return [self.names[b] if ok else UNKNOWN for b, ok in zip(best, lettered)], score, low
+        # the posterior odds that the entropies give a document of a nominal length, or of its own where that is less
+        odds = lambda bits: np.exp2(-np.clip((bits - low) * np.minimum(size, 32), -1000, 1000))
+        known = odds(entropy).sum(axis=0)
+        null = odds(math.log2(max(2, a.known + 1)))
+        score = np.where(lettered, 1 / (known + null), 0.0)
+        unknown = np.where(lettered, null / (known + null), 1.0)
+        return [self.names[b] if ok else UNKNOWN for b, ok in zip(best, lettered)], score, low, unknown
 
 
 def _model(samples: dict[str, str]) -> Model:
@@ -158,7 +211,7 @@ def _model(samples: dict[str, str]) -> Model:
 
 
 def predictor(samples: dict[str, str]):
-    """Column function from a text to (lang_pred, score, entropy)."""
+    """Column function from a text to (lang_pred, score, entropy, unknown)."""
 
     @F.pandas_udf(SCHEMA)
     def predict(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -173,53 +226,68 @@ def predictor(samples: dict[str, str]):
                 if t is not ...:
                     held.append(t)
                     chars += len(t or "")
-            cols = [sum((d[0] for d in done), []), np.concatenate([d[1] for d in done]), np.concatenate([d[2] for d in done])]
-            yield pd.DataFrame(dict(zip(("lang_pred", "score", "entropy"), cols)))
+            cols = [[x for d in done for x in d[0]], *(np.concatenate([d[k] for d in done]) for k in (1, 2, 3))]
+            yield pd.DataFrame(dict(zip(ADDED, cols)))
 
     return predict
 
 
-def learn(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, sample_chars: int = 160_000, max_languages: int = 64) -> dict[str, str]:
-    """A sample of text for each label, ``sample_chars`` characters at most in all."""
-    rows = labelled.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l"), F.length(text_col).alias("n")).where("l is not null and n > 0")
-    sizes = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "l").limit(max_languages).collect()}
-    if not sizes:
+def learn(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, sample_chars: int = 160_000, least: int = 2_000) -> dict[str, str]:
+    """A sample of text for each label, ``sample_chars`` characters at most in all, but ``least`` for each label."""
+    rows = labelled.select(named(id_col).alias("i"), named(text_col).alias("t"), named(lang_col).cast("string").alias("l"), F.length(named(text_col)).alias("n")).where("l is not null and n > 0")
+    # lengths by powers of two say how much windows of any size hold
+    sizes = rows.groupBy("l", F.floor(F.log2("n")).alias("p")).agg(F.count("*").alias("docs"), F.sum("n").alias("chars")).collect()
+    names = {r["l"] for r in sizes}
+    if not names:
         return {}
-    share = sample_chars // len(sizes)
-    small = {r["l"]: r["n"] for r in rows.where(F.col("n") <= share).groupBy("l").agg(F.sum("n").alias("n")).where(F.col("l").isin(*sizes)).collect()}
-    picked: dict[str, str] = {}
-    if not small:
-        return picked
-    # Documents that fill the share six times are expected, in the order of a hash of their id.
-    rate = F.create_map(*[F.lit(x) for lang, n in small.items() for x in (lang, min(1.0, 6 * share / n))])
-    order = F.xxhash64("i", F.lit("langid"))
-    near = rows.where((F.col("n") <= share) & F.col("l").isin(*small)).where(F.pmod(order, F.lit(1 << 40)) < F.element_at(rate, F.col("l")) * float(1 << 40))
+    share = max(least, sample_chars // len(names))
+    window = max(1, share // 8)
+    held = dict.fromkeys(names, 0)
+    for r in sizes:
+        held[r["l"]] += min(r["chars"], r["docs"] * window)
+    # Windows that fill the share six times are expected, in the order of a hash; equal texts count once.
+    rates = json.dumps({lang: min(1.0, 6 * share / n) for lang, n in held.items()})
+    rate = F.element_at(F.from_json(F.lit(rates), "map<string,double>"), F.col("l"))
+    order = F.pmod(F.xxhash64("i", "t", F.lit("langid")), F.lit(1 << 40))
+    near = rows.withColumn("o", order).where(F.col("o") < rate * float(1 << 40))
+    begin = F.pmod(F.xxhash64("i", "t", F.lit("place")), F.greatest(F.col("n") - F.lit(window), F.lit(0)) + 1).cast("int") + 1
+    part = near.select("l", "o", F.substring(F.col("t"), begin, F.lit(window)).alias("t")).groupBy("l", "o").agg(F.min("t").alias("t"))
+    picked: dict[str, list[str]] = {}
     size: dict[str, int] = {}
-    for r in near.select("l", "t", "n", order.alias("o")).orderBy(F.pmod("o", F.lit(1 << 40)), "t").collect():
-        if size.get(r["l"], 0) + r["n"] <= share:
-            size[r["l"]] = size.get(r["l"], 0) + r["n"]
-            picked[r["l"]] = picked.get(r["l"], "") + r["t"] + "\n"
-    return picked
+    for r in part.orderBy("o", "t").collect():
+        lang, text = r["l"], r["t"]
+        if size.get(lang, 0) + len(text) <= share:
+            size[lang] = size.get(lang, 0) + len(text)
+            picked.setdefault(lang, []).append(text)
+    return {lang: "".join(t + "\n" for t in texts) for lang, texts in picked.items()}
 
 
 def identify(docs: DataFrame, labelled: DataFrame, id_col: str, text_col: str, lang_col: str, **bounds) -> DataFrame:
-    """``docs`` with lang_pred, score (0 to 1) and entropy (bits a character) of the best language.
+    """``docs`` with lang_pred, score (0 to 1), entropy (bits a character) of the best language and unknown (0 to 1).
 
     Columns of these names that ``docs`` has are replaced.
     """
-    made = docs.withColumn("__p", predictor(learn(labelled, id_col, text_col, lang_col, **bounds))(F.col(text_col)))
-    return made.select(*[c for c in docs.columns if c not in ("lang_pred", "score", "entropy")], "__p.*")
+    (p,) = fresh(docs, "p")
+    found = predictor(learn(labelled, id_col, text_col, lang_col, **bounds))(named(text_col))
+    kept = [named(c) for c in docs.columns if c not in ADDED]
+    return docs.select(*kept, found.alias(p)).select(*kept, f"{p}.*")
 
 
-def drop_unknown(docs: DataFrame, labelled: DataFrame, id_col: str, text_col: str, lang_col: str, **bounds) -> DataFrame:
-    """The documents, with their own columns, that are in some language; those without a letter go.
+def with_language(docs: DataFrame, labelled: DataFrame, id_col: str, text_col: str, lang_col: str, most_unknown: float = 0.99, **bounds) -> DataFrame:
+    """The documents in a learnt language, with their own columns and the prediction as their ``lang_col``.
 
-    Without labels to learn from, all documents with a letter stay.
+    Documents without a letter go, and those for which the odds of the null
+    model are above ``most_unknown``. Without labels to learn from, all
+    documents with a letter stay as they are.
     """
     samples = learn(labelled, id_col, text_col, lang_col, **bounds)
     if not samples:
-        return docs.where(F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)))
-    return docs.where(predictor(samples)(F.col(text_col))["lang_pred"] != UNKNOWN)
+        return docs.where(F.coalesce(named(text_col).rlike(r"\p{L}"), F.lit(False)))
+    (p,) = fresh(docs, "p")
+    kind = docs.schema[lang_col].dataType
+    found = docs.select(*map(named, docs.columns), predictor(samples)(named(text_col)).alias(p))
+    kept = found.where((F.col(f"{p}.lang_pred") != UNKNOWN) & (F.col(f"{p}.unknown") <= most_unknown))
+    return kept.select(*[F.col(f"{p}.lang_pred").cast(kind).alias(c) if c == lang_col else named(c) for c in docs.columns])
 
 
 def in_fold(id_col: Column, folds: int, fold: int) -> Column:

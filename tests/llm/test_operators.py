@@ -78,27 +78,54 @@ def test_language_held_out(spark):
     assert len(held) > 40 and all(r["lang_pred"] == known[r["doc_id"]] for r in held)
     assert {r["lang_pred"] for r in out if r["doc_id"] in (900, 901, 902)} == {"und"}
     assert [r["lang_pred"] for r in out if r["doc_id"] is None] == ["aa"] and all(0 <= r["score"] <= 1 for r in out)
-    assert langid.drop_unknown(docs.unionByName(odd), docs, "doc_id", "text", "lang").count() == len(rows) + 1
-
-
-def test_language_parse_matches_plain_search():
-    sample, text = "the cat sat on the mat and the dog", "the mat sat on that dog zzz"
-    model = langid.Model({"x": sample})
-    lang, codes, known = model.languages[0], model.alphabet.codes(text).tolist(), model.alphabet.codes(sample).tolist()
-    grid = np.full((langid.SEGMENT, 1), model.alphabet.pad, np.int32)
-    grid[: len(codes), 0] = codes
-    strings = {tuple(known[i:j]) for i in range(len(known)) for j in range(i + 1, len(known) + 1)}
-    ended = at = 0
-    first = True
+    assert langid.with_language(docs.unionByName(odd), docs, "doc_id", "text", "lang").count() == len(rows) + 1
+
+
+def plain_phrases(sample, codes):
+    """Longest matches from left to right; a character that the sample lacks is a phrase."""
+    n = at = 0
+    known = "".join(map(chr, sample))
     while at < len(codes):
-        n = 1
-        while tuple(codes[at : at + n + 1]) in strings and at + n < len(codes):
-            n += 1
-        unseen = tuple(codes[at : at + 1]) not in strings
-        ended += (not first) or unseen
-        first = False
-        at += n
-    assert lang.phrases(grid)[0] == ended
+        m = 1
+        while at + m < len(codes) and "".join(map(chr, codes[at : at + m + 1])) in known:
+            m += 1
+        at += m
+        n += 1
+    return n
+
+
+def test_language_prediction_matches_a_plain_one():
+    rng = random.Random(3)
+    kinds = {"aa": "ba be bi bo bu".split(), "bb": "bra be kri bo kru".split(), "cc": "\u4e00 \u4e8c\u4e09 \u56db be".split()}
+    made = lambda k, n: " ".join("".join(rng.choice(kinds[k]) for _ in range(rng.randrange(1, 5))) for _ in range(n))
+    samples = {k: made(k, 300) for k in kinds} | {"dd": "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(900))}
+    model = langid.Model(samples)
+    texts = [made(k, n) for k in kinds for n in (1, 3, 60, 400)] + ["be" * 900, "zzz", "be \u9fa0 be", "1", "", None, "\u4e00" * 600, made("aa", 100) + made("bb", 100)]
+    got = model.predict(texts)
+    for t, lang, low in zip(texts, got[0], got[2]):
+        c = model.alphabet.codes(t or "").tolist()
+        if not any(c):
+            assert lang == "und"
+            continue
+        codes = {k: model.alphabet.codes(samples[k]).tolist() for k in samples}
+        bits = {k: plain_phrases(codes[k], c) * math.log2(len(codes[k])) / len(c) for k in samples}
+        assert bits[lang] == min(bits.values()) and math.isclose(low, bits[lang]), t[:20]
+
+
+def test_languages_are_learnt_whatever_their_number_and_length(spark):
+    rng = random.Random(5)
+    syllables = {f"l{n:02d}": [rng.choice("bcdfghjklmnpqrstvwxz") + rng.choice("aeiou") for _ in range(6)] for n in range(70)}
+    made = lambda k, n: " ".join("".join(rng.choice(syllables[k]) for _ in range(3)) for _ in range(n))
+    rows = [(i * 100 + j, made(k, 60), k) for i, k in enumerate(syllables) for j in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    out = langid.identify(docs, docs, "doc_id", "text", "lang").select("lang", "lang_pred").collect()
+    assert sum(r["lang"] == r["lang_pred"] for r in out) / len(out) > 0.95 and {r["lang_pred"] for r in out} == set(syllables)
+    long = spark.createDataFrame([(1, made("l00", 40_000), "l00"), (2, made("l01", 40_000), "l01"), (3, made("l00", 20), None)], docs.schema)
+    found = {r["doc_id"]: r["lang_pred"] for r in langid.identify(long, long, "doc_id", "text", "lang").collect()}
+    assert found == {1: "l00", 2: "l01", 3: "l00"}
+    foreign = spark.createDataFrame([(1, "\u4e2d\u6587" * 30, "x"), (2, made("l00", 20), "x"), (3, "12", "x")], docs.schema)
+    kept = langid.with_language(foreign, long, "doc_id", "text", "lang").collect()
+    assert [(r["doc_id"], r["lang"]) for r in kept] == [(2, "l00")]
 
 
 def test_language_without_labels(spark):
@@ -106,7 +133,7 @@ def test_language_without_labels(spark):
     assert [r["lang_pred"] for r in langid.identify(docs, docs, "doc_id", "text", "lang").collect()] == ["und"]
     assert langid.identify(docs.limit(0), docs, "doc_id", "text", "lang").count() == 0
     mixed = spark.createDataFrame([(1, "words", None), (2, None, None), (3, "12", None)], docs.schema)
-    assert [r["doc_id"] for r in langid.drop_unknown(mixed, mixed, "doc_id", "text", "lang").collect()] == [1]
+    assert [r["doc_id"] for r in langid.with_language(mixed, mixed, "doc_id", "text", "lang").collect()] == [1]
 
 
 # 2 Mixing
