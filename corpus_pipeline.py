@@ -15,8 +15,13 @@ from docstrata.llm.common import materialise, new_path, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in some language; those without a letter go."""
-    return langid.drop_unknown(docs, docs, "doc_id", "text", "lang")
+    """Documents in a language that the labelled ones teach, with the predicted one as ``lang``, which the mixture rakes by.
+
+    Null texts, texts without a letter and texts in none of the languages go;
+    null ids, repeated rows and other columns stay as they are. Without any
+    label all texts with a letter stay.
+    """
+    return langid.with_language(docs, docs, "doc_id", "text", "lang")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
