@@ -19,8 +19,9 @@ The sample is bounded by ``sample_chars`` characters over all languages, or
 hash. Of a text longer than an eighth of a language's share, a window at a
 place that follows from the hash is learnt from. Every label is learnt.
 
-Beside the languages there is a null model, in which each character costs as
-many bits as letters are known. ``unknown`` is its share of the odds; it tells
+Beside the languages there is a null model, in which each character costs
+``SLACK`` bits more than a letter drawn evenly from those known; the slack
+spares short texts with names, numbers or keys in them. ``unknown`` is its share of the odds; it tells
 texts in no learnt language, whose prediction means little.
 
 Letters beyond the ``MOST`` commonest of the samples share ``HASHED`` classes by
@@ -53,6 +54,7 @@ UNKNOWN = "und"
 SEGMENT = 256
 GAP = 0  # class of all that is no letter; runs of it count as one
 MOST, HASHED = 192, 63  # letters with a class of their own; classes of the other letters of the samples
+SLACK = 2.0
 ADDED = "lang_pred", "score", "entropy", "unknown"
 SCHEMA = "lang_pred string, score double, entropy double, unknown double"
 
@@ -199,7 +201,7 @@ class Model:
         # the posterior odds that the entropies give a document of a nominal length, or of its own where that is less
         odds = lambda bits: np.exp2(-np.clip((bits - low) * np.minimum(size, 32), -1000, 1000))
         known = odds(entropy).sum(axis=0)
-        null = odds(math.log2(max(2, a.known + 1)))
+        null = odds(math.log2(max(2, a.known + 1)) + SLACK)
         score = np.where(lettered, 1 / (known + null), 0.0)
         unknown = np.where(lettered, null / (known + null), 1.0)
         return [self.names[b] if ok else UNKNOWN for b, ok in zip(best, lettered)], score, low, unknown
