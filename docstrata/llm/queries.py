@@ -102,7 +102,11 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
     base = F.filter("spans", lambda s: s["kind"].isin(*pii.BASE))
-    return found.select("doc_id", *map(count, pii.BASE), F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+    scores = F.array_join(F.transform("spans", lambda s: s["score"].cast("decimal(3,2)").cast("string")), ",")
+    likely = F.size(F.filter("spans", lambda s: s["score"] >= pii.LIKELY)).cast("long")
+    return found.select(
+        "doc_id", *map(count, pii.BASE), F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"), scores.alias("scores"), likely.alias("n_likely")
+    )
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import defaultdict
 
@@ -690,4 +691,31 @@ def test_personal_data_digest(spark, tmp_path):
     out = {r["doc_id"]: r for r in queries.op10_personal_data(spark, str(tmp_path)).collect()}
     text = "email:10:16,ip:2:9,ip:17:24"
     assert out[1]["base_sha256"] == hashlib.sha256(text.encode()).hexdigest() and out[1]["spans"] == text and (out[1]["n_email"], out[1]["n_ip"]) == (1, 2)
-    assert out[2]["base_sha256"] == hashlib.sha256(b"").hexdigest() and out[2]["spans"] == ""
+    assert out[1]["scores"] == "0.90,0.60,0.60" and out[1]["n_likely"] == 3
+    assert out[2]["base_sha256"] == hashlib.sha256(b"").hexdigest() and out[2]["spans"] == "" and out[2]["n_likely"] == 0
+
+
+def test_scores_match_plain_context(spark):
+    rng = random.Random(13)
+    bits = ["mail", "Reply", "example", "server", "version", "1.2.3.4", "a@b.cd", "token =", "sha", "4111111111111111", "order", "0123456789abcdef" * 2, "f" * 32, "x" * 30, "IP", "card"]
+    rows = [(i, " ".join(rng.choice(bits) for _ in range(rng.randrange(0, 25)))) for i in range(150)]
+    out = {r["doc_id"]: r["spans"] for r in pii.find_personal_data(documents(spark, rows), "doc_id", "text").collect()}
+    for i, t in rows:
+        for kind, (must, p) in pii.PATTERNS.items():
+            found = [m.span() for m in re.finditer(p.replace(r"|\G)", ")").replace(r"(?:(?<", "(?:(?<"), t)]
+            edges = [0, *[x for s in found for x in s], len(t)]
+            for s in (s for s in out[i] if s["kind"] == kind):
+                k = found.index((s["start"], s["end"]))
+                near = (t[max(edges[2 * k], s["start"] - 40) : s["start"]] + " " + t[s["end"] : min(edges[2 * k + 3], s["end"] + 40)]).lower()
+                base, good, bad = pii.CONTEXTS[kind]
+                has = lambda w: bool(re.search(rf"(?<![a-z])(?:{w})(?![a-z])", near))
+                assert math.isclose(s["score"], min(1, base + 0.2 * has(good) - 0.2 * has(bad))) and s["text"] == t[s["start"] : s["end"]]
+    assert {s["kind"] for spans in out.values() for s in spans} >= {"email", "ip", "card", "secret"}
+
+
+def test_very_many_matches(spark):
+    rows = [(1, "a@b.cd " * 100_000), (2, "1.2.3.4 x " * 60_000)]
+    began = time.time()
+    out = {r["doc_id"]: r for r in pii.find_personal_data(documents(spark, rows), "doc_id", "text").select("doc_id", F.size("spans").alias("n"), F.element_at("spans", -1).alias("last")).collect()}
+    assert (out[1]["n"], out[1]["last"]["start"], out[2]["n"], out[2]["last"]["end"]) == (100_000, 699_993, 60_000, 599_997)
+    assert time.time() - began < 60
