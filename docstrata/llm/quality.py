@@ -10,8 +10,9 @@ Labels are learnt from at most ``max_rows`` rows, picked by a hash of the id.
 Defined results: a null text counts as empty, an empty one has zero statistics
 and a score like any other; labels other than 0 and 1 are not learnt; with no
 labels, or one class only, every score is the share of ones (0.5 without any);
-repeated rows are repeated, a repeated label is learnt as often; labels,
-language, source and id never enter a score.
+repeated rows are repeated; of equal labels of one id one is learnt, on that of
+the id's texts whose hash is smallest; labels, language, source and id never
+enter a score; a column named as the score is replaced.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import named
+
 NAMES = (
     "words", "word_length", "distinct", "repeated_next", "commonest", "upper", "digits", "marks", "shouts", "bars", "stops", "commas",
     "wide", "lines", "line_length", "line_copies", "short_words", "long_words", "marked_ends", "packed",
@@ -135,15 +138,16 @@ def scorer(forest: Forest):
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_id: str, label_col: str, max_rows: int = 20_000) -> Forest:
     """Fit on the documents that have a label; at most ``max_rows`` labels, in the order of a hash of their id."""
-    order = F.xxhash64(F.col(label_id), F.lit("quality"))
-    known = labels.where(F.col(label_id).isNotNull() & F.col(label_col).isin(0, 1)).select(F.col(label_id).alias("_i"), F.col(label_col).cast("int").alias("_y"), order.alias("_o"))
-    picked = known.orderBy("_o", "_i").limit(max_rows).select("_i", "_y")
-    rows = docs.select(F.col(id_col).alias("_d"), F.col(text_col).alias("_t")).join(F.broadcast(picked), F.col("_d") == F.col("_i"))
-    found = rows.select("_d", "_y", statistics_udf()("_t").alias("_x")).limit(4 * max_rows).collect()  # a label can meet repeated documents
-    found.sort(key=lambda r: (r["_d"], r["_y"], r["_x"]))
-    return fit(np.array([r["_x"] for r in found], float).reshape(-1, len(NAMES)), np.array([r["_y"] for r in found], float))
+    order = F.xxhash64(named(label_id), F.lit("quality"))
+    usable = labels.where(named(label_id).isNotNull() & named(label_col).isin(0, 1))
+    known = usable.select(named(label_id).alias("i"), named(label_col).cast("int").alias("y"), order.alias("o")).distinct()
+    picked = known.orderBy("o", "i", "y").limit(max_rows).select("i", "y")
+    rows = docs.select(named(id_col).alias("d"), named(text_col).alias("t")).join(F.broadcast(picked), F.col("d") == F.col("i"))
+    measured = rows.select("i", "y", F.struct(F.xxhash64("t").alias("h"), statistics_udf()("t").alias("x")).alias("s"))
+    found = measured.groupBy("i", "y").agg(F.min("s")["x"].alias("x")).orderBy("i", "y").collect()  # no more rows than picked labels
+    return fit(np.array([r["x"] for r in found], float).reshape(-1, len(NAMES)), np.array([r["y"] for r in found], float))
 
 
 def score_quality(docs: DataFrame, forest: Forest, text_col: str, into: str = "score") -> DataFrame:
     """``docs`` with the probability of label 1."""
-    return docs.withColumn(into, scorer(forest)(F.col(text_col)))
+    return docs.withColumn(into, scorer(forest)(named(text_col)))
