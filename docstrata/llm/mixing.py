@@ -1,37 +1,42 @@
 """Mixing sources to target weights by iterative proportional fitting.
 
 Tokens are summed by cell, a combination of source, language and topic. The
-cell weights are raked: for one dimension after another they are scaled so that
-its sums meet the target shares, until the largest error is small. Shares of
-values that hold no tokens are dealt to the others in proportion. A document is
-kept with a probability proportional to its cell's raked weight over its tokens,
-scaled so that the expected tokens are ``keep_share`` of all; probabilities
-above one are set to one and the rest scaled up, until all hold. Whether a
-document is kept follows from a hash of its id, so a run can be repeated.
+cells' tokens are raked: for one dimension after another they are scaled so that
+its sums meet the target shares, until the largest step is within a tolerance; a
+warning tells of targets that cannot be met together. Shares of values that hold
+no tokens are dealt to the others in proportion. A cell's factor is the product
+of those of its values. A document is kept with a probability proportional to
+its factor, scaled so that the expected tokens are ``keep_share`` of all;
+probabilities above one are set to one and the rest scaled up, until all hold.
+Whether a document is kept follows from a hash of its id, so a run can be
+repeated.
 
 Only sums leave the documents' partitions. The rounds run over the table of
 cells; the driver holds the factors of the values that have a target, which are
-as many as the caller gave.
+as many as the caller gave, and documents look them up where they are, without a
+join on cells, the largest of which may hold a third of all rows.
 
 Defined results: a null in a dimension is a value of its own, ``(none)``; a value
 without a target has target zero and its documents go, or, with ``rest``, all
 values of the dimension without a target keep their observed share of the tokens
 together and those with one divide what is left; targets that are empty
 for a dimension leave that dimension as it is; documents without tokens are kept
-if their cell's weight is above zero; a null id has a hash of its own; repeated
+with the probability of their cell; a null id has a hash of its own; repeated
 rows share their fate; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import json
+import warnings
 from collections.abc import Mapping
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import drop_table, materialise, named
 
 DIMENSIONS = ("source", "lang", "topic")
 NONE = "(none)"
@@ -72,79 +77,95 @@ def _looked_up(rows: DataFrame, values: Mapping[str, Mapping[str, float]]) -> Da
     return out
 
 
-def rake(cells: DataFrame, targets: Mapping[str, Mapping[str, float]], rounds: int = 12, tolerance: float = 1e-9, rest: bool = False) -> DataFrame:
-    """``cells`` with ``weight``, the raked tokens, whose sums meet the target shares.
+@dataclass
+class Factors:
+    """By dimension: a factor for each value with a target, one for all others; and the largest step of the last round."""
 
-    A cell's weight is its tokens times a factor for each of its values, so all
-    that a step has to learn is the sums for the values that have a target, and
-    for all others together.
+    values: dict[str, dict[str, float]]
+    others: dict[str, float]
+    error: float = 0.0
+
+    def of(self, rows: DataFrame, into: str) -> DataFrame:
+        """Add the product of the factors of a row's values."""
+        found = _looked_up(rows, self.values)
+        product = reduce(lambda w, d: w * F.coalesce(F.col(f"_f_{d}"), F.lit(self.others[d])), self.values, F.lit(1.0))
+        return found.withColumn(into, product).drop(*[f"_f_{d}" for d in self.values])
+
+
+def rake(cells: DataFrame, targets: Mapping[str, Mapping[str, float]], rounds: int = 100, tolerance: float = 1e-9, rest: bool = False) -> Factors:
+    """The factors that make the cells' tokens meet the target shares.
+
+    All that a step has to learn is the sums for the values that have a target,
+    and for all others together.
     """
-    spark = cells.sparkSession
     live = {d: dict(t) for d, t in targets.items() if t}
-    factors = {d: dict.fromkeys(t, 1.0) for d, t in live.items()}
-    known = materialise(cells, "cells")
-    others = dict.fromkeys(live, 1.0)  # factors of the values without a target; one before a dimension's first step
-    kept = dict.fromkeys(live, 0.0)  # and the shares that they are to have
+    out = Factors({d: dict.fromkeys(t, 1.0) for d, t in live.items()}, dict.fromkeys(live, 1.0))
+    kept = dict.fromkeys(live, 0.0)  # the shares that the values without a target are to have
     if rest and live:
         unlisted = [F.sum(F.when(F.col(f"_f_{d}").isNull(), F.col("tokens")).otherwise(0.0)).alias(f"_s_{d}") for d in live]
-        met = _looked_up(known, factors).agg(F.sum("tokens").alias("whole"), *unlisted).first()
+        met = _looked_up(cells, out.values).agg(F.sum("tokens").alias("whole"), *unlisted).first()
         kept = {d: met[f"_s_{d}"] / met["whole"] if met["whole"] else 0.0 for d in live}
-
-    def weight() -> Column:
-        return reduce(lambda w, d: w * F.coalesce(F.col(f"_f_{d}"), F.lit(others[d])), live, F.col("tokens"))
-
     for _ in range(rounds):
-        worst = 0.0
+        out.error = 0.0
         for d, shares in live.items():
-            now = _looked_up(known, factors)
             value = F.when(F.col(f"_f_{d}").isNotNull(), F.col(d))  # all others count as one
-            met = now.groupBy(value.alias("v")).agg(F.sum(weight()).alias("w")).collect()
+            now = _looked_up(out.of(cells, "factor"), {d: shares})
+            met = now.groupBy(value.alias("v")).agg(F.sum(F.col("tokens") * F.col("factor")).alias("w")).collect()
             whole = sum(r["w"] or 0.0 for r in met)
             sums = {r["v"]: r["w"] for r in met if r["v"] is not None and r["w"] > 0}
             total = sum(max(0.0, shares[v]) for v in sums)
             left = sum(r["w"] for r in met if r["v"] is None and r["w"])
             share = (kept[d] if total > 0 else 1.0) if rest and left > 0 else 0.0
-            step = share * whole / left if left > 0 else 0.0
-            worst = max(worst, abs(step - 1) if step > 0 else 0.0)
-            others[d] *= step
-            for v in shares:
-                step = shares[v] / total * (1 - share) * whole / sums[v] if v in sums and total > 0 else 0.0
-                worst = max(worst, abs(step - 1) if v in sums and step > 0 else 0.0)
-                factors[d][v] *= step
-        if worst <= tolerance:
+            steps = {None: share * whole / left if left > 0 else 0.0}
+            steps |= {v: shares[v] / total * (1 - share) * whole / sums[v] if v in sums and total > 0 else 0.0 for v in shares}
+            out.error = max([out.error, *(abs(x - 1) for x in steps.values() if x > 0)])
+            out.others[d] *= steps.pop(None)
+            for v, x in steps.items():
+                out.values[d][v] *= x
+        if out.error <= tolerance:
             break
-    return _looked_up(known, factors).withColumn("weight", weight()).drop(*[f"_f_{d}" for d in live])
+    if out.error > tolerance:
+        warnings.warn(f"the targets were not met after {rounds} rounds: the last one still changed a sum by {out.error:.2g} of itself", stacklevel=2)
+    return out
 
 
-def probabilities(cells: DataFrame, keep_share: float, rounds: int = 50) -> DataFrame:
-    """``cells`` with ``probability``; the expected tokens are ``keep_share`` of all, as far as the cells allow."""
-    ratio = F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(F.when(F.col("weight") > 0, 1.0).otherwise(0.0))
-    rated = materialise(cells.withColumn("ratio", ratio), "rated")
-    goal = (rated.agg(F.sum("tokens")).first()[0] or 0.0) * keep_share
+def scale_of(cells: DataFrame, keep_share: float, rounds: int = 50) -> float:
+    """What factors are multiplied by to get probabilities: the expected tokens are ``keep_share`` of all, as far as the cells allow."""
+    goal = (cells.agg(F.sum("tokens")).first()[0] or 0.0) * keep_share
     scale = 0.0
     for _ in range(rounds):
-        full = F.col("ratio") * scale >= 1
-        r = rated.agg(F.sum(F.when(full, F.col("tokens")).otherwise(0.0)).alias("t"), F.sum(F.when(full, 0.0).otherwise(F.col("ratio") * F.col("tokens"))).alias("w")).first()
+        full = F.col("factor") * scale >= 1
+        r = cells.agg(F.sum(F.when(full, F.col("tokens")).otherwise(0.0)).alias("t"), F.sum(F.when(full, 0.0).otherwise(F.col("factor") * F.col("tokens"))).alias("w")).first()
         if not r["w"] or goal <= r["t"]:
             break
         nxt = (goal - r["t"]) / r["w"]
         if nxt <= scale * (1 + 1e-12):
             break
         scale = nxt
-    return rated.withColumn("probability", F.least(F.lit(1.0), F.col("ratio") * scale)).drop("ratio")
+    return scale
 
 
 def mix(
-    docs: DataFrame, id_col: str, text_col: str, source_col: str, lang_col: str, topic: Column, targets: Mapping[str, Mapping[str, float]], keep_share: float = 0.5, rest: bool = False
+    docs: DataFrame, id_col: str, text_col: str, source_col: str, lang_col: str, topic: Column, targets: Mapping[str, Mapping[str, float]], keep_share: float = 0.5,
+    rest: bool = False, carry: bool = True,
 ) -> DataFrame:
-    """Every document, as a struct ``row``, with its cell, tokens, ``weight``, ``probability`` and ``kept``."""
-    named = lambda c: F.coalesce(c.cast("string"), F.lit(NONE))
-    row = F.struct(*[F.col(c) for c in docs.columns]).alias("row")
+    """Every document with its cell, ``tokens``, ``factor``, ``probability`` and ``kept``.
+
+    With ``carry`` there is a struct ``row`` of the document's own columns, and
+    the texts are read twice, for the sums and for the result; without it
+    they are read once.
+    """
+    value = lambda c: F.coalesce(c.cast("string"), F.lit(NONE))
+    row = [F.struct(*map(named, docs.columns)).alias("row")] if carry else []
     rows = docs.select(
-        row, F.col(id_col).alias("doc_id"), named(F.col(source_col)).alias("source"), named(F.col(lang_col)).alias("lang"), named(topic).alias("topic"),
-        tokens_in(F.col(text_col)).alias("tokens"),
+        *row, named(id_col).alias("doc_id"), value(named(source_col)).alias("source"), value(named(lang_col)).alias("lang"), value(topic).alias("topic"),
+        tokens_in(named(text_col)).alias("tokens"),
     )
-    fitted = probabilities(rake(cells_of(rows), targets, rest=rest), keep_share)
-    keys = fitted.select(*[F.col(d).alias(f"_{d}") for d in DIMENSIONS], "weight", "probability")
-    out = rows.join(keys, [F.col(d) == F.col(f"_{d}") for d in DIMENSIONS]).drop(*[f"_{d}" for d in DIMENSIONS])
+    if not carry:
+        rows = materialise(rows, "rows")
+    cells = materialise(cells_of(rows), "cells")
+    factors = rake(cells, targets, rest=rest)
+    scale = scale_of(factors.of(cells, "factor"), keep_share)
+    drop_table(cells)
+    out = factors.of(rows, "factor").withColumn("probability", F.least(F.lit(1.0), F.col("factor") * scale))
     return out.withColumn("kept", unit_hash(F.col("doc_id")) < F.col("probability"))

@@ -45,7 +45,7 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
     topic = mixing.rules_topic(F.coalesce("text", F.lit("")), TOPICS, OTHER_TOPIC)
-    mixed = mixing.mix(docs, "doc_id", "text", "source", "lang", topic, TARGETS, KEEP_SHARE)
+    mixed = mixing.mix(docs, "doc_id", "text", "source", "lang", topic, TARGETS, KEEP_SHARE, rest=True, carry=False)
     return mixed.select("doc_id", "source", "lang", "topic", "tokens", F.round("probability", 4).alias("probability"), "kept")
 
 
@@ -114,7 +114,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in own}
 
 
-def _mix_sql(rounds: int = 12, scales: int = 8) -> str:
+def _mix_sql(rounds: int = 25, scales: int = 8) -> str:
     """Raking unrolled, a table a step."""
     topic = "CASE " + " ".join(f"WHEN regexp_matches(coalesce(text, ''), '{p}') THEN '{t}'" for t, p in TOPICS.items()) + f" ELSE '{OTHER_TOPIC}' END"
     unit = "('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0"
@@ -123,28 +123,31 @@ def _mix_sql(rounds: int = 12, scales: int = 8) -> str:
         r"length(regexp_replace(trim(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')), '[^ ]+', 'x', 'g')) AS marks, "
         f"{unit} AS u, coalesce(text, '') AS text FROM documents)",
         "r AS MATERIALIZED (SELECT doc_id, source, lang, topic, u, ((marks + 1) // 2)::BIGINT AS tokens FROM d)",
-        "c0 AS MATERIALIZED (SELECT source, lang, topic, sum(tokens)::DOUBLE AS tokens, sum(tokens)::DOUBLE AS weight FROM r GROUP BY ALL)",
+        "c0 AS MATERIALIZED (SELECT source, lang, topic, sum(tokens)::DOUBLE AS tokens, 1.0::DOUBLE AS f FROM r GROUP BY ALL)",
         *[f"t_{d}(v, share) AS (VALUES " + ", ".join(f"('{k}', {v}::DOUBLE)" for k, v in t.items()) + ")" for d, t in TARGETS.items()],
+        *[f"rest_{d} AS MATERIALIZED (SELECT sum(CASE WHEN t.v IS NULL THEN tokens ELSE 0 END) / sum(tokens) AS kept FROM c0 c LEFT JOIN t_{d} t ON c.{d} = t.v)" for d in TARGETS],
     ]
     at = 0
     for _ in range(rounds):
         for d in mixing.DIMENSIONS:
+            parts.append(f"s{at} AS MATERIALIZED (SELECT t.v AS v, any_value(t.share) AS share, sum(c.tokens * c.f) AS w FROM c{at} c LEFT JOIN t_{d} t ON c.{d} = t.v GROUP BY t.v)")
             parts.append(
-                f"s{at} AS MATERIALIZED (SELECT v, w, CASE WHEN w > 0 THEN share ELSE 0 END AS share FROM (SELECT c.{d} AS v, sum(weight) AS w, coalesce(any_value(t.share), 0) AS share FROM c{at} c LEFT JOIN t_{d} t ON c.{d} = t.v GROUP BY c.{d}))"
+                f"a{at} AS MATERIALIZED (SELECT *, CASE WHEN rest > 0 THEN CASE WHEN total > 0 THEN kept ELSE 1.0 END ELSE 0.0 END AS sh FROM (SELECT sum(w) AS whole, "
+                f"sum(CASE WHEN v IS NOT NULL AND w > 0 THEN share ELSE 0 END) AS total, sum(CASE WHEN v IS NULL THEN w ELSE 0 END) AS rest FROM s{at}) CROSS JOIN rest_{d})"
             )
             parts.append(
-                f"c{at + 1} AS MATERIALIZED (SELECT c.source, c.lang, c.topic, c.tokens, c.weight * CASE WHEN s.w > 0 AND a.sh > 0 THEN s.share / a.sh * a.w / s.w ELSE 0 END AS weight "
-                f"FROM c{at} c JOIN s{at} s ON c.{d} = s.v CROSS JOIN (SELECT sum(w) AS w, sum(share) AS sh FROM s{at}) a)"
+                f"c{at + 1} AS MATERIALIZED (SELECT c.source, c.lang, c.topic, c.tokens, c.f * CASE WHEN s.v IS NULL THEN CASE WHEN rest > 0 THEN sh * whole / rest ELSE 0 END "
+                f"WHEN s.w > 0 AND total > 0 THEN s.share / total * (1 - sh) * whole / s.w ELSE 0 END AS f "
+                f"FROM c{at} c LEFT JOIN t_{d} t ON c.{d} = t.v JOIN s{at} s ON s.v IS NOT DISTINCT FROM t.v CROSS JOIN a{at})"
             )
             at += 1
-    parts.append(f"q AS MATERIALIZED (SELECT *, CASE WHEN tokens > 0 THEN weight / tokens WHEN weight > 0 THEN 1.0 ELSE 0.0 END AS ratio FROM c{at})")
     parts.append("k0 AS MATERIALIZED (SELECT 0.0::DOUBLE AS k)")
     for n in range(scales):
         parts.append(
             f"k{n + 1} AS MATERIALIZED (SELECT CASE WHEN w > 0 AND goal > t THEN greatest(k, (goal - t) / w) ELSE k END AS k FROM (SELECT any_value(k) AS k, sum(tokens) * {KEEP_SHARE} AS goal, "
-            f"sum(CASE WHEN ratio * k >= 1 THEN tokens ELSE 0 END) AS t, sum(CASE WHEN ratio * k >= 1 THEN 0 ELSE ratio * tokens END) AS w FROM q CROSS JOIN k{n}))"
+            f"sum(CASE WHEN f * k >= 1 THEN tokens ELSE 0 END) AS t, sum(CASE WHEN f * k >= 1 THEN 0 ELSE f * tokens END) AS w FROM c{at} CROSS JOIN k{n}))"
         )
-    parts.append(f"p AS (SELECT source, lang, topic, least(1.0, ratio * k) AS probability FROM q CROSS JOIN k{scales})")
+    parts.append(f"p AS (SELECT source, lang, topic, least(1.0, f * k) AS probability FROM c{at} CROSS JOIN k{scales})")
     return "WITH " + ",\n".join(parts) + "\nSELECT doc_id, source, lang, topic, tokens, round(probability, 4) AS probability, u < probability AS kept FROM r JOIN p USING (source, lang, topic)"
 
 

@@ -145,7 +145,7 @@ def test_mixing_meets_targets(spark):
     rows = [(i, prose(rng, rng.randrange(1, 30)), rng.choice(["a", "a", "a", "b", None]), rng.choice("xy")) for i in range(3000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
     targets = {"source": {"a": 0.5, "b": 0.3, "(none)": 0.2}, "lang": {"x": 0.7, "y": 0.3}, "topic": {}}
-    out = mixing.mix(docs, "doc_id", "text", "source", "lang", F.lit("t"), targets, 0.4).toPandas()
+    out = mixing.mix(docs, "doc_id", "text", "source", "lang", F.lit("t"), targets, 0.4, carry=False).toPandas()
     assert len(out) == len(rows)
     out["w"] = out["tokens"] * out["probability"]
     share = lambda c: (out.groupby(c)["w"].sum() / out["w"].sum()).to_dict()
@@ -161,6 +161,13 @@ def test_mixing_full_cells_and_odd_rows(spark):
     assert mixing.mix(docs.limit(0), "doc_id", "text", "source", "lang", F.lit("t"), queries.TARGETS, 0.5).count() == 0
 
 
+def test_mixing_tells_of_targets_that_cannot_be_met(spark):
+    docs = spark.createDataFrame([(1, "w " * 9, "a", "x"), (2, "w " * 9, "b", "y")], "doc_id long, `text.t` string, source string, lang string")
+    targets = {"source": {"a": 0.5, "b": 0.5}, "lang": {"x": 0.9, "y": 0.1}, "topic": {}}
+    with pytest.warns(UserWarning, match="not met"):
+        assert mixing.mix(docs, "doc_id", "text.t", "source", "lang", F.lit("t"), targets, 0.5, carry=False).count() == 2
+
+
 def test_mixing_keeps_the_rest(spark):
     rng = random.Random(31)
     rows = [(i, prose(rng, 20), rng.choice(["a", "a", "a", "b", "new", None]), rng.choice(["x", "x", "y", None])) for i in range(3000)]
