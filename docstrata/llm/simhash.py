@@ -12,11 +12,12 @@ there. Trees emit a spanning forest of each shard, never all its pairs.
 ``near_duplicates`` is meant for texts that share only most of their shingles.
 It takes longer signatures of the distinct shingles, whose bands deal the texts
 into shards. In a shard's BK-tree, texts whose signatures are near enough are
-candidates, and those whose sets of shingles are as similar as wanted, counted
-exactly, are linked. Only texts of equal sets are taken as one. A second way finds what the signatures miss: two sets that
-are similar enough share some shingles among the first of each in any order that all
-sets keep (prefix filtering), so texts of different components that do are
-compared exactly too. The order puts shingles that are common in a sample last.
+candidates, and those whose sets of shingles, compared as 64-bit hashes, are as
+similar as wanted are linked. Only texts of equal sets are taken as one. A second
+way finds what the signatures miss: two sets that are similar enough share some
+shingles among the first of each in any order that all sets keep (prefix
+filtering), so texts of different components that do are compared too. The order
+puts shingles that are common in a sample last.
 
 Defined results: a null text counts as empty; a text without words has
 fingerprint zero and is linked like any other; repeated rows are repeated in
@@ -27,7 +28,6 @@ are null; an empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import math
-import zlib
 from collections.abc import Callable, Iterator
 from itertools import combinations
 
@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, drop_table, held, materialise
+from .common import connected_components, drop_table, fresh, held, materialise, named
 
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))  # (first bit, bits)
 SEED = 42
@@ -63,9 +63,9 @@ def shingle_hashes(text: str | None, words: int) -> np.ndarray:
 
 
 def mixed_shingles(text: str | None, words: int) -> np.ndarray:
-    """A 64-bit hash of each run of words, made of the words' CRC-32; cheaper than XXH64 of the run."""
+    """A 64-bit hash of each run of words, made of the words' hashes; cheaper than XXH64 of the run."""
     found = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    h = np.fromiter(map(zlib.crc32, found), np.uint64, len(found))
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, found), np.uint64, len(found))
     n = min(words, len(found))
     out = np.zeros(len(found) - n + 1 if n else 0, np.uint64)
     for k in range(n):
@@ -164,7 +164,7 @@ def common_shingles(docs: DataFrame, text_col: str, words: int, chars: int = 10_
 
     They only make the search for candidates cheaper: any order finds the same pairs.
     """
-    t = F.coalesce(F.col(text_col), F.lit(""))
+    t = F.coalesce(named(text_col), F.lit(""))
     whole = docs.agg(F.sum(F.length(t))).first()[0] or 0
     rate = min(1.0, chars / max(1, whole))
     texts = docs.select(t.alias("t")).where(F.pmod(F.xxhash64("t", F.lit("common")), F.lit(1 << 40)) < rate * float(1 << 40)).dropDuplicates(["t"])
@@ -274,8 +274,8 @@ def _tree_links(radius: int):
 
 
 def shingle_set(text: str | None, words: int) -> bytes:
-    """Sorted 32-bit hashes of the distinct runs of words."""
-    return np.unique((mixed_shingles(text, words) >> np.uint64(32)).astype(np.uint32)).tobytes()
+    """Sorted 64-bit hashes of the distinct runs of words."""
+    return np.unique(mixed_shingles(text, words)).tobytes()
 
 
 def similar(a: np.ndarray, b: np.ndarray, least: float) -> bool:
@@ -292,7 +292,7 @@ def _verified_links(radius: int, least: float):
         for key, ids, sigs, sets in _whole_groups(batches):
             pairs = []
             for i, j in _runs(key):
-                own, part = ids[i:j].tolist(), [np.frombuffer(x, np.uint32) for x in sets[i:j]]
+                own, part = ids[i:j].tolist(), [np.frombuffer(x, np.uint64) for x in sets[i:j]]
                 found = bk_links([int.from_bytes(x, "little") for x in sigs[i:j]], radius, lambda x, y, p=part: similar(p[x], p[y], least))
                 pairs += [(own[x], own[y]) for x, y in found]
             if pairs:
@@ -312,7 +312,7 @@ def fingerprint_components(docs: DataFrame, id_col: str, text_col: str, words: i
     """
     if not 0 <= radius <= 3:
         raise ValueError("the blocks used here find pairs of at most 3 differing bits")
-    known = materialise(docs.select(F.col(id_col).alias("doc_id"), fingerprint_udf(words)(F.col(text_col)).alias("fp")), "fingerprints")
+    known = materialise(docs.select(named(id_col).alias("doc_id"), fingerprint_udf(words)(named(text_col)).alias("fp")), "fingerprints")
     classes = materialise(known.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
     masks = [((1 << BLOCKS[a][1]) - 1 << BLOCKS[a][0]) | ((1 << BLOCKS[b][1]) - 1 << BLOCKS[b][0]) for a, b in combinations(range(len(BLOCKS)), 2)]
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
@@ -433,7 +433,7 @@ def _similar_pairs(least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b, x, y = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-            ok = np.array([similar(np.frombuffer(p, np.uint32), np.frombuffer(q, np.uint32), least) for p, q in zip(x, y)], bool)
+            ok = np.array([similar(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64), least) for p, q in zip(x, y)], bool)
             yield _links(np.stack((a[ok], b[ok]), axis=1))
 
     return run
@@ -441,7 +441,7 @@ def _similar_pairs(least: float):
 
 def _sets(docs: DataFrame, id_col: str, text_col: str, words: int, wanted: DataFrame) -> DataFrame:
     """(sid, set) of the picked texts of ``wanted``, read again."""
-    rows = docs.select(F.col(id_col).alias("_i"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_h"), F.col(text_col).alias("_t"))
+    rows = docs.select(named(id_col).alias("_i"), F.xxhash64(F.coalesce(named(text_col), F.lit(""))).alias("_h"), named(text_col).alias("_t"))
     texts = rows.join(wanted.select("sid", "picked.*"), F.col("_i").eqNullSafe(F.col("doc_id")) & (F.col("_h") == F.col("text_hash")))
     return materialise(texts.select("sid", set_udf(words)(F.col("_t")).alias("set")).dropDuplicates(["sid"]), "sets")
 
@@ -466,7 +466,7 @@ def _missed_links(docs: DataFrame, id_col: str, text_col: str, words: int, simil
 
 
 def near_duplicates(
-    docs: DataFrame, id_col: str, text_col: str, words: int = 5, similarity: float = 0.8, bits: int = 1024, band_bits: int = 16, slack: float = 3.0
+    docs: DataFrame, id_col: str, text_col: str, words: int = 5, similarity: float = 0.8, bits: int = 512, band_bits: int = 16, slack: float = 3.0
 ) -> DataFrame:
     """(doc_id, text_hash, component, component_id, copies) of every distinct (id, text).
 
@@ -483,9 +483,9 @@ def near_duplicates(
     radius = round(expect + slack * math.sqrt(expect * (1 - expect / bits)))
     share = expect / bits
     limit = math.ceil(64 * share + slack * math.sqrt(64 * share * (1 - share)))
-    text_hash = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    described = described_udf(words, bits, similarity, *common_shingles(docs, text_col, words))(F.col(text_col))
-    rows = docs.select(F.col(id_col).alias("doc_id"), text_hash.alias("text_hash"), described.alias("d"))
+    text_hash = F.xxhash64(F.coalesce(named(text_col), F.lit("")))
+    described = described_udf(words, bits, similarity, *common_shingles(docs, text_col, words))(named(text_col))
+    rows = docs.select(named(id_col).alias("doc_id"), text_hash.alias("text_hash"), described.alias("d"))
     known = materialise(rows.select("doc_id", "text_hash", "d.*"), "signatures")
     picked = F.min(F.struct("doc_id", "text_hash")).alias("picked")
     # a class is a set of shingles; all that its texts have in common follows from it
@@ -521,8 +521,10 @@ def drop_near_duplicates(docs: DataFrame, id_col: str, text_col: str, **options)
     found = near_duplicates(docs, id_col, text_col, **options)
     best = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     kept = materialise(best.groupBy("component").agg(F.min(F.struct("text_hash", "copies", "doc_id")).alias("k")).select("k.*"), "kept")
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    out = docs.join(kept.select(F.col("doc_id").alias("_i"), F.col("text_hash").alias("_h")), F.col(id_col).eqNullSafe(F.col("_i")) & (F.xxhash64(text) == F.col("_h")), "left_semi")
+    i, h = fresh(docs, "i", "h")
+    hashed = F.xxhash64(F.coalesce(named(text_col), F.lit("")))
+    keys = kept.select(F.col("doc_id").alias(i), F.col("text_hash").alias(h))
+    out = docs.join(keys, named(id_col).eqNullSafe(F.col(i)) & (hashed == F.col(h)), "left_semi")
     if kept.where("copies > 1").limit(1).count():
-        out = out.withColumn("_h", F.xxhash64(text)).dropDuplicates([id_col, "_h"]).drop("_h")
+        out = out.withColumn(h, hashed).dropDuplicates([id_col, h]).drop(h)
     return out
