@@ -9,9 +9,11 @@ joined with those of the benchmark, and each hit is extended: the windows of
 the document around it are looked up among the benchmark's windows and compared
 word by word.
 
-The benchmark is dealt into blocks of at most ``block_words`` words; only one
-block at a time is sent to the tasks, so what is broadcast is bounded whatever
-the benchmark's size, and every block meets every document.
+A benchmark of at most ``most_words`` words, as counted, goes to every task, and
+both lookups are made there, without a shuffle. A larger one stays distributed:
+kept hashes are joined by shuffle, then the windows around the hits are, and
+only documents with a hit have their texts read again. Either way the documents
+are passed over a fixed number of times, whatever the benchmark's size.
 
 Items shorter than a window are one window of their own length; all grams of
 that length are compared with them, as winnowing cannot vouch for them.
@@ -19,7 +21,8 @@ that length are compared with them, as winnowing cannot vouch for them.
 Defined results: a null text has no words; a document without words is not
 contaminated; an item without words has no window; repeated items count once by
 id, a null id as the empty string; repeated documents give repeated rows; an
-empty benchmark leaves all documents clean; other columns are ignored.
+empty benchmark leaves all documents clean; other columns are ignored, or kept
+where whole documents are returned.
 """
 
 from __future__ import annotations
@@ -30,11 +33,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
-from .common import held, materialise
+from .common import drop_table, fresh, held, materialise, named
 
 WINDOW, GRAM = 10, 5
 #: A-Z to a-z, every other ASCII character but digits and letters to a space.
@@ -154,78 +158,162 @@ def _among(values: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return keys[at] == values
 
 
-#: Columns added to the documents: number of words, positions of hit words, items found.
-ADDED = "__words", "__hits", "__items"
+FOUND = "n_words", "hits", "items"  # number of words, positions of hit words, items found
 
 
-def _searcher(items: list[tuple[str, str | None]], window: int, key: str, text_at: int, first: bool):
-    """Add the three columns, or merge into those of the blocks before."""
+def _searcher(items: list[tuple[str, str | None]], window: int, key: str, text_at: int, added: list[str]):
+    """Add the three columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = held(("benchmark", key), lambda: Block(items, window))
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                rows = block.search(part.column(text_at).to_pylist())
-                hits, found = [r[1] for r in rows], [r[2] for r in rows]
-                if not first:
-                    old_hits, old_found = part.column(ADDED[1]).to_pylist(), part.column(ADDED[2]).to_pylist()
-                    hits = [sorted({*x, *y}) if y else x for x, y in zip(old_hits, hits)]
-                    found = [sorted({*x, *y}) if y else x for x, y in zip(old_found, found)]
-                kept = part.columns if first else part.columns[:-3]
-                names = part.schema.names[: len(kept)]
-                added = [pa.array([r[0] for r in rows], pa.int64()), pa.array(hits, pa.list_(pa.int32())), pa.array(found, pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays([*kept, *added], names=[*names, *ADDED])
+                n, hits, found = zip(*block.search(part.column(text_at).to_pylist()))
+                cols = [pa.array(n, pa.int64()), pa.array(hits, pa.list_(pa.int32())), pa.array(found, pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays([*part.columns, *cols], names=[*part.schema.names, *added])
 
     return run
 
 
-def blocks_of(benchmark: DataFrame, item_col: str, text_col: str, block_words: int) -> Iterator[list[tuple[str, str | None]]]:
-    """Blocks of at most ``block_words`` words (one item may be longer), one at a time on the driver."""
-    rows = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("i"), F.col(text_col).alias("t")).where(F.length("t") > 0)
-    held, size = [], 0
-    for r in rows.toLocalIterator():
-        n = len(words_of(r["t"]))
-        if held and size + n > block_words:
-            yield held
-            held, size = [], 0
-        held.append((r["i"], r["t"]))
-        size += n
-    if held:
-        yield held
+def stable_hashes(words: list[bytes]) -> np.ndarray:
+    """Word hashes that hold across processes."""
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
-def _annotate(docs: DataFrame, text_col: str, benchmark: DataFrame, item_col: str, item_text: str, window: int, block_words: int) -> DataFrame:
+def _batch(cols: list, kinds: list, names: str) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=names.split())
+
+
+def _item_grams(window: int):
+    """(n, gram) of each kept hash of an item; of a shorter item its own hash and length."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, gram = [], []
+            for text in batch.column(1).to_pylist():
+                h = stable_hashes(words_of(text))
+                if len(h) >= window:
+                    g = gram_hashes(h, GRAM)
+                    g = g[winnow(g, window - GRAM + 1)]
+                else:
+                    g = gram_hashes(h, len(h)) if len(h) else h
+                gram += g.view(np.int64).tolist()
+                n += [min(window, len(h))] * len(g)
+            yield _batch([n, gram], [pa.int32(), pa.int64()], "n gram")
+
+    return run
+
+
+def _item_windows(window: int):
+    """(n, words, item) of each window."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                w = words_of(text)
+                n = min(window, len(w))
+                rows = [b" ".join(w[i : i + n]) for i in range(len(w) - n + 1)] if w else []
+                yield _batch([[n] * len(rows), rows, [item] * len(rows)], [pa.int32(), pa.binary(), pa.string()], "n words item")
+
+    return run
+
+
+def _document_grams(window: int, shorter: list[int]):
+    """(a, b, n, gram, at) of each kept hash of a text, and of all runs as long as some shorter item."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, text in zip(*(c.to_pylist() for c in batch.columns)):
+                h = stable_hashes(words_of(text))
+                found = []
+                if len(h) >= window:
+                    g = gram_hashes(h, GRAM)
+                    at = winnow(g, window - GRAM + 1)
+                    found.append((window, g[at], at))
+                found += [(k, g, np.arange(len(g))) for k in shorter for g in [gram_hashes(h, k)] if len(g)]
+                for n, g, at in found:
+                    size = len(g)
+                    cols = [np.full(size, a), np.full(size, b), np.full(size, n, np.int32), g.view(np.int64), at.astype(np.int32)]
+                    yield _batch(cols, [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32()], "a b n gram at")
+
+    return run
+
+
+def _document_windows(window: int):
+    """(a, b, n, start, words) of the windows around the hits of a text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, text, hits in zip(*(c.to_pylist() for c in batch.columns)):
+                w = words_of(text)
+                spans = {(h["n"], h["at"] - k) for h in hits for k in range(window - GRAM + 1 if h["n"] == window else 1)}
+                spans = sorted((n, i) for n, i in spans if 0 <= i <= len(w) - n)
+                cols = [[a] * len(spans), [b] * len(spans), [n for n, _ in spans], [i for _, i in spans], [b" ".join(w[i : i + n]) for n, i in spans]]
+                yield _batch(cols, [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()], "a b n start words")
+
+    return run
+
+
+def _joined(docs: DataFrame, text_col: str, items: DataFrame, window: int, added: list[str]) -> DataFrame:
+    """Add the three columns by joins of fingerprints, then of windows; texts go by two hashes."""
+    text = F.coalesce(named(text_col), F.lit(""))
+    hashed = [F.xxhash64(text).alias("a"), F.xxhash64(text, F.lit("text")).alias("b")]
+    texts = docs.select(*hashed, text.alias("t"))
+    grams = materialise(items.mapInArrow(_item_grams(window), "n int, gram long").distinct(), "grams")
+    windows = materialise(items.mapInArrow(_item_windows(window), "n int, words binary, item string").distinct(), "windows")
+    shorter = sorted(r["n"] for r in grams.where(F.col("n") < window).select("n").distinct().collect())
+    own = texts.mapInArrow(_document_grams(window, shorter), "a long, b long, n int, gram long, at int")
+    near = own.join(grams, ["n", "gram"], "left_semi").groupBy("a", "b").agg(F.collect_set(F.struct("n", "at")).alias("hits"))
+    near = materialise(near, "near")
+    again = texts.join(near, ["a", "b"]).dropDuplicates(["a", "b"]).select("a", "b", "t", "hits")
+    around = again.mapInArrow(_document_windows(window), "a long, b long, n int, start int, words binary")
+    hits = materialise(around.join(windows, ["n", "words"], "left_semi"), "hits")
+    drop_table(near)
+    spans = F.flatten(F.transform(F.collect_set(F.struct("start", "n")), lambda s: F.sequence(s["start"], s["start"] + s["n"] - 1)))
+    places = hits.groupBy("a", "b").agg(F.array_sort(F.array_distinct(spans)).alias("hits"))
+    met = hits.select("a", "b", "n", "words").distinct().join(windows, ["n", "words"]).select("a", "b", "item").distinct()
+    found = places.join(met.groupBy("a", "b").agg(F.sort_array(F.collect_set("item")).alias("items")), ["a", "b"])
+    found = materialise(found, "found")
+    i, j = fresh(docs, "a", "b")
+    out = docs.join(found.select(F.col("a").alias(i), F.col("b").alias(j), F.col("hits").alias(added[1]), F.col("items").alias(added[2])), (hashed[0] == F.col(i)) & (hashed[1] == F.col(j)), "left")
+    n = F.coalesce(F.regexp_count(named(text_col), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")), F.lit(0)).cast("long")
+    none = F.array().cast
+    return out.select(*map(named, docs.columns), n.alias(added[0]), F.coalesce(added[1], none("array<int>")).alias(added[1]), F.coalesce(added[2], none("array<string>")).alias(added[2]))
+
+
+def _annotate(docs: DataFrame, text_col: str, benchmark: DataFrame, item_col: str, item_text: str, window: int, most_words: int) -> tuple[DataFrame, list[str]]:
+    """``docs`` with the columns of ``FOUND``, and what they are called."""
     if window < GRAM:
         raise ValueError(f"the window must have {GRAM} words at least")
-    schema = StructType([*docs.schema.fields, *map(StructField, ADDED, (LongType(), ArrayType(IntegerType()), ArrayType(StringType())))])
-    out, at, held = docs, docs.columns.index(text_col), None
-    for items in blocks_of(benchmark, item_col, item_text, block_words):
-        if held is not None:  # several blocks: one after another, each over all documents
-            out = materialise(out, "blocks")
-        key = hashlib.sha256(repr((window, items)).encode()).hexdigest()
-        out = out.mapInArrow(_searcher(items, window, key, at, held is None), schema)
-        held = items
-    return out if held is not None else docs.mapInArrow(_searcher([], window, f"none {window}", at, True), schema)
+    added = fresh(docs, *FOUND)
+    items = benchmark.select(F.coalesce(named(item_col).cast("string"), F.lit("")).alias("i"), named(item_text).alias("t")).where(F.length("t") > 0)
+    size = items.agg(F.sum(F.regexp_count("t", F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"))).alias("words"), F.sum(F.length("t")).alias("chars")).first()
+    if (size["words"] or 0) > most_words or (size["chars"] or 0) > 16 * most_words:
+        return _joined(docs, text_col, items, window, added), added
+    known = [(r["i"], r["t"]) for r in items.collect()]
+    key = hashlib.sha256(repr((window, known)).encode()).hexdigest()
+    schema = StructType([*docs.schema.fields, *map(StructField, added, (LongType(), ArrayType(IntegerType()), ArrayType(StringType())))])
+    return docs.mapInArrow(_searcher(known, window, key, docs.columns.index(text_col), added), schema), added
 
 
 def find_contamination(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
-    window: int = WINDOW, block_words: int = 2_000_000,
+    window: int = WINDOW, most_words: int = 2_000_000,
 ) -> DataFrame:
     """(doc_id, n_words, n_hit, hits, items) of every document.
 
     ``hits`` are the positions of the hit words, ``items`` the ids, as strings
     and sorted, of the items with a window in the document.
     """
-    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    found = _annotate(source, "text", benchmark, item_col, item_text, window, block_words)
-    return found.select("doc_id", F.col(ADDED[0]).alias("n_words"), F.size(ADDED[1]).cast("long").alias("n_hit"), F.col(ADDED[1]).alias("hits"), F.col(ADDED[2]).alias("items"))
+    source = docs.select(named(id_col).alias("doc_id"), named(text_col).alias("text"))
+    found, (n, hits, items) = _annotate(source, "text", benchmark, item_col, item_text, window, most_words)
+    return found.select("doc_id", F.col(n).alias("n_words"), F.size(hits).cast("long").alias("n_hit"), F.col(hits).alias("hits"), F.col(items).alias("items"))
 
 
 def drop_contaminated(
-    docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, block_words: int = 2_000_000
+    docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, most_words: int = 2_000_000
 ) -> DataFrame:
     """The documents, with all their columns, that no window of the benchmark occurs in."""
-    found = _annotate(docs, text_col, benchmark, item_col, item_text, window, block_words)
-    return found.where(F.size(ADDED[1]) == 0).drop(*ADDED)
+    found, (n, hits, items) = _annotate(docs, text_col, benchmark, item_col, item_text, window, most_words)
+    return found.where(F.size(hits) == 0).drop(n, hits, items)

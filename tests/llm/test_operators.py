@@ -577,10 +577,10 @@ def test_contamination(spark, block):
         rows.append((i, ("! ".join(w)).title() if i % 3 else " ".join(w)))
     rows += [(500, None), (501, ""), (None, "one"), (502, "tau " * 40), rows[0], (503, prose(rng, 5) + " " + items[0][1] + " " + prose(rng, 30_000))]
     docs, bench = documents(spark, rows), spark.createDataFrame(items, "item_id long, text string")
-    out = [(r["doc_id"], r["n_words"], list(r["hits"]), list(r["items"])) for r in decontam.find_contamination(docs, bench, block_words=block).collect()]
+    out = [(r["doc_id"], r["n_words"], list(r["hits"]), list(r["items"])) for r in decontam.find_contamination(docs, bench, most_words=block).collect()]
     want = plain_contamination(rows, items)
     assert sorted(map(repr, out)) == sorted(map(repr, want)) and any(h for _, _, h, _ in want)
-    clean = decontam.drop_contaminated(docs, bench, block_words=block)
+    clean = decontam.drop_contaminated(docs, bench, most_words=block)
     assert clean.columns == docs.columns and clean.count() == sum(not h for _, _, h, _ in want)
     assert decontam.find_contamination(docs, bench.limit(0)).where("n_hit > 0").count() == 0
 
