@@ -166,23 +166,30 @@ SELECT page_id, h.host AS host, h.path AS path, rule, coalesce(rv, 'allow') AS v
 FROM h LEFT JOIN (SELECT * FROM m WHERE n = 1) m ON h.host = m.host AND h.path = m.path
 """ % ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
 
+#: A later copy of a run with enough words is covered by the shortest stretches with enough words that begin, and that end, at each line.
 _LINES_SQL = r"""
-WITH l AS (
-  SELECT doc_id, n, x[n] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents) , LATERAL (SELECT unnest(range(1, len(x) + 1)) AS n)
-), w AS (
-  SELECT doc_id, n, line, lead(line) OVER (PARTITION BY doc_id ORDER BY n) AS below, lead(n) OVER (PARTITION BY doc_id ORDER BY n) AS m FROM l
-), two AS (
-  SELECT doc_id, n, row_number() OVER (PARTITION BY line, below ORDER BY doc_id, n) AS k FROM w WHERE m IS NOT NULL
-), one AS (
-  SELECT doc_id, n, row_number() OVER (PARTITION BY line ORDER BY doc_id, n) AS k, len(list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda t: t <> '')) AS words FROM l
+WITH x AS (
+  SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL
+), c AS (
+  SELECT doc_id, ls, list_transform(ls, lambda s: len(list_filter(regexp_split_to_array(s, '[\x20\x09-\x0D]+'), lambda t: t <> ''))) AS ws FROM x
+), l AS (
+  SELECT doc_id, ls, ws, unnest(range(1, len(ls) + 1)) AS n FROM c
+), stretch AS (
+  SELECT doc_id, ls, n AS p, list_filter(range(n, len(ls) + 1), lambda m: list_sum(ws[n:m]) >= %(w)d)[1] AS e FROM l
+  UNION ALL
+  SELECT doc_id, ls, list_filter(range(1, n + 1), lambda m: list_sum(ws[m:n]) >= %(w)d)[-1] AS p, n AS e FROM l
+), run AS (
+  SELECT DISTINCT doc_id, p, e, array_to_string(ls[p:e], chr(10)) AS content FROM stretch WHERE p IS NOT NULL AND e IS NOT NULL
+), later AS (
+  SELECT doc_id, p, e, row_number() OVER (PARTITION BY content ORDER BY doc_id, p) AS k FROM run
 ), gone AS (
-  SELECT doc_id, n FROM two WHERE k > 1 UNION SELECT doc_id, n + 1 FROM two WHERE k > 1 UNION SELECT doc_id, n FROM one WHERE k > 1 AND words >= 50
+  SELECT DISTINCT doc_id, unnest(range(p, e + 1)) AS n FROM later WHERE k > 1
 )
 SELECT d.doc_id AS doc_id, count(l.n)::BIGINT AS n_lines, count(g.n)::BIGINT AS n_deleted,
-  sha256(coalesce(string_agg(CASE WHEN g.n IS NULL THEN l.line END, chr(10) ORDER BY l.n), '')) AS text_sha256
+  sha256(coalesce(string_agg(CASE WHEN g.n IS NULL THEN l.ls[l.n] END, chr(10) ORDER BY l.n), '')) AS text_sha256
 FROM documents d LEFT JOIN l ON d.doc_id = l.doc_id LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.n = g.n
 GROUP BY d.doc_id
-"""
+""" % {"w": linededup.MIN_WORDS}
 
 _WINDOW_SQL = r"""
 WITH d AS (

@@ -509,33 +509,44 @@ def test_flat_trees_match_a_walk():
 # 7 Lines
 
 
-def plain_line_dedup(rows, min_lines=2, min_words=50):
-    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0))
-    gone, windows, lines = set(), {}, {}
-    for d, t in order:
-        ls = [] if t is None else t.split("\n")
-        for n in range(len(ls)):
-            w = tuple(ls[n : n + min_lines])
-            if len(w) == min_lines:
-                if windows.setdefault(w, (d, n)) != (d, n):
-                    gone |= {(d, n + k) for k in range(min_lines)}
-            if lines.setdefault(ls[n], (d, n)) != (d, n) and len(ls[n].split()) >= min_words:
-                gone.add((d, n))
-    return {d: (None if t is None else "\n".join(x for n, x in enumerate(t.split("\n")) if (d, n) not in gone)) for d, t in order}
-
-
-@pytest.mark.parametrize("min_lines", [1, 2, 3, 5])
-def test_line_dedup(spark, min_lines):
-    rng = random.Random(10)
-    pool = [prose(rng, rng.choice([1, 3, 60])) for _ in range(12)]
-    rows = [(i, "\n".join(rng.choice(pool) for _ in range(rng.randrange(1, 15)))) for i in range(60)] + [(100, None), (101, ""), (102, ""), (103, "\n\n\n"), (None, pool[0] + "\n" + pool[1])]
-    out = {r["doc_id"]: r["text"] for r in linededup.dedup_lines(documents(spark, rows), "doc_id", "text", min_lines, 0 if min_lines == 1 else 50).collect()}
-    assert out == plain_line_dedup(rows, min_lines, 0 if min_lines == 1 else 50)
+def plain_line_dedup(rows, min_words=5, min_lines=1):
+    """Text and merged runs by comparing every place with every earlier one."""
+    texts = [(d, t.split("\n")) for d, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)) if t is not None]
+    places = [(k, n) for k, (_, ls) in enumerate(texts) for n in range(len(ls))]
+    gone = defaultdict(set)
+    for i, (k, n) in enumerate(places):
+        here, best = texts[k][1], 0
+        for l, m in places[:i]:
+            there, size = texts[l][1], 0
+            while n + size < len(here) and m + size < len(there) and here[n + size] == there[m + size]:
+                size += 1
+            best = max(best, size)
+        if best >= min_lines and best and len(" ".join(here[n : n + best]).split()) >= min_words:
+            gone[k] |= set(range(n, n + best))
+    out = {d: (None, []) for d, t in rows if t is None}
+    for k, (d, ls) in enumerate(texts):
+        edge = [n for n in sorted(gone[k]) if n - 1 not in gone[k]]
+        runs = [(n, next(m for m in range(n, len(ls) + 1) if m not in gone[k]) - n) for n in edge]
+        out[d] = ("\n".join(x for n, x in enumerate(ls) if n not in gone[k]), runs)
+    return out
+
+
+@pytest.mark.parametrize("min_words, min_lines", [(5, 1), (0, 1), (40, 1), (7, 3)])
+def test_line_dedup(spark, min_words, min_lines):
+    rng = random.Random(10 + min_words)
+    pool = [prose(rng, rng.choice([1, 2, 3, 4, 6, 30])) for _ in range(14)] + ["", "tau"]
+    rows = [(i, "\n".join(rng.choice(pool) for _ in range(rng.randrange(1, 14)))) for i in range(50)]
+    long = [rng.choice(pool) + (str(n) if n % 5 == 0 else "") for n in range(60)]
+    rows += [(60, "\n".join(long)), (61, "\n".join(long[7:41])), (62, "\n".join(["x", *long[3:50], "y", *long[20:33]])), (63, "\n".join(long[:9] + long[40:]))]
+    rows += [(100, None), (101, ""), (102, ""), (103, "\n\n\n"), (104, "a b\n" * 30), (105, "a b\nc d e\n" * 20), (None, pool[0] + "\n" + pool[1])]
+    out = {r["doc_id"]: (r["text"], [(x["first"], x["size"]) for x in r["runs"]]) for r in linededup.dedup_lines(documents(spark, rows), "doc_id", "text", min_words, min_lines).collect()}
+    want = plain_line_dedup(rows, min_words, min_lines)
+    assert out == want and sum(bool(r) for _, r in want.values()) > 8
 
 
 def test_line_dedup_of_equal_rows_and_none(spark):
     docs = documents(spark, [(1, "a\nb\nc"), (1, "a\nb\nc"), (2, "x\na\nb")])
-    out = sorted((r["doc_id"], r["text"], r["n_lines"], r["n_deleted"]) for r in linededup.dedup_lines(docs, "doc_id", "text").collect())
+    out = sorted((r["doc_id"], r["text"], r["n_lines"], r["n_deleted"]) for r in linededup.dedup_lines(docs, "doc_id", "text", 2).collect())
     assert out == [(1, "a\nb\nc", 3, 0), (1, "a\nb\nc", 3, 0), (2, "x", 3, 2)]
     assert linededup.dedup_lines(documents(spark, []), "doc_id", "text").count() == 0
 
