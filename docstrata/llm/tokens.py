@@ -86,31 +86,48 @@ def frames(data: bytes) -> Iterator[tuple[int, int, int | None, np.ndarray]]:
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
+class Irregular(Exception):
+    """A text cannot be encoded word by word."""
+
+
 class Words(dict):
-    """Ids, as bytes, of words: after a space, after a newline (key begins with it) or at the start (with NUL)."""
+    """Ids, as bytes, of words: after a space, after a newline (key begins with it) or at the start (with NUL).
+
+    A key that is no single word, or that holds an added token, is never kept
+    and raises.
+    """
 
     def __init__(self, tokenizer, kind: str, most: int):
         self.tokenize, self.kind, self.most = tokenizer.model.tokenize, kind, most
+        self.added = [x.content for x in tokenizer.get_added_tokens_decoder().values()]
         # the printable stand-ins of bytes in a byte-level vocabulary: printable ones as they are, the others from 256 on
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         self.byte = {b: chr(b) for b in plain} | {b: chr(256 + n) for n, b in enumerate(sorted({*range(256)} - {*plain}))}
+        self.space = self.byte[32]
         self.pieces = regex.compile(SPLIT).findall
         self.newline = self._piece("\n")
 
+    def _ids(self, shown: str) -> bytes:
+        return array(self.kind, [x.id for x in self.tokenize(shown)]).tobytes()
+
     def _piece(self, piece: str) -> bytes:
-        return array(self.kind, [x.id for x in self.tokenize(piece.encode().decode("latin-1").translate(self.byte))]).tobytes()
+        return self._ids(piece.encode().decode("latin-1").translate(self.byte))
 
     def __missing__(self, key: str) -> bytes:
         if key.isalpha():
-            code = self._piece(" " + key)
-        elif key[0] == "\n":
-            code = self.newline + self["\0" + key[1:]]
+            code = self._ids(self.space + key) if key.isascii() else self._piece(" " + key)
         else:
-            found = self.pieces(key[1:] if key[0] == "\0" else " " + key)
-            if len(found) == 1:
-                code = self._piece(found[0])
+            word = key[1:] if key[:1] in ("\0", "\n") else key
+            if word.split() != [word] or "\0" in word or any(x in word for x in self.added):
+                raise Irregular
+            if key[0] == "\n":
+                code = self.newline + self["\0" + word]
             else:
-                code = b"".join([self[p[1:] if p[0] == " " else "\0" + p] for p in found])
+                found = self.pieces(word if key[0] == "\0" else " " + word)
+                if len(found) == 1:
+                    code = self._piece(found[0])
+                else:
+                    code = b"".join([self[p[1:] if p[0] == " " else "\0" + p] for p in found])
         if len(self) < self.most:
             self[key] = code
         return code
@@ -132,7 +149,6 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = t = Tokenizer.from_file(path)
-        self.added = [x.content for x in t.get_added_tokens_decoder().values()]
         self.wide = t.get_vocab_size() > 1 << 16
         self.kind = np.dtype("<u4" if self.wide else "<u2")
         probe = "ab, cd.\nEf's 1g-h é"
@@ -140,7 +156,7 @@ class WordEncoder:
         self.words = None
         if t.normalizer is None and sys.byteorder == "little" and cut == ["ab", ",", "Ġcd", ".", "Ċ", "Ef", "'s", "Ġ1", "g", "-", "h", "ĠÃ©"]:
             self.words = Words(t, "I" if self.wide else "H", most)
-            if self([probe]) != self._ids([probe]):
+            if any(x.split() != [x] for x in self.words.added) or self([probe]) != self._ids([probe]):
                 self.words = None
 
     def _ids(self, texts: list[str]) -> list[bytes]:
@@ -151,11 +167,10 @@ class WordEncoder:
         if self.words is not None:
             code = self.words.__getitem__
             for i, t in enumerate(texts):
-                found = t.split()
-                gaps = len(found) - 1
-                plain = gaps >= 0 and len(t) - sum(map(len, found)) == gaps == t.count(" ") + t.count("\n") and "\0" not in t
-                if plain and not any(x in t for x in self.added):
+                try:
                     out[i] = b"".join(map(code, ("\0" + t).replace("\n", " \n").split(" ")))
+                except Irregular:
+                    pass
         rest = [i for i, x in enumerate(out) if x is None]
         for i, x in zip(rest, self._ids([texts[i] for i in rest])):
             out[i] = x
