@@ -26,7 +26,7 @@ NUMERIC = rf"(?iu){NUMBER}\s*({UNITS})(?:\b|$)"
 RANGE = "(-?\\d+\\.?\\d*)\\s*([a-zA-Z°µ]*)\\s*(?:to|-|–|—)\\s*(-?\\d+\\.?\\d*)\\s*([a-zA-Z°µ]*)"
 ANSWER = r"(?i)(?:is|=|:)\s+(.+?)(?:\.|,|\n|$)"
 ITEM = "[,\\n]|(?:^|\\n)\\s*[-•*]\\s*|(?:^|\\n)\\s*\\d+\\.\\s*"
-STOPWORDS = "a an the is are of on in to for it and or that this was be at by".split()
+STOPWORDS = ("a", "an", "the", "is", "are", "of", "on", "in", "to", "for", "it", "and", "or", "that", "this", "was", "be", "at", "by")
 UNIT_TABLE = {
     "hz": ("Hz", 1.0), "khz": ("Hz", 1e3), "mhz": ("Hz", 1e6), "ghz": ("Hz", 1e9), "v": ("V", 1.0), "volt": ("V", 1.0), "volts": ("V", 1.0),
     "mv": ("V", 1e-3), "a": ("A", 1.0), "amp": ("A", 1.0), "amps": ("A", 1.0), "ma": ("A", 1e-3), "ua": ("A", 1e-6), "µa": ("A", 1e-6),
@@ -49,6 +49,11 @@ def first(c: Column, pattern: str, group: int = 0) -> Column:
     return F.when(c.rlike(pattern), F.regexp_extract(c, pattern, group))
 
 
+def hit(c: Column, pattern: str, group: int = 0) -> Column:
+    """The first match's group, which cannot be empty; null without a match. One search."""
+    return F.nullif(F.regexp_extract(c, pattern, group), F.lit(""))
+
+
 def let(c: Column, use: Callable[[Column], Column]) -> Column:
     """``use`` of a value that is worked out once."""
     return F.element_at(F.transform(F.array(c), use), 1)
@@ -63,8 +68,8 @@ def yes(c: Column) -> Column:
 
 def normalize_hex(c: Column) -> Column:
     """F41."""
-    d = F.regexp_replace(F.regexp_replace(F.upper(strip(c)), "^0X", ""), "^0+", "")
-    d = F.when(d == "", "0").otherwise(d)
+    up = F.upper(strip(c))
+    d = F.ltrim(F.when(up.startswith("0X"), F.substring(up, F.lit(3), F.length(up))).otherwise(up), F.lit("0"))
     n = F.length(d)
     return F.concat(F.lit("0x"), F.when(n <= 4, F.lpad(d, 4, "0")).when(n <= 8, F.lpad(d, 8, "0")).otherwise(d))
 
@@ -74,14 +79,18 @@ def _bracket(c: Column) -> Column:
 
 
 def _between(c: Column) -> Column:
-    a, b = (F.regexp_extract(c, BITS_TO, g).try_cast("decimal(38,0)") for g in (1, 2))
-    return F.when(c.rlike(BITS_TO), F.when(a == b, F.concat(F.lit("["), a.cast("string"), F.lit("]"))).otherwise(F.concat(F.lit("["), F.greatest(a, b).cast("string"), F.lit(":"), F.least(a, b).cast("string"), F.lit("]"))))
+    def of(n: Column) -> Column:
+        low, high = F.least(n[0], n[1]).cast("string"), F.greatest(n[0], n[1]).cast("string")
+        return F.when(F.size(n) == 2, F.when(n[0] == n[1], F.concat(F.lit("["), high, F.lit("]"))).otherwise(F.concat(F.lit("["), high, F.lit(":"), low, F.lit("]"))))
+
+    # a match has two numbers and no other digit
+    return let(F.transform(F.regexp_extract_all(F.regexp_extract(c, BITS_TO, 0), F.lit(r"\d+"), F.lit(0)), lambda x: x.try_cast("decimal(38,0)")), of)
 
 
 def normalize_bits(c: Column) -> Column:
     """F42."""
     t = strip(c)
-    return F.coalesce(_bracket(t), _between(t), F.concat(F.lit("["), first(t, r"\d+"), F.lit("]")), t)
+    return F.coalesce(_bracket(t), _between(t), F.concat(F.lit("["), hit(t, r"\d+"), F.lit("]")), t)
 
 
 def normalize_access(c: Column) -> Column:
@@ -89,17 +98,37 @@ def normalize_access(c: Column) -> Column:
     return F.coalesce(lookup(F.regexp_replace(F.lower(strip(c)), "[- /]", ""), ACCESS_CODES), F.upper(strip(c)))
 
 
+def _factor(unit: Column) -> Column:
+    """Struct(unit, factor) of a unit as written; null for an unknown one."""
+    pairs = [x for k, (u, f) in UNIT_TABLE.items() for x in (F.lit(k), F.struct(F.lit(u).alias("unit"), F.lit(f).alias("factor")))]
+    known = F.try_element_at(F.create_map(*pairs), unit)
+    return F.when(unit.contains("wait"), F.struct(F.lit("wait_states").alias("unit"), F.lit(1.0).alias("factor"))).otherwise(known)
+
+
+def _number(c: Column) -> Column:
+    """The first number; null without one."""
+    return hit(c, NUMBER).try_cast("double")
+
+
 def normalize_numeric(c: Column) -> Column:
     """struct(value, unit)."""
-    t = strip(c)
-    raw = F.lower(strip(F.regexp_extract(t, NUMERIC, 2)))
-    value = F.regexp_extract(t, NUMERIC, 1).try_cast("double")
-    waits = raw.contains("wait")
-    factor = F.when(waits, 1.0).otherwise(F.coalesce(lookup(raw, {k: v[1] for k, v in UNIT_TABLE.items()}), F.lit(1.0)))
-    unit = F.when(waits, "wait_states").otherwise(F.coalesce(lookup(raw, {k: v[0] for k, v in UNIT_TABLE.items()}), F.lit("")))
-    bare = F.coalesce(first(t, NUMBER, 1).try_cast("double"), F.lit(0.0))
-    has = t.rlike(NUMERIC)
-    return F.struct(F.when(has, value * factor).otherwise(bare).alias("value"), F.when(has, unit).otherwise("").alias("unit"))
+
+    def of(t: Column) -> Column:
+        def split(m: Column) -> Column:
+            number = F.regexp_extract(m, rf"^{NUMBER}", 1)
+            return F.struct(number.try_cast("double").alias("n"), F.lower(strip(F.substring(m, F.length(number) + 1, F.length(m)))).alias("u"))
+
+        def measured(s: Column) -> Column:
+            known = let(
+                _factor(s["u"]), lambda f: F.struct((s["n"] * F.coalesce(f["factor"], F.lit(1.0))).alias("value"), F.coalesce(f["unit"], F.lit("")).alias("unit"))
+            )
+            bare = F.struct(F.coalesce(_number(t), F.lit(0.0)).alias("value"), F.lit("").alias("unit"))
+            return F.when(s["u"] != "", known).otherwise(bare)
+
+        # one search finds number and unit; what it found is taken apart
+        return let(let(F.regexp_extract(t, NUMERIC, 0), split), measured)
+
+    return let(strip(c), of)
 
 
 # Extraction
@@ -107,20 +136,20 @@ def normalize_numeric(c: Column) -> Column:
 
 def extract_hex(c: Column) -> Column:
     """F32."""
-    bare = F.when(first(c, r"\b([0-9A-Fa-f]{8})\b", 1).rlike("[0-9]"), normalize_hex(first(c, r"\b([0-9A-Fa-f]{8})\b", 1)))
-    return F.coalesce(normalize_hex(first(c, HEX)), bare, F.lit(""))
+    bare = let(hit(c, r"\b([0-9A-Fa-f]{8})\b", 1), lambda m: F.when(m.rlike("[0-9]"), normalize_hex(m)))
+    return F.coalesce(normalize_hex(hit(c, HEX)), bare, F.lit(""))
 
 
 def extract_bits(c: Column) -> Column:
     """F33."""
-    single = F.concat(F.lit("["), first(c, BIT, 1), F.lit("]"))
+    single = F.concat(F.lit("["), hit(c, BIT, 1), F.lit("]"))
     bare = F.when(strip(c).rlike(r"^\d{1,2}\z"), F.concat(F.lit("["), strip(c), F.lit("]")))
     return F.coalesce(_bracket(c), _between(c), single, bare, F.lit(""))
 
 
 def extract_access(c: Column) -> Column:
     """the first spelling in the pattern's order wins."""
-    return F.coalesce(normalize_access(first(c, ACCESS, 1)), F.lit(""))
+    return F.coalesce(normalize_access(hit(c, ACCESS, 1)), F.lit(""))
 
 
 def extract_text(c: Column) -> Column:
@@ -132,8 +161,12 @@ def extract_text(c: Column) -> Column:
 
 def extract_numeric(c: Column) -> Column:
     """F36."""
-    whole = F.concat(first(c, NUMERIC, 1), F.lit(" "), strip(first(c, NUMERIC, 2)))
-    return F.coalesce(whole, first(c, NUMBER, 1), F.lit(""))
+
+    def split(m: Column) -> Column:
+        number = F.regexp_extract(m, rf"^{NUMBER}", 1)
+        return F.when(m != "", F.concat(number, F.lit(" "), strip(F.substring(m, F.length(number) + 1, F.length(m)))))
+
+    return F.coalesce(let(F.regexp_extract(c, NUMERIC, 0), split), hit(c, NUMBER), F.lit(""))
 
 
 def extract_range(c: Column) -> Column:
@@ -203,40 +236,41 @@ def _ratio(p: Column, q: Column) -> Column:
     return F.when(q == 0, yes(p == 0)).otherwise(F.greatest(F.lit(0.0), F.lit(1.0) - F.least(F.lit(1.0), F.abs(p - q) / F.abs(F.nullif(q, F.lit(0.0))))))
 
 
-def _raw(c: Column) -> Column:
-    return first(c, NUMBER, 1).try_cast("double")
-
-
 def _equal(p: Column, q: Column) -> Column:
     return F.when(q == 0, p == 0).otherwise(_near(p, F.nullif(q, F.lit(0.0))))
 
 
-def _both(a: Column, b: Column) -> Column:
-    return F.struct(normalize_numeric(a).alias("x"), normalize_numeric(b).alias("y"), _raw(a).alias("u"), _raw(b).alias("v"))
+def _compared(a: Column, b: Column, score: Callable[[Column, Column, Column], Column]) -> Column:
+    """``score`` of both normal forms, and of both numbers as written where one form has no unit."""
+
+    def of(s: Column) -> Column:
+        x, y = s["x"], s["y"]
+        loose = (x["unit"] != y["unit"]) & ((x["unit"] == "") | (y["unit"] == ""))
+        written = F.when(loose, F.struct(_number(s["a"]).alias("u"), _number(s["b"]).alias("v")))
+        return let(written, lambda w: score(x, y, w))
+
+    return let(F.struct(normalize_numeric(a).alias("x"), normalize_numeric(b).alias("y"), a.alias("a"), b.alias("b")), of)
 
 
 def score_numeric(a: Column, b: Column) -> Column:
     """in the same unit; else by normal values, or by the numbers as written if one has no unit."""
 
-    def score(s: Column) -> Column:
-        x, y = s["x"], s["y"]
+    def score(x: Column, y: Column, w: Column) -> Column:
         normal = (x["value"] != 0) & (y["value"] != 0) & _equal(x["value"], y["value"])
-        written = ((x["unit"] == "") | (y["unit"] == "")) & F.coalesce(_equal(s["u"], s["v"]), F.lit(False))
+        written = F.coalesce(_equal(w["u"], w["v"]), F.lit(False))
         return F.when(x["unit"] == y["unit"], yes(_equal(x["value"], y["value"]))).otherwise(yes(normal | written))
 
-    return let(_both(a, b), score)
+    return _compared(a, b, score)
 
 
 def partial_numeric(a: Column, b: Column) -> Column:
     """one less the relative error, of the first comparison of F47 that gives any."""
 
-    def score(s: Column) -> Column:
-        x, y = s["x"], s["y"]
+    def score(x: Column, y: Column, w: Column) -> Column:
         normal = F.when((x["value"] != 0) & (y["value"] != 0), F.nullif(_ratio(x["value"], y["value"]), F.lit(0.0)))
-        written = F.when((x["unit"] == "") | (y["unit"] == ""), _ratio(s["u"], s["v"]))
-        return F.when(x["unit"] == y["unit"], _ratio(x["value"], y["value"])).otherwise(F.coalesce(normal, written, F.lit(0.0)))
+        return F.when(x["unit"] == y["unit"], _ratio(x["value"], y["value"])).otherwise(F.coalesce(normal, _ratio(w["u"], w["v"]), F.lit(0.0)))
 
-    return let(_both(a, b), score)
+    return _compared(a, b, score)
 
 
 def parse_range(c: Column) -> Column:

@@ -5,17 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: White space as Unicode has it, for Java patterns.
+#: White space as Unicode has it, for Java patterns, and as the characters themselves.
 SPACE = r"\s\x1c-\x1f\x85\p{Z}"
+BLANKS = "".join(map(chr, (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 
 
 def strip(c: Column) -> Column:
     """Remove white space of any kind from both ends."""
-    return F.regexp_replace(c, rf"^[{SPACE}]+|[{SPACE}]+\z", "")
+    return F.btrim(c, F.lit(BLANKS))
 
 
 def rstrip(c: Column) -> Column:
-    return F.regexp_replace(c, rf"[{SPACE}]+\z", "")
+    return F.rtrim(c, F.lit(BLANKS))
 
 
 def words(c: Column) -> Column:
@@ -74,10 +75,16 @@ def count_lines(c: Column) -> Column:
     return F.when(s == "", 0).otherwise(F.size(F.split(s, r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]")))
 
 
+def one_decimal(v: Column) -> Column:
+    """A number with one decimal; a tie, which a quarter is and no other, goes to the even digit."""
+    tie = F.abs(v) % 1 == 0.25
+    return F.format_string("%.1f", F.when(tie, v - F.signum(v) * F.lit(0.01)).otherwise(v))
+
+
 def human_size(n: Column) -> Column:
     """F61."""
-    kb = F.concat(F.format_string("%.1f", n / F.lit(1024.0)), F.lit(" KB"))
-    mb = F.concat(F.format_string("%.1f", n / F.lit(1048576.0)), F.lit(" MB"))
+    kb = F.concat(one_decimal(n / F.lit(1024.0)), F.lit(" KB"))
+    mb = F.concat(one_decimal(n / F.lit(1048576.0)), F.lit(" MB"))
     return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1048576, kb).otherwise(mb)
 
 
@@ -95,7 +102,7 @@ def preview(c: Column, most: int = 200) -> Column:
 
 def percent(c: Column) -> Column:
     """F66."""
-    return F.format_string("%.1f%%", c * F.lit(100.0))
+    return F.concat(one_decimal(c * F.lit(100.0)), F.lit("%"))
 
 
 def formatted(query: Column, content: Column, kind: str) -> Column:

@@ -36,7 +36,13 @@ OUT = "chunk_index int, content string, token_count int, page int, section_path
 
 
 class Tokenizer(Protocol):
-    """Cuts a text into pieces that make it up again when joined."""
+    """Cuts a text into pieces that make it up again when joined.
+
+    With a true ``additive``, white space is always the beginning of a piece (or
+    the text's last one), so the pieces of texts that white space joins add up,
+    and each part is counted once; otherwise each joined text is counted.
+    ``count`` may say how many pieces there are without making them.
+    """
 
     def pieces(self, text: str) -> list[str]: ...
 
@@ -45,10 +51,14 @@ class PieceTokenizer:
     """Words in pieces of at most four characters, white space before the first; needs no vocabulary."""
 
     PIECE = re.compile(r"\s*\S{1,4}|\s+\Z")
+    additive = True
 
     def pieces(self, text: str) -> list[str]:
         return self.PIECE.findall(text)
 
+    def count(self, text: str) -> int:
+        return sum([len(w) + 3 >> 2 for w in text.split()]) + text[-1:].isspace()
+
 
 @dataclass(frozen=True)
 class ChunkOptions:
@@ -60,10 +70,18 @@ class ChunkOptions:
 class Chunker:
     def __init__(self, options: ChunkOptions | None = None, tokenizer: Tokenizer | None = None):
         self.options, self.tokenizer = options or ChunkOptions(), tokenizer or PieceTokenizer()
+        self.additive = getattr(self.tokenizer, "additive", False)
 
     def count(self, text: str) -> int:
         """K1."""
-        return len(self.tokenizer.pieces(text)) if text else 0
+        if not text:
+            return 0
+        own = getattr(self.tokenizer, "count", None)
+        return own(text) if own else len(self.tokenizer.pieces(text))
+
+    def count_joined(self, a: str, n: int, glue: str, b: str, m: int) -> int:
+        """Pieces of ``a`` and ``b`` joined by white space, given those of each."""
+        return n - a[-1:].isspace() + m if self.additive else self.count(a + glue + b)
 
     def chunk(self, text: str | None) -> list[tuple[int, str, int, int, str]]:
         """(index, content, tokens, page, section path) of each chunk; an index without content is skipped."""
@@ -94,20 +112,23 @@ class Chunker:
         if len(parts) <= 1:
             return self.split(text, most, level + 1)
         out: list[str] = []
-        held = ""
+        held: list[str] = []
+        size = 0
         for p in parts:
-            joined = held + glue + p if held else p
-            if self.count(joined) <= most:
-                held = joined
+            n = self.count(p)
+            joined = (self.count_joined(held[-1], size, glue, p, n) if self.additive else self.count(glue.join([*held, p]))) if held else n
+            if joined <= most:
+                held.append(p)
+                size = joined
                 continue
             if held:
-                out.append(held)
-            held = ""
-            if self.count(p) > most:
+                out.append(glue.join(held))
+            held, size = [], 0
+            if n > most:
                 out += self.split(p, most, level + 1)
             else:
-                held = p
-        return [*out, held] if held else out
+                held, size = [p], n
+        return [*out, glue.join(held)] if held else out
 
     def hard_split(self, text: str, most: int) -> list[str]:
         """K5."""
@@ -127,18 +148,20 @@ class Chunker:
         o, out, held = self.options, [], ""
         if o.min_tokens <= 0:
             return chunks
-        fits = lambda a, b: self.count(a + "\n\n" + b) <= o.max_tokens
+        size = 0
         for c in chunks:
-            if held and self.count(held) < o.min_tokens and fits(held, c):
-                held = held + "\n\n" + c
+            n = self.count(c)
+            joined = self.count_joined(held, size, "\n\n", c, n) if held and size < o.min_tokens else o.max_tokens + 1
+            if joined <= o.max_tokens:
+                held, size = held + "\n\n" + c, joined
             else:
-                out += [held] if held else []
-                held = c
-        if held and out and self.count(held) < o.min_tokens and fits(out[-1], held):
-            out[-1] += "\n\n" + held
+                out += [(held, size)] if held else []
+                held, size = c, n
+        if held and out and size < o.min_tokens and self.count_joined(*out[-1], "\n\n", held, size) <= o.max_tokens:
+            out[-1] = out[-1][0] + "\n\n" + held, 0
         elif held:
-            out.append(held)
-        return out
+            out.append((held, size))
+        return [t for t, _ in out]
 
 
 def blocks(text: str) -> list[tuple[str, bool]]:

@@ -97,25 +97,26 @@ def lookup_answers(questions: DataFrame, peripherals: DataFrame, registers: Data
     """Answers straight from the tables: (id, answer, answerable).
 
     A peripheral is found by its name, whatever the case, else by the first name
-    in the file that begins with it; registers and fields by name.
+    in the file that begins with it; registers and fields by name, of the same
+    chip. Of several chips with the name the first in order counts.
     """
     q = questions.select("id", "category", F.upper("peripheral").alias("q_p"), F.upper("register").alias("q_r"), F.upper("field_name").alias("q_f"))
     wanted = q.select("q_p").distinct()
-    names = peripherals.select(F.col("peripheral").alias("p"), "pos", "base_address")
+    names = peripherals.select(F.col("peripheral").alias("p"), F.col("chip").alias("p_chip"), "pos", "base_address")
     exact = wanted.join(names, F.upper("p") == F.col("q_p"))
     missing = wanted.join(exact.select("q_p"), "q_p", "left_anti").where("q_p != ''")
     # beginnings of the same length are compared by equality
     begin = names.withColumn("_n", F.explode(F.sequence(F.lit(1), F.length("p")))).withColumn("_k", F.substring(F.upper("p"), F.lit(1), F.col("_n")))
     longer = missing.join(begin, F.col("_k") == F.col("q_p")).drop("_n", "_k")
-    best = exact.unionByName(longer).withColumn("_r", F.row_number().over(Window.partitionBy("q_p").orderBy("pos"))).where("_r = 1").drop("_r", "pos")
+    best = exact.unionByName(longer).withColumn("_r", F.row_number().over(Window.partitionBy("q_p").orderBy("pos", "p_chip"))).where("_r = 1").drop("_r", "pos")
 
     def first(rows: DataFrame, key: list[str]) -> DataFrame:
         return rows.withColumn("_r", F.row_number().over(Window.partitionBy(*key).orderBy("pos"))).where("_r = 1").drop("_r", "pos")
 
-    regs = first(registers.select(F.col("peripheral").alias("r_p"), F.upper("name").alias("r_n"), "pos", "address_offset", "reset_value", F.col("access").alias("r_access")), ["r_p", "r_n"])
-    flds = first(fields.select(F.col("peripheral").alias("f_p"), F.upper("register").alias("f_r"), F.upper("name").alias("f_n"), "pos", "bit_offset", "bit_width"), ["f_p", "f_r", "f_n"])
-    found = q.join(best, "q_p", "left").join(regs, (F.col("p") == F.col("r_p")) & (F.col("q_r") == F.col("r_n")), "left")
-    found = found.join(flds, (F.col("p") == F.col("f_p")) & (F.col("q_r") == F.col("f_r")) & (F.col("q_f") == F.col("f_n")), "left")
+    regs = first(registers.select(F.col("chip").alias("r_chip"), F.col("peripheral").alias("r_p"), F.upper("name").alias("r_n"), "pos", "address_offset", "reset_value", F.col("access").alias("r_access")), ["r_chip", "r_p", "r_n"])
+    flds = first(fields.select(F.col("chip").alias("f_chip"), F.col("peripheral").alias("f_p"), F.upper("register").alias("f_r"), F.upper("name").alias("f_n"), "pos", "bit_offset", "bit_width"), ["f_chip", "f_p", "f_r", "f_n"])
+    found = q.join(best, "q_p", "left").join(regs, F.col("p_chip").eqNullSafe(F.col("r_chip")) & (F.col("p") == F.col("r_p")) & (F.col("q_r") == F.col("r_n")), "left")
+    found = found.join(flds, F.col("p_chip").eqNullSafe(F.col("f_chip")) & (F.col("p") == F.col("f_p")) & (F.col("q_r") == F.col("f_r")) & (F.col("q_f") == F.col("f_n")), "left")
     code = access_code(F.col("r_access"))
     some = lambda c, out: F.when(F.col(c).isNotNull(), out)
     answer = (

@@ -5,37 +5,17 @@ A query is registered with its DuckDB SQL, or with none where SQL cannot say it.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import detect, registers, relevance, scoring, text
+from ..operators import compile as context
 from ..operators import evaluate, search
-from ..operators.chunker import ChunkOptions, chunk_documents
+from ..operators.chunker import Chunker, ChunkOptions, chunk_documents
 from ..operators.compile import chips_of, ordered_text, peripheral_counts, rank_chunks
 from ..operators.embed import HashingEmbedder, embed_chunks
-from ..sources import catalog, manifest, pdf
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def register(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return register
-
-
-def read(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
-    out = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return out.select(*columns) if columns else out
-
+from ..sources import catalog, manifest, pdf, svd
+from .registry import QUERIES, SQL, query, read
 
 # Nearest neighbours and filters
 
@@ -133,10 +113,22 @@ def chunk_lines(spark, sf_dir):
 
 @query(f"WITH l AS ({_LINES}), p AS (SELECT doc_id, chunk_index, content, lag(content) OVER (PARTITION BY doc_id ORDER BY chunk_index) AS prev FROM l), w AS (SELECT *, string_split(prev, ' ') AS ws FROM p) SELECT doc_id, chunk_index::INT AS chunk_index, md5(CASE WHEN len(ws) > 3 THEN array_to_string(ws[-3:], ' ') || content ELSE content END) AS digest FROM w")
 def overlap_prev_chunk(spark, sf_dir):
-    before = F.split(F.lag("content").over(Window.partitionBy("doc_id").orderBy("chunk_index")), " ")
-    rows = _lines(spark, sf_dir).withColumn("w", before)
-    joined = F.when(F.size("w") > 3, F.concat(F.array_join(F.slice("w", -3, 3), " "), F.col("content"))).otherwise(F.col("content"))
-    return rows.select("doc_id", "chunk_index", F.md5(joined).alias("digest"))
+    chunker = Chunker(ChunkOptions(512, 3, 0), _SpaceTokenizer())
+
+    @F.pandas_udf("array<string>")
+    def overlapped(lines):
+        return lines.map(lambda x: chunker.overlapped([(t, False) for t in x]))
+
+    rows = read(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", F.posexplode(overlapped(F.split("text", "\n"))).alias("chunk_index", "content"))
+    return rows.select("doc_id", "chunk_index", F.md5("content").alias("digest"))
+
+
+class _SpaceTokenizer:
+    """Words with the space after them."""
+
+    def pieces(self, text: str) -> list[str]:
+        *words, last = text.split(" ")
+        return [*(w + " " for w in words), last]
 
 
 @query()
@@ -164,10 +156,11 @@ _PROSE_SQL = _first_sql(
 )
 
 
-@query(f"SELECT content_type, count(*) AS n FROM (SELECT CASE WHEN regexp_matches(t, '(?m)^(`{{3,}}|~{{3,}})') THEN 'code' WHEN regexp_matches(t, '(?m)^\\|[ :]*-+[ :]*\\|') THEN {_TABLE_SQL} ELSE {_PROSE_SQL} END AS content_type FROM (SELECT {_KIND_SQL} AS t FROM documents)) GROUP BY content_type")
+@query(f"SELECT content_type, count(*) AS n FROM (SELECT CASE WHEN regexp_matches(t, '(?m)^(`{{3,}}|~{{3,}})') THEN 'code' WHEN regexp_matches(t, '(?m)^\\|[ :]*-+[ :]*\\|') THEN {_TABLE_SQL} ELSE {_PROSE_SQL} END AS content_type FROM (SELECT {_KIND_SQL} || chr(10) || text AS t FROM documents)) GROUP BY content_type")
 def content_type_counts(spark, sf_dir):
     kinds = F.element_at(F.array(*map(F.lit, _KINDS)), (F.col("doc_id") % len(_KINDS) + 1).cast("int"))
-    return read(spark, sf_dir, "documents", "doc_id").groupBy(detect.content_type(kinds).alias("content_type")).agg(F.count("*").alias("n"))
+    whole = F.concat(kinds, F.lit("\n"), F.col("text"))
+    return read(spark, sf_dir, "documents", "doc_id", "text").groupBy(detect.content_type(whole).alias("content_type")).agg(F.count("*").alias("n"))
 
 
 @query("SELECT p_partkey::VARCHAR AS doc_id, p_type || ' > ' || p_brand || ' > ' || p_name AS section_path FROM part")
@@ -253,14 +246,18 @@ def rank_chunks_topk(spark, sf_dir):
     return rank_chunks(docs, F.array(*map(F.lit, _KEYS)), ["source"]).select("source", "rank", "chunk_id")
 
 
-@query("SELECT d.doc_id AS doc_id, '*Source: ' || coalesce('Label ' || l.quality, d.doc_id::VARCHAR) || ', §' || d.lang || ' > ' || d.source || CASE WHEN d.doc_id % 2 = 0 THEN ', p.' || d.doc_id % 7 ELSE '' END || '*' AS cite FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id WHERE d.doc_id % 14 <> 0")
+@query(
+    "SELECT d.doc_id AS doc_id, '*Source: ' || CASE WHEN l.doc_id IS NULL THEN d.doc_id::VARCHAR ELSE 'Label ' || l.quality || ' of ' || l.doc_id END || ', §' || d.lang || ' > ' || d.source ||"
+    " CASE WHEN d.doc_id % 2 = 0 AND d.doc_id % 7 > 0 THEN ', p.' || d.doc_id % 7 ELSE '' END || '*' AS cite FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id"
+)
 def title_citation_join(spark, sf_dir):
-    docs, labels = read(spark, sf_dir, "documents", "doc_id", "lang", "source"), read(spark, sf_dir, "labels", F.col("doc_id").alias("l"), "quality")
-    rows = docs.where("doc_id % 14 <> 0").join(labels, F.col("doc_id") == F.col("l"), "left")
-    title = F.coalesce(F.concat(F.lit("Label "), F.col("quality").cast("string")), F.col("doc_id").cast("string"))
-    path = F.concat_ws(" > ", F.lit("top"), F.col("lang"), F.col("source"))
-    kind = F.when(F.col("doc_id") % 2 == 0, "pdf").otherwise("text")
-    return rows.select("doc_id", relevance.citation(title, path, kind, F.col("doc_id") % 7).alias("cite"))
+    path = F.concat(F.lit("dir/Label_"), F.col("quality").cast("string"), F.lit("-of_"), F.col("doc_id").cast("string"), F.lit(".pdf"))
+    listed = read(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("id"), path.alias("path"))
+    chunks = read(spark, sf_dir, "documents", F.col("doc_id").alias("n"), F.col("doc_id").cast("string").alias("doc_id"), "lang", "source")
+    section = F.concat_ws(" > ", F.lit("top"), F.col("lang"), F.col("source"))
+    kind = F.when(F.col("n") % 2 == 0, "pdf").otherwise("text")
+    rows = context.with_titles(chunks, listed)
+    return rows.select(F.col("n").alias("doc_id"), relevance.citation(F.col("title"), section, kind, F.col("n") % 7).alias("cite"))
 
 
 _OLD = "SELECT doc_id::VARCHAR AS id, CASE WHEN doc_id % 5 = 0 THEN 'old' ELSE sha256(text) END AS hash FROM documents WHERE doc_id % 3 <> 0"
@@ -295,13 +292,14 @@ def upsert_manifest(spark, sf_dir):
 @query("SELECT DISTINCT n_name AS peripheral, r_name AS chip FROM nation JOIN region ON n_regionkey = r_regionkey")
 def distinct_pairs(spark, sf_dir):
     both = read(spark, sf_dir, "nation").join(read(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    return both.select(F.col("n_name").alias("peripheral"), F.col("r_name").alias("chip")).distinct()
+    chunks = both.select(F.concat(F.lit("Map > "), "n_name", F.lit(" > X")).alias("section_path"), F.col("r_name").alias("chip"))
+    return context.distinct_peripherals(chunks).select("peripheral", "chip")
 
 
 @query("SELECT p_brand, p_type, count(*) OVER (PARTITION BY p_brand) AS collisions FROM (SELECT DISTINCT p_brand, p_type FROM part)")
 def collision_count(spark, sf_dir):
-    pairs = read(spark, sf_dir, "part", "p_brand", "p_type").distinct()
-    return pairs.withColumn("collisions", F.count("*").over(Window.partitionBy("p_brand")))
+    chunks = read(spark, sf_dir, "part").select(F.concat(F.lit("Map > "), "p_brand").alias("section_path"), F.col("p_type").alias("chip"))
+    return context.distinct_peripherals(chunks).select(F.col("peripheral").alias("p_brand"), F.col("chip").alias("p_type"), "collisions")
 
 
 @query("SELECT p_brand, md5(string_agg(p_name, chr(10) || chr(10) ORDER BY p_partkey)) AS digest FROM part GROUP BY p_brand")
@@ -366,29 +364,36 @@ def field_reset(spark, sf_dir):
     return rows.select("l_orderkey", "l_linenumber", registers.field_reset(F.col("l_orderkey"), F.col("l_suppkey") % 24, F.col("l_linenumber")).alias("reset_hex"))
 
 
-@query("SELECT p.p_partkey AS p_partkey, coalesce(CASE WHEN p.p_partkey % 7 = 0 THEN p.p_type END, b.p_type) AS description, coalesce(b.p_size, p.p_size) AS size FROM part p LEFT JOIN part b ON p.p_partkey % 7 <> 0 AND b.p_partkey = p.p_partkey - p.p_partkey % 7")
+@query("SELECT p.p_partkey AS p_partkey, b.p_type AS description, CASE WHEN b.p_partkey IS NULL THEN 0 ELSE 1 END::INT AS registers FROM part p LEFT JOIN part b ON b.p_partkey = p.p_partkey - p.p_partkey % 7")
 def derived_self_join(spark, sf_dir):
-    part = read(spark, sf_dir, "part", "p_partkey", "p_type", "p_size")
-    base = part.select(F.col("p_partkey").alias("b"), F.col("p_type").alias("b_type"), F.col("p_size").alias("b_size"))
-    derived = part.withColumn("from", F.when(F.col("p_partkey") % 7 != 0, F.col("p_partkey") - F.col("p_partkey") % 7)).withColumn("own", F.when(F.col("p_partkey") % 7 == 0, F.col("p_type")))
-    joined = derived.join(base, F.col("from") == F.col("b"), "left")
-    return joined.select("p_partkey", F.coalesce("own", "b_type").alias("description"), F.coalesce("b_size", "p_size").alias("size"))
+    """Chains of up to six links: each part of seven takes what it lacks from the one before it."""
+    key = F.col("p_partkey")
+    own = key % 7 == 0
+    part = read(spark, sf_dir, "part", "p_partkey", "p_type")
+    kind = svd.peripheral_type()
+    registers = F.when(own, F.array(F.struct(*[F.lit(None).cast(f.dataType).alias(f.name) for f in kind["registers"].dataType.elementType]))).otherwise(F.array().cast(kind["registers"].dataType))
+    named = F.struct(
+        key.cast("int").alias("pos"), key.cast("string").alias("name"), F.when(own, F.col("p_type")).alias("description"), key.cast("string").alias("base"),
+        F.when(~own, (key - 1).cast("string")).alias("derived"), registers.alias("registers"),
+    )
+    devices = part.groupBy(F.floor(key / 7).cast("string").alias("path")).agg(F.collect_list(named).alias("peripherals")).withColumn("name", F.lit("X"))
+    return svd.peripheral_table(devices).select(F.col("name").cast("long").alias("p_partkey"), "description", F.size("registers").alias("registers"))
 
 
 def _register_model(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Suppliers as peripherals, their parts of the first order lines as registers, lines as fields."""
+    """Suppliers as peripherals, all order lines of theirs as registers of one field each."""
     prefix = F.element_at(F.array(F.lit("SPI"), F.lit("CAN"), F.lit("XYZ")), (F.col("s_suppkey") % 3 + 1).cast("int"))
     p = read(spark, sf_dir, "supplier").select(F.lit("CHIP").alias("chip"), F.concat(prefix, F.col("s_suppkey").cast("string")).alias("peripheral"), F.col("s_suppkey").alias("pos"), (F.col("s_suppkey") * 1024).alias("base_address"))
-    li = read(spark, sf_dir, "lineitem").where("l_orderkey < 600").join(read(spark, sf_dir, "supplier", "s_suppkey"), F.col("l_suppkey") == F.col("s_suppkey"))
+    li = read(spark, sf_dir, "lineitem").join(read(spark, sf_dir, "supplier", "s_suppkey"), F.col("l_suppkey") == F.col("s_suppkey"))
     own = F.concat(prefix, F.col("s_suppkey").cast("string")).alias("peripheral")
     code = F.when(F.col("l_returnflag") == "A", "read-only").when(F.col("l_returnflag") == "N", "read-write")
-    r = li.select(F.lit("CHIP").alias("chip"), own, (F.col("l_orderkey") * 1_000_000 + F.col("l_partkey")).alias("pos"), F.concat_ws("_", F.lit("R"), "l_orderkey", "l_partkey").alias("name"), F.col("l_partkey").alias("address_offset"), code.alias("access"), (F.col("l_orderkey") % 2).alias("reset_value"))
-    f = li.select(F.lit("CHIP").alias("chip"), own, F.concat_ws("_", F.lit("R"), "l_orderkey", "l_partkey").alias("register"), F.lit(0).alias("pos"), F.lit("EN").alias("name"), (F.col("l_partkey") % 16).alias("bit_offset"), F.col("l_linenumber").cast("long").alias("bit_width"))
+    r = li.select(F.lit("CHIP").alias("chip"), own, ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 1_000_000 + F.col("l_partkey")).alias("pos"), F.concat_ws("_", F.lit("R"), "l_orderkey", "l_linenumber", "l_partkey").alias("name"), F.col("l_partkey").alias("address_offset"), code.alias("access"), (F.col("l_orderkey") % 2).alias("reset_value"))
+    f = li.select(F.lit("CHIP").alias("chip"), own, F.concat_ws("_", F.lit("R"), "l_orderkey", "l_linenumber", "l_partkey").alias("register"), F.lit(0).alias("pos"), F.lit("EN").alias("name"), (F.col("l_partkey") % 16).alias("bit_offset"), F.col("l_linenumber").cast("long").alias("bit_width"))
     return p, r, f
 
 
 _P = "(SELECT ['SPI', 'CAN', 'XYZ'][(s_suppkey % 3 + 1)::INT] || s_suppkey AS p, s_suppkey, s_suppkey * 1024 AS base FROM supplier)"
-_R = f"(SELECT p, l_orderkey * 1000000 + l_partkey AS pos, 'R_' || l_orderkey || '_' || l_partkey AS r, l_partkey AS o, l_returnflag AS a, l_orderkey % 2 AS v, l_linenumber AS w FROM lineitem JOIN {_P} ON l_suppkey = s_suppkey WHERE l_orderkey < 600)"
+_R = f"(SELECT p, (l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey AS pos, 'R_' || l_orderkey || '_' || l_linenumber || '_' || l_partkey AS r, l_partkey AS o, l_returnflag AS a, l_orderkey % 2 AS v, l_linenumber AS w FROM lineitem JOIN {_P} ON l_suppkey = s_suppkey)"
 _MODEL_SQL = f"""
 WITH ranked AS (SELECT p, base, CASE WHEN p LIKE 'SPI%' THEN 0 WHEN p LIKE 'CAN%' THEN 9 ELSE 17 END AS k, s_suppkey AS pos FROM {_P}),
 chosen AS (SELECT * FROM ranked ORDER BY k, p, pos LIMIT 20),
@@ -426,7 +431,7 @@ def lookup_join_prefix(spark, sf_dir):
     q = asked.select(F.concat(F.upper("peripheral"), F.lit("_base_address")).alias("id"), F.lit("base_address").alias("category"), "peripheral", F.lit("").alias("register"), F.lit("").alias("field_name"))
     names = read(spark, sf_dir, "supplier").select(F.concat(F.lit("Brand#"), (F.col("s_suppkey") % 60).cast("string")).alias("peripheral"), F.col("s_suppkey").alias("pos"), F.lit(1).cast("long").alias("base_address"))
     _, r, f = _register_model(spark, sf_dir)
-    found = evaluate.lookup_answers(q, names, r.limit(0), f.limit(0))
+    found = evaluate.lookup_answers(q, names.withColumn("chip", F.lit("CHIP")), r, f)
     return found.where("answerable").select("id", "peripheral")
 
 
@@ -490,10 +495,10 @@ def extract_access(spark, sf_dir):
     return _keys(spark, sf_dir).select("l_orderkey", "l_linenumber", scoring.extract_access(said).alias("access"))
 
 
-@query(f"SELECT {_L}, l_partkey || ' ' || ['MHz', 'kHz', 'mV', 'wait states', 'KB', 'x'][(l_suppkey % 6 + 1)::INT] AS number FROM lineitem WHERE l_suppkey % 6 <> 5")
+@query(f"SELECT {_L}, l_partkey || [' MHz', ' kHz', ' mV', ' wait states', ' KB', ''][(l_suppkey % 6 + 1)::INT] AS number FROM lineitem")
 def extract_numeric(spark, sf_dir):
     said = F.concat(F.lit("about "), F.col("l_partkey").cast("string"), F.lit(" "), F.element_at(F.array(*map(F.lit, _UNIT)), (F.col("l_suppkey") % 6 + 1).cast("int")))
-    return _keys(spark, sf_dir).where("l_suppkey % 6 <> 5").select("l_orderkey", "l_linenumber", scoring.extract_numeric(said).alias("number"))
+    return _keys(spark, sf_dir).select("l_orderkey", "l_linenumber", scoring.extract_numeric(said).alias("number"))
 
 
 @query(f"SELECT {_L}, l_linenumber || CASE WHEN l_partkey % 2 = 0 THEN '' ELSE 'V' END || ' to ' || l_partkey || 'V' AS bounds FROM lineitem")
@@ -660,10 +665,17 @@ def rag_budget_prefix(spark, sf_dir):
     return search.within_budget(read(spark, sf_dir, "documents", "lang", "doc_id", "text"), ["lang"], ["doc_id"], "text").select("lang", "doc_id")
 
 
-@query("SELECT user_id, event_type AS task, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY value DESC, event_id) AS r FROM events) WHERE r = 1")
+@query(
+    "WITH r AS (SELECT user_id, event_type, event_id, row_number() OVER (PARTITION BY user_id ORDER BY (value > 50) DESC, event_id) AS rank FROM events)"
+    " SELECT user_id, event_type AS task, event_id, rank::INT AS rank, row_number() OVER (PARTITION BY user_id, event_type ORDER BY rank) = 1 AS shown FROM r WHERE rank <= 5"
+)
 def task_dedupe(spark, sf_dir):
-    w = Window.partitionBy("user_id", "event_type").orderBy(F.desc("value"), "event_id")
-    return read(spark, sf_dir, "events").withColumn("r", F.row_number().over(w)).where("r = 1").select("user_id", F.col("event_type").alias("task"), "event_id")
+    name = F.concat(F.lit("TIM"), F.col("user_id").cast("string"))
+    rows = read(spark, sf_dir, "events").select(
+        "user_id", "event_id", name.alias("peripheral"), F.lit("").alias("p_chip"), F.lpad(F.col("event_id").cast("string"), 12, "0").alias("chunk_id"), F.lit("config_procedure").alias("content_type"),
+        F.concat(F.lit("Guide > "), name, F.lit(" > "), F.col("event_type")).alias("section_path"), F.when(F.col("value") > 50, F.concat(F.lit("use "), name)).otherwise("use it").alias("content"),
+    )
+    return context.usage_patterns(rows).select("user_id", "task", "event_id", "rank", "shown")
 
 
 def _spans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -680,17 +692,17 @@ def heading_levels(spark, sf_dir):
     return pdf.heading_levels(pdf.font_histogram(_spans(spark, sf_dir)))
 
 
-_BOX = "SELECT (l_orderkey % 50)::INT AS page, l_orderkey, l_linenumber, (l_partkey % 500)::DOUBLE AS x0, (l_suppkey % 700)::DOUBLE AS y0 FROM lineitem WHERE l_linenumber <= 3"
+_BOX = "SELECT l_orderkey, l_linenumber, (l_partkey % 500)::DOUBLE AS x0, (l_suppkey % 700)::DOUBLE AS y0 FROM lineitem"
 
 
-@query(f"SELECT l_orderkey, l_linenumber FROM ({_BOX}) b WHERE NOT EXISTS (SELECT 1 FROM (SELECT (p_partkey % 50)::INT AS page, (p_size * 10)::DOUBLE AS x0, (p_partkey % 600)::DOUBLE AS y0 FROM part WHERE p_partkey <= 150) t WHERE t.page = b.page AND b.x0 < t.x0 + 80 AND b.x0 + 40 > t.x0 AND b.y0 < t.y0 + 90 AND b.y0 + 20 > t.y0)")
+@query(f"SELECT l_orderkey, l_linenumber FROM ({_BOX}) b WHERE NOT EXISTS (SELECT 1 FROM (SELECT p_partkey, p_size % 7 + 1 AS page, (p_size * 10)::DOUBLE AS x0, (p_partkey % 600)::DOUBLE AS y0 FROM part) t WHERE t.p_partkey = b.l_orderkey AND t.page = b.l_linenumber AND b.x0 < t.x0 + 300 AND b.x0 + 40 > t.x0 AND b.y0 < t.y0 + 300 AND b.y0 + 20 > t.y0)")
 def block_table_antijoin(spark, sf_dir):
-    li = read(spark, sf_dir, "lineitem").where("l_linenumber <= 3")
+    """Orders and parts of one number are a document; lines are its blocks, by page, and the part its table."""
+    li, part = read(spark, sf_dir, "lineitem"), read(spark, sf_dir, "part")
     x, y = (F.col("l_partkey") % 500).cast("double"), (F.col("l_suppkey") % 700).cast("double")
-    blocks = li.select("l_orderkey", "l_linenumber", F.lit("d").alias("doc_id"), (F.col("l_orderkey") % 50).cast("int").alias("page"), x.alias("x0"), y.alias("y0"), (x + 40).alias("x1"), (y + 20).alias("y1"))
-    part = read(spark, sf_dir, "part").where("p_partkey <= 150")
+    blocks = li.select("l_orderkey", "l_linenumber", F.col("l_orderkey").cast("string").alias("doc_id"), F.col("l_linenumber").cast("int").alias("page"), x.alias("x0"), y.alias("y0"), (x + 40).alias("x1"), (y + 20).alias("y1"))
     u, v = (F.col("p_size") * 10).cast("double"), (F.col("p_partkey") % 600).cast("double")
-    tables = part.select(F.lit("d").alias("doc_id"), (F.col("p_partkey") % 50).cast("int").alias("page"), u.alias("x0"), v.alias("y0"), (u + 80).alias("x1"), (v + 90).alias("y1"))
+    tables = part.select(F.col("p_partkey").cast("string").alias("doc_id"), (F.col("p_size") % 7 + 1).cast("int").alias("page"), u.alias("x0"), v.alias("y0"), (u + 300).alias("x1"), (v + 300).alias("y1"))
     return pdf.outside_tables(blocks, tables).select("l_orderkey", "l_linenumber")
 
 
@@ -710,3 +722,6 @@ def star_revenue(spark, sf_dir):
     orders, customer, nation = read(spark, sf_dir, "orders", "o_orderkey", "o_custkey"), read(spark, sf_dir, "customer", "c_custkey", "c_nationkey"), read(spark, sf_dir, "nation", "n_nationkey", "n_name")
     joined = li.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(customer, F.col("o_custkey") == F.col("c_custkey")).join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
     return joined.groupBy("n_name").agg(F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"), F.count("*").alias("lines"))
+
+
+from . import library  # noqa: E402, F401 - registers further queries

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..errors import ParseError
 from ..functions.registers import DASH, access_code, bit_range, field_reset, hex_format, parse_int
 from ..functions.text import content_hash, make_doc_id, stem, strip
 from .files import LIMITS
@@ -123,19 +124,35 @@ def read_devices(files: DataFrame) -> DataFrame:
     return files.select("path", content.alias("content")).mapInArrow(run, kinds)
 
 
+def peripheral_type():
+    """Type of a device's peripherals, without the array."""
+    from pyspark.sql.types import StructType
+
+    return StructType.fromDDL(DEVICE)["peripherals"].dataType.elementType
+
+
 def peripheral_table(devices: DataFrame) -> DataFrame:
-    """Peripherals with what a derived one takes from its base filled in (F17), along chains of any length."""
+    """Peripherals with what a derived one takes from its base filled in (F17), along chains of any length.
+
+    Each round follows one link for all peripherals, until none is left; a chain
+    longer than a file has peripherals goes in a circle, which is an error.
+    """
     p = devices.select(F.coalesce("name", stem(F.col("path"))).alias("chip"), "path", F.explode("peripherals").alias("p")).select("chip", "path", "p.*")
     base = p.select(F.col("path").alias("_path"), F.col("name").alias("_name"), F.col("description").alias("_description"), F.col("derived").alias("_derived"), F.col("registers").alias("_registers"))
     out = p.withColumn("derived_from", F.col("derived"))
-    for _ in range(8):  # a chain may not be longer; each round follows one link for all peripherals
+    most, n = None, 0
+    while True:
         step = out.join(base, (F.col("path") == F.col("_path")) & (F.col("derived") == F.col("_name")), "left")
         out = step.select(
             "chip", "path", "pos", "name", F.coalesce("description", "_description").alias("description"), "base", "derived_from",
             F.when(F.size("registers") > 0, F.col("registers")).otherwise(F.coalesce("_registers", "registers")).alias("registers"), F.col("_derived").alias("derived"),
         )
-        if not out.where(F.col("derived").isNotNull()).limit(1).count():
+        left = out.where(F.col("derived").isNotNull()).select("path").limit(1).collect()
+        if not left:
             break
+        most = most or devices.agg(F.max(F.size("peripherals"))).first()[0]
+        if (n := n + 1) > most:
+            raise ParseError(f"{left[0]['path']}: peripherals derive from one another in a circle")
     return out.withColumn("base_address", parse_int(F.col("base"))).drop("base", "derived")
 
 
