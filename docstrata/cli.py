@@ -9,6 +9,7 @@ import sys
 from dataclasses import asdict
 from pathlib import Path
 
+from . import VERSION
 from . import __doc__ as about
 from . import config as configuration
 from .errors import EngineError
@@ -22,8 +23,9 @@ def parser() -> argparse.ArgumentParser:
     c = sub.add_parser("init")
     c.add_argument("--name", default="")
     c.add_argument("--chip", default="")
-    for name in ("status", "version", "serve"):
+    for name in ("status", "version"):
         sub.add_parser(name)
+    sub.add_parser("serve").add_argument("--config", action="store_true", help="print what a tool needs to start the server")
     c = sub.add_parser("add")
     c.add_argument("paths", nargs="+")
     c.add_argument("--type", default="")
@@ -40,17 +42,38 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("peripheral", nargs="?", default="")
     c.add_argument("--chip", default="")
     c.add_argument("--format", choices=("md", "json", "text"), default="md")
-    c = sub.add_parser("catalog")
+    catalog = sub.add_parser("catalog").add_subparsers(dest="action", required=True)
+    c = catalog.add_parser("list")
     c.add_argument("file")
     c.add_argument("query", nargs="?", default="")
     c.add_argument("--vendor", default="")
+    c = catalog.add_parser("add")
+    c.add_argument("file")
+    c.add_argument("device")
+    c.add_argument("--base", required=True, help="URL of the folder that the catalog's paths are below")
     c = sub.add_parser("config")
     c.add_argument("key")
     c.add_argument("value", nargs="?")
-    c = sub.add_parser("questions")
+    bench = sub.add_parser("bench").add_subparsers(dest="action", required=True)
+    c = bench.add_parser("generate")
     c.add_argument("svd")
     c.add_argument("out")
-    c.add_argument("--peripherals", type=int, default=10)
+    c.add_argument("--peripherals", type=int, default=20)
+    c = bench.add_parser("run")
+    c.add_argument("questions")
+    c.add_argument("out")
+    c.add_argument("--provider", default="stub", help="stub, command or http")
+    c.add_argument("--option", action="append", default=[], help="name=value of the provider; a command's words are separated by spaces")
+    c.add_argument("--condition", action="append", default=[], help="of no_context, hot, raw_text, full, svd_lookup, rag, hybrid; all that can be had if none is given")
+    c.add_argument("--svd", default="", help="register file for lookups")
+    c.add_argument("--text", default="", help="text file for the raw_text condition")
+    c.add_argument("--chip", default="")
+    c.add_argument("--runs", type=int, default=1)
+    c = bench.add_parser("report")
+    c.add_argument("questions")
+    c.add_argument("responses")
+    c.add_argument("--chip", default="")
+    c.add_argument("--out", default="")
     return p
 
 
@@ -66,7 +89,7 @@ def main(argv: list[str] | None = None) -> int:
 
 def run(args: argparse.Namespace) -> int:
     if args.command == "version":
-        print("docstrata 0.1")
+        print(f"docstrata {VERSION}")
         return 0
     from . import serve
     from .project import Project, find_root
@@ -80,7 +103,10 @@ def run(args: argparse.Namespace) -> int:
     elif args.command == "status":
         print(json.dumps(asdict(project.status())))
     elif args.command == "serve":
-        serve.serve(project)
+        if args.config:
+            print(json.dumps({"mcpServers": {"docstrata": serve.settings(root.resolve())}}))
+        else:
+            serve.serve(project)
     elif args.command == "add":
         print(json.dumps(project.add(*args.paths, doc_type=args.type, chip=args.chip, compile_after=not args.no_compile)))
     elif args.command == "remove":
@@ -96,8 +122,12 @@ def run(args: argparse.Namespace) -> int:
         from .sources.catalog import Catalog
 
         c = Catalog.read(spark, args.file)
-        for r in (c.search(args.query, args.vendor, 10) if args.query else c.vendors()).collect():
-            print(*r)
+        if args.action == "add":
+            path = c.fetch(args.device, args.base, project.folder / "devices")
+            print(json.dumps(project.add(str(path), chip=args.device)))
+        else:
+            for r in (c.search(args.query, args.vendor, 10) if args.query else c.vendors()).collect():
+                print(*r)
     elif args.command == "config":
         c = project.config()
         if args.value is None:
@@ -105,8 +135,8 @@ def run(args: argparse.Namespace) -> int:
         else:
             configuration.put(c, args.key, args.value)
             project.save(c)
-    elif args.command == "questions":
-        write_questions(spark, args.svd, args.out, args.peripherals)
+    elif args.command == "bench":
+        {"generate": bench_generate, "run": bench_run, "report": bench_report}[args.action](spark, project, args)
     return 0
 
 
@@ -118,15 +148,66 @@ def shown(spark, query: str, text: str, kind: str) -> str:
     return spark.range(1).select(formatted(F.lit(query), F.lit(text), kind)).first()[0]
 
 
-def write_questions(spark, svd_path: str, out: str, most: int) -> None:
-    """M8: a question set from a register description."""
-    from .operators.evaluate import generate_questions
+def register_model(spark, svd_path: str):
+    """Peripherals, registers and fields of register files."""
     from .sources.files import scan
     from .sources.svd import field_table, peripheral_table, read_devices, register_table
 
     p = peripheral_table(read_devices(scan(spark, svd_path)))
     r = register_table(p)
-    generate_questions(p.withColumnRenamed("name", "peripheral"), r.drop("fields"), field_table(r), most).write.mode("overwrite").json(out)
+    return p.withColumnRenamed("name", "peripheral"), r.drop("fields"), field_table(r)
+
+
+def bench_generate(spark, project, args) -> None:
+    """M8: a question set from a register description."""
+    from .operators.evaluate import generate_questions, write_dataset
+
+    model = register_model(spark, args.svd)
+    chip = (model[0].select("chip").first() or ("",))[0]
+    write_dataset(generate_questions(*model, args.peripherals), f"{chip}_questions", chip, args.out)
+
+
+def bench_run(spark, project, args) -> None:
+    """M8: answers of a provider to a question set, in each condition that can be had; the skipped ones are named."""
+    from pyspark.sql import functions as F
+
+    from .operators import evaluate
+    from .providers import default_registry
+
+    options = dict(o.split("=", 1) for o in args.option)
+    if "command" in options:
+        options["command"] = options["command"].split()
+    provider = default_registry().create("answer", args.provider, **options)
+    inside = project.folder.is_dir()
+    hot = project.context / "hot.md"
+    pages = {p.name: p.read_text(encoding="utf-8") for p in sorted((project.context / "peripherals").glob("*.md"))} if inside else None
+    raw = Path(args.text).read_text(encoding="utf-8", errors="replace") if args.text else None
+    what = evaluate.conditions(spark, args.chip, hot.read_text(encoding="utf-8") if hot.is_file() else None, raw, pages)
+    what = evaluate.with_placeholders(what)
+    if args.condition:
+        what = what.where(F.col("name").isin(*args.condition))
+    model = register_model(spark, args.svd) if args.svd else None
+    chunks = project.store.read() if inside else None
+    responses, skipped = evaluate.run_benchmark(evaluate.read_dataset(spark, args.questions), what, provider, args.runs, model, chunks, project.embedder if inside else None, args.chip)
+    responses.write.mode("overwrite").json(args.out)
+    for name in skipped:
+        print(f"skipped {name}: what it needs was not given", file=sys.stderr)
+
+
+def bench_report(spark, project, args) -> None:
+    """M8: tables of the metrics by condition and by category."""
+    from pyspark.sql import functions as F
+
+    from .operators import evaluate
+
+    questions = evaluate.read_dataset(spark, args.questions)
+    raw = spark.read.schema("id string, condition string, correct boolean, latency_ms double, partial_score double, confidence double").json(args.responses).withColumnRenamed("id", "question_id")
+    metrics = evaluate.core_metrics(raw, ["condition"])
+    names = [r["condition"] for r in metrics.select("condition").orderBy("condition").collect()]
+    text = evaluate.report_markdown(metrics, evaluate.accuracy_by(raw, ["condition"], evaluate.infer_category(F.col("question_id")), "category"), names, args.chip)
+    print(text)
+    if args.out:
+        evaluate.write_json(evaluate.report(raw, questions, f"{args.chip}_questions", args.chip), args.out)
 
 
 if __name__ == "__main__":

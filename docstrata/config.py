@@ -3,127 +3,46 @@
 from __future__ import annotations
 
 import tomllib
-from dataclasses import asdict, dataclass, field, fields
+from copy import deepcopy
 from pathlib import Path
+from types import SimpleNamespace
 
 from .errors import ConfigError
 
-
-@dataclass
-class Project:
-    name: str = ""
-
-
-@dataclass
-class Hardware:
-    mcu: str = ""
-    mcu_family: str = ""
-    architecture: str = ""
-    clock_mhz: int = 0
-    flash_kb: int = 0
-    ram_kb: int = 0
-    soc: str = ""
-    soc_family: str = ""
-    board: str = ""
-
-
-@dataclass
-class Software:
-    rtos: str = ""
-    hal: str = ""
-    language: str = "C"
-    build_system: str = ""
-    kernel: str = ""
-    bootloader: str = ""
-    distro: str = ""
-
-
-@dataclass
-class Conventions:
-    register_access: str = ""
-    error_handling: str = ""
-    naming: str = ""
-
-
-@dataclass
-class Embedding:
-    provider: str = "hashing"
-    model: str = ""
-    url: str = ""
-    key_variable: str = ""
-    batch_size: int = 64
-
-
-@dataclass
-class Store:
-    provider: str = "parquet"
-    collection: str = "chunks"
-
-
-@dataclass
-class Chunking:
-    max_tokens: int = 512
-    overlap_tokens: int = 50
-    min_tokens: int = 50
-
-
-@dataclass
-class Output:
-    targets: list[str] = field(default_factory=lambda: ["claude"])
-    hot_context_lines: int = 120
-
-
-@dataclass
-class Ingest:
-    pdf_parser: str = "pdf"
-
-
-@dataclass
-class Vision:
-    provider: str = "none"
-    model: str = ""
-
-
-@dataclass
-class Serving:
-    top_k: int = 5
-
-
-SECTIONS = {
-    "project": Project, "hardware": Hardware, "software": Software, "conventions": Conventions, "embedding": Embedding, "store": Store, "chunk": Chunking,
-    "output": Output, "ingest": Ingest, "vision": Vision, "serving": Serving,
-}
-
-
-@dataclass
-class Config:
-    project: Project = field(default_factory=Project)
-    hardware: Hardware = field(default_factory=Hardware)
-    software: Software = field(default_factory=Software)
-    conventions: Conventions = field(default_factory=Conventions)
-    embedding: Embedding = field(default_factory=Embedding)
-    store: Store = field(default_factory=Store)
-    chunk: Chunking = field(default_factory=Chunking)
-    output: Output = field(default_factory=Output)
-    ingest: Ingest = field(default_factory=Ingest)
-    vision: Vision = field(default_factory=Vision)
-    serving: Serving = field(default_factory=Serving)
-    pins: dict[str, str] = field(default_factory=dict)
+#: Every section with its settings and their defaults (fixed values).
+DEFAULTS: dict[str, dict] = {
+    "project": {"name": ""},
+    "hardware": {"mcu": "", "mcu_family": "", "architecture": "", "clock_mhz": 0, "flash_kb": 0, "ram_kb": 0, "soc": "", "soc_family": "", "board": ""},
+    "software": {"rtos": "", "hal": "", "language": "C", "build_system": "", "kernel": "", "bootloader": "", "distro": ""},
+    "conventions": {"register_access": "", "error_handling": "", "naming": ""},
+    "embedding": {"provider": "hashing", "model": "", "url": "", "key_variable": "", "batch_size": 64},
+    "store": {"provider": "parquet", "collection": "chunks"},
+    "chunk": {"max_tokens": 512, "overlap_tokens": 50, "min_tokens": 50},
+    "output": {"targets": ["claude"], "hot_context_lines": 120},
+    "ingest": {"pdf_parser": "pdf"},
+    "vision": {"provider": "none", "model": "", "url": "", "key_variable": ""},
+    "serving": {"top_k": 5},
+}
+
+
+class Config(SimpleNamespace):
+    """A namespace a section, and ``pins``, a free mapping."""
+
+    def __init__(self, given: dict | None = None):
+        given = given or {}
+        for section, defaults in DEFAULTS.items():
+            own = given.get(section, {})
+            if not isinstance(own, dict):
+                raise ConfigError(f"{section} is no section")
+            setattr(self, section, SimpleNamespace(**(deepcopy(defaults) | {k: v for k, v in own.items() if k in defaults})))
+        self.pins = {str(k): str(v) for k, v in given.get("pins", {}).items()}
 
 
 def loads(text: str) -> Config:
     try:
-        raw = tomllib.loads(text)
+        return Config(tomllib.loads(text))
     except tomllib.TOMLDecodeError as e:
         raise ConfigError(str(e)) from e
-    made = {}
-    for name, kind in SECTIONS.items():
-        given = raw.get(name, {})
-        if not isinstance(given, dict):
-            raise ConfigError(f"{name} is no section")
-        known = {f.name for f in fields(kind)}
-        made[name] = kind(**{k: v for k, v in given.items() if k in known})
-    return Config(**made, pins={str(k): str(v) for k, v in raw.get("pins", {}).items()})
 
 
 def load(path: str | Path) -> Config:
@@ -146,7 +65,8 @@ def _value(v) -> str:
 
 def dumps(config: Config) -> str:
     lines = []
-    for name, section in asdict(config).items():
+    for name, section in ((n, getattr(config, n)) for n in (*DEFAULTS, "pins")):
+        section = section if isinstance(section, dict) else vars(section)
         lines.append(f"[{name}]")
         lines += [f"{k if k.replace('_', '').replace('-', '').isalnum() and k.isascii() else _value(k)} = {_value(v)}" for k, v in section.items()]
         lines.append("")

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from ..errors import BenchmarkError
 from ..functions.registers import access_code, bit_range, difficulty, hex_format, priority
 from ..functions.scoring import extract_answer, extract_confidence, lookup, score_answer, score_partial
+from .embed import Embedder, embed_chunks
+from .search import nearest_for_each, within_budget
 
 # Fixed values.
 REGISTER_CATEGORIES = ("base_address", "register_offset", "bit_field", "reset_value", "access_type")
@@ -203,6 +205,80 @@ def scored(rows: DataFrame, extracted: Column | None = None) -> DataFrame:
     return out.withColumn("correct", F.col("score") == 1.0).withColumn("confidence", F.when(failed, F.lit(None).cast("double")).otherwise(extract_confidence(F.col("raw_response"))))
 
 
+#: Conditions whose prompts, if any, depend on the question.
+DYNAMIC = ("svd_lookup", "rag", "hybrid")
+
+
+def with_placeholders(what: DataFrame, names: tuple[str, ...] = DYNAMIC) -> DataFrame:
+    """Conditions without a prompt of their own, after those with one."""
+    rows = what.sparkSession.createDataFrame([(n, "", "depends on the question") for n in names], what.schema)
+    return what.unionByName(rows)
+
+
+def retrieved_prompts(questions: DataFrame, chunks: DataFrame, embedder: Embedder, chip: str = "", k: int = 5, most: int = 32_000) -> DataFrame:
+    """(id, system_prompt): the passages nearest to a question, as many as fit."""
+    asked = embed_chunks(questions.select("id", "question"), embedder, "question", "query").select(F.col("id").alias("query_id"), "query")
+    rows = chunks.where(F.col("chip") == chip) if chip else chunks
+    found = within_budget(nearest_for_each(rows.select("chunk_id", "content", "embedding"), asked, k, "chunk_id", "embedding"), ["query_id"], ["rank"], most=most)
+    text = found.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "content"))), lambda x: x["content"]), "\n\n---\n\n").alias("t"))
+    head, tail = PROMPT.format(chip=chip, context="\0").split("\0")
+    prompt = F.concat(F.lit(head + "Hardware documentation:\n\n"), F.coalesce("t", F.lit("")), F.lit(tail))
+    return questions.select(F.col("id").alias("_q")).join(text, F.col("_q") == F.col("query_id"), "left").select(F.col("_q").alias("id"), prompt.alias("system_prompt"))
+
+
+RESULT = ("id", "condition", "run_id", "raw_response", "extracted_answer", "score", "partial_score", "correct", "confidence", "latency_ms", "tokens")
+
+
+def run_benchmark(
+    questions: DataFrame, what: DataFrame, provider: Callable[[str, str], tuple[str, int, float]], runs: int = 1, model: tuple[DataFrame, DataFrame, DataFrame] | None = None,
+    chunks: DataFrame | None = None, embedder: Embedder | None = None, chip: str = "",
+) -> tuple[DataFrame, list[str]]:
+    """The responses to all questions in all conditions, and the conditions that were skipped for want of what they need.
+
+    ``model`` are the tables of :func:`lookup_answers`, ``chunks`` the embedded
+    passages that are searched. The hybrid condition looks up what the tables
+    hold, searches for what names a peripheral, and else takes the fullest prompt.
+    """
+    names = [r["name"] for r in what.select("name").collect()]
+    can = {"svd_lookup": model is not None, "hybrid": model is not None, "rag": chunks is not None and embedder is not None}
+    skipped = [n for n in names if not can.get(n, True)]
+    names = [n for n in names if n not in skipped]
+    static = what.where(~F.col("name").isin(*DYNAMIC))
+    number = questions.sparkSession.range(runs).select((F.col("id") + 1).cast("string").alias("run_id"))
+    columns = [*questions.columns, "condition", "system_prompt", "run_id"]
+    asked = [prompts(questions, static, runs).select(*columns)]
+    passages = retrieved_prompts(questions, chunks, embedder, chip) if can["rag"] and {"rag", "hybrid"} & set(names) else None
+    repeated = lambda rows, name: rows.withColumn("condition", F.lit(name)).join(F.broadcast(number)).select(*columns)
+    known = []
+    if "rag" in names:
+        asked.append(repeated(questions.join(passages, "id"), "rag"))
+    if model is not None and {"svd_lookup", "hybrid"} & set(names):
+        answers = lookup_answers(questions, *model)
+        if "svd_lookup" in names:
+            known.append(lookup_responses(questions, answers, "svd_lookup"))
+        if "hybrid" in names:
+            via = route(F.col("category"), F.col("peripheral"))
+            via = via if can["rag"] else F.when(via == "rag", "full").otherwise(via)
+            routed = questions.withColumn("via", via)
+            known.append(lookup_responses(routed.where("via = 'svd_lookup'").drop("via"), answers, "hybrid"))
+            if can["rag"]:
+                asked.append(repeated(routed.where("via = 'rag'").drop("via").join(passages, "id"), "hybrid"))
+            best = static.where(F.col("name") == fallback(names)).select("system_prompt")  # one row
+            asked.append(repeated(routed.where("via = 'full'").drop("via").join(F.broadcast(best)), "hybrid"))
+    raw = ask(reduce(DataFrame.unionByName, asked), provider)
+    out = scored(raw.join(questions.select("id", "answer", "answer_format"), "id")).select(*RESULT)
+    for rows in known:
+        out = out.unionByName(rows.join(F.broadcast(number)).withColumn("tokens", F.lit(0)).select(*RESULT))
+    return out, skipped
+
+
+def write_dataset(questions: DataFrame, name: str, chip: str, path: str) -> None:
+    """A question set as one JSON object; its size is bounded by what is asked of a peripheral."""
+    head = dataset_header(questions, name, chip)
+    rows = questions.agg(F.array_sort(F.collect_list(F.struct("id", *[c for c in questions.columns if c != "id"]))).alias("questions"))
+    head.join(rows).coalesce(1).write.mode("overwrite").json(path)  # one row and one row
+
+
 # Statistics
 
 

@@ -85,17 +85,37 @@ PERIPHERAL = """\
 ?citations
 ?citations {citations}
 """
-TOOL = f"""\
-{{preamble}}{BEGIN}
-{{hot_context}}
-
-## Hardware reference
-
-Read the peripheral's file in `{{context_dir}}/peripherals/` before writing code for it. Register addresses and bit positions stand there; check them, do not guess.
-
-> Generated{{when}}
-{END}
-"""
+#: What each tool is told below the context: a heading and how to use the folder of pages.
+_ADVICE = {
+    "claude": ("Hardware reference", (
+        "Read the peripheral's file in `{context_dir}/peripherals/` before you write code for it.",
+        "Take register addresses, offsets and bit positions from there; do not guess them.",
+        "The `search`, `registers` and `context` tools of the documentation server find what the pages leave out.",
+    )),
+    "codex": ("Working with the hardware", (
+        "Pages of all peripherals are in `{context_dir}/peripherals/`, one file each.",
+        "Check every register address and bit position there before you use it.",
+    )),
+    "cursor": ("Rules for hardware code", (
+        "Open `{context_dir}/peripherals/<name>.md` before you edit a driver of that peripheral.",
+        "Use the register names of the page as they stand.",
+        "Where the page does not say, ask; do not make up addresses.",
+    )),
+    "gemini": ("Hardware pages", (
+        "`{context_dir}/peripherals/` holds a page for each peripheral: registers, fields, usage, sources.",
+        "Quote the page's source when you state a register's address or reset value.",
+    )),
+    "copilot": ("Instructions for hardware code", (
+        "Look registers up in `{context_dir}/peripherals/` and keep to the conventions above.",
+        "Do not suggest addresses or bit positions that no page has.",
+    )),
+}
+
+
+def _tool(name: str) -> str:
+    heading, lines = _ADVICE[name]
+    listed = "\n".join(f"- {x}" for x in lines)
+    return f"{{preamble}}{BEGIN}\n{{hot_context}}\n\n## {heading}\n\n{listed}\n\n> Generated{{when}}\n{END}\n"
 
 
 @dataclass(frozen=True)
@@ -103,19 +123,19 @@ class Target:
     """A tool and the file that it reads."""
 
     path: str
+    template: str
     preamble: str = ""
-    template: str = "tool"
 
 
 # The files that tools look for.
 TARGETS = {
-    "claude": Target("CLAUDE.md"),
-    "codex": Target("AGENTS.md"),
-    "cursor": Target(".cursor/rules/hardware.mdc", "---\ndescription: Hardware context\nalwaysApply: true\n---\n"),
-    "gemini": Target(".gemini/GEMINI.md"),
-    "copilot": Target(".github/copilot-instructions.md"),
+    "claude": Target("CLAUDE.md", "claude"),
+    "codex": Target("AGENTS.md", "codex"),
+    "cursor": Target(".cursor/rules/hardware.mdc", "cursor", "---\ndescription: Hardware context\nalwaysApply: true\n---\n"),
+    "gemini": Target(".gemini/GEMINI.md", "gemini"),
+    "copilot": Target(".github/copilot-instructions.md", "copilot"),
 }
-BUILT_IN = {"hot": HOT, "peripheral": PERIPHERAL, "tool": TOOL}
+BUILT_IN = {"hot": HOT, "peripheral": PERIPHERAL} | {name: _tool(name) for name in _ADVICE}
 
 
 def load(name: str, overrides: str | Path | None = None) -> str:

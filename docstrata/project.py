@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import logging
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 from datetime import datetime, timezone
 from pathlib import Path
@@ -14,9 +15,10 @@ from . import config as configuration
 from .errors import ConfigError, PipelineError
 from .operators.chunker import ChunkOptions, Tokenizer, chunk_documents
 from .operators.compile import ContextOptions, compile_hot, compile_peripherals, compile_targets, write_peripherals
-from .operators.embed import Embedder, HashingEmbedder, embed_chunks
+from .operators.embed import Embedder, embed_chunks
 from .operators.search import SearchEngine
 from .operators.store import ChunkStore
+from .providers import Registry, default_registry, made
 from .schemas import MANIFEST
 from .sources import manifest
 from .sources.files import read_documents
@@ -53,7 +55,7 @@ class Pipeline:
             failed = chunks.where("error is not null").select("doc_id", "error")
             embedded = embed_chunks(chunks.where("error is null").drop("error"), self.embedder)
             self.store.replace(embedded)
-            for r in failed.limit(20).collect():
+            for r in failed.toLocalIterator():
                 log.warning("%s: %s", r["doc_id"], r["error"])
             return self.store.metadata().groupBy("doc_id").agg(F.count("*").cast("int").alias("chunks"))
         except Exception as e:
@@ -64,10 +66,29 @@ class Pipeline:
 
 
 class Project:
-    def __init__(self, spark: SparkSession, root: str | Path, embedder: Embedder | None = None):
+    """A folder of files and what was made of them.
+
+    The embedder and the parsers of further formats are those given, else those
+    that the configuration names; ``registry`` has what it may name. A parser is
+    registered under its name and taken for the format it begins with (``pdf``).
+    """
+
+    def __init__(self, spark: SparkSession, root: str | Path, embedder: Embedder | None = None, registry: Registry | None = None, parsers: Mapping[str, Callable] | None = None):
         self.spark, self.root = spark, Path(root)
         self.folder = self.root / FOLDER
-        self.embedder = embedder or HashingEmbedder()
+        self.registry, self._embedder, self._parsers = registry or default_registry(), embedder, parsers
+
+    @property
+    def embedder(self) -> Embedder:
+        if self._embedder is None:
+            self._embedder = made(self.registry, "embedder", self.config().embedding)
+        return self._embedder
+
+    def parsers(self) -> dict[str, Callable[[DataFrame], DataFrame]]:
+        """Parsers of further formats by format."""
+        name = self.config().ingest.pdf_parser
+        out = {"pdf": self.registry.create("parser", name)} if name in self.registry.names("parser") else {}
+        return out | dict(self._parsers or {})
 
     @property
     def context(self) -> Path:
@@ -106,7 +127,7 @@ class Project:
     def add(self, *paths: str, doc_type: str = "", chip: str = "", compile_after: bool = True) -> dict[str, int]:
         """Files that are new or changed; the number of files in each state."""
         c = self.config()
-        found = read_documents(self.spark, *paths).where(~F.col("source_path").contains(f"/{FOLDER}/"))
+        found = read_documents(self.spark, *paths, parsers=self.parsers()).where(~F.col("source_path").contains(f"/{FOLDER}/"))
         if doc_type:
             found = found.withColumn("doc_type", F.lit(doc_type))
         own = F.lit(chip or c.hardware.mcu)
@@ -114,12 +135,14 @@ class Project:
         known = self.manifest()
         state = manifest.classified(found.withColumnRenamed("doc_id", "id"), known).withColumn("state", F.when(F.col("error").isNotNull(), "failed").otherwise(F.col("state"))).cache()
         counts = {r["state"]: r["n"] for r in state.groupBy("state").agg(F.count("*").alias("n")).collect()}
+        for r in state.where("error is not null").select("source_path", "error").toLocalIterator():
+            log.warning("%s: %s", r["source_path"], r["error"])
         work = state.where(F.col("state").isin("new", "changed")).withColumnRenamed("id", "doc_id")
         if counts.get("new", 0) + counts.get("changed", 0):
             options = ChunkOptions(c.chunk.max_tokens, c.chunk.overlap_tokens, c.chunk.min_tokens)
-            made = Pipeline(self.store, self.embedder, options).process(work)
+            done = Pipeline(self.store, self.embedder, options).process(work)
             now = f"{datetime.now(timezone.utc):%Y-%m-%dT%H:%M:%S+00:00}"
-            rows = work.join(made, "doc_id", "left").select(
+            rows = work.join(done, "doc_id", "left").select(
                 F.col("doc_id").alias("id"), F.col("source_path").alias("path"), "doc_type", "hash", F.lit(now).alias("added"), F.coalesce("chunks", F.lit(0)).alias("chunks"), "chip"
             )
             self._save_manifest(manifest.upsert(known, rows).select(*MANIFEST.fieldNames()))

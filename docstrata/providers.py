@@ -9,6 +9,7 @@ import subprocess
 import time
 import urllib.request
 from collections.abc import Callable, Iterator
+from inspect import signature
 
 import pandas as pd
 from pyspark.sql import Column
@@ -33,9 +34,12 @@ class Registry:
         self._known[category, name] = factory
 
     def create(self, category: str, name: str, **options):
+        return self.factory(category, name)(**options)
+
+    def factory(self, category: str, name: str) -> Callable:
         if (category, name) not in self._known:
             raise PluginError(f"no {category} {name!r}; known: {', '.join(self.names(category)) or 'none'}")
-        return self._known[category, name](**options)
+        return self._known[category, name]
 
     def names(self, category: str) -> list[str]:
         return sorted(n for c, n in self._known if c == category)
@@ -57,9 +61,20 @@ def default_registry() -> Registry:
     r.register("answer", "http", HttpProvider)
     r.register("vision", "none", lambda: no_description)
     r.register("vision", "function", described_by)
+    r.register("vision", "command", lambda command: described_by(CommandDescriber(command.split() if isinstance(command, str) else command)))
+    r.register("vision", "http", lambda url, model, key_variable="": described_by(HttpDescriber(url, model, key_variable)))
     return r
 
 
+def made(registry: Registry, category: str, section) -> object:
+    """The provider that a section of the configuration names, with those of its settings that it takes."""
+    name = section.provider
+    factory = registry.factory(category, name)
+    taken = signature(factory).parameters
+    given = {k: v for k, v in vars(section).items() if k != "provider" and k in taken and v not in ("", None)}
+    return registry.create(category, name, **given)
+
+
 class StubProvider:
     """Answers from a table; the same to the same question."""
 
@@ -150,3 +165,32 @@ def described_by(function: Callable[[bytes], str]) -> Callable[[Column], Column]
 
 def as_data_url(png: bytes) -> str:
     return "data:image/png;base64," + base64.b64encode(png).decode()
+
+
+FIGURE = "Describe this figure of a data sheet in two sentences."
+
+
+class CommandDescriber:
+    """A command that reads PNG bytes from its input and writes words."""
+
+    def __init__(self, command: list[str], timeout: float = 60.0):
+        self.command, self.timeout = command, timeout
+
+    def __call__(self, png: bytes) -> str:
+        done = subprocess.run(self.command, input=png, capture_output=True, timeout=self.timeout, check=True)
+        return done.stdout.decode("utf-8", "replace").strip()
+
+
+class HttpDescriber:
+    """A chat server that takes images as data URLs."""
+
+    def __init__(self, url: str, model: str, key_variable: str = "", timeout: float = 60.0):
+        self.url, self.model, self.key_variable, self.timeout = url, model, key_variable, timeout
+
+    def __call__(self, png: bytes) -> str:
+        key = os.environ.get(self.key_variable, "") if self.key_variable else ""
+        parts = [{"type": "text", "text": FIGURE}, {"type": "image_url", "image_url": {"url": as_data_url(png)}}]
+        body = {"model": self.model, "messages": [{"role": "user", "content": parts}]}
+        head = {"Content-Type": "application/json"} | ({"Authorization": f"Bearer {key}"} if key else {})
+        with urllib.request.urlopen(urllib.request.Request(self.url, json.dumps(body).encode(), head), timeout=self.timeout) as r:
+            return json.load(r)["choices"][0]["message"]["content"].strip()

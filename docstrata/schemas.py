@@ -34,4 +34,5 @@ RUN = fields("run_id string, dataset_name string, condition string, model string
 CONDITION = fields("name string, system_prompt string, description string")
 SPAN = fields("doc_id string, page int, block int, line int, span int, text string, size double, bold boolean, x0 double, y0 double, x1 double, y1 double")
 PAGE_TABLE = fields("doc_id string, page int, table int, x0 double, y0 double, x1 double, y1 double, cells array<array<string>>")
+PAGE = fields("doc_id string, page int, height double")
 LAYOUT_ITEM = fields("doc_id string, page int, y double, label string, text string, x0 double, y0 double, x1 double, y1 double, image binary")

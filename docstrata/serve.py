@@ -1,4 +1,4 @@
-"""Handlers for tools that ask (Q2-Q6, P8, P9, O12, D28, M6): plain functions and a line protocol over them."""
+"""Handlers for tools that ask (Q2-Q6, P8, P9, O12, D28, M6): plain functions, and a Model Context Protocol server over them."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from typing import TextIO
 
 from pyspark.sql import functions as F
 
+from . import VERSION
 from .functions.relevance import peripheral_of
 from .operators.compile import chips_of
 from .operators.search import clamp_k
@@ -41,8 +42,13 @@ def registers(project: Project, peripheral: str, register: str = "", chip: str =
         own &= F.col("chip") == chip
     if register:
         own &= F.upper("content").contains(register.upper())
-    rows = project.store.chunks(own).orderBy("chunk_index", "chunk_id").limit(limit).collect()
-    return "\n\n".join(r["content"] for r in rows) or f"No registers of {peripheral!r}."
+    rows = project.store.chunks(own).orderBy("chunk_index", "chunk_id").limit(limit + 1).collect()
+    return "\n\n".join(_listed([r["content"] for r in rows], limit)) or f"No registers of {peripheral!r}."
+
+
+def _listed(lines: list[str], limit: int) -> list[str]:
+    """The first lines, and a word on it if there are more."""
+    return lines if len(lines) <= limit else [*lines[:limit], f"(more than {limit}; give a larger limit to see them)"]
 
 
 def context(project: Project, peripheral: str, chip: str = "") -> str:
@@ -59,28 +65,73 @@ def context(project: Project, peripheral: str, chip: str = "") -> str:
 def list_peripherals(project: Project, limit: int = 1000) -> str:
     """Q5."""
     svd = project.store.metadata(F.col("doc_type") == "svd").select(peripheral_of(F.col("section_path")).alias("peripheral"), "chip").where("peripheral != ''")
-    return "\n".join(f"- {r['peripheral']} ({r['chips']})" for r in chips_of(svd).orderBy("peripheral").limit(limit).collect()) or "No peripherals."
+    rows = chips_of(svd).orderBy("peripheral").limit(limit + 1).collect()
+    return "\n".join(_listed([f"- {r['peripheral']} ({r['chips']})" for r in rows], limit)) or "No peripherals."
 
 
 def list_documents(project: Project, limit: int = 1000) -> str:
-    rows = project.manifest().orderBy("id").limit(limit).collect()
-    return "\n".join(f"| {r['id']} | {r['doc_type']} | {r['chip']} | {r['chunks']} | {r['added'][:10]} |" for r in rows) or "No documents."
+    rows = project.manifest().orderBy("id").limit(limit + 1).collect()
+    return "\n".join(_listed([f"| {r['id']} | {r['doc_type']} | {r['chip']} | {r['chunks']} | {r['added'][:10]} |" for r in rows], limit)) or "No documents."
 
 
 TOOLS = {"search": search, "registers": registers, "context": context, "list_peripherals": list_peripherals, "list_documents": list_documents}
 
 
+#: Arguments of each tool: name to type, the required ones first.
+ARGUMENTS = {
+    "search": ("Search the indexed documents", {"query": "string", "top_k": "integer", "chip": "string", "doc_type": "string", "peripheral": "string"}, ["query"]),
+    "registers": ("Registers of a peripheral", {"peripheral": "string", "register": "string", "chip": "string", "limit": "integer"}, ["peripheral"]),
+    "context": ("The compiled page of a peripheral", {"peripheral": "string", "chip": "string"}, ["peripheral"]),
+    "list_peripherals": ("All peripherals", {"limit": "integer"}, []),
+    "list_documents": ("All documents", {"limit": "integer"}, []),
+}
+PROTOCOL = "2024-11-05"
+
+
+def described_tools() -> list[dict]:
+    kinds = lambda given: {k: {"type": t} for k, t in given.items()}
+    return [{"name": n, "description": d, "inputSchema": {"type": "object", "properties": kinds(a), "required": r}} for n, (d, a, r) in ARGUMENTS.items()]
+
+
+def respond(project: Project, request: dict) -> dict | None:
+    """The answer to a JSON-RPC request of the Model Context Protocol; nothing to a notification."""
+    method, params = request.get("method", ""), request.get("params") or {}
+    if "id" not in request:
+        return None
+    reply = {"jsonrpc": "2.0", "id": request["id"]}
+    if method == "initialize":
+        about = {"name": "docstrata", "version": VERSION}
+        return reply | {"result": {"protocolVersion": params.get("protocolVersion", PROTOCOL), "capabilities": {"tools": {}}, "serverInfo": about}}
+    if method == "ping":
+        return reply | {"result": {}}
+    if method == "tools/list":
+        return reply | {"result": {"tools": described_tools()}}
+    if method != "tools/call":
+        return reply | {"error": {"code": -32601, "message": f"no method {method!r}"}}
+    name = params.get("name")
+    if name not in TOOLS:
+        return reply | {"error": {"code": -32602, "message": f"no tool {name!r}"}}
+    try:
+        text, wrong = TOOLS[name](project, **(params.get("arguments") or {})), False
+    except Exception as e:
+        text, wrong = f"{type(e).__name__}: {e}", True
+    return reply | {"result": {"content": [{"type": "text", "text": text}], "isError": wrong}}
+
+
 def serve(project: Project, source: TextIO = sys.stdin, sink: TextIO = sys.stdout) -> None:
-    """M6: a request a line, {"tool": name, "arguments": {...}}, an answer a line."""
+    """M6: a JSON-RPC request a line, an answer a line."""
     for line in source:
+        if not line.strip():
+            continue
         try:
             request = json.loads(line)
-            answer = {"result": TOOLS[request["tool"]](project, **request.get("arguments", {}))}
-        except Exception as e:
-            answer = {"error": f"{type(e).__name__}: {e}"}
-        print(json.dumps(answer), file=sink, flush=True)
+            answer = respond(project, request) if isinstance(request, dict) else {"jsonrpc": "2.0", "id": None, "error": {"code": -32600, "message": "no request"}}
+        except ValueError as e:
+            answer = {"jsonrpc": "2.0", "id": None, "error": {"code": -32700, "message": str(e)}}
+        if answer is not None:
+            print(json.dumps(answer), file=sink, flush=True)
 
 
 def settings(root: str | Path) -> dict:
     """What a tool needs to start the server."""
-    return {"command": sys.executable, "args": ["-m", "docstrata.cli", "serve", "--root", str(root)]}
+    return {"command": sys.executable, "args": ["-m", "docstrata.cli", "--root", str(root), "serve"]}

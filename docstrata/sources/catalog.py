@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import urllib.parse
+import urllib.request
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,3 +63,23 @@ class Catalog:
 
     def device_count(self) -> int:
         return self.devices.count()
+
+    def fetch(self, name: str, base: str, folder: str | Path, timeout: float = 30.0, most: int = 100 << 20) -> Path:
+        """The register file of the device of that name, from below ``base``, a URL, into ``folder``."""
+        found = self.find_exact(name).orderBy("vendor", "path").limit(2).collect()
+        if not found:
+            raise CatalogError(f"no device {name!r}")
+        path = found[0]["path"]
+        if not safe_path(path):
+            raise CatalogError(f"{path!r} leaves the catalog's folder")
+        try:
+            with urllib.request.urlopen(f"{base.rstrip('/')}/{urllib.parse.quote(path)}", timeout=timeout) as r:
+                data = r.read(most + 1)
+        except (OSError, ValueError) as e:
+            raise CatalogError(f"{path}: {e}") from e
+        if len(data) > most:
+            raise CatalogError(f"{path}: over {most} bytes")
+        out = Path(folder) / path.replace("/", "_")
+        out.parent.mkdir(parents=True, exist_ok=True)
+        out.write_bytes(data)
+        return out

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Mapping
 from functools import reduce
 
 import pandas as pd
@@ -148,13 +148,26 @@ def parse_device_tree(files: DataFrame) -> DataFrame:
     return documents(rows, strip(F.col("_t")), title, "device_tree", chip_of(F.col("_c")), listed, too_large("device_tree"))
 
 
-def read_documents(spark: SparkSession, *paths: str) -> DataFrame:
-    """All files below the paths that have a parser here, as documents; what cannot be parsed has ``error`` set."""
+def unparsed(files: DataFrame) -> DataFrame:
+    """Files of a format that nothing parses, as documents with an error and no text."""
+    said = F.concat(F.lit("ParseError: no parser for "), F.col("format"), F.lit(" files"))
+    rows = documents(files, F.lit(""), stem(F.col("path")), "unknown", error=said)
+    kinds = files.select(F.col("path").alias("_p"), F.col("format").alias("_f"), F.col("doc_type").alias("_t"))
+    joined = rows.join(kinds, F.col("source_path") == F.col("_p"))
+    return joined.withColumn("format", F.col("_f")).withColumn("doc_type", F.col("_t")).drop("_p", "_f", "_t")
+
+
+def read_documents(spark: SparkSession, *paths: str, parsers: Mapping[str, Callable[[DataFrame], DataFrame]] | None = None) -> DataFrame:
+    """All files below the paths, as documents; what cannot be parsed, or has a format without a parser, has ``error`` set.
+
+    ``parsers`` adds parsers by format, such as one for PDF files, or replaces those that are here.
+    """
     files = detect(scan(spark, *paths))
     from . import svd
 
-    branches = {"text": parse_text, "markdown": parse_markdown, "device_tree": parse_device_tree, "svd": svd.parse_files}
+    branches = {"text": parse_text, "markdown": parse_markdown, "device_tree": parse_device_tree, "svd": svd.parse_files} | dict(parsers or {})
     raw = [parse(files.where(F.col("format") == form).select("path", "length", "content")).select(*COLUMNS) for form, parse in branches.items()]
+    raw.append(unparsed(files.where(~F.col("format").isin(*branches))).select(*COLUMNS))
     return reduce(DataFrame.unionByName, raw)
 
 

@@ -6,6 +6,8 @@ to rows, is plugged in; all that follows works on its rows.
 
 from __future__ import annotations
 
+import struct
+import zlib
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -14,9 +16,9 @@ from pyspark.sql import functions as F
 
 from ..errors import ParseError
 from ..functions.detect import figure_type
-from ..functions.text import strip
-from ..schemas import PAGE_TABLE, SPAN
-from .files import LIMITS
+from ..functions.text import stem, strip
+from ..schemas import LAYOUT_ITEM, PAGE, PAGE_TABLE, SPAN
+from .files import LIMITS, documents, too_large
 
 HEADER, FOOTER = 60.0, 50.0  # points of a page's margins
 
@@ -40,12 +42,59 @@ def extracted(files: DataFrame, extractor: Callable[[str, bytes], list[dict]], s
     return is_pdf(files).select("path", "content").mapInArrow(run, schema)
 
 
+def parser(spans: Callable[[str, bytes], list[dict]], tables: Callable[[str, bytes], list[dict]], pages: Callable[[str, bytes], list[dict]]) -> Callable[[DataFrame], DataFrame]:
+    """A parser of PDF files for :func:`files.read_documents`, made of what finds the rows of a file.
+
+    The functions give dictionaries with the columns of ``SPAN``, ``PAGE_TABLE`` and ``PAGE``; ``doc_id`` is the path.
+    """
+
+    def parse(files: DataFrame) -> DataFrame:
+        text = render_pages(extracted(files, spans), extracted(files, tables, PAGE_TABLE), extracted(files, pages, PAGE))
+        facts = F.create_map(F.lit("page_count"), F.col("page_count").cast("string"), F.lit("table_count"), F.col("table_count").cast("string"))
+        return _documents(files, text.select("doc_id", "content", facts.alias("metadata")), "pdf")
+
+    return parse
+
+
+def layout_parser(items: Callable[[str, bytes], list[dict]], describe: Callable[[Column], Column] | None = None, otherwise: Callable[[DataFrame], DataFrame] | None = None) -> Callable[[DataFrame], DataFrame]:
+    """A parser made of what finds layout items; without one, the other parser, or an error."""
+    if items is None:
+        if otherwise is None:
+            raise ParseError("no layout extractor")
+        return otherwise
+
+    def parse(files: DataFrame) -> DataFrame:
+        text = assemble_layout(extracted(files, items, LAYOUT_ITEM), describe)
+        facts = F.create_map(F.lit("figure_count"), F.col("figure_count").cast("string"))
+        return _documents(files, text.select("doc_id", "content", facts.alias("metadata")), "pdf")
+
+    return parse
+
+
+def _documents(files: DataFrame, text: DataFrame, form: str) -> DataFrame:
+    rows = files.join(text.select(F.col("doc_id").alias("_d"), F.col("content").alias("_c"), F.col("metadata").alias("_m")), F.col("path") == F.col("_d"), "left")
+    wrong = F.when(~F.hex(F.substring("content", 1, 5)).eqNullSafe("255044462D"), F.lit("ParseError: not a PDF file"))
+    none = F.create_map().cast("map<string,string>")
+    return documents(rows, F.coalesce("_c", F.lit("")), stem(F.col("path")), form, metadata=F.coalesce("_m", none), error=F.coalesce(too_large("pdf"), wrong))
+
+
 def parse_files(files: DataFrame) -> DataFrame:
-    raise ParseError("PDF files need an extractor: see extracted() and render_pages()")
+    """Without an extractor every PDF file is an error that says so."""
+    return documents(files, F.lit(""), stem(F.col("path")), "pdf", error=F.lit("ParseError: PDF files need an extractor: see pdf.parser()"))
 
 
 def parse_layout_files(files: DataFrame) -> DataFrame:
-    raise ParseError("PDF files need a layout extractor: see extracted() and assemble_layout()")
+    return documents(files, F.lit(""), stem(F.col("path")), "pdf", error=F.lit("ParseError: PDF files need a layout extractor: see pdf.layout_parser()"))
+
+
+def encode_png(width: int, height: int, pixels: bytes) -> bytes:
+    """RGB pixels as a PNG file; nothing if the sizes make no sense."""
+    if width <= 0 or height <= 0 or len(pixels) != 3 * width * height:
+        return b""
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    rows = b"".join(b"\0" + pixels[3 * width * y : 3 * width * (y + 1)] for y in range(height))
+    head = struct.pack(">IIBBBBB", width, height, 8, 2, 0, 0, 0)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(rows)) + chunk(b"IEND", b"")
 
 
 def font_histogram(spans: DataFrame) -> DataFrame:
@@ -134,4 +183,4 @@ def assemble_layout(items: DataFrame, describe: Callable[[Column], Column] | Non
     return marked.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "t"))), lambda x: x["t"]), "\n\n").alias("content"), F.sum("n").alias("figure_count"))
 
 
-SCHEMAS = {"spans": SPAN, "tables": PAGE_TABLE}
+SCHEMAS = {"spans": SPAN, "tables": PAGE_TABLE, "pages": PAGE, "items": LAYOUT_ITEM}

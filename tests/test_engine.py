@@ -2,11 +2,12 @@
 
 import io
 import json
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
 
-from docstrata import config, serve
+from docstrata import cli, config, serve
 from docstrata.errors import CatalogError, ConfigError, EmbeddingError, ManifestError, ParseError, PluginError, TemplateError
 from docstrata.operators import embed, evaluate, search, templates
 from docstrata.operators.compile import matching_pins
@@ -169,9 +170,13 @@ def test_project(spark, folder, tmp_path):
     assert "0x40013000" in serve.registers(project, "spi1", content_type="") and serve.context(project, "../x") == "Not a name." and "MOSI" in serve.context(project, "SPI1", "other")
     assert "- SPI1 (CHIP1)" in serve.list_peripherals(project) and "guide_md" in serve.list_documents(project)
     sink = io.StringIO()
-    serve.serve(project, io.StringIO('{"tool": "list_documents"}\n{"tool": "none"}\n'), sink)
-    a, b = map(json.loads, sink.getvalue().splitlines())
-    assert "guide_md" in a["result"] and "KeyError" in b["error"]
+    asked = [("initialize", {}), ("tools/list", {}), ("tools/call", {"name": "list_documents"}), ("tools/call", {"name": "none"}), ("nothing", {}), ("tools/call", {"name": "search", "arguments": {"x": 1}})]
+    lines = [json.dumps({"jsonrpc": "2.0", "id": n, "method": m, "params": x}) for n, (m, x) in enumerate(asked)] + ['{"method": "notifications/initialized"}', "no json"]
+    serve.serve(project, io.StringIO("\n".join(lines)), sink)
+    got = [json.loads(x) for x in sink.getvalue().splitlines()]
+    assert len(got) == 7 and got[0]["result"]["serverInfo"]["name"] == "docstrata" and {t["name"] for t in got[1]["result"]["tools"]} == set(serve.TOOLS)
+    assert "guide_md" in got[2]["result"]["content"][0]["text"] and got[3]["error"]["code"] == -32602 and got[4]["error"]["code"] == -32601
+    assert got[5]["result"]["isError"] and got[6]["error"]["code"] == -32700
     n = project.store.count()
     gone = project.remove("guide_md")
     assert gone > 0 and project.store.count() == n - gone and project.manifest().count() == 4
@@ -260,3 +265,69 @@ def test_plugins(spark):
 
 def test_search_helpers():
     assert search.build_where(chip="", doc_type="") is None and search.clamp_k(0) == 1 and search.clamp_k(99) == 50
+
+
+def test_nothing_is_skipped_in_silence(spark, tmp_path):
+    (tmp_path / "a.pdf").write_bytes(b"%PDF-1.4 x")
+    (tmp_path / "b.png").write_bytes(b"\x89PNG\r\n\x1a\n")
+    (tmp_path / "c.txt").write_text("text")
+    out = {r["format"]: (r["error"] or "") for r in files.read_documents(spark, str(tmp_path)).collect()}
+    assert "pdf" in out["pdf"] and "image" in out["image"] and out["text"] == ""
+
+    def spans(path, content):
+        return [{"doc_id": path, "page": 1, "block": 0, "line": 0, "span": 0, "text": "Words", "size": 10.0, "bold": False, "x0": 0.0, "y0": 100.0, "x1": 9.0, "y1": 110.0}]
+
+    parse = pdf.parser(spans, lambda p, c: [], lambda p, c: [{"doc_id": p, "page": 1, "height": 800.0}])
+    found = {r["format"]: r for r in files.read_documents(spark, str(tmp_path), parsers={"pdf": parse}).collect()}
+    assert found["pdf"]["content"] == "<!-- PAGE:1 -->\nWords" and found["pdf"]["metadata"]["page_count"] == "1" and found["pdf"]["error"] is None
+    with pytest.raises(ParseError):
+        pdf.layout_parser(None)
+    assert pdf.layout_parser(None, otherwise=parse) is parse
+
+
+def test_png():
+    made = pdf.encode_png(2, 1, bytes(6))
+    assert made.startswith(b"\x89PNG\r\n\x1a\n") and zlib.decompress(made[made.index(b"IDAT") + 4 : -16]) == bytes(7) and pdf.encode_png(2, 2, b"") == b""
+
+
+def test_provider_of_the_configuration(spark, tmp_path):
+    project = Project(spark, tmp_path)
+    project.init("demo")
+    assert project.embedder.batch_size == 64
+    c = project.config()
+    c.embedding.provider = "nothing"
+    project.save(c)
+    with pytest.raises(PluginError):
+        Project(spark, tmp_path).embedder  # noqa: B018
+
+
+def test_catalog_fetch(spark, tmp_path):
+    (tmp_path / "tree/V").mkdir(parents=True)
+    (tmp_path / "tree/V/X1.svd").write_text("<device/>")
+    c = catalog.Catalog(spark.createDataFrame([("X1", "V", "V/X1.svd"), ("bad", "V", "../x.svd"), ("gone", "V", "V/gone.svd")], "name string, vendor string, path string"))
+    base = (tmp_path / "tree").as_uri()
+    assert c.fetch("x1", base, tmp_path / "out").read_text() == "<device/>"
+    for name in ("bad", "gone", "none"):
+        with pytest.raises(CatalogError):
+            c.fetch(name, base, tmp_path / "out")
+
+
+def test_benchmark_run_and_report(spark, folder, tmp_path, capsys):
+    root = tmp_path / "p"
+    project = Project(spark, root)
+    project.init("demo", "CHIP1")
+    project.add(str(folder))
+    device = folder / "chip.svd"
+    args = cli.parser().parse_args
+    cli.bench_generate(spark, project, args(["bench", "generate", str(device), str(tmp_path / "q")]))
+    run = ["bench", "run", str(tmp_path / "q"), str(tmp_path / "r"), "--chip", "CHIP1", "--runs", "2"]
+    cli.bench_run(spark, project, args([*run, "--condition", "no_context", "--condition", "svd_lookup", "--condition", "hybrid", "--condition", "rag"]))
+    assert capsys.readouterr().err.count("skipped") == 2
+    cli.bench_run(spark, project, args([*run, "--svd", str(device)]))
+    rows = spark.read.json(str(tmp_path / "r"))
+    n = evaluate.read_dataset(spark, str(tmp_path / "q")).count()
+    share = {r["condition"]: (r["n"], r["ok"]) for r in rows.groupBy("condition").agg(F.count("*").alias("n"), F.avg(F.col("correct").cast("int")).alias("ok")).collect()}
+    assert set(share) == {"no_context", "hot", "full", "svd_lookup", "rag", "hybrid"} and {x for x, _ in share.values()} == {2 * n}
+    assert share["svd_lookup"][1] == 1.0 and share["hybrid"][1] == 1.0 and share["no_context"][1] == 0.0
+    cli.bench_report(spark, project, args(["bench", "report", str(tmp_path / "q"), str(tmp_path / "r"), "--chip", "CHIP1", "--out", str(tmp_path / "rep")]))
+    assert "| svd_lookup | 100.0%" in capsys.readouterr().out and evaluate.read_report(spark, str(tmp_path / "rep")).count() == 1
