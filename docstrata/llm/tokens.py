@@ -86,6 +86,9 @@ def frames(data: bytes) -> Iterator[tuple[int, int, int | None, np.ndarray]]:
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
+LONGEST = 40  # characters of a word that is remembered
+
+
 class Irregular(Exception):
     """A text cannot be encoded word by word."""
 
@@ -128,7 +131,7 @@ class Words(dict):
                     code = self._piece(found[0])
                 else:
                     code = b"".join([self[p[1:] if p[0] == " " else "\0" + p] for p in found])
-        if len(self) < self.most:
+        if len(self) < self.most and len(key) <= LONGEST:
             self[key] = code
         return code
 
@@ -144,7 +147,7 @@ class WordEncoder:
     goes to the tokenizer as a whole.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
