@@ -14,8 +14,14 @@ A search sends queries in blocks of bounded bytes to all rows. A task adds up
 table entries for its rows' codes, two codes a byte, keeps the best ``keep`` of
 each ``CHUNK`` rows at most for each query and all rows that share their codes,
 which the tables cannot tell apart, and reranks them by the exact distance in
-double precision before anything leaves the task. Every row meets every query:
-the work is rows times queries, with one pass over the rows a block.
+double precision before anything leaves the task.
+
+The index is sorted by cells, which centroids of the sample give, so that the
+rows that are scanned together lie together. A query passes over them if it is
+farther from their middle than their radius and its k-th distance so far add up
+to, which loses nothing. The first such distances are those to ``anchors``, some
+vectors of the sample. Where vectors form clusters, a query so meets a part of
+the rows; where they do not, it meets all.
 
 The codebooks are fitted on at most ``sample`` vectors; every vector is
 indexed. Defined results: vectors that are null, zero, hold a null or
@@ -27,6 +33,7 @@ ties go to the smaller id; without vectors the result is empty.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -39,14 +46,20 @@ from .common import materialise
 
 FOUND = "query_id long, vec_id long, score double"
 CHUNK = 10_000  # rows that are scanned together
+ANCHORS = 4096
 
 
 @dataclass
 class Codebook:
-    """``words`` is subspaces x 16 x 2; an odd dimension is padded with a zero; ``centre`` is taken from all vectors."""
+    """``words`` is subspaces x 16 x 2; an odd dimension is padded with a zero; ``centre`` is taken from all vectors.
+
+    ``cells`` are centroids of centred vectors; ``anchors`` are ids and vectors of some rows.
+    """
 
     words: np.ndarray
     centre: np.ndarray
+    cells: np.ndarray | None = None
+    anchors: tuple[np.ndarray, np.ndarray] | None = None
 
     @property
     def dim(self) -> int:
@@ -125,6 +138,23 @@ def encode(book: Codebook, x: np.ndarray, threshold: float = 0.2) -> np.ndarray:
     return (codes[:, 0::2] | codes[:, 1::2] << 4).astype(np.uint8)  # the even code is the low half
 
 
+def centroids(x: np.ndarray, most: int = 1024, rounds: int = 5, seed: int = 7) -> np.ndarray:
+    """Means of nearby rows, a sixteenth as many as there are rows."""
+    n = max(1, min(most, len(x) // 16))
+    out = x[np.random.default_rng(seed).choice(len(x), n, replace=False)].copy()
+    for _ in range(rounds):
+        cell = nearest_cell(x, out)
+        size = np.bincount(cell, minlength=n)
+        total = np.zeros_like(out)
+        np.add.at(total, cell, x)
+        out[size > 0] = total[size > 0] / size[size > 0, None]
+    return out
+
+
+def nearest_cell(x: np.ndarray, cells: np.ndarray) -> np.ndarray:
+    return np.concatenate([(-2 * part @ cells.T + (cells**2).sum(axis=1)).argmin(axis=1) for part in np.array_split(x, len(x) // 4096 + 1)])
+
+
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
@@ -136,7 +166,9 @@ def _encoder(book: Codebook, dim: int):
                 part = b.slice(at, 2000)
                 x = _matrix(part.column(1), dim)
                 codes = [c.tobytes() for c in encode(book, x)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(codes, pa.binary())], names=["vec_id", "embedding", "codes"])
+                cell = nearest_cell(x - book.centre, book.cells) if book.cells is not None else np.zeros(len(x), np.int64)
+                cols = [part.column(0), part.column(1), pa.array(codes, pa.binary()), pa.array(cell.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(cols, names=["vec_id", "embedding", "codes", "cell"])
 
     return run
 
@@ -168,13 +200,48 @@ class _Alike:
         return np.union1d(top, np.concatenate([self.rows[self.end[g] - self.size[g] : self.end[g]] for g in many]))
 
 
+def first_bounds(book: Codebook, query_ids: np.ndarray, queries: np.ndarray, k: int) -> np.ndarray:
+    """For each query a distance within which it has ``k`` rows: that to the k-th nearest anchor."""
+    out = np.full(len(queries), np.inf)
+    if book.anchors is None:
+        return out
+    ids, x = book.anchors
+    for at in range(0, len(queries), 1024):
+        q = queries[at : at + 1024]
+        far = ((x - book.centre) ** 2).sum(axis=1) - 2 * (q - book.centre) @ (x - book.centre).T + ((q - book.centre) ** 2).sum(axis=1)[:, None]
+        far += 1e-9 * np.abs(far).max()  # what rounding may have taken away
+        far[query_ids[at : at + 1024, None] == ids] = np.inf
+        if far.shape[1] >= k:
+            out[at : at + 1024] = np.sqrt(np.maximum(np.partition(far, k - 1, axis=1)[:, k - 1], 0))
+    return out
+
+
+def _chunks(cell: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Stretches of at most ``most`` rows; a cell of a tenth of that or more shares its stretches with no other."""
+    edges = [0, *(np.flatnonzero(cell[1:] != cell[:-1]) + 1).tolist(), len(cell)]
+    start = 0
+    for a, b in zip(edges, edges[1:]):
+        large = b - a >= most / 10
+        if start < a and (large or b - start > most):
+            yield start, a
+            start = a
+        while b - start > most:
+            yield start, start + most
+            start += most
+        if large and start < b:
+            yield start, b
+            start = b
+    if start < len(cell):
+        yield start, len(cell)
+
+
 def _searcher(book: Codebook, query_ids: np.ndarray, queries: np.ndarray, k: int, keep: int):
-    dim = queries.shape[1]
+    dim, first = queries.shape[1], first_bounds(book, query_ids, queries, k)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0), np.empty(0, np.int64))] * len(queries)
-        met = False
-        for b in (whole.slice(at, CHUNK) for whole in batches for at in range(0, whole.num_rows, CHUNK)):
+        bound, met = first.copy(), False
+        for b in (whole.slice(i, j - i) for whole in batches for i, j in _chunks(whole.column(3).to_numpy(), CHUNK)):
             met = True
             ids, x = b.column(0).to_numpy(), _matrix(b.column(1), dim)
             order = np.argsort(ids, kind="stable")
@@ -182,19 +249,25 @@ def _searcher(book: Codebook, query_ids: np.ndarray, queries: np.ndarray, k: int
             codes = np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint8).reshape(len(ids), -1)[order]
             bias = (-((x - book.centre) ** 2).sum(axis=1) / 2).astype(np.float32)
             alike = _Alike(codes)
-            for q0 in range(0, len(queries), 256):
-                table = book.tables(queries[q0 : q0 + 256])
+            middle = x.mean(axis=0)
+            radius = math.sqrt(((x - middle) ** 2).sum(axis=1).max())
+            away = np.sqrt(((queries - middle) ** 2).sum(axis=1))
+            near = np.flatnonzero(away * (1 - 1e-9) <= radius + bound)
+            for own in (near[i : i + 256] for i in range(0, len(near), 256)):
+                table = book.tables(queries[own])
                 score = np.repeat(bias[:, None], table.shape[2], axis=1)
                 for at in range(0, len(ids), 2000):
                     for n in range(codes.shape[1]):
                         score[at : at + 2000] += table[n][codes[at : at + 2000, n]]
-                for j, s in enumerate(np.ascontiguousarray(score.T), q0):
+                for j, s in zip(own.tolist(), np.ascontiguousarray(score.T)):
                     top = alike.of(_best(s, keep))
                     top = top[ids[top] != query_ids[j]]
                     far = np.sqrt(((x[top] - queries[j]) ** 2).sum(axis=1))
-                    far, near = np.concatenate([best[j][0], far]), np.concatenate([best[j][1], ids[top]])
-                    first = np.lexsort((near, far))[:k]
-                    best[j] = far[first], near[first]
+                    far, found = np.concatenate([best[j][0], far]), np.concatenate([best[j][1], ids[top]])
+                    order = np.lexsort((found, far))[:k]
+                    best[j] = far[order], found[order]
+                    if len(order) == k:
+                        bound[j] = min(bound[j], far[order[-1]])
         if met:
             cols = [np.repeat(query_ids, [len(f) for f, _ in best]), np.concatenate([n for _, n in best]), np.concatenate([f for f, _ in best])]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["query_id", "vec_id", "score"])
@@ -213,15 +286,18 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
 
 def build_index(vectors: DataFrame, id_col: str, vector_col: str, sample: int = 20_000) -> tuple[DataFrame, Codebook | None]:
-    """The table (vec_id, embedding, codes) of every usable vector, and the codebook."""
+    """The table (vec_id, embedding, codes, cell) of every usable vector, by cells, and the codebook."""
     rows = usable(vectors, id_col, vector_col)
-    picked = rows.orderBy(F.xxhash64("vec_id", F.lit("ann")), "vec_id").limit(sample).select("embedding").collect()
+    picked = rows.orderBy(F.xxhash64("vec_id", F.lit("ann")), "vec_id").limit(sample).select("vec_id", "embedding").collect()
     if not picked:
-        return rows.withColumn("codes", F.lit(None).cast("binary")), None
+        return rows.withColumn("codes", F.lit(None).cast("binary")).withColumn("cell", F.lit(0)), None
     x = np.array([r["embedding"] for r in picked], float)
     book = fit(x)
+    book.cells = centroids(x - book.centre)
+    book.anchors = np.array([r["vec_id"] for r in picked[:ANCHORS]], np.int64), x[:ANCHORS]
     kind = rows.schema["embedding"].dataType.simpleString()
-    return materialise(rows.mapInArrow(_encoder(book, x.shape[1]), f"vec_id long, embedding {kind}, codes binary"), "index"), book
+    coded = rows.mapInArrow(_encoder(book, x.shape[1]), f"vec_id long, embedding {kind}, codes binary, cell int")
+    return materialise(coded.repartitionByRange("cell", "vec_id").sortWithinPartitions("cell", "vec_id"), "index"), book
 
 
 def search(index: DataFrame, book: Codebook | None, is_query: Column, k: int = 10, keep: int = 256, block_bytes: int = 32_000_000) -> DataFrame:

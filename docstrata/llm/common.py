@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,21 +57,49 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/docstrata/{uuid.uuid4().hex}/{tag}"
 
 
+_SCOPES: list[list[str]] = []
+
+
 def materialise(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     This cuts the lineage with files that outlive executors. Column names must
-    be unique. The path is in ``df.inputFiles()`` of the result and in
-    ``drop_table``'s registry.
+    be unique. The files stay until ``drop_table`` or the end of the ``scope``
+    that they were made in; without either, until the folder is cleaned.
     """
     spark = df.sparkSession
     path = new_path(spark, tag)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._docstrata_path = path
+    if _SCOPES:
+        _SCOPES[-1].append(path)
     return out
 
 
+@contextmanager
+def scope(spark: SparkSession):
+    """Tables made inside are deleted at the end, but for those given to the function that this yields.
+
+    What is kept belongs to the scope around this one, if there is one.
+    """
+    _SCOPES.append([])
+    kept: list[str] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(df._docstrata_path)
+        return df
+
+    try:
+        yield keep
+    finally:
+        for path in _SCOPES.pop():
+            if path not in kept:
+                delete_path(spark, path.rsplit("/", 1)[0])
+            elif _SCOPES:
+                _SCOPES[-1].append(path)
+
+
 def drop_table(df: DataFrame) -> None:
     """Delete the files of a table made by :func:`materialise` that nothing reads any more."""
     path = getattr(df, "_docstrata_path", None)

@@ -35,7 +35,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import drop_table, materialise, named
+from .common import drop_table, materialise, named, scope
 
 PLACE = ("doc_id", "text_hash", "line")
 MIN_WORDS = 5
@@ -166,8 +166,10 @@ def _without(x: Column) -> Column:
 
 def dedup_lines(docs: DataFrame, id_col: str, text_col: str, min_words: int = MIN_WORDS, min_lines: int = 1) -> DataFrame:
     """(doc_id, text, n_lines, n_deleted, runs) of every document: its text without later copies, and what went."""
-    gone = repeated_runs(docs, id_col, text_col, min_words, min_lines)
-    runs = gone.groupBy(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h")).agg(F.sort_array(F.collect_list(F.struct("first", "size"))).alias("runs"))
+    with scope(docs.sparkSession) as keep:
+        gone = repeated_runs(docs, id_col, text_col, min_words, min_lines)
+        by_text = gone.groupBy(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h"))
+        runs = keep(materialise(by_text.agg(F.sort_array(F.collect_list(F.struct("first", "size"))).alias("runs")), "runs"))
     t = F.col("t")
     rows = docs.select(named(id_col).alias("doc_id"), named(text_col).alias("t"))
     rows = rows.join(runs, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.xxhash64(t) == F.col("_h")), "left")

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, drop_table, fresh, held, materialise, named
+from .common import connected_components, drop_table, fresh, held, materialise, named, scope
 
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))  # (first bit, bits)
 SEED = 42
@@ -518,9 +518,10 @@ def drop_near_duplicates(docs: DataFrame, id_col: str, text_col: str, **options)
     smallest text hash; among equal rows, one. A group whose ids are all null
     keeps one row.
     """
-    found = near_duplicates(docs, id_col, text_col, **options)
-    best = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = materialise(best.groupBy("component").agg(F.min(F.struct("text_hash", "copies", "doc_id")).alias("k")).select("k.*"), "kept")
+    with scope(docs.sparkSession) as keep:
+        found = near_duplicates(docs, id_col, text_col, **options)
+        best = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+        kept = keep(materialise(best.groupBy("component").agg(F.min(F.struct("text_hash", "copies", "doc_id")).alias("k")).select("k.*"), "kept"))
     i, h = fresh(docs, "i", "h")
     hashed = F.xxhash64(F.coalesce(named(text_col), F.lit("")))
     keys = kept.select(F.col("doc_id").alias(i), F.col("text_hash").alias(h))

@@ -649,6 +649,34 @@ def test_recall_off_centre(offset):
     assert sum(len(out[q] & near[q]) for q in near) / (10 * len(near)) >= 0.9
 
 
+def test_cells_spare_work_and_lose_nothing(monkeypatch):
+    rng = np.random.default_rng(8)
+    middles = rng.normal(size=(60, 16)) * 20 + 50
+    x = middles[rng.integers(0, 60, 12_000)] + rng.normal(size=(12_000, 16))
+    ids = np.arange(len(x))
+    book = ann.fit(x[:2000], rounds=2)
+    book.cells = ann.centroids(x[:2000] - book.centre)
+    rows = pa.RecordBatch.from_arrays([pa.array(ids), pa.array(list(x), pa.list_(pa.float64()))], names=["vec_id", "embedding"])
+    index = pa.Table.from_batches(ann._encoder(book, 16)([rows])).sort_by([("cell", "ascending"), ("vec_id", "ascending")])
+    met = []
+    tables = ann.Codebook.tables
+    monkeypatch.setattr(ann.Codebook, "tables", lambda self, q: met.append(len(q)) or tables(self, q))
+    monkeypatch.setattr(ann, "CHUNK", 200)
+    asked = ids[::100]
+
+    def found():
+        met.clear()
+        batches = ann._searcher(book, asked, x[asked], 10, 256)(iter(index.combine_chunks().to_batches()))
+        return {(q, v, round(d, 9)) for b in batches for q, v, d in zip(*(b[c].to_pylist() for c in ("query_id", "vec_id", "score")))}
+
+    whole, pairs = found(), sum(met)
+    book.anchors = ids[:2000], x[:2000]
+    assert found() == whole and sum(met) < pairs and sum(met) < 6 * len(asked)  # of more than 60 stretches
+    for q in asked.tolist():
+        d = np.sqrt(((x - x[q]) ** 2).sum(axis=1))
+        assert {v for a, v, _ in whole if a == q} == {i for i in np.argsort(d, kind="stable").tolist() if i != q and d[i] <= np.sort(d)[10]}
+
+
 def test_neighbours_of_few_and_none(spark):
     rows = spark.createDataFrame([(0, [1.0, 2.0, 3.0]), (1, [1.0, 2.0, 4.0]), (1, [1.0, 2.0, 4.0])], "vec_id long, embedding array<float>")
     index, book = ann.build_index(rows, "vec_id", "embedding")
