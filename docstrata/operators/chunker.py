@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from typing import Protocol
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.detect import FENCE, HEADING, TABLE_RULE, content_type
@@ -60,6 +60,45 @@ class PieceTokenizer:
         return sum([len(w) + 3 >> 2 for w in text.split()]) + text[-1:].isspace()
 
 
+class BytePairTokenizer:
+    """Tokens of a byte-pair vocabulary in the tiktoken format (K1); ``pattern`` cuts a text before pairs are merged.
+
+    A token that ends within a character goes into one piece with the next ones.
+    """
+
+    def __init__(self, ranks_path: str, pattern: str):
+        self.ranks_path, self.pattern, self._encoding = ranks_path, pattern, None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_encoding": None}  # each worker reads the vocabulary itself
+
+    @property
+    def encoding(self):
+        if self._encoding is None:
+            import base64
+
+            import tiktoken
+
+            with open(self.ranks_path, "rb") as f:
+                ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+            self._encoding = tiktoken.Encoding("own", pat_str=self.pattern, mergeable_ranks=ranks, special_tokens={})
+        return self._encoding
+
+    def count(self, text: str) -> int:
+        return len(self.encoding.encode_ordinary(text))
+
+    def pieces(self, text: str) -> list[str]:
+        out, held = [], b""
+        for token in self.encoding.encode_ordinary(text):
+            held += self.encoding.decode_single_token_bytes(token)
+            try:
+                out.append(held.decode())
+                held = b""
+            except UnicodeDecodeError:
+                continue
+        return [*out, held.decode("utf-8", "replace")] if held else out
+
+
 @dataclass(frozen=True)
 class ChunkOptions:
     max_tokens: int = 512
@@ -236,3 +275,14 @@ def chunk_documents(docs: DataFrame, options: ChunkOptions | None = None, tokeni
         "chunk_index", "content", "token_count", "doc_id", "doc_type", "chip", "section_path", "page", F.lit("detail").alias("chunk_level"),
         own.alias("peripheral"), content_type(F.col("content")).alias("content_type"), "error",
     )
+
+
+def register_chunker(spark: SparkSession, name: str = "chunks_of", tokenizer: Tokenizer | None = None) -> None:
+    """The chunker as a table function of SQL: ``chunks_of(content, max_tokens, overlap_tokens, min_tokens)``."""
+
+    @F.udtf(returnType="chunk_index int, content string, token_count int, page int, section_path string")
+    class Chunks:
+        def eval(self, content: str, max_tokens: int, overlap_tokens: int, min_tokens: int):
+            yield from Chunker(ChunkOptions(max_tokens, overlap_tokens, min_tokens), tokenizer).chunk(content)
+
+    spark.udtf.register(name, Chunks)

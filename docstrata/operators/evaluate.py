@@ -169,7 +169,9 @@ def conditions(spark, chip: str, hot: str | None = None, raw_text: str | None =
 
 
 def prompts(questions: DataFrame, what: DataFrame, runs: int = 1) -> DataFrame:
-    """Each question with each condition in each run; conditions are a handful, made by the caller."""
+    """Each question with each condition in each run; conditions are a handful, made by the caller and counted."""
+    if (size := what.count() * runs) > 10_000:
+        raise BenchmarkError(f"{size} settings are too many to ask each question in")
     n = questions.sparkSession.range(runs).select((F.col("id") + 1).cast("string").alias("run_id"))
     setting = what.select(F.col("name").alias("condition"), "system_prompt").join(n)
     return questions.join(F.broadcast(setting))

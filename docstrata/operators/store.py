@@ -1,8 +1,9 @@
-"""The chunk store (ST1-ST9): Parquet, partitioned by document type, replaced by whole versions."""
+"""The chunk store (ST1-ST9): Parquet, a part a document type, and versions that name their parts."""
 
 from __future__ import annotations
 
 import uuid
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,64 +14,94 @@ from ..schemas import EMBEDDED_CHUNK
 METADATA = ("doc_id", "doc_type", "chip", "section_path", "page", "chunk_level", "peripheral", "content_type", "token_count")
 
 
+KEPT = 2  # versions whose files stay
+
+
 class ChunkStore:
-    """A folder of versions; a file names the current one.
+    """A folder of parts, one a document type and write, and a table of versions that names each version's parts.
 
-    A write makes a new version beside the old one and then points to it, so a
-    reader sees one or the other whole, and a task or driver that is lost leaves
-    the old one in place.
+    A write makes new parts for the document types that it changes, beside the
+    old ones, and then adds a version, so a reader sees one version or another
+    whole, and a task or driver that is lost leaves the old one in place. Parts
+    go when no one of the last ``KEPT`` versions names them: what reads the
+    version before the current one can still end.
     """
 
     def __init__(self, spark: SparkSession, path: str, name: str = "chunks"):
         self.spark, self.root = spark, f"{path.rstrip('/')}/{name}"
 
-    # the pointer is a one-row table, written through Spark as the data are
-    def _versions(self) -> str | None:
-        fs, p = self._fs(f"{self.root}/current")
-        if not fs.exists(p):
-            return None
-        row = self.spark.read.schema("version string, n long").json(f"{self.root}/current").orderBy(F.desc("n")).first()
-        return row["version"] if row else None
-
     def _fs(self, path: str):
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
+    def _versions(self) -> list[tuple[int, dict[str, str]]]:
+        """The last versions, newest first: number, and the part of each document type."""
+        fs, p = self._fs(f"{self.root}/versions")
+        if not fs.exists(p):
+            return []
+        rows = self.spark.read.schema("n long, parts map<string,string>").json(f"{self.root}/versions").orderBy(F.desc("n")).limit(KEPT + 1).collect()
+        return [(r["n"], dict(r["parts"] or {})) for r in rows]
+
+    def _parts(self) -> dict[str, str]:
+        versions = self._versions()
+        return versions[0][1] if versions else {}
+
     def read(self) -> DataFrame:
-        version = self._versions()
-        if version is None:
+        return self._read(self._parts())
+
+    def _read(self, parts: dict[str, str]) -> DataFrame:
+        if not parts:
             return self.spark.createDataFrame([], EMBEDDED_CHUNK)
-        return self.spark.read.schema(EMBEDDED_CHUNK).parquet(f"{self.root}/{version}")
+        return self.spark.read.schema(EMBEDDED_CHUNK).option("basePath", f"{self.root}/data").parquet(*[f"{self.root}/{p}" for p in sorted(set(parts.values()))]).fillna({"doc_type": ""}).select(*EMBEDDED_CHUNK.fieldNames())
 
-    def _write(self, rows: DataFrame) -> None:
+    def _write(self, rows: DataFrame, kinds: list[str], rest: dict[str, str]) -> None:
+        """A new version: ``rows``, all of the given document types, and the parts of the others as they are."""
         old = self._versions()
-        version = f"v-{uuid.uuid4().hex}"
+        tag = uuid.uuid4().hex
         try:
-            rows.select(*EMBEDDED_CHUNK.fieldNames()).write.partitionBy("doc_type").parquet(f"{self.root}/{version}")
-            n = self.spark.read.schema("version string, n long").json(f"{self.root}/current").agg(F.max("n")).first()[0] if old else 0
-            self.spark.createDataFrame([(version, (n or 0) + 1)], "version string, n long").coalesce(1).write.mode("append").json(f"{self.root}/current")
+            now = dict(rest)
+            if kinds:
+                rows.select(*EMBEDDED_CHUNK.fieldNames()).withColumn("part", F.lit(tag)).write.mode("append").partitionBy("part", "doc_type").parquet(self.root + "/data")
+                fs, p = self._fs(f"{self.root}/data/part={tag}")
+                made = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+                now |= {name.removeprefix("doc_type="): f"data/part={tag}/{name}" for name in made if name.startswith("doc_type=")}
+            n = old[0][0] + 1 if old else 1
+            one = self.spark.createDataFrame([(n, now)], "n long, parts map<string,string>")
+            one.coalesce(1).write.mode("append").json(f"{self.root}/versions")
         except Exception as e:
             raise StoreError(f"{self.root}: {e}") from e
-        if old:
-            fs, p = self._fs(f"{self.root}/{old}")
-            fs.delete(p, True)
+        named = {p for _, parts in [(n, now), *old][:KEPT] for p in parts.values()}
+        for _, parts in old:
+            for part in set(parts.values()) - named:
+                fs, p = self._fs(f"{self.root}/{part}")
+                fs.delete(p, True)
+
+    def _kinds(self, rows: DataFrame) -> list[str]:
+        return sorted(r["doc_type"] for r in rows.select("doc_type").distinct().collect())
+
+    def _update(self, gone: DataFrame, fresh: DataFrame) -> None:
+        """Rows of the documents in ``gone`` out, ``fresh`` ones in; only the document types of either are written."""
+        parts = self._parts()
+        now = self._read(parts)
+        changed = set(self._kinds(now.join(gone, "doc_id", "left_semi"))) | set(self._kinds(fresh))
+        names = {unescaped(k): k for k in parts}
+        rest = {k: p for k, p in parts.items() if unescaped(k) not in changed}
+        touched = self._read({names[k]: parts[names[k]] for k in changed if k in names})
+        self._write(touched.join(gone, "doc_id", "left_anti").select(*EMBEDDED_CHUNK.fieldNames()).unionByName(fresh), sorted(changed), rest)
 
     def add(self, chunks: DataFrame) -> int:
         """ST2: rows of new chunk ids; the number added."""
-        now = self.read()
-        fresh = chunks.dropDuplicates(["chunk_id"]).join(now.select("chunk_id"), "chunk_id", "left_anti")
-        fresh = decoded(fresh)
+        fresh = decoded(chunks.dropDuplicates(["chunk_id"]).join(self.read().select("chunk_id"), "chunk_id", "left_anti")).select(*EMBEDDED_CHUNK.fieldNames())
         n = fresh.count()
         if n:
-            self._write(now.unionByName(fresh.select(*EMBEDDED_CHUNK.fieldNames())))
+            self._update(self.spark.createDataFrame([], "doc_id string"), fresh)
         return n
 
     def replace(self, chunks: DataFrame) -> int:
         """Chunks of documents in place of all that the store has of these documents."""
-        keep = self.read().join(chunks.select("doc_id").distinct(), "doc_id", "left_anti")
         fresh = decoded(chunks.dropDuplicates(["chunk_id"])).select(*EMBEDDED_CHUNK.fieldNames())
         n = fresh.count()
-        self._write(keep.select(*EMBEDDED_CHUNK.fieldNames()).unionByName(fresh))
+        self._update(fresh.select("doc_id").distinct(), fresh)
         return n
 
     def delete(self, doc_id: str) -> int:
@@ -78,7 +109,7 @@ class ChunkStore:
         now = self.read()
         n = now.where(F.col("doc_id") == doc_id).count()
         if n:
-            self._write(now.where(~F.col("doc_id").eqNullSafe(doc_id)))
+            self._update(self.spark.createDataFrame([(doc_id,)], "doc_id string"), now.limit(0))
         return n
 
     def chunks(self, where: Column | None = None) -> DataFrame:
@@ -94,6 +125,11 @@ class ChunkStore:
         return self.read().count()
 
 
+def unescaped(name: str) -> str:
+    """A partition's value from its folder's name."""
+    return "" if name == "__HIVE_DEFAULT_PARTITION__" else unquote(name)
+
+
 def decoded(rows: DataFrame) -> DataFrame:
     """ST8: defaults for metadata that a row lacks."""
     defaults = {"page": 0, "token_count": 0, "chunk_level": "detail", "chunk_index": 0}

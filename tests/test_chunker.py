@@ -1,4 +1,8 @@
-from docstrata.operators.chunker import Chunker, ChunkOptions, PieceTokenizer, blocks, chunk_documents, walk_headings
+import random
+
+import pytest
+
+from docstrata.operators.chunker import BytePairTokenizer, Chunker, ChunkOptions, PieceTokenizer, blocks, chunk_documents, register_chunker, walk_headings
 
 WORD = " ".join(f"w{i:03d}" for i in range(100))
 
@@ -65,3 +69,31 @@ def test_error_row(spark):
 
     out = chunk_documents(spark.createDataFrame([("d", "text", "t", "")], "doc_id string, content string, doc_type string, chip string"), tokenizer=Broken()).collect()
     assert out[0]["chunk_id"] is None and "no" in out[0]["error"]
+
+
+def test_vocabulary_tokenizer_and_table_function(spark):
+    P = pytest.importorskip("public_tokenizers")
+    pytest.importorskip("tiktoken")
+    t = BytePairTokenizer(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    text = "The register CR1 is at 0x40013000.\n\nÜber 中文 \U0001f600 x" * 20
+    assert "".join(t.pieces(text)) == text and t.count(text) >= len(t.pieces(text)) > 100
+    chunks = Chunker(ChunkOptions(64, 8, 8), t).chunk(text)
+    assert len(chunks) > 3 and all(t.count(c[1]) == c[2] <= 80 for c in chunks)
+    rows = spark.createDataFrame([("d", text, "text", "")], "doc_id string, content string, doc_type string, chip string")
+    assert [r["content"] for r in chunk_documents(rows, ChunkOptions(64, 8, 8), t).orderBy("chunk_index").collect()] == [c[1] for c in chunks]
+    register_chunker(spark)
+    spark.createDataFrame([(1, "# A\n\n" + "word " * 40)], "id int, body string").createOrReplaceTempView("bodies")
+    got = spark.sql("SELECT id, c.chunk_index, c.content FROM bodies, LATERAL chunks_of(body, 16, 0, 0) c ORDER BY 2").collect()
+    assert [(r["chunk_index"], r["content"]) for r in got] == [(n, c) for n, c, *_ in Chunker(ChunkOptions(16, 0, 0)).chunk("# A\n\n" + "word " * 40)]
+
+
+def test_counts_of_joined_parts_are_those_of_the_text():
+    class Plain:  # without what lets parts be counted once
+        pieces = PieceTokenizer().pieces
+
+    rng = random.Random(3)
+    marks = ["\n", "\n\n", " ", "  ", "\t\n", "\n# "]
+    for _ in range(200):
+        text = "".join(rng.choice([" ".join("w" * rng.randrange(1, 12) for _ in range(rng.randrange(1, 60))), "x" * rng.randrange(1, 90), "```\na  b\n```", "| a |\n|---|"]) + rng.choice(marks) for _ in range(rng.randrange(1, 20)))
+        o = ChunkOptions(rng.randrange(3, 60), rng.randrange(0, 10), rng.randrange(0, 30))
+        assert Chunker(o).chunk(text) == Chunker(o, Plain()).chunk(text)

@@ -8,9 +8,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from docstrata import cli, config, serve
-from docstrata.errors import CatalogError, ConfigError, EmbeddingError, ManifestError, ParseError, PluginError, TemplateError
+from docstrata.errors import BenchmarkError, CatalogError, ConfigError, EmbeddingError, ManifestError, ParseError, PluginError, TemplateError
 from docstrata.operators import embed, evaluate, search, templates
 from docstrata.operators.compile import matching_pins
+from docstrata.operators.store import ChunkStore
 from docstrata.project import Project, find_root
 from docstrata.providers import StubProvider, default_registry
 from docstrata.sources import catalog, files, manifest, pdf, svd
@@ -331,3 +332,33 @@ def test_benchmark_run_and_report(spark, folder, tmp_path, capsys):
     assert share["svd_lookup"][1] == 1.0 and share["hybrid"][1] == 1.0 and share["no_context"][1] == 0.0
     cli.bench_report(spark, project, args(["bench", "report", str(tmp_path / "q"), str(tmp_path / "r"), "--chip", "CHIP1", "--out", str(tmp_path / "rep")]))
     assert "| svd_lookup | 100.0%" in capsys.readouterr().out and evaluate.read_report(spark, str(tmp_path / "rep")).count() == 1
+
+
+def test_store_writes_only_what_changes(spark, tmp_path):
+    store = ChunkStore(spark, str(tmp_path))
+    rows = lambda *r: spark.createDataFrame(r, "chunk_id string, doc_id string, doc_type string, content string")
+    assert store.count() == 0 and store.delete("a") == 0
+    assert store.add(rows(("1", "a", "x y/z", "one"), ("2", "b", "", "two"), ("3", "c", "svd", "three"), ("3", "c", "svd", "three"))) == 3
+    before = store._parts()
+    reader = store.chunks()  # read after the next write
+    assert store.replace(rows(("4", "a", "x y/z", "new"))) == 1
+    after = store._parts()
+    assert after["svd"] == before["svd"] and sum(before[k] != after[k] for k in before) == 1
+    assert {r["content"] for r in reader.collect()} == {"one", "two", "three"}
+    assert {(r["chunk_id"], r["doc_type"], r["content"]) for r in store.chunks().collect()} == {("4", "x y/z", "new"), ("2", "", "two"), ("3", "svd", "three")}
+    assert store.add(rows(("4", "a", "svd", "again"), ("5", "d", "svd", "five"))) == 1 and store.delete("c") == 1
+    assert {r["chunk_id"] for r in store.metadata(F.col("doc_type") == "svd").collect()} == {"5"} and store.count() == 3
+    assert store.replace(rows(("9", "d", "text", "moved"))) == 1 and {r["chunk_id"]: r["doc_type"] for r in store.metadata().collect()} == {"4": "x y/z", "2": "", "9": "text"}
+    assert len(list((tmp_path / "chunks/data").glob("part=*/doc_type=*"))) <= 6
+
+
+def test_protocols(spark, tmp_path):
+    from docstrata import protocols
+
+    assert isinstance(ChunkStore(spark, str(tmp_path)), protocols.Store) and isinstance(StubProvider(), protocols.AnswerProvider) and isinstance(files.parse_text, protocols.Parser)
+
+
+def test_benchmark_settings_are_counted(spark):
+    what = spark.range(6000).select(F.col("id").cast("string").alias("name"), F.lit("").alias("system_prompt"), F.lit("").alias("description"))
+    with pytest.raises(BenchmarkError):
+        evaluate.prompts(spark.createDataFrame([("q",)], "id string"), what, 2)
