@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 from collections.abc import Callable
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -119,17 +122,30 @@ _HELD: dict = {}
 def held(key, make: Callable | None = None):
     """What a Python worker keeps from task to task; one object at a time, so that stages do not add up.
 
-    Without ``make``, all is given up.
+    Without ``make``, all is given up. What the object before took goes back to
+    the system, as a worker lives on from stage to stage.
     """
+    if make is None or key not in _HELD:
+        if _HELD:
+            _HELD.clear()
+        _release()
     if make is None:
-        _HELD.clear()
         return None
     if key not in _HELD:
-        _HELD.clear()
         _HELD[key] = make()
     return _HELD[key]
 
 
+def _release() -> None:
+    """Free memory that the allocators hold back, as far as they can be asked to."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
 def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFrame:
     """Connected components of an undirected graph, as (node, root).
 

@@ -9,10 +9,11 @@ with the smallest one wins.
 
 An automaton is flattened into one table that holds, for each state and class
 of characters, the next state and whether a new phrase begins there, so that
-many segments of text are parsed in step with numpy. Segments are parsed from
-the start state at first; then each is parsed again from the state in which the
-one before it ended, until both parses are in the same state, from where on they
-agree. The result is the parse of the whole text.
+many segments of text are parsed in step with numpy. The parse of a segment
+starts ``WARM`` characters before it, and mostly is in the state in which the one
+before it ended when it comes to its own characters. Those for which it is not
+are parsed again from that state, until all agree. The result is the parse of the
+whole text.
 
 The sample is bounded by ``sample_chars`` characters over all languages, or
 ``least`` a language where these are more; which texts are in it follows from a
@@ -42,6 +43,7 @@ import json
 import math
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -51,7 +53,8 @@ from pyspark.sql import functions as F
 from .common import fresh, held, named
 
 UNKNOWN = "und"
-SEGMENT = 256
+SEGMENT, WARM = 512, 96
+PART = 2_000_000  # characters that are parsed together
 GAP = 0  # class of all that is no letter; runs of it count as one
 MOST, HASHED = 192, 63  # letters with a class of their own; classes of the other letters of the samples
 SLACK = 2.0
@@ -136,38 +139,25 @@ class Language:
 
     def phrases(self, lanes: np.ndarray, follows: np.ndarray) -> np.ndarray:
         """Phrases begun after the first in each lane; ``lanes`` has a row for each step, ``follows`` says which lane goes on with the one before."""
-        steps, n = lanes.shape
-        state, ended = np.zeros(n, np.int32), np.zeros(n, np.int32)
-        states, counts = np.empty((steps, n), np.int32), np.empty((steps, n), np.int16)
-        for i, row in enumerate(lanes):
+        state = np.zeros(lanes.shape[1], np.int32)
+        for row in lanes[:WARM]:
+            state = self.table[state + row] >> 1
+        begin = state
+        total, end = self._run(lanes, slice(None), begin)
+        while True:
+            wrong = np.flatnonzero(follows[1:] & (begin[1:] != end[:-1])) + 1
+            if not len(wrong):
+                return total
+            begin[wrong] = end[wrong - 1]
+            total[wrong], end[wrong] = self._run(lanes, wrong, begin[wrong])
+
+    def _run(self, lanes: np.ndarray, own, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        ended = np.zeros(len(state), np.int32)
+        for row in lanes[WARM:, own]:
             got = self.table[state + row]
             ended += got & 1
             state = got >> 1
-            states[i], counts[i] = state, ended
-        total, last = ended.copy(), state.copy()
-        todo = np.flatnonzero(follows)
-        while len(todo):
-            begun, carry, found = todo, last[todo - 1], np.zeros(len(todo), np.int32)
-            old = last[todo]
-            left = np.arange(len(todo))
-            for i in range(steps):
-                got = self.table[carry + lanes[i, begun[left]]]
-                found[left] += got & 1
-                carry = got >> 1
-                same = carry == states[i, begun[left]]
-                met = left[same]
-                total[begun[met]] = found[met] + ended[begun[met]] - counts[i, begun[met]]
-                last[begun[met]] = state[begun[met]]
-                left, carry = left[~same], carry[~same]
-                if not len(left):
-                    break
-            total[begun[left]] = found[left]
-            last[begun[left]] = carry
-            # a lane that now ends in another state changes the one after it
-            moved = begun[last[begun] != old] + 1
-            todo = moved[moved < n]
-            todo = todo[follows[todo]]
-        return total
+        return ended, state
 
 
 class Model:
@@ -185,11 +175,14 @@ class Model:
         if not self.names or not lettered.any():
             return [UNKNOWN] * n, np.zeros(n), np.zeros(n), np.ones(n)
         pieces = -(-size // SEGMENT)
-        grid = np.full(int(pieces.sum()) * SEGMENT, a.pad, np.int32)
         first = np.concatenate(([0], np.cumsum(pieces)))
-        for c, at in zip(codes, first.tolist()):
-            grid[at * SEGMENT : at * SEGMENT + len(c)] = c
-        lanes = np.ascontiguousarray(grid.reshape(-1, SEGMENT).T)
+        grid = np.full((int(first[-1]), WARM + SEGMENT), a.pad, np.uint16)
+        for c, at, m in zip(codes, first.tolist(), pieces.tolist()):
+            whole = np.pad(c, (0, m * SEGMENT - len(c)), constant_values=a.pad).reshape(m, SEGMENT)
+            grid[at : at + m, WARM:] = whole
+            grid[at + 1 : at + m, :WARM] = whole[:-1, -WARM:]
+        lanes = np.ascontiguousarray(grid.T)
+        del grid
         follows = np.ones(lanes.shape[1], bool)
         follows[first[:-1][pieces > 0]] = False
         entropy = np.zeros((len(self.names), n))
@@ -221,8 +214,8 @@ def predictor(samples: dict[str, str]):
         for s in texts:
             done: list[tuple] = []
             held, chars = [], 0
-            for t in [*s.tolist(), ...]:  # parts of about a million characters bound the memory
-                if t is ... or chars > 1_000_000:
+            for t in chain(s, (...,)):  # parts bound the memory
+                if t is ... or chars > PART:
                     done.append(model.predict(held))
                     held, chars = [], 0
                 if t is not ...:

@@ -199,7 +199,7 @@ def _framer(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path)
         end = np.array([end_id], encode.kind).tobytes()
-        for batch in batches:
+        for batch in (whole.slice(at, 1000) for whole in batches for at in range(0, whole.num_rows, 1000)):
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for part in _parts(texts):
                 coded = encode([t or "" for t in texts[part]])
