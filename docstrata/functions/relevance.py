@@ -21,9 +21,8 @@ SEPARATOR = " > "
 
 def tokenize(c: Column) -> Column:
     """distinct words of two letters or digits at least that begin with a letter, without stopwords."""
-    runs = F.regexp_extract_all(c, F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
-    ascii_ = F.filter(runs, lambda w: w.rlike(r"^[a-zA-Z][a-zA-Z0-9]+\z"))
-    return F.array_except(F.array_distinct(F.transform(ascii_, F.lower)), F.array(*map(F.lit, STOPWORDS)))
+    found = F.regexp_extract_all(c, F.lit(r"(?<![\p{L}\p{N}_])[a-zA-Z][a-zA-Z0-9]++(?![\p{L}\p{N}_])"), F.lit(0))
+    return F.array_except(F.transform(F.array_distinct(found), F.lower), F.array(*map(F.lit, STOPWORDS)))
 
 
 def keywords(name: Column, register_map: Column, description: Column) -> Column:
