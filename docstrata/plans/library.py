@@ -13,7 +13,7 @@ from ..operators import evaluate, search
 from ..operators.chunker import ChunkOptions, chunk_documents
 from ..operators.embed import HashingEmbedder, embed_chunks
 from ..operators.store import ChunkStore
-from ..sources import files, pdf, svd
+from ..sources import catalog, files, manifest, pdf, svd
 from .registry import query, read
 
 _L = "l_orderkey, l_linenumber"
@@ -475,3 +475,99 @@ def run_costs(spark, sf_dir):
 def difficulty_places(spark, sf_dir):
     d = _pick(("easy", "medium", "hard", "odd"), F.col("p_partkey"))
     return read(spark, sf_dir, "part").select("p_partkey", d.alias("difficulty"), evaluate.difficulty_order(d).cast("long").alias("place"))
+
+
+# Tables on disk, guards and counts
+
+
+@query("SELECT doc_id::VARCHAR AS id, 'x/' || doc_id || '.txt' AS path, 'text' AS doc_type, sha256(text) AS hash, n_chars::INT AS chunks, CASE WHEN doc_id % 2 = 0 THEN source ELSE '' END AS chip FROM documents")
+def manifest_round_trip(spark, sf_dir):
+    """Written as one file and read again."""
+    d = F.col("doc_id")
+    rows = read(spark, sf_dir, "documents").select(
+        d.cast("string").alias("id"), F.concat(F.lit("x/"), d.cast("string"), F.lit(".txt")).alias("path"), F.lit("text").alias("doc_type"), F.sha2("text", 256).alias("hash"), F.lit("2026-01-01").alias("added"),
+        F.col("n_chars").cast("int").alias("chunks"), F.when(d % 2 == 0, F.col("source")).otherwise("").alias("chip"),
+    )
+    path = scratch(spark, "manifest")
+    manifest.manifest_json(rows).write.text(path)
+    return manifest.read_manifest(spark, path).select("id", "path", "doc_type", "hash", "chunks", "chip")
+
+
+@query("SELECT count(*) AS document_count, sum(n_chars)::BIGINT AS chunk_count FROM documents")
+def manifest_totals(spark, sf_dir):
+    rows = read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), F.col("n_chars").cast("int").alias("chunks"))
+    return manifest.totals(rows).select("document_count", "chunk_count")
+
+
+@query("SELECT doc_id::VARCHAR AS id, ['base_address','register_offset','bit_field','reset_value','access_type','other'][(doc_id % 6 + 1)::INT] AS category, 'p.1' AS source_ref FROM documents")
+def dataset_round_trip(spark, sf_dir):
+    """A question set written as one object and read again."""
+    path = scratch(spark, "questions")
+    questions = _asked(spark, sf_dir).withColumn("register", F.lit("")).withColumn("field_name", F.lit(""))
+    evaluate.write_dataset(questions, "set", "C", path)
+    return evaluate.read_dataset(spark, path).withColumn("category", F.col("category")).select("id", "category", "source_ref")
+
+
+@query("SELECT p_partkey, p_size % 4 = 0 AS too_large FROM part")
+def size_guard(spark, sf_dir):
+    length = F.when(F.col("p_size") % 4 == 0, files.LIMITS["text"] + 1).otherwise(files.LIMITS["text"])
+    rows = read(spark, sf_dir, "part").select(F.concat(F.lit("x/"), F.col("p_partkey").cast("string"), F.lit(".txt")).alias("path"), F.col("p_name").cast("binary").alias("content"), length.cast("long").alias("length"))
+    found = files.parse_text(rows)
+    return found.select(F.regexp_extract("doc_id", "([0-9]+)", 1).cast("long").alias("p_partkey"), (F.col("error").isNotNull() & (F.col("content") == "")).alias("too_large"))
+
+
+@query("SELECT p_partkey, p_size % 3 = 0 AS refused FROM part")
+def xml_safety(spark, sf_dir):
+    head = F.when(F.col("p_size") % 6 == 0, '<!DOCTYPE x [<!ENTITY a "b">]>').when(F.col("p_size") % 6 == 3, "<!ENTITY a 'b'>").otherwise("")
+    xml = F.concat(head, F.lit("<device><name>"), "p_name", F.lit("</name></device>"))
+    found = svd.read_devices(_files(read(spark, sf_dir, "part"), F.concat(F.lit("x/"), F.col("p_partkey").cast("string"), F.lit(".svd")), xml))
+    return found.select(text.stem(F.col("path")).cast("long").alias("p_partkey"), F.col("error").isNotNull().alias("refused"))
+
+
+@query("SELECT lower(replace(replace(p_brand, ' ', '_'), '-', '_')) || '_svd' AS doc_id, p_brand AS chip, p_brand || ' Register Map' AS title, '2' AS peripherals, count(*)::VARCHAR AS registers FROM part GROUP BY p_brand")
+def svd_documents(spark, sf_dir):
+    """Devices as documents, with counts of what the file itself has."""
+    found = svd.parse_files(_svd_files(spark, sf_dir))
+    return found.select("doc_id", "chip", "title", F.try_element_at("metadata", F.lit("peripheral_count")).alias("peripherals"), F.try_element_at("metadata", F.lit("register_count")).alias("registers"))
+
+
+@query("SELECT s_name AS name, n_name AS vendor, n_name || '/' || s_name || '.svd' AS path FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey % 3 <> 0")
+def catalog_index(spark, sf_dir):
+    """Every third supplier is listed with another suffix and is no device."""
+    both = read(spark, sf_dir, "supplier").join(read(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    tree = both.select(F.concat(F.lit("data/"), "n_name", F.lit("/"), "s_name", F.when(F.col("s_suppkey") % 3 == 0, ".txt").otherwise(".svd")).alias("path"))
+    return catalog.Catalog.index(tree).devices
+
+
+@query("SELECT p_partkey, p_partkey % 4 = 3 AS safe FROM part")
+def safe_names(spark, sf_dir):
+    name = F.concat(F.col("p_brand"), _pick(("/", "\\", "..", "-"), F.col("p_partkey")), F.col("p_partkey").cast("string"))
+    return read(spark, sf_dir, "part").select("p_partkey", catalog.safe_name(name).alias("safe"))
+
+
+@query(
+    "SELECT p_brand AS doc_id, count(*) FILTER (p_partkey % 3 = 0) AS figure_count, md5(string_agg('<!-- PAGE:' || p_partkey || ' -->' || chr(10) || CASE p_partkey % 3 WHEN 0 THEN '<!-- FIGURE: page=' || p_partkey || ' bbox=1,2,3,4 type=figure -->' || chr(10) || '> **Figure** (figure)' || chr(10) || '> Caption: ' || p_type"
+    " WHEN 1 THEN '## ' || p_name ELSE p_name END, chr(10) || chr(10) ORDER BY p_partkey)) AS digest FROM part GROUP BY p_brand"
+)
+def layout_assembly(spark, sf_dir):
+    """Headings, text and figures in reading order; a page a part, and a footer that no label keeps."""
+    k = F.col("p_partkey") % 3
+    label = F.when(k == 0, "picture").when(k == 1, "section_header").otherwise("text")
+    items = read(spark, sf_dir, "part").select(
+        F.col("p_brand").alias("doc_id"), F.col("p_partkey").cast("int").alias("page"), F.explode(F.array(F.struct(label.alias("label"), F.when(k == 0, F.col("p_type")).otherwise(F.col("p_name")).alias("text")), F.struct(F.lit("footer").alias("label"), F.lit("f").alias("text")))).alias("i"),
+        F.lit(10.0).alias("y"), F.lit(1.0).alias("x0"), F.lit(2.0).alias("y0"), F.lit(3.0).alias("x1"), F.lit(4.0).alias("y1"), F.lit(None).cast("binary").alias("image"),
+    ).select("doc_id", "page", "y", "i.label", "i.text", "x0", "y0", "x1", "y1", "image")
+    return pdf.assemble_layout(items).select("doc_id", "figure_count", F.md5("content").alias("digest"))
+
+
+@query(
+    "SELECT 'C' AS chip, ['no_context', 'hot'][l.toxic + 1] AS condition, count(*) AS total, count_if(l.quality = 1)::BIGINT AS correct, round(count_if(l.quality = 1) / count(*)::DOUBLE, 6) AS accuracy FROM labels l GROUP BY l.toxic"
+)
+def report_metrics(spark, sf_dir):
+    """The report's row of metrics, a row a condition again."""
+    rows = read(spark, sf_dir, "labels").select(
+        F.concat(F.lit("p_"), F.col("doc_id").cast("string"), F.lit("_offset")).alias("question_id"), F.when(F.col("toxic") == 0, "no_context").otherwise("hot").alias("condition"), (F.col("quality") == 1).alias("correct"),
+        F.lit(1.0).alias("latency_ms"), F.lit(0.5).alias("partial_score"), F.lit(0.5).alias("confidence"),
+    )
+    made = evaluate.report(rows, None, "C_questions")
+    return made.select("chip", F.explode("metrics").alias("m")).select("chip", "m.condition", "m.total", "m.correct", F.round("m.accuracy", 6).alias("accuracy"))
