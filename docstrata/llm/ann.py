@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, named
 
 FOUND = "query_id long, vec_id long, score double"
 CHUNK = 10_000  # rows that are scanned together
@@ -279,7 +279,7 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """(vec_id, embedding) of the rows that take part, as doubles of one dimension."""
     e = F.col("embedding")
     finite = F.forall(e, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")))
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("embedding"))
+    rows = vectors.select(named(id_col).cast("long").alias("vec_id"), named(vector_col).alias("embedding"))
     rows = rows.where(F.col("vec_id").isNotNull() & e.isNotNull() & F.coalesce(finite, F.lit(False)) & F.exists(e, lambda v: v != 0))
     sizes = rows.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()
     return rows.where(F.size("embedding") == (sizes["d"] if sizes else -1))
