@@ -280,7 +280,8 @@ def with_language(docs: DataFrame, labelled: DataFrame, id_col: str, text_col: s
         return docs.where(F.coalesce(named(text_col).rlike(r"\p{L}"), F.lit(False)))
     (p,) = fresh(docs, "p")
     kind = docs.schema[lang_col].dataType
-    found = docs.select(*map(named, docs.columns), predictor(samples)(named(text_col)).alias(p))
+    # told to be nondeterministic, it is not worked out again for the filter
+    found = docs.select(*map(named, docs.columns), predictor(samples).asNondeterministic()(named(text_col)).alias(p))
     kept = found.where((F.col(f"{p}.lang_pred") != UNKNOWN) & (F.col(f"{p}.unknown") <= most_unknown))
     return kept.select(*[F.col(f"{p}.lang_pred").cast(kind).alias(c) if c == lang_col else named(c) for c in docs.columns])
 
