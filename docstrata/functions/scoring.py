@@ -75,7 +75,7 @@ def normalize_hex(c: Column) -> Column:
 
 
 def _bracket(c: Column) -> Column:
-    return F.when(c.rlike(BITS), F.regexp_replace(F.regexp_extract(c, BITS, 0), r"\[(\d+):?\]", r"[$1]"))
+    return hit(c, BITS)
 
 
 def _between(c: Column) -> Column:
@@ -89,8 +89,7 @@ def _between(c: Column) -> Column:
 
 def normalize_bits(c: Column) -> Column:
     """F42."""
-    t = strip(c)
-    return F.coalesce(_bracket(t), _between(t), F.concat(F.lit("["), hit(t, r"\d+"), F.lit("]")), t)
+    return let(strip(c), lambda t: F.coalesce(_bracket(t), _between(t), F.concat(F.lit("["), hit(t, r"\d+"), F.lit("]")), t))
 
 
 def normalize_access(c: Column) -> Column:
