@@ -25,24 +25,42 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one with the smallest id, of each group."""
+    """One document, the one with the smallest id, of each group.
+
+    A null text counts as empty, and so do texts of no word, which are equal to each
+    other; of rows that share the smallest id the one with the smallest text
+    hash stays, of equal rows one; a group whose ids are all null keeps one row.
+    """
     return simhash.drop_near_duplicates(docs, "doc_id", "text", words=5, similarity=0.8)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark."""
+    """Documents without a passage of the benchmark.
+
+    Null and empty texts hold none and stay; repeated rows share their fate; an
+    empty benchmark leaves all documents.
+    """
     return decontam.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sample in the target proportions; sources and languages without a target, or null, keep their share."""
+    """A sample in the target proportions; sources and languages without a target, or null, keep their share.
+
+    Null and empty texts have no tokens and are kept with the probability of their
+    cell; whether a row is kept follows from its id alone, so rows of one id and
+    one cell, and null ids, share their fate.
+    """
     topic = mixing.rules_topic(F.coalesce("text", F.lit("")), queries.TOPICS, queries.OTHER_TOPIC)
     mixed = mixing.mix(docs, "doc_id", "text", "source", "lang", topic, queries.TARGETS, queries.KEEP_SHARE, rest=True)
     return mixed.where("kept").select("row.*")
 
 
 def token_records(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The index of the records that were written: (doc_id, start, n_tokens, ids_crc32)."""
+    """The index of the records that were written: (doc_id, start, n_tokens, ids_crc32).
+
+    A null text has the end id only; null ids come first; rows of one id are in
+    the order of a hash of their text; repeated rows are repeated.
+    """
     out = new_path(spark, "records")
     tokens.write_records(docs, "doc_id", "text", queries.tokenizer_path(), queries.END_ID, out)
     return tokens.with_starts(tokens.read_index(spark, out)).select("doc_id", "start", "n_tokens", "ids_crc32")
