@@ -466,13 +466,14 @@ def _missed_links(docs: DataFrame, id_col: str, text_col: str, words: int, simil
 
 
 def near_duplicates(
-    docs: DataFrame, id_col: str, text_col: str, words: int = 5, similarity: float = 0.8, bits: int = 512, band_bits: int = 16, slack: float = 3.0
+    docs: DataFrame, id_col: str, text_col: str, words: int = 5, similarity: float = 0.8, bits: int = 512, band_bits: int = 32, slack: float = 3.0
 ) -> DataFrame:
     """(doc_id, text_hash, component, component_id, copies) of every distinct (id, text).
 
     Two texts are candidates if their signatures differ in no more bits than
     those of two texts of the wanted similarity do, plus ``slack`` standard
-    deviations of that number, and share one of ``bits / band_bits`` bands. Texts
+    deviations of that number, and share one of ``bits / band_bits`` bands, which
+    are so long that few texts share one by chance in a corpus of any size. Texts
     that this leaves in different components are candidates too if their prefixes
     share as many shingles as those of all similar ones do.
     Candidates are linked if their sets of shingles are as similar as wanted.
