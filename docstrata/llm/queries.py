@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontam, langid, linededup, mixing, pii, quality, simhash, tokens, urlfilter
+from . import ann, audit, decontam, langid, linededup, mixing, pii, quality, simhash, tokens, urlfilter
 from .common import new_path, table
 
 URL_RULES = (
@@ -109,8 +109,13 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order of the five filters on whole ``documents``, with what each step costs in labelled ones."""
+    return audit.audit_filters(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_language_id, op2_mix_sources, op3_url_filter, op4_simhash, op5_token_records, op6_quality, op7_line_dedup, op8_decontaminate, op9_nearest, op10_personal_data)
+    own = (op1_language_id, op2_mix_sources, op3_url_filter, op4_simhash, op5_token_records, op6_quality, op7_line_dedup, op8_decontaminate, op9_nearest, op10_personal_data, op12_filter_audit)
     return {f.__name__: f for f in own}
 
 
@@ -211,5 +216,37 @@ FROM d LEFT JOIN word ON d.doc_id = word.doc_id LEFT JOIN item ON d.doc_id = ite
 """
 
 
+_AUDIT_SQL = r"""
+WITH t AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS x FROM documents
+), w AS (
+  SELECT doc_id, part, x, list_filter(string_split_regex(x, '[\x20\x09-\x0D]+'), lambda s: s <> '') AS ws FROM t
+), f AS (
+  SELECT doc_id, part, len(ws) < 100 AS a, 100 * len(list_distinct(ws)) < 80 * len(ws) AS b, 100 * length(regexp_replace(x, '[^A-Z]', '', 'g')) > 10 * length(x) AS c,
+    regexp_matches(x, '[#$%&*|]') AS d, coalesce(doc_id > min(doc_id) OVER (PARTITION BY x), false) AS e FROM w
+), l AS (
+  SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id
+), m AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+    (CASE WHEN a THEN 'A' ELSE '' END) || (CASE WHEN b THEN 'B' ELSE '' END) || (CASE WHEN c THEN 'C' ELSE '' END) || (CASE WHEN d THEN 'D' ELSE '' END) || (CASE WHEN e THEN 'E' ELSE '' END) AS failed
+  FROM f LEFT JOIN l ON f.doc_id = l.doc_id
+), k(v) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+o AS (
+  SELECT k1.v || k2.v || k3.v || k4.v || k5.v AS filter_order FROM k k1, k k2, k k3, k k4, k k5
+  WHERE len(list_distinct([k1.v, k2.v, k3.v, k4.v, k5.v])) = 5
+), s AS (
+  SELECT part, good, toxic, failed, filter_order, step, substr(filter_order, step, 1) AS letter,
+    coalesce(list_min(list_filter(range(1, 6), lambda n: contains(failed, substr(filter_order, n, 1)))), 6) AS gone
+  FROM m, o, (SELECT unnest(range(1, 6)) AS step)
+), c AS (
+  SELECT part, filter_order, step, letter, count(*) FILTER (gone > step) AS kept, count(*) FILTER (gone = step) AS removed,
+    count(*) FILTER (contains(failed, letter) AND gone < step) AS redundant, count(*) FILTER (failed = letter) AS unique_fails,
+    count(*) FILTER (gone = step AND good = 1) AS good_lost, count(*) FILTER (gone = step AND toxic = 1) AS toxic_lost
+  FROM s GROUP BY ALL
+)
+SELECT part, filter_order, step::INT AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, letter))::BIGINT AS shapley FROM c
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mix_sources": _mix_sql(), "op3_url_filter": _URL_SQL, "op7_line_dedup": _LINES_SQL, "op8_decontaminate": _WINDOW_SQL}
+    return {"op2_mix_sources": _mix_sql(), "op3_url_filter": _URL_SQL, "op7_line_dedup": _LINES_SQL, "op8_decontaminate": _WINDOW_SQL, "op12_filter_audit": _AUDIT_SQL}
