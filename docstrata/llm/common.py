@@ -116,6 +116,24 @@ def delete_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+LARGEST = 2.0**52  # scaled components are cut off here, so that all of them are exact
+
+
+def scaled_vectors(vectors: DataFrame, id_col: str, vector_col: str, scale: float = 64, add: int = 0) -> tuple[DataFrame, int, int]:
+    """(vec_id, x) with x = floor(scale * component) + add, its dimension and the number of rows.
+
+    Vectors that are null or hold a null or non-finite component are left out.
+    A vector shorter than the longest one counts as filled up with zeros.
+    """
+    e = F.col("e")
+    finite = F.forall(e, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")))
+    rows = vectors.select(named(id_col).cast("long").alias("vec_id"), named(vector_col).alias("e")).where(e.isNotNull() & F.coalesce(finite, F.lit(False)))
+    n, dim = rows.agg(F.count("*"), F.max(F.size("e"))).first()
+    whole = lambda v: F.floor(F.greatest(F.least(v.cast("double") * scale, F.lit(LARGEST)), F.lit(-LARGEST))).cast("long") + add
+    filled = F.concat(F.transform("e", whole), F.array_repeat(F.lit(add).cast("long"), F.lit(dim or 0) - F.size("e")))
+    return rows.select("vec_id", filled.alias("x")), dim or 0, n
+
+
 _HELD: dict = {}
 
 

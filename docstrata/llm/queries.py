@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, audit, decontam, langid, linededup, mixing, pii, quality, simhash, tokens, urlfilter
+from . import ann, audit, bitslice, decontam, langid, linededup, mixing, pii, quality, simhash, tokens, urlfilter
 from .common import new_path, table
 
 URL_RULES = (
@@ -109,13 +109,18 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 largest integer inner products of every twentieth vector against all of ``embeddings``."""
+    return bitslice.largest_products(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", F.col("vec_id") % 20 == 0, 20, 64)
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every order of the five filters on whole ``documents``, with what each step costs in labelled ones."""
     return audit.audit_filters(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), table(spark, sf_dir, "labels"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_language_id, op2_mix_sources, op3_url_filter, op4_simhash, op5_token_records, op6_quality, op7_line_dedup, op8_decontaminate, op9_nearest, op10_personal_data, op12_filter_audit)
+    own = (op1_language_id, op2_mix_sources, op3_url_filter, op4_simhash, op5_token_records, op6_quality, op7_line_dedup, op8_decontaminate, op9_nearest, op10_personal_data, op11_exact_topk, op12_filter_audit)
     return {f.__name__: f for f in own}
 
 
@@ -216,6 +221,19 @@ FROM d LEFT JOIN word ON d.doc_id = word.doc_id LEFT JOIN item ON d.doc_id = ite
 """
 
 
+_PRODUCTS_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda c: floor(64 * c::DOUBLE)::BIGINT) AS x FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+), p AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, coalesce(list_sum(list_transform(range(1, least(len(q.x), len(c.x)) + 1), lambda i: q.x[i] * c.x[i])), 0)::BIGINT AS score
+  FROM (SELECT DISTINCT * FROM v WHERE vec_id % 20 = 0) q JOIN v c ON q.vec_id <> c.vec_id
+), r AS (
+  SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM p
+)
+SELECT query_id, rank::INT AS rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
 _AUDIT_SQL = r"""
 WITH t AS (
   SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS x FROM documents
@@ -249,4 +267,4 @@ SELECT part, filter_order, step::INT AS step, kept, removed, redundant, unique_f
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mix_sources": _mix_sql(), "op3_url_filter": _URL_SQL, "op7_line_dedup": _LINES_SQL, "op8_decontaminate": _WINDOW_SQL, "op12_filter_audit": _AUDIT_SQL}
+    return {"op2_mix_sources": _mix_sql(), "op3_url_filter": _URL_SQL, "op7_line_dedup": _LINES_SQL, "op8_decontaminate": _WINDOW_SQL, "op11_exact_topk": _PRODUCTS_SQL, "op12_filter_audit": _AUDIT_SQL}
