@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, audit, bitslice, decontam, langid, linededup, mixing, pii, quality, simhash, tokens, urlfilter
+from . import ann, audit, bitslice, decontam, langid, linededup, mixing, pii, quality, simhash, tokens, urlfilter, whiten
 from .common import new_path, table
 
 URL_RULES = (
@@ -119,8 +119,13 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audit_filters(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), table(spark, sf_dir, "labels"))
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ``embeddings`` on their first 32 principal components, with unit variance."""
+    return whiten.whiten(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 64, 1_000_000, 32)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_language_id, op2_mix_sources, op3_url_filter, op4_simhash, op5_token_records, op6_quality, op7_line_dedup, op8_decontaminate, op9_nearest, op10_personal_data, op11_exact_topk, op12_filter_audit)
+    own = (op1_language_id, op2_mix_sources, op3_url_filter, op4_simhash, op5_token_records, op6_quality, op7_line_dedup, op8_decontaminate, op9_nearest, op10_personal_data, op11_exact_topk, op12_filter_audit, op13_whitening)
     return {f.__name__: f for f in own}
 
 
