@@ -8,17 +8,20 @@ four-bit codes. Pairs of components are quantised to sixteen
 codewords, with a loss that weighs the part of the residual parallel to the
 vector more than the part across it, as that is the part which spoils large
 inner products (Guo et al., 2020). Codewords and codes are found in turn, each
-in closed form given the other.
-
-A search sends queries in blocks of bounded bytes to all rows. A task adds up
-table entries for its rows' codes, two codes a byte, keeps the best ``keep`` of
-each ``CHUNK`` rows at most for each query and all rows that share their codes,
-which the tables cannot tell apart, and reranks them by the exact distance in
-double precision before anything leaves the task.
-
-The index is sorted by cells, which centroids of the sample give, so that the
-rows that are scanned together lie together. A query passes over them if it is
-farther from their middle than their radius and its k-th distance so far add up
+in closed form given the other. Directions are quantised, vectors of length one;
+the lengths are kept exactly, so that long vectors have no coarser codes than
+short ones.
+
+The index is sorted by cells, which centroids of the sample give, and dealt in
+that order into groups of stretches; queries are dealt into blocks. A cell of the grid of
+groups and blocks meets in one task, which adds up table entries for its rows'
+codes, two codes a byte, keeps the best ``keep`` of each stretch of ``CHUNK`` rows at most for
+each query and all rows that share their codes, which the tables cannot tell
+apart, and reranks them by the exact distance in double precision. At most ``k``
+rows a query leave a task. Neither rows nor queries go through the driver.
+
+Rows of a stretch lie together, as it holds rows of the same cells. A query passes over it if it is
+farther from the stretch's middle than its radius and the query's k-th distance so far add up
 to, which loses nothing. The first such distances are those to ``anchors``, some
 vectors of the sample. Where vectors form clusters, a query so meets a part of
 the rows; where they do not, it meets all.
@@ -39,13 +42,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise, named
 
 FOUND = "query_id long, vec_id long, score double"
 CHUNK = 10_000  # rows that are scanned together
+GROUP = 40_000  # rows that a task holds
+BLOCK = (256, 8192)  # least and most queries that a task holds
 ANCHORS = 4096
 
 
@@ -79,7 +85,7 @@ class Codebook:
 
 
 def _assign(x: np.ndarray, unit: np.ndarray, words: np.ndarray, codes: np.ndarray, weight: float, sweeps: int) -> np.ndarray:
-    """Codes by coordinate descent on |r|^2 + weight <r, unit>^2, r being the residual; x and unit are rows x subspaces x 2."""
+    """Codes by coordinate descent on |r|^2 + weight <r, unit>^2, r being the residual; x and unit, its direction, are rows x subspaces x 2."""
     parallel = np.einsum("nmd,nmd->nm", x - words[np.arange(len(words)), codes], unit)
     total = parallel.sum(axis=1)
     for _ in range(sweeps):
@@ -94,9 +100,10 @@ def _assign(x: np.ndarray, unit: np.ndarray, words: np.ndarray, codes: np.ndarra
     return codes
 
 
-def _split(x: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
+def _directions(x: np.ndarray, m: int) -> np.ndarray:
+    """Rows of length one (zero for zero), by pairs of components."""
     norm = np.linalg.norm(x, axis=1, keepdims=True)
-    return x.reshape(len(x), m, 2), (x / np.where(norm > 0, norm, 1)).reshape(len(x), m, 2)
+    return (x / np.where(norm > 0, norm, 1)).reshape(len(x), m, 2)
 
 
 def _weight(dim: int, threshold: float) -> float:
@@ -107,7 +114,7 @@ def _weight(dim: int, threshold: float) -> float:
 def fit(x: np.ndarray, threshold: float = 0.2, rounds: int = 8, seed: int = 7) -> Codebook:
     m, centre = -(-x.shape[1] // 2), x.mean(axis=0)
     x = np.pad(x - centre, ((0, 0), (0, 2 * m - x.shape[1])))
-    part, unit = _split(x, m)
+    part = unit = _directions(x, m)
     rng, weight = np.random.default_rng(seed), _weight(x.shape[1], threshold)
     words = part[rng.choice(len(x), 16, replace=len(x) < 16)].transpose(1, 0, 2).copy()
     codes = np.stack([((part[:, k, None] - words[k]) ** 2).sum(axis=2).argmin(axis=1) for k in range(m)], axis=1)
@@ -130,7 +137,7 @@ def fit(x: np.ndarray, threshold: float = 0.2, rounds: int = 8, seed: int = 7) -
 
 def encode(book: Codebook, x: np.ndarray, threshold: float = 0.2) -> np.ndarray:
     """Packed codes, two a byte, of each row."""
-    part, unit = _split(book.padded(x - book.centre), len(book.words))
+    part = unit = _directions(book.padded(x - book.centre), len(book.words))
     codes = np.stack([((part[:, k, None] - w) ** 2).sum(axis=2).argmin(axis=1) for k, w in enumerate(book.words)], axis=1)
     codes = _assign(part, unit, book.words, codes, _weight(book.dim, threshold), 2)
     if codes.shape[1] % 2:
@@ -159,7 +166,11 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
 
-def _encoder(book: Codebook, dim: int):
+CODED = "vec_id long, embedding array<double>, codes binary, cell int"
+STRETCHES = "at long, ids binary, vectors binary, codes binary"
+
+
+def _coder(book: Codebook, dim: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 2000):
@@ -167,7 +178,8 @@ def _encoder(book: Codebook, dim: int):
                 x = _matrix(part.column(1), dim)
                 codes = [c.tobytes() for c in encode(book, x)]
                 cell = nearest_cell(x - book.centre, book.cells) if book.cells is not None else np.zeros(len(x), np.int64)
-                cols = [part.column(0), part.column(1), pa.array(codes, pa.binary()), pa.array(cell.astype(np.int32))]
+                vectors = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, dim, dtype=np.int32)), pa.array(x.ravel()))
+                cols = [part.column(0), vectors, pa.array(codes, pa.binary()), pa.array(cell.astype(np.int32))]
                 yield pa.RecordBatch.from_arrays(cols, names=["vec_id", "embedding", "codes", "cell"])
 
     return run
@@ -235,101 +247,117 @@ def _chunks(cell: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
         yield start, len(cell)
 
 
-def _searcher(book: Codebook, query_ids: np.ndarray, queries: np.ndarray, k: int, keep: int):
-    dim, first = queries.shape[1], first_bounds(book, query_ids, queries, k)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0), np.empty(0, np.int64))] * len(queries)
-        bound, met = first.copy(), False
-        for b in (whole.slice(i, j - i) for whole in batches for i, j in _chunks(whole.column(3).to_numpy(), CHUNK)):
-            met = True
-            ids, x = b.column(0).to_numpy(), _matrix(b.column(1), dim)
-            order = np.argsort(ids, kind="stable")
-            ids, x = ids[order], x[order]
-            codes = np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint8).reshape(len(ids), -1)[order]
-            bias = (-((x - book.centre) ** 2).sum(axis=1) / 2).astype(np.float32)
-            alike = _Alike(codes)
-            middle = x.mean(axis=0)
-            radius = math.sqrt(((x - middle) ** 2).sum(axis=1).max())
-            away = np.sqrt(((queries - middle) ** 2).sum(axis=1))
-            near = np.flatnonzero(away * (1 - 1e-9) <= radius + bound)
-            for own in (near[i : i + 256] for i in range(0, len(near), 256)):
-                table = book.tables(queries[own])
-                score = np.repeat(bias[:, None], table.shape[2], axis=1)
-                for at in range(0, len(ids), 2000):
-                    for n in range(codes.shape[1]):
-                        score[at : at + 2000] += table[n][codes[at : at + 2000, n]]
-                for j, s in zip(own.tolist(), np.ascontiguousarray(score.T)):
-                    top = alike.of(_best(s, keep))
-                    top = top[ids[top] != query_ids[j]]
-                    far = np.sqrt(((x[top] - queries[j]) ** 2).sum(axis=1))
-                    far, found = np.concatenate([best[j][0], far]), np.concatenate([best[j][1], ids[top]])
-                    order = np.lexsort((found, far))[:k]
-                    best[j] = far[order], found[order]
-                    if len(order) == k:
-                        bound[j] = min(bound[j], far[order[-1]])
-        if met:
-            cols = [np.repeat(query_ids, [len(f) for f, _ in best]), np.concatenate([n for _, n in best]), np.concatenate([f for f, _ in best])]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["query_id", "vec_id", "score"])
-
-    return run
-
-
-def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(vec_id, embedding) of the rows that take part, as doubles of one dimension."""
+def nearest_of(book: Codebook, stretches: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], query_ids: np.ndarray, queries: np.ndarray, k: int, keep: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(distances, ids) of the ``k`` nearest found for each query; a stretch is (ids, vectors, codes)."""
+    best: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0), np.empty(0, np.int64))] * len(queries)
+    bound = first_bounds(book, query_ids, queries, k)
+    for ids, x, codes in stretches:
+        order = np.argsort(ids, kind="stable")
+        ids, x, codes = ids[order], x[order], codes[order]
+        length = np.sqrt(((x - book.centre) ** 2).sum(axis=1))
+        alike = _Alike(codes)
+        middle = x.mean(axis=0)
+        radius = math.sqrt(((x - middle) ** 2).sum(axis=1).max())
+        away = np.sqrt(((queries - middle) ** 2).sum(axis=1))
+        near = np.flatnonzero(away * (1 - 1e-9) <= radius + bound)
+        for own in (near[i : i + 256] for i in range(0, len(near), 256)):
+            table = book.tables(queries[own])
+            score = np.zeros((len(ids), table.shape[2]), np.float32)
+            for at in range(0, len(ids), 2000):
+                for n in range(codes.shape[1]):
+                    score[at : at + 2000] += table[n][codes[at : at + 2000, n]]
+            score *= length.astype(np.float32)[:, None]
+            score -= (length**2 / 2).astype(np.float32)[:, None]
+            for j, s in zip(own.tolist(), np.ascontiguousarray(score.T)):
+                top = alike.of(_best(s, keep))
+                top = top[ids[top] != query_ids[j]]
+                far = np.sqrt(((x[top] - queries[j]) ** 2).sum(axis=1))
+                far, found = np.concatenate([best[j][0], far]), np.concatenate([best[j][1], ids[top]])
+                order = np.lexsort((found, far))[:k]
+                best[j] = far[order], found[order]
+                if len(order) == k:
+                    bound[j] = min(bound[j], far[order[-1]])
+    return best
+
+
+def usable(vectors: DataFrame, id_col: str, vector_col: str) -> tuple[DataFrame, int]:
+    """(vec_id, embedding) of the rows that take part, of one dimension, and their number."""
     e = F.col("embedding")
     finite = F.forall(e, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")))
     rows = vectors.select(named(id_col).cast("long").alias("vec_id"), named(vector_col).alias("embedding"))
     rows = rows.where(F.col("vec_id").isNotNull() & e.isNotNull() & F.coalesce(finite, F.lit(False)) & F.exists(e, lambda v: v != 0))
     sizes = rows.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    return rows.where(F.size("embedding") == (sizes["d"] if sizes else -1))
+    return rows.where(F.size("embedding") == (sizes["d"] if sizes else -1)), sizes["count"] if sizes else 0
 
 
-def build_index(vectors: DataFrame, id_col: str, vector_col: str, sample: int = 20_000) -> tuple[DataFrame, Codebook | None]:
-    """The table (vec_id, embedding, codes, cell) of every usable vector, by cells, and the codebook."""
-    rows = usable(vectors, id_col, vector_col)
+def build_index(vectors: DataFrame, id_col: str, vector_col: str, sample: int = 20_000) -> tuple[DataFrame, DataFrame, Codebook | None]:
+    """The table of stretches of every usable vector, by cells, the rows (vec_id, embedding) that it holds, and the codebook."""
+    rows, n = usable(vectors, id_col, vector_col)
     picked = rows.orderBy(F.xxhash64("vec_id", F.lit("ann")), "vec_id").limit(sample).select("vec_id", "embedding").collect()
     if not picked:
-        return rows.withColumn("codes", F.lit(None).cast("binary")).withColumn("cell", F.lit(0)), None
+        return rows.sparkSession.createDataFrame([], STRETCHES), rows, None
     x = np.array([r["embedding"] for r in picked], float)
     book = fit(x)
     book.cells = centroids(x - book.centre)
     book.anchors = np.array([r["vec_id"] for r in picked[:ANCHORS]], np.int64), x[:ANCHORS]
-    kind = rows.schema["embedding"].dataType.simpleString()
-    coded = rows.mapInArrow(_encoder(book, x.shape[1]), f"vec_id long, embedding {kind}, codes binary, cell int")
-    return materialise(coded.repartitionByRange("cell", "vec_id").sortWithinPartitions("cell", "vec_id"), "index"), book
+    ordered = rows.mapInArrow(_coder(book, x.shape[1]), CODED).repartitionByRange(max(1, -(-n // GROUP)), "cell", "vec_id").sortWithinPartitions("cell", "vec_id")
+    return materialise(ordered.mapInArrow(_packer(x.shape[1]), STRETCHES), "index"), rows, book
+
+
+def _packer(dim: int):
+    """Rows of the index, or of queries, in stretches of bounded size, each one row of (at, ids, vectors, codes)."""
+
+    def packed(at: int, ids: np.ndarray, x: np.ndarray, codes: list[bytes]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([at]), *[pa.array([v], pa.binary()) for v in (ids.tobytes(), x.tobytes(), b"".join(codes))]], names=["at", "ids", "vectors", "codes"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = TaskContext.get().partitionId()
+        for b in batches:
+            coded = b.num_columns > 2
+            for i, j in _chunks(b.column(3).to_numpy(), CHUNK) if coded else ((i, min(i + CHUNK, b.num_rows)) for i in range(0, b.num_rows, CHUNK)):
+                part = b.slice(i, j - i)
+                yield packed(at, part.column(0).to_numpy(), _matrix(part.column(1), dim), part.column(2).to_pylist() if coded else [])
+
+    return run
+
+
+def _searcher(book: Codebook, k: int, keep: int):
+    dim = len(book.centre)
+
+    def unpacked(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        for n in range(table.num_rows):
+            ids, x, codes = (np.frombuffer(table.column(c)[n].as_buffer() or b"", kind) for c, kind in (("ids", np.int64), ("vectors", np.float64), ("codes", np.uint8)))
+            yield ids, x.reshape(len(ids), dim), codes.reshape(len(ids), -1)
 
-def search(index: DataFrame, book: Codebook | None, is_query: Column, k: int = 10, keep: int = 256, block_bytes: int = 32_000_000) -> DataFrame:
-    """(query_id, rank, vec_id, score): the ``k`` nearest found of each query, a row of the index.
+    def run(rows: pa.Table, asked: pa.Table) -> pa.Table:
+        out: list[list[np.ndarray]] = [[], [], []]
+        for query_ids, queries, _ in unpacked(asked):
+            best = nearest_of(book, unpacked(rows), query_ids, queries, k, keep)
+            out[0].append(np.repeat(query_ids, [len(f) for f, _ in best]))
+            out[1].extend(n for _, n in best)
+            out[2].extend(f for f, _ in best)
+        kinds = (np.int64, np.int64, np.float64)
+        return pa.table([pa.array(np.concatenate([np.empty(0, t), *c])) for c, t in zip(out, kinds)], names=["query_id", "vec_id", "score"])
 
-    Queries go out in blocks of ``block_bytes`` of vectors, so what is broadcast
-    is bounded; each block meets all rows. What a block found is written before
-    the next one goes out, but for the last.
+    return run
+
+
+def search(index: DataFrame, queries: DataFrame, book: Codebook | None, k: int = 10, keep: int = 256, block: tuple[int, int] = BLOCK) -> DataFrame:
+    """(query_id, rank, vec_id, score): the ``k`` nearest found of each row (vec_id, embedding) of ``queries``.
+
+    Queries are dealt into blocks, the more of them the larger within ``block``,
+    in turn. Each block meets each group of rows in a task of its own.
     """
-    spark = index.sparkSession
     if book is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    rows = index.where(is_query).select("vec_id", "embedding").distinct()
-    found: DataFrame | None = None
-    for ids, queries in _blocks(rows, max(1, block_bytes // (8 * len(book.centre)))):
-        now = index.mapInArrow(_searcher(book, ids, queries, k, keep), FOUND)
-        found = now if found is None else materialise(found, "nearest").unionByName(now)
-    if found is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+        return index.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    wanted = queries.select("vec_id", "embedding").distinct()
+    asked, groups = wanted.count(), index.select(F.max("at")).first()[0] + 1
+    blocks = max(1, -(-asked // min(max(asked // 64, block[0]), block[1])))
+    packed = wanted.repartition(blocks).mapInArrow(_packer(len(book.centre)), STRETCHES)
+    all_of = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    left = index.withColumnRenamed("at", "g").withColumn("b", all_of(blocks))
+    right = packed.withColumnRenamed("at", "b").withColumn("g", all_of(groups))
+    cells = [d.repartition(groups * blocks, "g", "b").groupBy("g", "b") for d in (left, right)]
+    found = cells[0].cogroup(cells[1]).applyInArrow(_searcher(book, k, keep), FOUND)
     ranked = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-
-
-def _blocks(rows: DataFrame, block: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(ids, vectors) of at most ``block`` rows, one block at a time on the driver."""
-    ids: list[int] = []
-    held: list[np.ndarray] = []
-    for r in rows.toLocalIterator():
-        ids.append(r["vec_id"])
-        held.append(np.array(r["embedding"], float))
-        if len(ids) == block:
-            yield np.array(ids, np.int64), np.stack(held)
-            ids, held = [], []
-    if ids:
-        yield np.array(ids, np.int64), np.stack(held)

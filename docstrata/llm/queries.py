@@ -88,8 +88,8 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index, book = ann.build_index(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
-    return ann.search(index, book, F.col("vec_id") % 100 == 0)
+    index, rows, book = ann.build_index(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return ann.search(index, rows.where(F.col("vec_id") % 100 == 0), book)
 
 
 def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -50,6 +50,7 @@ from .common import held, named
 
 MASK_DELTA = 0xA282EAD8
 HEAD = struct.Struct("<QI")
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 INDEX = "file string, offset long, length long, doc_id long, n_tokens long, before long, ids_crc32 long"
 
 
@@ -64,8 +65,8 @@ def frame(doc_id: int | None, ids: bytes, wide: bool) -> bytes:
     return b"".join((size, struct.pack("<I", masked_crc(size)), payload, struct.pack("<I", masked_crc(payload)), b"\n"))
 
 
-def frames(data: bytes) -> Iterator[tuple[int, int, int | None, np.ndarray]]:
-    """(offset, length, doc_id, ids) of each frame; the length is the whole frame's."""
+def frames(data: bytes | memoryview) -> Iterator[tuple[int, int, int | None, np.ndarray]]:
+    """(offset, length, doc_id, ids) of each frame; the length is the whole frame's. A view is not copied."""
     at = 0
     while at < len(data):
         if at + HEAD.size > len(data):
@@ -121,7 +122,7 @@ class Words(dict):
             code = self._ids(self.space + key) if key.isascii() else self._piece(" " + key)
         else:
             word = key[1:] if key[:1] in ("\0", "\n") else key
-            if word.split() != [word] or "\0" in word or any(x in word for x in self.added):
+            if word.split() != [word] or any(x in word for x in self.added):
                 raise Irregular
             if key[0] == "\n":
                 code = self.newline + self["\0" + word]
@@ -170,6 +171,8 @@ class WordEncoder:
         if self.words is not None:
             code = self.words.__getitem__
             for i, t in enumerate(texts):
+                if "\0" in t:  # marks the start of a text in keys
+                    continue
                 try:
                     out[i] = b"".join(map(code, ("\0" + t).replace("\n", " \n").split(" ")))
                 except Irregular:
@@ -210,10 +213,11 @@ def _framer(path: str, end_id: int):
 
 
 def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held(None)  # what the worker remembers from encoding is not needed any more
     for batch in batches:
         for file, data in zip(batch.column(0), batch.column(1)):
             before, rows = 0, []
-            for at, size, doc_id, ids in frames(data.as_py()):
+            for at, size, doc_id, ids in frames(memoryview(data.as_buffer())):
                 rows.append((file.as_py(), at, size, doc_id, len(ids), before, zlib.crc32(ids.astype("<u4").tobytes())))
                 before += len(ids)
             kinds = [pa.string(), *[pa.int64()] * 6]
@@ -238,10 +242,18 @@ def write_records(docs: DataFrame, id_col: str, text_col: str, tokenizer_path: s
 
 
 def read_index(spark: SparkSession, out: str) -> DataFrame:
-    """Read the shards back, with all checks made, and keep what was found as ``out``/index."""
+    """Read the shards back, with all checks made, and keep what was found as ``out``/index.
+
+    A row is a whole file, so batches of rows are bounded by bytes.
+    """
     files = spark.read.format("binaryFile").load(f"{out}/shards").select("path", "content")
     found = files.mapInArrow(_index, INDEX)
-    found.write.parquet(f"{out}/index")
+    before = spark.conf.get(BATCH_BYTES, None)
+    spark.conf.set(BATCH_BYTES, "1m")
+    try:
+        found.write.parquet(f"{out}/index")
+    finally:
+        spark.conf.set(BATCH_BYTES, before) if before is not None else spark.conf.unset(BATCH_BYTES)
     return spark.read.schema(found.schema).parquet(f"{out}/index")
 
 

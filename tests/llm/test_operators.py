@@ -415,7 +415,7 @@ def test_records_round_trip(spark):
     path = queries.tokenizer_path()
     plain = Tokenizer.from_file(path)
     rng = random.Random(8)
-    odd = ["", None, "  two  spaces ", "tab\there", "a\n\nb", "it's we'll x's 12's", "\n", "é ü\u00a0ß", "a\x85b\x1fc", "<|endoftext|> x", "a <|endoftext|> b<|endoftext|>", "<|endoftext", "nul\0 b\0", "x" * 5000, prose(rng, 20_000), "ende.\nAnfang, \u4e2d\u6587 \U0001f600", "a\r\nb"]
+    odd = ["", None, "  two  spaces ", "tab\there", "a\n\nb", "it's we'll x's 12's", "\n", "é ü\u00a0ß", "a\x85b\x1fc", "<|endoftext|> x", "a <|endoftext|> b<|endoftext|>", "<|endoftext", "nul\0 b\0", "x \0b", " \0b c \0d", "\0", "x" * 5000, prose(rng, 20_000), "ende.\nAnfang, \u4e2d\u6587 \U0001f600", "a\r\nb"]
     rows = [(rng.randrange(-50, 50), prose(rng, 30)) for _ in range(60)] + list(enumerate(odd, 100)) + [(None, "null id"), (3, "again"), (3, "again")]
     out = common.new_path(spark, "t")
     tokens.write_records(documents(spark, rows), "doc_id", "text", path, 2, out, shard_chars=20_000)
@@ -437,6 +437,17 @@ def test_records_round_trip(spark):
     assert doc_id == r["doc_id"] and len(ids) == r["n_tokens"]
 
 
+def test_words_match_the_tokenizer_on_odd_texts():
+    path = queries.tokenizer_path()
+    encode = tokens.WordEncoder(path, most=500)
+    rng = random.Random(12)
+    bits = [" ", " ", "\n", "\0", "\t", "a", "Word", "1", "'s", "'", "\u00e9", "\u00a0", "\u4e2d", "<|endoftext|>", "<|", ".", "#!", "\r", "\x1c", "\u0301", "\U0001f600"]
+    texts = ["".join(rng.choices(bits, k=rng.randrange(1, 12))) for _ in range(100_000)]
+    texts += [prose(rng, 300_000), "y" * 200_000, "z \0" * 50_000]
+    plain = encode.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+    assert encode.words is not None and encode(texts) == [np.array(e.ids, encode.kind).tobytes() for e in plain]
+
+
 def test_damaged_records_raise():
     data = tokens.frame(5, np.arange(9, dtype="<u2").tobytes(), False) + tokens.frame(None, b"", False)
     assert [(d, i.tolist()) for _, _, d, i in tokens.frames(data)] == [(5, list(range(9))), (None, [])]
@@ -608,18 +619,19 @@ def test_winnowing_guarantee():
 # 9 Neighbours
 
 
-def test_neighbours(spark):
+def test_neighbours(spark, monkeypatch):
     rng = np.random.default_rng(4)
     centres = rng.normal(size=(8, 24))
     x = centres[rng.integers(0, 8, 900)] + 0.4 * rng.normal(size=(900, 24))
     x[300:340] = x[200]  # many equal vectors
     good = [(i, [float(v) for v in r]) for i, r in enumerate(x.astype(np.float32))]
     bad = [(2000, None), (2100, []), (2200, [0.0] * 24), (2300, [float("nan")] * 24), (2400, [1.0] * 23), (2500, [None] + [1.0] * 23), (2600, [float("inf")] * 24), (None, [1.0] * 24)]
-    rows = spark.createDataFrame([(*r, 1) for r in good + bad], "vec_id long, embedding array<float>, score int").repartition(5)
-    index, book = ann.build_index(rows, "vec_id", "embedding")
-    assert index.count() == 900
+    rows = spark.createDataFrame([(*r, 1, "c", 2) for r in good + bad], "vec_id long, embedding array<float>, score int, codes string, cell int").repartition(5)
+    monkeypatch.setattr(ann, "GROUP", 300)
+    index, known, book = ann.build_index(rows, "vec_id", "embedding")
+    assert known.count() == 900 and index.select("at").distinct().count() == 3
     out = defaultdict(list)
-    for r in ann.search(index, book, F.col("vec_id") % 100 == 0, keep=60, block_bytes=4 * 8 * 24).orderBy("query_id", "rank").collect():
+    for r in ann.search(index, known.where(F.col("vec_id") % 100 == 0), book, keep=60, block=(4, 4)).orderBy("query_id", "rank").collect():
         out[r["query_id"]].append((r["vec_id"], r["score"]))
     v = np.array([r for _, r in good])
     hits = total = 0
@@ -632,21 +644,40 @@ def test_neighbours(spark):
     assert hits / total >= 0.9 and [i for i, _ in out[200]] == list(range(300, 310))
 
 
-@pytest.mark.parametrize("offset", [0, 3, 10, 100])
-def test_recall_off_centre(offset):
-    rng = np.random.default_rng(6)
-    x = (rng.normal(size=(20_000, 64)) + offset).astype(np.float32).astype(float)
-    book, ids = ann.fit(x[:4000], rounds=3), np.arange(len(x))
-    rows = pa.RecordBatch.from_arrays([pa.array(ids), pa.array(list(x), pa.list_(pa.float64()))], names=["vec_id", "embedding"])
-    index = list(ann._encoder(book, 64)([rows]))
-    whole = pa.Table.from_batches(index).combine_chunks().to_batches()
-    asked = ids[::1000]
-    out = defaultdict(set)
-    for b in ann._searcher(book, asked, x[asked], 10, 256)(iter(whole)):
-        for q, i in zip(b["query_id"].to_pylist(), b["vec_id"].to_pylist()):
-            out[q].add(i)
-    near = {q: set(np.argsort(((x - x[q]) ** 2).sum(axis=1))[1:11].tolist()) for q in asked.tolist()}
-    assert sum(len(out[q] & near[q]) for q in near) / (10 * len(near)) >= 0.9
+def stretches(book, x, size=5_000):
+    """An index in one piece, as (ids, vectors, codes)."""
+    return [(np.arange(len(x))[i : i + size], x[i : i + size], ann.encode(book, x[i : i + size])) for i in range(0, len(x), size)]
+
+
+def spread(rng, case, n=10_000, dim=64):
+    x = rng.normal(size=(n, dim))
+    kind, by = case
+    if kind == "offset":
+        return x + by
+    if kind == "lengths":
+        return x * np.exp(by * rng.normal(size=(n, 1)))
+    if kind == "clusters":
+        return (rng.normal(size=(50, dim))[rng.integers(0, 50, n)] + 0.3 * x) * np.exp(by * rng.normal(size=(n, 1)))
+    if kind == "uneven":
+        return x * np.exp(by * rng.normal(size=dim)) * np.exp(0.5 * rng.normal(size=(n, 1)))
+    return x * np.where(rng.random((n, 1)) < 0.005, by, 1)
+
+
+CASES = [*[("offset", v) for v in (0, 3, 10, 100)], *[(k, v) for k in ("lengths", "clusters") for v in (0.5, 1.0, 1.5)], ("uneven", 1.0), ("uneven", 2.0), ("long", 100)]
+
+
+@pytest.mark.parametrize("case", CASES)
+def test_recall(case):
+    x = spread(np.random.default_rng(6), case).astype(np.float32).astype(float)
+    book, ids = ann.fit(x[:2000], rounds=2), np.arange(len(x))
+    asked = ids[::200]
+    found = ann.nearest_of(book, stretches(book, x), asked, x[asked], 10, 256)
+    hit = 0
+    for q, (_, got) in zip(asked.tolist(), found):
+        d = ((x - x[q]) ** 2).sum(axis=1)
+        d[q] = np.inf
+        hit += len(set(got.tolist()) & set(np.argsort(d)[:10].tolist()))
+    assert hit / (10 * len(asked)) >= 0.9
 
 
 def test_cells_spare_work_and_lose_nothing(monkeypatch):
@@ -656,18 +687,17 @@ def test_cells_spare_work_and_lose_nothing(monkeypatch):
     ids = np.arange(len(x))
     book = ann.fit(x[:2000], rounds=2)
     book.cells = ann.centroids(x[:2000] - book.centre)
-    rows = pa.RecordBatch.from_arrays([pa.array(ids), pa.array(list(x), pa.list_(pa.float64()))], names=["vec_id", "embedding"])
-    index = pa.Table.from_batches(ann._encoder(book, 16)([rows])).sort_by([("cell", "ascending"), ("vec_id", "ascending")])
+    cell = ann.nearest_cell(x - book.centre, book.cells)
+    order = np.lexsort((ids, cell))
     met = []
     tables = ann.Codebook.tables
     monkeypatch.setattr(ann.Codebook, "tables", lambda self, q: met.append(len(q)) or tables(self, q))
-    monkeypatch.setattr(ann, "CHUNK", 200)
     asked = ids[::100]
 
     def found():
         met.clear()
-        batches = ann._searcher(book, asked, x[asked], 10, 256)(iter(index.combine_chunks().to_batches()))
-        return {(q, v, round(d, 9)) for b in batches for q, v, d in zip(*(b[c].to_pylist() for c in ("query_id", "vec_id", "score")))}
+        parts = [(ids[order[i:j]], x[order[i:j]], ann.encode(book, x[order[i:j]])) for i, j in ann._chunks(cell[order], 200)]
+        return {(q, v, round(d, 9)) for q, (far, near) in zip(asked.tolist(), ann.nearest_of(book, parts, asked, x[asked], 10, 256)) for d, v in zip(far.tolist(), near.tolist())}
 
     whole, pairs = found(), sum(met)
     book.anchors = ids[:2000], x[:2000]
@@ -679,10 +709,11 @@ def test_cells_spare_work_and_lose_nothing(monkeypatch):
 
 def test_neighbours_of_few_and_none(spark):
     rows = spark.createDataFrame([(0, [1.0, 2.0, 3.0]), (1, [1.0, 2.0, 4.0]), (1, [1.0, 2.0, 4.0])], "vec_id long, embedding array<float>")
-    index, book = ann.build_index(rows, "vec_id", "embedding")
-    assert [(r["vec_id"], r["score"]) for r in ann.search(index, book, F.col("vec_id") % 100 == 0).orderBy("rank").collect()] == [(1, 1.0), (1, 1.0)]
-    index, book = ann.build_index(rows.limit(0), "vec_id", "embedding")
-    assert ann.search(index, book, F.col("vec_id") % 100 == 0).count() == 0
+    index, known, book = ann.build_index(rows, "vec_id", "embedding")
+    assert [(r["vec_id"], r["score"]) for r in ann.search(index, known.where(F.col("vec_id") % 100 == 0), book).orderBy("rank").collect()] == [(1, 1.0), (1, 1.0)]
+    assert ann.search(index, known.where("vec_id = 7"), book).count() == 0
+    index, known, book = ann.build_index(rows.limit(0), "vec_id", "embedding")
+    assert ann.search(index, known, book).count() == 0
 
 
 def test_codes_favour_the_parallel_residual():
