@@ -13,10 +13,9 @@ from pyspark.sql import functions as F
 from ..errors import CompileError
 from ..functions.relevance import build_title, citation, described, is_usage, keywords, peripheral_of, relevance, sections, task_name, tokenize
 from ..functions.text import strip
-from . import templates
+from . import postings, templates
+from .postings import MIN_SCORE, TOP
 
-MIN_SCORE = 0.1
-TOP = 5
 RULE = "\n\n---\n\n"
 
 
@@ -83,11 +82,18 @@ def rank_chunks(rows: DataFrame, keys: Column, group: list[str], most: int = TOP
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
 
 
-def usage_patterns(candidates: DataFrame) -> DataFrame:
-    """The five best chunks that tell of use; ``shown`` marks the best of each task."""
+def usage_patterns(candidates: DataFrame, words: DataFrame | None = None) -> DataFrame:
+    """The five best chunks that tell of use; ``shown`` marks the best of each task.
+
+    ``words`` are the chunks' postings, if they are known already.
+    """
     keys = F.array_distinct(F.array(F.lower("peripheral"), F.regexp_replace(F.lower("peripheral"), r"\d+\z", "")))
     using = candidates.where((F.col("content_type") == "config_procedure") | is_usage(F.col("section_path")))
-    best = rank_chunks(using, F.filter(keys, lambda k: k != ""), ["peripheral", "p_chip"], TOP, 0.0).withColumn("task", task_name(F.col("section_path")))
+    group = ["peripheral", "p_chip"]
+    if words is None:
+        words = postings.postings(using.dropDuplicates(["chunk_id"]))
+    keyed = postings.keyword_sets(using.select(*group).distinct(), group, F.filter(keys, lambda k: k != ""))
+    best = postings.rank_pairs(using, words, keyed, group, TOP, 0.0).withColumn("task", task_name(F.col("section_path")))
     first = F.row_number().over(Window.partitionBy("peripheral", "p_chip", "task").orderBy("rank"))
     return best.withColumn("shown", first == 1)
 
@@ -96,11 +102,14 @@ def compile_peripherals(chunks: DataFrame, manifest: DataFrame, pins: Mapping[st
     """A row for each peripheral and chip with all that its page shows."""
     svd = chunks.where(F.col("doc_type") == "svd")
     maps = register_maps(svd, distinct_peripherals(svd))
-    others = with_titles(mentioning(chunks.where(F.col("doc_type") != "svd"), maps), manifest)
-    used = usage_patterns(others)
+    prose = chunks.where(F.col("doc_type") != "svd")
+    words = postings.postings(prose)  # each chunk is tokenised once, for all peripherals
+    others = with_titles(mentioning(prose, maps), manifest)
+    used = usage_patterns(others, words)
     # What the usage patterns took, shown or not, is no detail
     rest = others.join(used.select("peripheral", "p_chip", "chunk_id"), ["peripheral", "p_chip", "chunk_id"], "left_anti")
-    found = rank_chunks(rest, keywords(F.col("peripheral"), F.col("register_map"), F.col("description")), ["peripheral", "p_chip"])
+    keyed = postings.keyword_sets(maps.select("peripheral", F.col("chip").alias("p_chip"), "register_map", "description"), ["peripheral", "p_chip"], keywords(F.col("peripheral"), F.col("register_map"), F.col("description")))
+    found = postings.rank_pairs(rest.drop("register_map", "description"), words, keyed, ["peripheral", "p_chip"])
     source = citation(F.col("title"), F.col("section_path"), F.col("doc_type"), F.col("page"))
     cited = F.concat(F.col("content"), F.lit("\n\n"), source)
     group = ["peripheral", "p_chip"]

@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from ..functions import detect, relevance, scoring, text
 from ..operators import compile as context
-from ..operators import evaluate, search
+from ..operators import evaluate, postings, search
 from ..operators.chunker import ChunkOptions, chunk_documents
 from ..operators.embed import HashingEmbedder, embed_chunks
 from ..operators.store import ChunkStore
 from ..sources import catalog, files, manifest, pdf, svd
+from . import queries
 from .registry import query, read
 
 _L = "l_orderkey, l_linenumber"
@@ -407,6 +408,65 @@ def compile_pages(spark, sf_dir):
     return pages.select("peripheral", "file", (F.col("usage") != "").alias("has_usage"))
 
 
+# Postings
+
+_WORDS = queries._TOKENS
+
+
+@query(f"SELECT term, count(*) AS chunks FROM (SELECT unnest({_WORDS('text')}) AS term FROM documents) GROUP BY term")
+def posting_frequencies(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents", F.col("doc_id").cast("string").alias("chunk_id"), F.col("text").alias("content"))
+    return postings.PostingIndex(spark, scratch(spark, "postings")).build(docs).frequencies()
+
+
+_RANKED = (
+    f"WITH p AS (SELECT lpad(doc_id::VARCHAR, 12, '0') AS chunk_id, unnest({_WORDS('text')}) AS term FROM documents), k AS (SELECT item_id, unnest({_WORDS('text')}) AS term, len({_WORDS('text')}) AS size FROM benchmark),"
+    " s AS (SELECT item_id, chunk_id, count(*) / any_value(size)::DOUBLE AS score FROM p JOIN k ON p.term = k.term GROUP BY item_id, chunk_id HAVING count(*) / any_value(size)::DOUBLE >= 0.1)"
+    " SELECT item_id, chunk_id, rank, round(score, 9) AS score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, chunk_id)::INT AS rank FROM s) WHERE rank <= 5"
+)
+
+
+def _benchmark_words(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    docs = read(spark, sf_dir, "documents", F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("chunk_id"), F.col("text").alias("content"))
+    return docs, postings.keyword_sets(read(spark, sf_dir, "benchmark"), ["item_id"], relevance.tokenize(F.col("text")))
+
+
+@query(_RANKED)
+def rank_by_index(spark, sf_dir):
+    """The five most relevant documents of each benchmark item, by an index that is written and read back."""
+    docs, keyed = _benchmark_words(spark, sf_dir)
+    half = F.pmod(F.xxhash64("chunk_id"), F.lit(2))
+    index = postings.PostingIndex(spark, scratch(spark, "postings")).build(docs.where(half == 0)).extend(docs.where(half == 1))
+    return index.rank(keyed, ["item_id"]).select("item_id", "chunk_id", "rank", F.round("score", 9).alias("score"))
+
+
+_PAGE_SQL = (
+    "WITH p AS (SELECT lpad(p_partkey::VARCHAR, 9, '0') AS id, * FROM part), m AS (SELECT p_brand, string_agg(p_type, chr(10) || chr(10) ORDER BY p_partkey) AS register_map FROM p GROUP BY p_brand),"
+    f" k AS (SELECT DISTINCT p_brand, unnest([lower(p_brand), regexp_replace(lower(p_brand), '[0-9]+$', '')]) AS term FROM p), n AS (SELECT p_brand, count(*) AS size FROM k GROUP BY p_brand),"
+    f" u AS (SELECT 'u' || id AS chunk_id, p_partkey, p_brand, p_name || ' ' || p_brand || '1' AS content FROM p WHERE p_partkey % 2 = 0), w AS (SELECT chunk_id, unnest({_WORDS('content')}) AS term FROM u),"
+    " s AS (SELECT u.p_brand, u.p_partkey, u.chunk_id, u.content, count(k.term) / any_value(n.size)::DOUBLE AS score FROM u JOIN n ON u.p_brand = n.p_brand LEFT JOIN w ON u.chunk_id = w.chunk_id LEFT JOIN k ON k.p_brand = u.p_brand AND k.term = w.term GROUP BY ALL),"
+    " r AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY score DESC, chunk_id) AS rank FROM s),"
+    " used AS (SELECT p_brand, string_agg('### Setup' || chr(10) || chr(10) || content || chr(10) || chr(10) || '*Source: guide, §' || p_brand || ' > Setup*', chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS usage FROM r WHERE rank = 1 GROUP BY p_brand),"
+    " rest AS (SELECT * FROM r WHERE rank > 5 AND score >= 0.1), d AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY score DESC, chunk_id) AS place FROM rest),"
+    " det AS (SELECT p_brand, string_agg(content || chr(10) || chr(10) || '*Source: guide, §' || p_brand || ' > Setup*', chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY place) AS details FROM d WHERE place <= 5 GROUP BY p_brand)"
+    " SELECT m.p_brand AS peripheral, md5(trim(register_map)) AS register_map, md5(coalesce(usage, '')) AS usage, md5(coalesce(details, '')) AS details,"
+    " CASE WHEN usage IS NULL AND details IS NULL THEN '' ELSE '*Source: guide, §' || m.p_brand || ' > Setup*' END AS citations FROM m LEFT JOIN used ON m.p_brand = used.p_brand LEFT JOIN det ON m.p_brand = det.p_brand"
+)
+
+
+@query(_PAGE_SQL)
+def compile_page_texts(spark, sf_dir):
+    """What the pages of all peripherals show: map, usage, details and citations."""
+    p = read(spark, sf_dir, "part").withColumn("id", F.lpad(F.col("p_partkey").cast("string"), 9, "0"))
+    same = [F.lit(v).alias(k) for k, v in (("chip", ""), ("page", 0), ("peripheral", ""))]
+    n = F.col("p_partkey").cast("int").alias("chunk_index")
+    own = p.select("id", n, F.lit("s").alias("doc_id"), F.lit("svd").alias("doc_type"), F.concat(F.lit("Map > "), "p_brand").alias("section_path"), F.col("p_type").alias("content"), F.lit("prose").alias("content_type"), *same)
+    use = p.where("p_partkey % 2 = 0").select(F.concat(F.lit("u"), "id").alias("id"), n, F.lit("g").alias("doc_id"), F.lit("text").alias("doc_type"), F.concat(F.lit("Guide > "), "p_brand", F.lit(" > Setup")).alias("section_path"), F.concat("p_name", F.lit(" "), "p_brand", F.lit("1")).alias("content"), F.lit("config_procedure").alias("content_type"), *same)
+    listed = spark.range(1).select(F.lit("g").alias("id"), F.lit("guide.txt").alias("path"))
+    pages = context.compile_peripherals(own.unionByName(use).withColumnRenamed("id", "chunk_id"), listed)
+    return pages.select("peripheral", F.md5("register_map").alias("register_map"), F.md5("usage").alias("usage"), F.md5("details").alias("details"), "citations")
+
+
 # Question sets
 
 _ANSWERED = "SELECT doc_id, ['hex', 'numeric', 'text'][(doc_id % 3 + 1)::INT] AS f, doc_id % 4 AS k FROM documents"
