@@ -29,6 +29,10 @@ class StoreError(EngineError):
     """A store that cannot be read or written."""
 
 
+class StoreConflict(StoreError):
+    """A change that other writers kept from being made."""
+
+
 class SearchError(EngineError):
     """A search that cannot be answered."""
 

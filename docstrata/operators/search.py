@@ -65,14 +65,15 @@ def nearest_for_each(rows: DataFrame, queries: DataFrame, k: int, id_col: str, v
 
 
 class SearchEngine:
-    """Q1: a question in words against a store of embedded chunks."""
+    """Q1: a question in words against embedded chunks, or a store of them, which opens only the cells that it needs."""
 
-    def __init__(self, chunks: DataFrame, embedder: Embedder):
+    def __init__(self, chunks, embedder: Embedder):
         self.chunks, self.embedder = chunks, embedder
 
     def search(self, query: str, k: int = 5, chip: str = "", doc_type: str = "", peripheral: str = "") -> DataFrame:
         vector = self.embedder.embed([query])[0]
-        return nearest(self.chunks, vector, k, build_where(chip=chip, doc_type=doc_type, peripheral=peripheral))
+        where = build_where(chip=chip, doc_type=doc_type, peripheral=peripheral)
+        return nearest(self.chunks, vector, k, where) if isinstance(self.chunks, DataFrame) else self.chunks.search(vector, k, where)
 
     def listing(self, found: DataFrame) -> DataFrame:
         """What a terminal shows of each hit."""

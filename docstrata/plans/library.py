@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -350,6 +351,48 @@ def store_replace_filter(spark, sf_dir):
     return store.chunks(search.build_where(doc_type="en")).select("chunk_id", "doc_id", F.md5("content").alias("digest"))
 
 
+def _vector_store(spark: SparkSession, sf_dir: str) -> ChunkStore:
+    """All embeddings as chunks, a document type a label, in two writes."""
+    v = read(spark, sf_dir, "embeddings")
+    chunks = v.select(F.lpad(F.col("vec_id").cast("string"), 12, "0").alias("chunk_id"), F.concat(F.lit("d"), F.col("vec_id") % 7).alias("doc_id"), F.concat(F.lit("l"), F.col("label")).alias("doc_type"), F.lit("").alias("content"), "embedding")
+    store = ChunkStore(spark, scratch(spark, "store"))
+    store.add(chunks.where("doc_id <= 'd3'"))
+    store.add(chunks)
+    return store
+
+
+_FAR = queries._D
+
+
+@query(
+    f"SELECT rank, vec_id, round(d, 6) AS distance FROM (SELECT vec_id, d, row_number() OVER (ORDER BY d, vec_id)::INT AS rank FROM (SELECT vec_id, {_FAR} AS d FROM embeddings, (SELECT embedding AS q FROM embeddings WHERE vec_id = 0) WHERE vec_id % 7 <> 3)) WHERE rank <= 10"
+)
+def store_search_pruned(spark, sf_dir):
+    """Ten nearest under a filter, from the cells of the store that can hold one of them."""
+    found = _vector_store(spark, sf_dir).search(queries._first_vector(spark, sf_dir), 10, search.not_equal("doc_id", "d3"))
+    return found.select("rank", F.col("chunk_id").cast("long").alias("vec_id"), F.round("distance", 6).alias("distance"))
+
+
+@query(
+    f"SELECT query_id, rank, vec_id, round(d, 6) AS distance FROM (SELECT query_id, vec_id, d, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id)::INT AS rank FROM (SELECT query_id, vec_id, {_FAR} AS d FROM embeddings, (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 25 = 0))) WHERE rank <= 5"
+)
+def store_search_each(spark, sf_dir):
+    """A stated set of queries against all rows, met in cells."""
+    asked = read(spark, sf_dir, "embeddings").where("vec_id % 25 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    found = _vector_store(spark, sf_dir).search_each(asked, 5)
+    return found.select("query_id", "rank", F.col("chunk_id").cast("long").alias("vec_id"), F.round("distance", 6).alias("distance"))
+
+
+@query("SELECT doc_id::VARCHAR AS chunk_id, source AS doc_id, lang AS doc_type, md5(text) AS digest FROM documents")
+def store_two_writers(spark, sf_dir):
+    """Two writers at once, with a third of the rows in common; no row is lost or doubled."""
+    root, chunks = scratch(spark, "store"), _as_chunks(read(spark, sf_dir, "documents"))
+    third = F.pmod(F.col("chunk_id").cast("long"), F.lit(3))
+    with ThreadPoolExecutor(2) as pool:
+        list(pool.map(lambda rows: ChunkStore(spark, root).add(rows), [chunks.where(third != 0), chunks.where(third != 1)]))
+    return ChunkStore(spark, root).chunks().select("chunk_id", "doc_id", "doc_type", F.md5("content").alias("digest"))
+
+
 @query("SELECT count(*) AS n, 64::INT AS dimension, 50::INT AS most, 1::INT AS least FROM documents")
 def embed_all(spark, sf_dir):
     embedder = HashingEmbedder(64)

@@ -181,7 +181,7 @@ class Project:
         return compile_targets(hot, options, self.root, f"{FOLDER}/context", overrides)
 
     def search(self, query: str, k: int = 5, **where: str) -> DataFrame:
-        return SearchEngine(self.store.read(), self.embedder).search(query, k, **where)
+        return SearchEngine(self.store, self.embedder).search(query, k, **where)
 
     def status(self) -> Status:
         """A8, A21."""
