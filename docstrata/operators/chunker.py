@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from typing import Protocol
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.detect import FENCE, HEADING, TABLE_RULE, content_type
@@ -277,6 +277,12 @@ def chunk_documents(docs: DataFrame, options: ChunkOptions | None = None, tokeni
     )
 
 
+def overlap_before(text: Column, pieces: Column, n: int, order: WindowSpec) -> Column:
+    """K6, W1 for rows that hold a chunk each: the last ``n`` pieces of the row before, if it has more, in front of the text."""
+    before = F.lag(pieces).over(order)
+    return F.concat(F.when(F.size(before) > n, F.array_join(F.slice(before, -n, n), "")).otherwise(""), text)
+
+
 def register_chunker(spark: SparkSession, name: str = "chunks_of", tokenizer: Tokenizer | None = None) -> None:
     """The chunker as a table function of SQL: ``chunks_of(content, max_tokens, overlap_tokens, min_tokens)``."""
 

@@ -349,6 +349,42 @@ def chi2_survival(x: float, df: int = 1) -> float:
     return math.erfc(math.sqrt(x / 2)) if x > 0 else 1.0
 
 
+def erfc(x: Column) -> Column:
+    """The complementary error function of x >= 0, to 1e-12 of its value: a series below two, a continued fraction above."""
+    square = x * x
+    terms = F.aggregate(
+        F.sequence(F.lit(1), F.lit(80)), F.struct(x.alias("term"), x.alias("sum")),
+        lambda s, n: F.struct((s["term"] * 2 * square / (2 * n + 1)).alias("term"), (s["sum"] + s["term"] * 2 * square / (2 * n + 1)).alias("sum")),
+    )["sum"]
+    below = F.aggregate(F.sequence(F.lit(120), F.lit(1)), x, lambda f, k: x + k / 2 / f)
+    small = F.lit(1.0) - F.lit(2 / math.sqrt(math.pi)) * F.exp(-square) * terms
+    return F.when(x < 2, small).otherwise(F.exp(-square) / (F.lit(math.sqrt(math.pi)) * below))
+
+
+def p_value(chi2: Column) -> Column:
+    """F67 as a column, for one degree of freedom."""
+    return F.when(chi2 > 0, erfc(F.sqrt(chi2.cast("double") / 2))).otherwise(1.0)
+
+
+def mcnemar_pairs(responses: DataFrame, key: str = "question_id") -> DataFrame:
+    """A15 for all pairs of conditions: (first, second, b, c, unpaired, chi2, p_value), the first name before the second.
+
+    Responses of a question meet once, in one array of at most a few conditions,
+    and no condition is joined with another. A condition answers a question once.
+    """
+    one = F.sort_array(F.collect_list(F.struct("condition", "correct")))
+    answers = responses.groupBy(key).agg(one.alias("of"))
+    pairs = F.flatten(F.transform("of", lambda a, n: F.transform(F.slice("of", n + 2, F.size("of")), lambda b: F.struct(a["condition"].alias("first"), b["condition"].alias("second"), a["correct"].alias("x"), b["correct"].alias("y")))))
+    met = answers.select(F.inline(pairs)).groupBy("first", "second").agg(F.count_if(F.col("x") & ~F.col("y")).alias("b"), F.count_if(~F.col("x") & F.col("y")).alias("c"), F.count("*").alias("both"))
+    totals = responses.groupBy("condition").agg(F.count("*").alias("n"))
+    of = lambda name: totals.select(F.col("condition").alias(name), F.col("n").alias(f"n_{name}"))
+    sized = met.join(of("first"), "first").join(of("second"), "second")
+    differ = F.col("b") + F.col("c")
+    chi2 = F.when(differ == 0, 0.0).otherwise(F.pow(F.greatest(F.abs(F.col("b") - F.col("c")) - 1, F.lit(0)).cast("double"), F.lit(2.0)) / differ)
+    out = sized.select("first", "second", "b", "c", (F.col("n_first") + F.col("n_second") - 2 * F.col("both")).alias("unpaired"), chi2.alias("chi2"))
+    return out.withColumn("p_value", p_value(F.col("chi2")))
+
+
 def mcnemar_counts(a: DataFrame, b: DataFrame, key: str = "question_id") -> DataFrame:
     """One row (b, c, chi2); pairs are matched by question, and none may be left over."""
     x, y = a.select(key, F.col("correct").alias("x")), b.select(key, F.col("correct").alias("y"))
@@ -419,19 +455,41 @@ def default_chip(dataset_name: str) -> str:
     return dataset_name.split("_", 1)[0]
 
 
+WHOLE, CATEGORY, DIFFICULTY, BIN = 0b0111, 0b0011, 0b0101, 0b0110  # which of four columns a grouping set leaves out
+
+
+def metric_sets(responses: DataFrame, questions: DataFrame | None) -> DataFrame:
+    """Counts and sums of each condition, and of its categories, difficulties and confidence bins, in one pass.
+
+    ``set`` tells the grouping sets apart. Responses are read and shuffled once; partial sums leave the tasks.
+    """
+    r = responses if questions is None else with_difficulty(responses, questions)
+    r = r.select("condition", "correct", "latency_ms", "partial_score", "confidence", infer_category(F.col("question_id")).alias("category"), (F.lit("") if questions is None else F.col("difficulty")).alias("difficulty"), ece_bin(F.col("confidence")).alias("bin"))
+    c = {k: F.col(k) for k in ("condition", "category", "difficulty", "bin")}
+    sets = [[c["condition"]], [c["condition"], c["category"]], [c["condition"], c["bin"]], *([] if questions is None else [[c["condition"], c["difficulty"]]])]
+    stated = F.col("confidence").isNotNull()
+    return r.groupingSets(sets, *c.values()).agg(
+        F.grouping_id().cast("int").alias("set"), F.count("*").alias("total"), F.count_if("correct").alias("correct"), F.avg("latency_ms").alias("avg_latency_ms"), F.avg("partial_score").alias("avg_partial_score"),
+        F.count("confidence").alias("stated"), F.count_if(F.col("correct") & stated).alias("stated_correct"), F.avg("confidence").alias("avg_confidence"),
+    )
+
+
 def report(responses: DataFrame, questions: DataFrame | None, dataset_name: str, chip: str = "") -> DataFrame:
     """One row: chip, dataset_name, and the metrics of each condition with its maps and calibration error."""
-    group = ["condition"]
-    entries = lambda df, key: df.groupBy(*group).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(key, "accuracy")))).alias(f"by_{key}"))
-    out = core_metrics(responses, group).join(entries(accuracy_by(responses, group, infer_category(F.col("question_id")), "category"), "category"), group, "left")
-    if questions is not None:
-        out = out.join(entries(accuracy_by(with_difficulty(responses, questions), group, F.col("difficulty"), "difficulty"), "difficulty"), group, "left")
-    else:
-        out = out.withColumn("by_difficulty", F.create_map().cast("map<string,double>"))
-    out = out.join(calibration_error(responses, group), group, "left")
+    accuracy = F.col("correct") / F.col("total")
+    of = lambda which, value: F.when(F.col("set") == which, value)
+    entries = lambda which, key: F.map_from_entries(F.sort_array(F.collect_list(of(which, F.struct(F.col(key).alias("key"), accuracy.alias("accuracy"))))))
+    gap = F.when(F.col("bin").isNotNull(), F.abs(F.col("stated_correct") / F.col("stated") - F.col("avg_confidence")) * F.col("stated")).otherwise(0.0)
+    only = ("total", "correct", "avg_latency_ms", "avg_partial_score")
+    m = metric_sets(responses, questions).groupBy("condition").agg(
+        *[F.max(of(WHOLE, F.col(k))).alias(k) for k in only], entries(CATEGORY, "category").alias("by_category"), entries(DIFFICULTY, "difficulty").alias("by_difficulty"),
+        F.sum(of(BIN, gap)).alias("gap"), F.sum(of(BIN, F.col("stated"))).alias("stated"),
+    )
+    low, high = wilson(F.col("correct"), F.col("total"))
+    m = m.withColumn("accuracy", accuracy).withColumn("hallucination_rate", F.lit(1.0) - F.col("accuracy")).withColumn("ci_lower", low).withColumn("ci_upper", high).withColumn("ece", F.col("gap") / F.nullif("stated", F.lit(0)))
     rows = F.sort_array(F.collect_list(F.struct("condition", "total", "correct", "accuracy", "hallucination_rate", "avg_latency_ms", "avg_partial_score", "ci_lower", "ci_upper", "ece")))
     maps = F.map_from_entries(F.collect_list(F.struct("condition", F.struct("by_category", "by_difficulty").alias("maps"))))
-    return out.agg(rows.alias("metrics"), maps.alias("maps")).select(F.lit(chip or default_chip(dataset_name)).alias("chip"), F.lit(dataset_name).alias("dataset_name"), "metrics", "maps")
+    return m.agg(rows.alias("metrics"), maps.alias("maps")).select(F.lit(chip or default_chip(dataset_name)).alias("chip"), F.lit(dataset_name).alias("dataset_name"), "metrics", "maps")
 
 
 def write_json(rows: DataFrame, path: str) -> None:

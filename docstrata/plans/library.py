@@ -674,3 +674,57 @@ def report_metrics(spark, sf_dir):
     )
     made = evaluate.report(rows, None, "C_questions")
     return made.select("chip", F.explode("metrics").alias("m")).select("chip", "m.condition", "m.total", "m.correct", F.round("m.accuracy", 6).alias("accuracy"))
+
+
+# Reports in one pass, and tests of all pairs
+
+_SETS = (
+    f"WITH r AS (SELECT condition, correct, category, coalesce(difficulty, 'medium') AS difficulty, latency_ms, confidence, CASE {queries._BINS} END AS bin FROM {queries._RESP})"
+    " SELECT condition, coalesce(category, '') AS category, coalesce(difficulty, '') AS difficulty, coalesce(bin, -1)::INT AS bin, grouping(condition, category, difficulty, bin)::INT AS set, count(*) AS total, count_if(correct)::BIGINT AS correct,"
+    " round(avg(latency_ms), 6) AS avg_latency_ms, round(avg(confidence), 6) AS avg_confidence FROM r GROUP BY GROUPING SETS ((condition), (condition, category), (condition, difficulty), (condition, bin))"
+)
+
+
+def _asked_questions(r: DataFrame) -> DataFrame:
+    kinds = F.element_at(F.array(F.lit("easy"), F.lit("medium"), F.lit("hard")), (F.col("doc_id") % 4 + 1).cast("int"))
+    return r.where("doc_id % 4 < 3").select(F.col("question_id").alias("id"), kinds.alias("difficulty"))
+
+
+@query(_SETS)
+def report_sets(spark, sf_dir):
+    """Conditions with their categories, difficulties and confidence bins, by grouping sets."""
+    r = queries._responses(spark, sf_dir)
+    found = evaluate.metric_sets(r, _asked_questions(r)).fillna("", ["category", "difficulty"]).fillna(-1, ["bin"])
+    return queries._rounded(found.select("condition", "category", "difficulty", "bin", "set", "total", "correct", "avg_latency_ms", "avg_confidence"))
+
+
+@query(
+    f"WITH r AS (SELECT condition, correct, category, coalesce(difficulty, 'medium') AS difficulty, confidence, CASE {queries._BINS} END AS b FROM {queries._RESP}), g AS (SELECT condition, b, count(*) AS n, avg(confidence) AS c, count_if(correct) / count(*)::DOUBLE AS a FROM r GROUP BY condition, b),"
+    " e AS (SELECT condition, sum(CASE WHEN b IS NULL THEN 0 ELSE abs(a - c) * n END) / sum(n) AS ece FROM g GROUP BY condition), k AS (SELECT condition, string_agg(category || '=' || printf('%.6f', acc), ';' ORDER BY category) AS by_category FROM (SELECT condition, category, count_if(correct) / count(*)::DOUBLE AS acc FROM r GROUP BY ALL) GROUP BY condition),"
+    " d AS (SELECT condition, string_agg(difficulty || '=' || printf('%.6f', acc), ';' ORDER BY difficulty) AS by_difficulty FROM (SELECT condition, difficulty, count_if(correct) / count(*)::DOUBLE AS acc FROM r GROUP BY ALL) GROUP BY condition)"
+    " SELECT condition, round(ece, 6) AS ece, by_category, by_difficulty FROM e JOIN k USING (condition) JOIN d USING (condition)"
+)
+def report_maps(spark, sf_dir):
+    """The report's calibration errors and maps, a row a condition."""
+    r = queries._responses(spark, sf_dir)
+    made = evaluate.report(r, _asked_questions(r), "C_questions")
+    listed = lambda m: F.array_join(F.transform(F.array_sort(F.map_entries(m)), lambda e: F.concat(e["key"], F.lit("="), F.format_string("%.6f", e["value"]))), ";")
+    rows = made.select(F.explode("metrics").alias("m"), "maps").select("m.condition", F.round("m.ece", 6).alias("ece"), F.element_at("maps", F.col("m.condition")).alias("x"))
+    return rows.select("condition", "ece", listed(F.col("x.by_category")).alias("by_category"), listed(F.col("x.by_difficulty")).alias("by_difficulty"))
+
+
+_ERFC = "CASE WHEN x >= 6 THEN 0 WHEN x = 0 THEN 1 ELSE 1 - list_sum(list_transform(range(0, 200), lambda n: exp((2 * n + 1) * ln(x) - lgamma(n + 1.5) - x * x))) END"
+
+
+@query(
+    "WITH r AS (SELECT source AS condition, n_chars % 1009 AS q, min(doc_id) % 3 = 0 AS ok FROM documents GROUP BY ALL), n AS (SELECT condition, count(*) AS n FROM r GROUP BY condition),"
+    " p AS (SELECT a.condition AS first, b.condition AS second, count_if(a.ok AND NOT b.ok) AS b, count_if(NOT a.ok AND b.ok) AS c, count(*) AS met FROM r a JOIN r b ON a.q = b.q AND a.condition < b.condition GROUP BY ALL),"
+    " t AS (SELECT p.*, x.n + y.n - 2 * met AS unpaired, CASE WHEN b + c = 0 THEN 0 ELSE pow(greatest(abs(b - c) - 1, 0), 2) / (b + c) END::DOUBLE AS chi2 FROM p JOIN n x ON first = x.condition JOIN n y ON second = y.condition)"
+    f" SELECT first, second, b::BIGINT AS b, c::BIGINT AS c, unpaired, round(chi2, 6) AS chi2, round({_ERFC}, 9) AS p_value FROM (SELECT *, sqrt(chi2 / 2) AS x FROM t)"
+)
+def mcnemar_all_pairs(spark, sf_dir):
+    """Each pair of conditions with chi-squared and p; sources stand for conditions, and length classes for questions."""
+    docs = read(spark, sf_dir, "documents", "doc_id", "source", "n_chars")
+    r = docs.groupBy(F.col("source").alias("condition"), (F.col("n_chars") % 1009).alias("question_id")).agg((F.min("doc_id") % 3 == 0).alias("correct"))
+    found = evaluate.mcnemar_pairs(r)
+    return found.select("first", "second", "b", "c", "unpaired", F.round("chi2", 6).alias("chi2"), F.round("p_value", 9).alias("p_value"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import detect, registers, relevance, scoring, text
 from ..operators import compile as context
 from ..operators import evaluate, search
-from ..operators.chunker import Chunker, ChunkOptions, chunk_documents
+from ..operators.chunker import ChunkOptions, chunk_documents, overlap_before
 from ..operators.compile import chips_of, ordered_text, peripheral_counts, rank_chunks
 from ..operators.embed import HashingEmbedder, embed_chunks
 from ..sources import catalog, manifest, pdf, svd
@@ -113,24 +113,10 @@ def chunk_lines(spark, sf_dir):
 
 @query(f"WITH l AS ({_LINES}), p AS (SELECT doc_id, chunk_index, content, lag(content) OVER (PARTITION BY doc_id ORDER BY chunk_index) AS prev FROM l), w AS (SELECT *, string_split(prev, ' ') AS ws FROM p) SELECT doc_id, chunk_index::INT AS chunk_index, md5(CASE WHEN len(ws) > 3 THEN array_to_string(ws[-3:], ' ') || content ELSE content END) AS digest FROM w")
 def overlap_prev_chunk(spark, sf_dir):
-    chunker = Chunker(ChunkOptions(512, 3, 0), _SpaceTokenizer())
-
-    @F.pandas_udf("array<string>")
-    def overlapped(lines):
-        return lines.map(lambda x: chunker.overlapped([(t, False) for t in x]))
-
-    rows = read(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", F.posexplode(overlapped(F.split("text", "\n"))).alias("chunk_index", "content"))
+    rows = _lines(spark, sf_dir).select("doc_id", "chunk_index", overlap_before(F.col("content"), F.split("content", r"(?<= )"), 3, Window.partitionBy("doc_id").orderBy("chunk_index")).alias("content"))
     return rows.select("doc_id", "chunk_index", F.md5("content").alias("digest"))
 
 
-class _SpaceTokenizer:
-    """Words with the space after them."""
-
-    def pieces(self, text: str) -> list[str]:
-        *words, last = text.split(" ")
-        return [*(w + " " for w in words), last]
-
-
 @query()
 def full_chunker(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").alias("content"), F.lit("text").alias("doc_type"), F.col("source").alias("chip"))
