@@ -38,10 +38,13 @@ def clamp_k(k: int, most: int = 50) -> int:
 
 
 def nearest(rows: DataFrame, query: list[float], k: int, where: Column | None = None, id_col: str = "chunk_id", vector_col: str = "embedding") -> DataFrame:
-    """ST3: the rows that pass the filter, nearest first, ties by id; a sort that keeps ``k`` rows a task."""
+    """ST3: the rows that pass the filter, nearest first, ties by id; a sort that keeps ``k`` rows a task.
+
+    Rows without a vector of the query's dimension, or with a null in it, are not found.
+    """
     kept = rows if where is None else rows.where(where)
     far = kept.withColumn("distance", squared_distance(F.col(vector_col), F.array(*[F.lit(float(x)) for x in query])))
-    top = far.orderBy("distance", id_col).limit(k).withColumn("score", score_of(F.col("distance")))
+    top = far.where(F.col("distance").isNotNull()).orderBy("distance", id_col).limit(k).withColumn("score", score_of(F.col("distance")))
     return top.withColumn("rank", F.row_number().over(Window.orderBy("distance", id_col)))  # k rows
 
 
@@ -58,7 +61,7 @@ def nearest_for_each(rows: DataFrame, queries: DataFrame, k: int, id_col: str, v
     def of(part: DataFrame) -> DataFrame:
         pairs = rows.join(F.broadcast(part), F.size(vector_col) == F.size(query_vector))
         far = pairs.withColumn("distance", squared_distance(F.col(vector_col), F.col(query_vector))).drop(query_vector, vector_col)
-        return far.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        return far.where(F.col("distance").isNotNull()).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
     parts = [of(queries if blocks == 1 else queries.where(F.pmod(F.xxhash64(query_id), F.lit(blocks)) == n)) for n in range(blocks)]
     return reduce(DataFrame.unionByName, parts).withColumn("score", score_of(F.col("distance")))

@@ -8,7 +8,7 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import detect, relevance, scoring, text
+from ..functions import detect, relevance, scoring, sql, text
 from ..operators import compile as context
 from ..operators import evaluate, postings, search
 from ..operators.chunker import ChunkOptions, chunk_documents
@@ -728,3 +728,41 @@ def mcnemar_all_pairs(spark, sf_dir):
     r = docs.groupBy(F.col("source").alias("condition"), (F.col("n_chars") % 1009).alias("question_id")).agg((F.min("doc_id") % 3 == 0).alias("correct"))
     found = evaluate.mcnemar_pairs(r)
     return found.select("first", "second", "b", "c", "unpaired", F.round("chi2", 6).alias("chi2"), F.round("p_value", 9).alias("p_value"))
+
+
+# SQL functions
+
+
+def _chunk_view(spark: SparkSession, rows: DataFrame) -> str:
+    """A view of its own for each query, as the table functions name it."""
+    name = f"chunks_{uuid.uuid4().hex}"
+    rows.createOrReplaceTempView(name)
+    sql.register(spark, name)
+    return name
+
+
+@query(f"SELECT place, vec_id, round(d, 6) AS distance FROM (SELECT vec_id, d, row_number() OVER (ORDER BY d, vec_id)::INT AS place FROM (SELECT vec_id, {_FAR} AS d FROM embeddings, (SELECT embedding AS q FROM embeddings WHERE vec_id = 0))) WHERE place <= 7 AND vec_id % 2 = 0")
+def sql_nearest_chunks(spark, sf_dir):
+    """A table function of SQL, with a filter on what it returns."""
+    rows = read(spark, sf_dir, "embeddings").select(F.lpad(F.col("vec_id").cast("string"), 12, "0").alias("chunk_id"), F.lit("d").alias("doc_id"), F.lit("").alias("content"), "embedding", F.lit("").alias("section_path"), F.lit("").alias("chip"), F.lit("").alias("doc_type"))
+    name = _chunk_view(spark, rows)
+    return spark.sql(
+        f"SELECT place, CAST(chunk_id AS BIGINT) AS vec_id, round(distance, 6) AS distance FROM (SELECT CAST(embedding AS ARRAY<DOUBLE>) AS q FROM {name} WHERE chunk_id = '000000000000'), LATERAL nearest_chunks(q, 7) WHERE CAST(chunk_id AS BIGINT) % 2 = 0"
+    )
+
+
+@query("SELECT p_brand AS peripheral, count(*) AS chunks FROM part WHERE p_size % 3 = 1 GROUP BY p_brand")
+def sql_peripherals(spark, sf_dir):
+    own, _ = _named_chunks(spark, sf_dir)
+    _chunk_view(spark, own.withColumns({"doc_id": F.lit("d"), "doc_type": F.lit("svd"), "embedding": F.array().cast("array<float>")}))
+    return spark.sql("SELECT * FROM peripherals_of_chip('C1')")
+
+
+@query(
+    "SELECT l_orderkey, l_linenumber, printf('0x%04X', l_partkey) AS address, CASE WHEN l_linenumber = 1 THEN '[' || l_suppkey % 32 || ']' ELSE '[' || (l_suppkey % 32 + l_linenumber - 1) || ':' || l_suppkey % 32 || ']' END AS bits FROM lineitem"
+)
+def sql_register_texts(spark, sf_dir):
+    sql.register(spark)
+    name = f"lines_{uuid.uuid4().hex}"
+    _lines(spark, sf_dir).createOrReplaceTempView(name)
+    return spark.sql(f"SELECT l_orderkey, l_linenumber, register_hex(l_partkey, 4) AS address, bit_text(CAST(l_suppkey % 32 AS INT), CAST(l_linenumber AS INT)) AS bits FROM {name}")
