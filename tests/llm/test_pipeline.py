@@ -68,7 +68,7 @@ def test_pipeline_of_nothing(spark, corpus, tmp_path):
 def test_queries_match_their_sql(spark, name):
     sf = "/root/testdata/sf0.001"
     con = duckdb.connect()
-    for t in ("documents", "pages", "benchmark"):
+    for t in ("documents", "pages", "benchmark", "embeddings", "labels"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     want, got = con.sql(queries.oracle_sql()[name]).df(), entry.queries()[name](spark, sf).toPandas()
     columns = sorted(want.columns)
