@@ -16,48 +16,46 @@ from ..errors import TemplateError
 BEGIN, END = "<!-- BEGIN HARDWARE CONTEXT (generated, do not edit) -->", "<!-- END HARDWARE CONTEXT -->"
 
 HOT = """\
-# Hardware context{dash_project}
-?mcu
-?mcu ## Target hardware
-?mcu - **MCU**: {mcu}{core}
-?mcu_family - **Family**: {mcu_family}
-?flash_kb - **Flash**: {flash_kb} KB
-?ram_kb - **RAM**: {ram_kb} KB
-?soc
-?soc ## Target SoC
-?soc - **SoC**: {soc}{core}
-?soc_family - **Family**: {soc_family}
-?board - **Board**: {board}
-?software
-?software ## Software stack
-?kernel - **Kernel**: {kernel}
-?bootloader - **Bootloader**: {bootloader}
-?distro - **Distribution**: {distro}
-?rtos - **RTOS**: {rtos}
-?hal - **HAL**: {hal}
-?language - **Language**: {language}
-?build_system - **Build**: {build_system}
-?pins
-?pins ## Pin assignments
-?pins | Signal | Pin |
-?pins |--------|-----|
-@pins | {signal} | {pin} |
-?documents
-?documents ## Indexed documents
-?documents | Document | Type | Chip | Chunks |
-?documents |----------|------|------|--------|
-@documents | {title} | {doc_type} | {chip} | {chunks} |
+# The machine behind this code{dash_project}
+
+Peripherals come first, each with a page of its own; then wiring, parts and rules.
 ?peripherals
-?peripherals ## Peripherals
-@peripherals - **{name}**{about}
+?peripherals ## What can be driven
+@peripherals - `{name}`{about}
+?pins
+?pins ## How it is wired
+?pins | Pin | carries |
+?pins |-----|---------|
+@pins | {pin} | {signal} |
 ?errata
-?errata ## Errata
-@errata - **{errata_id}**{about}
+?errata ## Known faults of the silicon
+@errata - {errata_id}{about}
+
+## Parts
+?mcu - controller: `{mcu}`{core}
+?soc - system on chip: `{soc}`{core}
+?mcu_family - controller family: {mcu_family}
+?soc_family - chip family: {soc_family}
+?board - mounted on: {board}
+?flash_kb - program memory: {flash_kb} KB
+?ram_kb - working memory: {ram_kb} KB
+?language - written in: {language}
+?build_system - built by: {build_system}
+?hal - drivers through: {hal}
+?rtos - scheduled by: {rtos}
+?kernel - kernel: {kernel}
+?bootloader - started by: {bootloader}
+?distro - packaged as: {distro}
 ?conventions
-?conventions ## Coding conventions
-?register_access - **Register access**: {register_access}
-?error_handling - **Error handling**: {error_handling}
-?naming - **Naming**: {naming}
+?conventions ## House rules
+?naming - call things: {naming}
+?register_access - touch registers: {register_access}
+?error_handling - when something fails: {error_handling}
+?documents
+?documents ## Where this comes from
+?documents | Title | Chunks | About | Kind |
+?documents |-------|--------|-------|------|
+@documents | {title} | {chunks} | {chip} | {doc_type} |
 """
 PERIPHERAL = """\
 # {name}{dash_chip}

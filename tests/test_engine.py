@@ -202,7 +202,7 @@ def test_budget():
     options = ContextOptions({"project": "p", "mcu": "M", "naming": "snake"}, {f"pin{i}": "PA" for i in range(50)})
     values = hot_values(options, [{"title": f"t{i}", "doc_type": "x", "chip": "", "chunks": 1} for i in range(40)], [{"peripheral": f"P{i}", "svd_chunks": 2} for i in range(40)])
     full = within_lines(values, 1000)
-    assert "snake" in full and "pin1 " in full
+    assert "call things: snake" in full and "| PA | pin1 |" in full
     small = within_lines(values, 40)
     assert len(small.strip().splitlines()) <= 40 and "snake" not in small and "pin1 " not in small and "| t0 |" in small
 
