@@ -15,6 +15,7 @@ from ..operators.chunker import ChunkOptions, chunk_documents
 from ..operators.embed import HashingEmbedder, embed_chunks
 from ..operators.store import ChunkStore
 from ..sources import catalog, files, manifest, pdf, svd
+from ..streaming import versions
 from . import queries
 from .registry import query, read
 
@@ -766,3 +767,32 @@ def sql_register_texts(spark, sf_dir):
     name = f"lines_{uuid.uuid4().hex}"
     _lines(spark, sf_dir).createOrReplaceTempView(name)
     return spark.sql(f"SELECT l_orderkey, l_linenumber, register_hex(l_partkey, 4) AS address, bit_text(CAST(l_suppkey % 32 AS INT), CAST(l_linenumber AS INT)) AS bits FROM {name}")
+
+
+# Versions of documents. A deletion begins a new life.
+
+_VERSIONS = (
+    "WITH v AS (SELECT user_id::VARCHAR AS id, CASE WHEN event_type <> 'signup' THEN event_type END AS hash, ts, event_id FROM events),"
+    " l AS (SELECT *, lag(hash) OVER w AS old, count(*) FILTER (hash IS NULL) OVER w AS life FROM v WINDOW w AS (PARTITION BY id ORDER BY ts, hash NULLS FIRST)),"
+    " s AS (SELECT *, CASE WHEN hash IS NULL AND old IS NULL THEN 'absent' WHEN hash IS NULL THEN 'deleted' WHEN old IS NULL THEN 'new' WHEN old = hash THEN 'unchanged' ELSE 'changed' END AS state FROM l)"
+    " SELECT id, event_id, state, count(*) FILTER (state IN ('new', 'changed')) OVER (PARTITION BY id, life ORDER BY ts, hash NULLS FIRST ROWS UNBOUNDED PRECEDING) AS number FROM s"
+)
+
+
+def _versions(events: DataFrame) -> DataFrame:
+    """Events as versions of their user's document; a signup deletes it."""
+    return events.select(F.col("user_id").cast("string").alias("id"), F.when(F.col("event_type") != "signup", F.col("event_type")).alias("hash"), F.col("ts").alias("at"), "event_id")
+
+
+@query(_VERSIONS)
+def version_history(spark, sf_dir):
+    """J3, P15 over time, as windows of a table."""
+    return versions.history(_versions(read(spark, sf_dir, "events"))).select("id", "event_id", "state", "number")
+
+
+@query(_VERSIONS)
+def tracked_versions(spark, sf_dir):
+    """The same of a stream, with a state for each live document."""
+    events = spark.readStream.schema(read(spark, sf_dir, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    path = scratch(spark, "versions")
+    return versions.write_available(versions.tracked(_versions(events)), path, f"{path}-checkpoint").select("id", "event_id", "state", "number")
