@@ -781,7 +781,7 @@ _VERSIONS = (
 
 def _versions(events: DataFrame) -> DataFrame:
     """Events as versions of their user's document; a signup deletes it."""
-    return events.select(F.col("user_id").cast("string").alias("id"), F.when(F.col("event_type") != "signup", F.col("event_type")).alias("hash"), F.col("ts").alias("at"), "event_id")
+    return events.select(F.col("user_id").cast("string").alias("id"), F.when(F.col("event_type") != "signup", F.col("event_type")).alias("hash"), F.col("ts").cast("timestamp").alias("at"), "event_id")
 
 
 @query(_VERSIONS)
