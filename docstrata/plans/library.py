@@ -14,6 +14,7 @@ from ..operators import evaluate, postings, search
 from ..operators.chunker import ChunkOptions, chunk_documents
 from ..operators.embed import HashingEmbedder, embed_chunks
 from ..operators.store import ChunkStore
+from ..session import scratch
 from ..sources import catalog, files, manifest, pdf, svd
 from ..streaming import versions
 from . import queries
@@ -276,6 +277,43 @@ def svd_markdown(spark, sf_dir):
     return one.select("chip", F.regexp_extract("p", r"^([^\n]*)", 1).alias("peripheral"), F.md5(rows).alias("digest"))
 
 
+@query(
+    "SELECT p_brand AS chip, t.p AS peripheral, 'R' || p_partkey AS register,"
+    " '| F | [' || p_partkey % 16 + 3 || ':' || p_partkey % 16 || '] | RO | 0x' || printf('%X', (p_size::BIGINT >> (p_partkey % 16)::BIGINT) & 15) || ' |  |' AS row FROM part, (VALUES ('TIM1'), ('TIM2')) t(p)"
+)
+def svd_field_rows(spark, sf_dir):
+    """the field tables of the rendered pages."""
+    pages = svd.render_devices(svd.read_devices(_svd_files(spark, sf_dir)))
+    block = pages.select(text.stem(F.col("path")).alias("chip"), F.explode(F.split("content", "---\n\n## ")).alias("b")).where("b not like '# %'")
+    one = block.select("chip", F.regexp_extract("b", r"^([^\n]*)", 1).alias("peripheral"), F.explode(F.split("b", "\n### ")).alias("t"))
+    title = F.regexp_extract("t", r"^(\S+) Fields\n", 1)
+    return one.where(title != "").select("chip", "peripheral", title.alias("register"), F.regexp_extract("t", r"\n\|-[^\n]*\n([^\n]*)", 1).alias("row"))
+
+
+@query(
+    "SELECT p_brand AS chip, t.p AS peripheral, 'C' || p_partkey || '_' || i || '_R' || ['A', 'B', 'C'][j + 1] AS name, p_partkey * 16 + i * 4096 + j * 4 AS address_offset, 16::INT AS size, 'read-write' AS access"
+    " FROM part, (VALUES ('P'), ('P2'), ('P3'), ('P4')) t(p), range(2) a(i), range(3) b(j)"
+    " UNION ALL SELECT p_brand, t.p, 'D_E' || p_partkey || '_X', p_partkey * 16 + 4098, 8::INT, 'write-only' FROM part, (VALUES ('P'), ('P2'), ('P3'), ('P4')) t(p)"
+)
+def svd_clusters(spark, sf_dir):
+    """Clusters within clusters, arrays of both, and a chain of derived peripherals that begins at its end."""
+    key = F.col("p_partkey")
+    arrays = F.concat(
+        F.lit("<cluster><dim>2</dim><dimIncrement>0x1000</dimIncrement><name>C"), key.cast("string"), F.lit("_%s</name><addressOffset>"), (key * 16).cast("string"),
+        F.lit("</addressOffset><register><dim>3</dim><dimIncrement>4</dimIncrement><dimIndex>A,B,C</dimIndex><name>R%s</name><addressOffset>0x0</addressOffset><size>16</size></register></cluster>"),
+    )
+    inner = F.concat(F.lit("<cluster><name>E"), key.cast("string"), F.lit("</name><addressOffset>"), (key * 16).cast("string"), F.lit("</addressOffset><register><name>X</name><addressOffset>2</addressOffset></register></cluster>"))
+    joined = lambda c: F.array_join(F.sort_array(F.collect_list(c)), "")
+    whole = read(spark, sf_dir, "part").groupBy("p_brand").agg(joined(arrays).alias("a"), joined(inner).alias("i"))
+    derived = F.lit("".join(f"<peripheral derivedFrom='{base}'><name>{name}</name></peripheral>" for name, base in (("P4", "P3"), ("P3", "P2"), ("P2", "P"))))
+    xml = F.concat(
+        F.lit("<device><name>"), "p_brand", F.lit("</name><size>32</size><access>read-write</access><peripherals>"), derived, F.lit("<peripheral><name>P</name><registers>"), "a",
+        F.lit("<cluster><name>D</name><addressOffset>0x1000</addressOffset><size>8</size><access>write-only</access>"), "i", F.lit("</cluster></registers></peripheral></peripherals></device>"),
+    )
+    found = svd.register_table(svd.peripheral_table(svd.read_devices(_files(whole, F.concat(F.lit("x/"), "p_brand", F.lit(".svd")), xml))))
+    return found.select("chip", "peripheral", "name", "address_offset", "size", "access")
+
+
 @query(
     "SELECT p_partkey, '| ' || p_brand || ' | a\\|b |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || p_type || ' |  |' || chr(10) || '| 1 | 2 |' AS shown, ['timing_diagram', 'block_diagram', 'pinout', 'schematic_figure', 'figure'][(p_partkey % 5 + 1)::INT] AS kind FROM part"
 )
@@ -312,16 +350,6 @@ def page_markdown(spark, sf_dir):
 # Store
 
 
-def scratch(spark: SparkSession, tag: str) -> str:
-    """A new path in the folder that driver and executors share; only a local session may fall back on its own."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.conf.get("spark.master", "").startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = "/tmp/checkpoints"
-    return f"{base.rstrip('/')}/docstrata/{uuid.uuid4().hex}/{tag}"
-
-
 def _as_chunks(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("string").alias("chunk_id"), F.col("source").alias("doc_id"), F.col("lang").alias("doc_type"), F.col("text").alias("content"), F.col("n_chars").cast("int").alias("token_count"))
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..errors import ParseError
 from ..functions.registers import DASH, access_code, bit_range, field_reset, hex_format, parse_int
 from ..functions.text import content_hash, make_doc_id, stem, strip
+from ..session import scratch
 from .files import LIMITS
 
 #: One row a device, nested; all numbers as written.
@@ -131,29 +132,53 @@ def peripheral_type():
     return StructType.fromDDL(DEVICE)["peripherals"].dataType.elementType
 
 
-def peripheral_table(devices: DataFrame) -> DataFrame:
-    """Peripherals with what a derived one takes from its base filled in (F17), along chains of any length.
+def _sources(p: DataFrame) -> DataFrame:
+    """(path, pos, d_at, r_at): where a derived peripheral's description and registers stand, itself or the nearest that it derives from.
 
-    Each round follows one link for all peripherals, until none is left; a chain
-    longer than a file has peripherals goes in a circle, which is an error.
+    Narrow rows, of those that derive and of their bases, follow their links and the links of
+    those, so the way that is left halves in each round; each is written before
+    the next. Links that are left once as many have been followed as any file has
+    peripherals go in a circle, which is an error.
     """
-    p = devices.select(F.coalesce("name", stem(F.col("path"))).alias("chip"), "path", F.explode("peripherals").alias("p")).select("chip", "path", "p.*")
-    base = p.select(F.col("path").alias("_path"), F.col("name").alias("_name"), F.col("description").alias("_description"), F.col("derived").alias("_derived"), F.col("registers").alias("_registers"))
-    out = p.withColumn("derived_from", F.col("derived"))
-    most, n = None, 0
+    spark = p.sparkSession
+    rows = p.select("path", "pos", "name", "derived", F.when(F.col("description").isNotNull(), F.col("pos")).alias("d_at"), F.when(F.size("registers") > 0, F.col("pos")).alias("r_at"))
+    first = rows.groupBy("path", F.col("name").alias("derived")).agg(F.min("pos").alias("next"))
+    nodes = rows.join(first, ["path", "derived"], "left").select("path", "pos", "d_at", "r_at", "next")
+    where, n, most = scratch(spark, "derived"), 0, None
     while True:
-        step = out.join(base, (F.col("path") == F.col("_path")) & (F.col("derived") == F.col("_name")), "left")
-        out = step.select(
-            "chip", "path", "pos", "name", F.coalesce("description", "_description").alias("description"), "base", "derived_from",
-            F.when(F.size("registers") > 0, F.col("registers")).otherwise(F.coalesce("_registers", "registers")).alias("registers"), F.col("_derived").alias("derived"),
-        )
-        left = out.where(F.col("derived").isNotNull()).select("path").limit(1).collect()
+        at = f"{where}-{n}"
+        nodes.write.parquet(at)
+        nodes = spark.read.schema(nodes.schema).parquet(at)
+        left = nodes.where("next is not null").select("path").limit(1).collect()
         if not left:
-            break
-        most = most or devices.agg(F.max(F.size("peripherals"))).first()[0]
-        if (n := n + 1) > most:
+            return nodes.drop("next")
+        most = most or nodes.groupBy("path").count().agg(F.max("count")).first()[0]
+        if 2**n > most:
             raise ParseError(f"{left[0]['path']}: peripherals derive from one another in a circle")
-    return out.withColumn("base_address", parse_int(F.col("base"))).drop("base", "derived")
+        further = nodes.select("path", F.col("pos").alias("next"), F.col("d_at").alias("_d"), F.col("r_at").alias("_r"), F.col("next").alias("_next"))
+        nodes = nodes.join(further, ["path", "next"], "left").select("path", "pos", F.coalesce("d_at", "_d").alias("d_at"), F.coalesce("r_at", "_r").alias("r_at"), F.col("_next").alias("next"))
+        n += 1
+
+
+def peripheral_table(devices: DataFrame) -> DataFrame:
+    """Peripherals with what a derived one takes from its base filled in (F17), along chains of any length.
+
+    The files are parsed once, into a table in the shared folder. Of several
+    peripherals of a name the first is the base; one that derives from none that is there keeps what it has.
+    Only derived peripherals take part in joins.
+    """
+    spark = devices.sparkSession
+    p = devices.select(F.coalesce("name", stem(F.col("path"))).alias("chip"), "path", F.explode("peripherals").alias("p")).select("chip", "path", "p.*")
+    where = scratch(spark, "peripherals")
+    p.write.parquet(where)
+    p = spark.read.schema(p.schema).parquet(where)
+    base = p.select("path", "pos", "description", "registers")
+    told, held = (base.select("path", F.col("pos").alias(k), F.col(c).alias(f"_{c}")) for k, c in (("d_at", "description"), ("r_at", "registers")))
+    own, derived = p.where("derived is null"), p.where("derived is not null")
+    filled = derived.join(_sources(p), ["path", "pos"]).join(told, ["path", "d_at"], "left").join(held, ["path", "r_at"], "left")
+    filled = filled.withColumns({"description": F.col("_description"), "registers": F.coalesce("_registers", "registers")}).select(*p.columns)
+    out = own.unionByName(filled).withColumn("base_address", parse_int(F.col("base"))).withColumnRenamed("derived", "derived_from")
+    return out.select("chip", "path", "pos", "name", "description", "derived_from", "registers", "base_address")
 
 
 def register_table(peripherals: DataFrame) -> DataFrame:
