@@ -83,7 +83,23 @@ class SearchEngine:
         return found.select("rank", "score", "chip", "doc_type", "page", "section_path", preview(F.col("content")).alias("preview"))
 
 
-def within_budget(ranked: DataFrame, group: list[str], order: list[str], text_col: str = "content", most: int = 32_000) -> DataFrame:
-    """Of each group the first rows whose lengths together stay within ``most``."""
-    w = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return ranked.withColumn("_used", F.sum(F.length(text_col)).over(w)).where(F.col("_used") <= most).drop("_used")
+def within_budget(ranked: DataFrame, group: list[str], order: list[str], text_col: str = "content", most: int = 32_000, buckets: int = 64, key: list[str] | None = None) -> DataFrame:
+    """Of each group the first rows whose lengths together stay within ``most``.
+
+    Rows of a group are dealt to buckets first. A row that begins above ``most`` in its
+    bucket does so among all, so each bucket keeps what one
+    budget holds and the row that goes beyond it, and the window over the group meets that much
+    of ``buckets`` buckets at most, however large the group. With ``key``, columns that tell rows apart, texts stay
+    out of both windows, and the few rows found are joined back. A null text has no length;
+    a group's rows before its first text that is not null are left out.
+    """
+    size = F.length(text_col)
+    rows = ranked.withColumn("_size", size)
+    if key:
+        rows = rows.select(*dict.fromkeys([*key, *group, *order, "_size"]))
+    so_far = lambda *by: Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    dealt = rows.withColumn("_bucket", F.pmod(F.xxhash64(*order, F.lit("bucket")), F.lit(buckets)))
+    length = F.coalesce("_size", F.lit(0))
+    few = dealt.withColumn("_used", F.sum(length).over(so_far(*group, "_bucket"))).where(F.col("_used") - length <= most)
+    found = few.withColumn("_used", F.sum("_size").over(so_far(*group))).where(F.col("_used") <= most).drop("_used", "_bucket", "_size")
+    return ranked.join(found.select(*key), key, "left_semi") if key else found

@@ -138,3 +138,24 @@ def test_filters_are_sharp(spark, tmp_path):
     held = s.read().select(F.col("chunk_id").alias("value"))
     wrong = sum(bool(s._possible(parts, "chunk", spark.createDataFrame([(f"{rng.random()}",)], "value string"))) for _ in range(8))
     assert s._possible(parts, "chunk", held) == parts and wrong <= 1
+
+
+def test_budget_of_large_groups_against_a_plain_version(spark):
+    import random
+
+    from docstrata.operators.search import within_budget
+
+    r = random.Random(7)
+    rows = [(n, r.choice(["hot", "hot", "hot", "b", None]), r.randrange(10_000), None if r.random() < 0.05 else "x" * r.choice([0, 0, 1, 7, 30])) for n in range(4000)]
+    table = spark.createDataFrame(rows, "id long, g string, o long, content string")
+    for most, buckets in ((0, 5), (200, 3), (5000, 8), (10**9, 64)):
+        want = []
+        for g in ("hot", "b", None):
+            used = None
+            for n, _, _, said in sorted((x for x in rows if x[1] == g), key=lambda x: (x[2], x[0])):
+                used = used if said is None else (used or 0) + len(said)
+                if used is not None and used <= most:
+                    want.append(n)
+        for key in (None, ["id"]):
+            got = within_budget(table, ["g"], ["o", "id"], most=most, buckets=buckets, key=key)
+            assert sorted(x["id"] for x in got.collect()) == sorted(want) and got.columns == (table.columns if key is None else ["id", "g", "o", "content"])
