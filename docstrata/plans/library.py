@@ -8,7 +8,7 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import detect, relevance, scoring, sql, text
+from ..functions import detect, metadata, relevance, scoring, sql, text
 from ..operators import compile as context
 from ..operators import evaluate, postings, search
 from ..operators.chunker import ChunkOptions, chunk_documents
@@ -824,3 +824,35 @@ def tracked_versions(spark, sf_dir):
     events = spark.readStream.schema(read(spark, sf_dir, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     path = scratch(spark, "versions")
     return versions.write_available(versions.tracked(_versions(events)), path, f"{path}-checkpoint").select("id", "event_id", "state", "number")
+
+
+# Metadata of mixed shape
+
+
+def _facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as JSON with nested objects, a value of three kinds, and some texts that are cut off; kept as VARIANT in Parquet."""
+    of_kind = F.when(F.col("event_id") % 3 == 0, F.floor("value").cast("string")).when(F.col("event_id") % 3 == 1, '"high"').otherwise("null")
+    whole = F.concat(F.lit('{"props": '), "props", F.lit(', "user": {"id": '), F.col("user_id").cast("string"), F.lit(', "tag": "'), "event_type", F.lit('"}, "value": '), of_kind, F.lit(', "flag": true}'))
+    said = F.when(F.col("event_id") % 101 == 0, F.substring(whole, 1, 20)).otherwise(whole)
+    path = scratch(spark, "facts")
+    read(spark, sf_dir, "events").select("event_id", metadata.from_json(said).alias("facts")).write.parquet(path)
+    return spark.read.schema("event_id bigint, facts variant").parquet(path)
+
+
+@query(
+    "SELECT event_id, (props->>'k')::BIGINT AS k, event_type AS tag, floor(value)::DOUBLE AS value FROM events"
+    " WHERE event_id % 101 <> 0 AND (props->>'k')::BIGINT >= 50 AND event_type IN ('click', 'view') AND event_id % 3 = 0 AND floor(value) > 20"
+)
+def metadata_filters(spark, sf_dir):
+    """Typed filters on paths; a value of another kind fits none."""
+    rows = _facts(spark, sf_dir).where(metadata.matches(F.col("facts"), {"props.k": (">=", 50), "user.tag": ["click", "view"], "value": (">", 20.0), "flag": True}))
+    of = lambda path, kind, name: metadata.value(F.col("facts"), path, kind).alias(name)
+    return rows.select("event_id", of("props.k", "bigint", "k"), of("user.tag", "string", "tag"), of("value", "double", "value"))
+
+
+@query(
+    "WITH e AS (SELECT * FROM events WHERE event_id % 101 <> 0) SELECT key, kind, count(*) AS n FROM (SELECT unnest(['props', 'user', 'flag', 'value']) AS key,"
+    " unnest(['object', 'object', 'boolean', ['bigint', 'string', 'void'][event_id % 3 + 1]]) AS kind FROM e) GROUP BY ALL"
+)
+def metadata_profile(spark, sf_dir):
+    return metadata.profile(_facts(spark, sf_dir), "facts")
