@@ -100,7 +100,8 @@ def lookup_answers(questions: DataFrame, peripherals: DataFrame, registers: Data
 
     A peripheral is found by its name, whatever the case, else by the first name
     in the file that begins with it; registers and fields by name, of the same
-    chip. Of several chips with the name the first in order counts.
+    chip. Of several chips with the name the first in order counts. Only rows of
+    peripherals and names that are asked for reach a window. Questions are read several times, so give a table.
     """
     q = questions.select("id", "category", F.upper("peripheral").alias("q_p"), F.upper("register").alias("q_r"), F.upper("field_name").alias("q_f"))
     wanted = q.select("q_p").distinct()
@@ -115,8 +116,12 @@ def lookup_answers(questions: DataFrame, peripherals: DataFrame, registers: Data
     def first(rows: DataFrame, key: list[str]) -> DataFrame:
         return rows.withColumn("_r", F.row_number().over(Window.partitionBy(*key).orderBy("pos"))).where("_r = 1").drop("_r", "pos")
 
-    regs = first(registers.select(F.col("chip").alias("r_chip"), F.col("peripheral").alias("r_p"), F.upper("name").alias("r_n"), "pos", "address_offset", "reset_value", F.col("access").alias("r_access")), ["r_chip", "r_p", "r_n"])
-    flds = first(fields.select(F.col("chip").alias("f_chip"), F.col("peripheral").alias("f_p"), F.upper("register").alias("f_r"), F.upper("name").alias("f_n"), "pos", "bit_offset", "bit_width"), ["f_chip", "f_p", "f_r", "f_n"])
+    asked = q.join(best, "q_p").select("p_chip", "p", "q_r", "q_f")
+    of_r = registers.select(F.col("chip").alias("r_chip"), F.col("peripheral").alias("r_p"), F.upper("name").alias("r_n"), "pos", "address_offset", "reset_value", F.col("access").alias("r_access"))
+    of_f = fields.select(F.col("chip").alias("f_chip"), F.col("peripheral").alias("f_p"), F.upper("register").alias("f_r"), F.upper("name").alias("f_n"), "pos", "bit_offset", "bit_width")
+    of_r = of_r.join(asked, F.col("p_chip").eqNullSafe(F.col("r_chip")) & (F.col("p") == F.col("r_p")) & (F.col("q_r") == F.col("r_n")), "left_semi")
+    of_f = of_f.join(asked, F.col("p_chip").eqNullSafe(F.col("f_chip")) & (F.col("p") == F.col("f_p")) & (F.col("q_r") == F.col("f_r")) & (F.col("q_f") == F.col("f_n")), "left_semi")
+    regs, flds = first(of_r, ["r_chip", "r_p", "r_n"]), first(of_f, ["f_chip", "f_p", "f_r", "f_n"])
     found = q.join(best, "q_p", "left").join(regs, F.col("p_chip").eqNullSafe(F.col("r_chip")) & (F.col("p") == F.col("r_p")) & (F.col("q_r") == F.col("r_n")), "left")
     found = found.join(flds, F.col("p_chip").eqNullSafe(F.col("f_chip")) & (F.col("p") == F.col("f_p")) & (F.col("q_r") == F.col("f_r")) & (F.col("q_f") == F.col("f_n")), "left")
     code = access_code(F.col("r_access"))

@@ -347,6 +347,23 @@ def page_markdown(spark, sf_dir):
     return pdf.render_pages(spans, none, pages).select("doc_id", "page_count", "table_count", F.md5("content").alias("digest"))
 
 
+@query(
+    "WITH e AS (SELECT p_brand, p_partkey, p_partkey % 3 AS k, '| Part | Size \\| mm |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || p_type || ' | ' || p_size || ' |' || chr(10) || '| two lines |  |' AS t,"
+    " '# Part ' || p_partkey AS h, 'first line of the text by ' || p_name AS b FROM part), j AS (SELECT *, chr(10) || chr(10) AS n FROM e)"
+    " SELECT p_brand AS doc_id, count(*) AS page_count, count(*) FILTER (k < 2) AS table_count, md5(string_agg('<!-- PAGE:' || p_partkey || ' -->' || chr(10) || CASE k WHEN 0 THEN h || n || t WHEN 1 THEN h || n || b || n || t ELSE h || n || b END, chr(10) || chr(10) ORDER BY p_partkey)) AS digest FROM j GROUP BY p_brand"
+)
+def page_tables(spark, sf_dir):
+    """Pages with a table over the text, which it replaces, with one below it, and with none."""
+    spans, part = _spans(spark, sf_dir), read(spark, sf_dir, "part")
+    pages = spans.select("doc_id", "page").distinct().withColumn("height", F.lit(800.0))
+    kind = F.col("p_partkey") % 3
+    cells = F.array(F.array(F.lit("Part"), F.lit("Size | mm")), F.array(F.col("p_type"), F.col("p_size").cast("string"), F.lit("cut off")), F.array(F.lit(" two\nlines ")))
+    top = F.when(kind == 0, 210.0).otherwise(300.0)
+    box = [F.lit(40.0).alias("x0"), top.alias("y0"), F.lit(200.0).alias("x1"), (top + 90).alias("y1")]
+    tables = part.where(kind < 2).select(F.col("p_brand").alias("doc_id"), F.col("p_partkey").cast("int").alias("page"), F.lit(0).alias("table"), *box, cells.alias("cells"))
+    return pdf.render_pages(spans, tables, pages).select("doc_id", "page_count", "table_count", F.md5("content").alias("digest"))
+
+
 # Store
 
 

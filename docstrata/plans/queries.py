@@ -14,6 +14,7 @@ from ..operators import evaluate, search
 from ..operators.chunker import ChunkOptions, chunk_documents, overlap_before
 from ..operators.compile import chips_of, ordered_text, peripheral_counts, rank_chunks
 from ..operators.embed import HashingEmbedder, embed_chunks
+from ..session import scratch
 from ..sources import catalog, manifest, pdf, svd
 from .registry import QUERIES, SQL, query, read
 
@@ -401,10 +402,23 @@ def gen_questions_union(spark, sf_dir):
     return evaluate.generate_questions(*_register_model(spark, sf_dir)).select("id", "category", "answer", "difficulty")
 
 
-@query(f"WITH q AS (SELECT id, answer FROM ({_MODEL_SQL.strip()})) SELECT id, answer, true AS answerable FROM q")
+@query(
+    f"WITH q AS (SELECT id, category, answer FROM ({_MODEL_SQL.strip()})) SELECT id, answer, true AS answerable FROM q UNION ALL SELECT id || '_gone', '', false FROM q"
+    " UNION ALL SELECT lower(p) || '_other_chip', '', false FROM (SELECT 'NOSUCH' || s_suppkey AS p FROM supplier)"
+)
 def lookup_answers(spark, sf_dir):
+    """Answers to a written question set, to the same of registers and fields that are not there, and of peripherals that are not."""
     model = _register_model(spark, sf_dir)
-    return evaluate.lookup_answers(evaluate.generate_questions(*model), *model).select("id", "answer", "answerable")
+    path = scratch(spark, "questions")
+    evaluate.generate_questions(*model).write.parquet(path)
+    asked = spark.read.parquet(path)
+    nowhere = F.when(F.col("category") == "bit_field", F.col("register")).otherwise("NONE")
+    place = F.when(F.col("category") == "base_address", "NONE").otherwise(F.col("peripheral"))
+    gone = asked.withColumns({"id": F.concat("id", F.lit("_gone")), "register": nowhere, "field_name": F.lit("NONE"), "peripheral": place})
+    name = F.concat(F.lit("NOSUCH"), F.col("s_suppkey").cast("string"))
+    other = read(spark, sf_dir, "supplier").select(F.concat(F.lower(name), F.lit("_other_chip")).alias("id"), F.lit("base_address").alias("category"), name.alias("peripheral"), F.lit("").alias("register"), F.lit("").alias("field_name"))
+    few = [*other.columns]
+    return evaluate.lookup_answers(asked.select(few).unionByName(gone.select(few)).unionByName(other), *model).select("id", "answer", "answerable")
 
 
 @query(
