@@ -517,6 +517,75 @@ def test_flat_trees_match_a_walk():
     assert np.allclose(forest.raw(x), [walk(r) for r in x])
 
 
+def plain_statistics(text):
+    """Character by character and word by word."""
+    b = (text or "").encode()
+    words, word = [], []
+    for c in b:
+        if c in b" \t\n\r\x0b\x0c":
+            words, word = (words + [bytes(word)] if word else words), []
+        else:
+            word.append(c)
+    words += [bytes(word)] if word else []
+    if not words:
+        return [0.0] * len(quality.NAMES)
+    n, lines, marks = len(words), b.split(b"\n"), b"#$%&*+/<=>@[\\]^_`{}~"
+    kinds = sorted(set(words))
+    share = lambda test: sum(map(test, b)) / len(b)
+    per_word = lambda c: sum(x == ord(c) for x in b) / n
+    return [
+        math.log(1 + n), sum(len(w) for w in words) / n, len(kinds) / n, sum(a == c for a, c in zip(words, words[1:])) / (n - 1) if n > 1 else 0.0, max(words.count(w) for w in kinds) / n,
+        share(lambda c: 65 <= c <= 90), share(lambda c: 48 <= c <= 57), share(lambda c: c in marks), per_word("!"), per_word("|"), per_word("."), per_word(","),
+        share(lambda c: c > 127), math.log(1 + len(lines)), len(b) / len(lines), sum(x in lines[:k] for k, x in enumerate(lines)) / len(lines),
+        sum(len(w) < 3 for w in words) / n, sum(len(w) > 11 for w in words) / n, sum(w[-1] in marks for w in kinds) / len(kinds), len(zlib.compress(b, 1)) / len(b),
+    ]
+
+
+def test_statistics_match_a_plain_version(spark):
+    rng = random.Random(4)
+    odd = [None, "", " \n\t", "a", "é", "ÄÖ ж 漢字 漢字", "a\nb\nb\n\n", "A1! |,.#$%", "same same same", "\x00 \x1c x\x0by", "longwordlongword " * 3, "x" * 20_000, "word# " * 3000]
+    texts = odd + ["".join(rng.choice("aB3 é\n#|!.,x") for _ in range(rng.randrange(1, 200))) for _ in range(200)]
+    got = documents(spark, list(enumerate(texts))).select("doc_id", quality.statistics_udf()("text").alias("x")).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        assert np.allclose(r["x"], plain_statistics(texts[r["doc_id"]]), rtol=1e-12, atol=1e-12), texts[r["doc_id"]]
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_each_split_is_the_best_of_all(seed, trees=6, depth=3, bins=8, rate=0.1, least=2.0, l2=1.0):
+    """Every split of every node is tried on its rows themselves; of equally good ones any will do."""
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(150, 3))
+    x[:, 1] = np.round(x[:, 1])  # ties and repeated edges
+    y = ((x[:, 0] + x[:, 1] * x[:, 2] + rng.normal(size=150) * 0.3) > 0).astype(float)
+    forest = quality.fit(x, y, trees=trees, depth=depth, bins=bins)
+    limits = [sorted({float(np.quantile(c, q)) for q in np.linspace(0, 1, bins + 1)[1:-1]}) for c in x.T]
+    raw, splits = np.full(len(y), math.log(y.mean() / (1 - y.mean()))), 0
+    for feature, limit, leaf in zip(forest.feature, forest.limit, forest.leaf):
+        p = 1 / (1 + np.exp(-raw))
+        g, h = p - y, p * (1 - p)
+        worth = lambda rows: g[rows].sum() ** 2 / (h[rows].sum() + l2)
+        nodes = {0: np.arange(len(y))}
+        for n in range(2**depth - 1):
+            rows = nodes[n]
+            best = 0.0
+            for k, t in ((k, t) for k in range(3) for t in limits[k]):
+                low, high = rows[x[rows, k] <= t], rows[x[rows, k] > t]
+                if h[low].sum() >= least and h[high].sum() >= least:
+                    best = max(best, worth(low) + worth(high) - worth(rows))
+            low, high = rows[x[rows, feature[n]] <= limit[n]], rows[x[rows, feature[n]] > limit[n]]
+            nodes[2 * n + 1], nodes[2 * n + 2] = low, high
+            assert abs(worth(low) + worth(high) - worth(rows) - best) < 1e-8
+            if len(high):
+                assert limit[n] in limits[feature[n]] and min(h[low].sum(), h[high].sum()) >= least - 1e-9
+                splits += 1
+        for n in range(2**depth):
+            rows = nodes[2**depth - 1 + n]
+            assert abs(leaf[n] + rate * g[rows].sum() / (h[rows].sum() + l2)) < 1e-9
+            raw[rows] += leaf[n]
+    assert len(forest.leaf) == trees and splits > trees and np.allclose(forest.raw(x), raw, atol=1e-9)
+
+
 # 7 Lines
 
 
