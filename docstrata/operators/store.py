@@ -8,13 +8,15 @@ A version is a file that is made only if it is not there yet. A writer who finds
 it there has lost a race: if the parts that it takes out are still there, and no part that
 came in between may hold an id that it is about, it makes the next version of
 both, and else does its work again from the new state. So no write is lost. (Making a file only if
-it is absent is atomic where the file system makes it so, as on HDFS.)
+it is absent is atomic where the file system makes it so, as on HDFS; in local folders a version is
+written whole under another name and linked.)
 """
 
 from __future__ import annotations
 
 import json
 import math
+import os
 import uuid
 from collections.abc import Callable
 from dataclasses import asdict, dataclass
@@ -104,13 +106,18 @@ class ChunkStore:
     def _create(self, n: int, parts: list[Part]) -> bool:
         """False if another writer was there first."""
         fs, p = self._fs(f"{self.root}/versions/{n:012d}.json")
+        text = json.dumps([asdict(x) for x in parts]).encode()
+        fs.mkdirs(p.getParent())
+        folder = fs.resolvePath(p.getParent()).toUri()
+        if folder.getScheme() == "file":
+            return _link(f"{folder.getPath()}/{p.getName()}", text)
         try:
             out = fs.create(p, False)
         except Exception as e:
             if fs.exists(p):
                 return False
             raise StoreError(f"{self.root}: {e}") from e
-        out.write(bytearray(json.dumps([asdict(x) for x in parts]).encode()))
+        out.write(bytearray(text))
         out.close()
         return True
 
@@ -187,15 +194,17 @@ class ChunkStore:
             if len(x):
                 middles = cells.middles(x, max(1, min(cells.MOST, sized["count"] // cells.CELL)))
         at = cells.place(F.col("embedding"), middles) if len(middles) else F.struct(F.lit(-1).alias("cell"), F.lit(None).cast("double").alias("far"))
-        coded = staged.withColumn("_at", at).select(*NAMES, F.col("_at.cell").alias("cell"), F.col("_at.far").alias("far"), F.lit(tag).alias("part"))
-        # the id is part of the order, so that a cell of many rows is written by several tasks
-        coded.repartitionByRange("doc_type", "cell", "chunk_id").write.mode("append").partitionBy("part", "doc_type", "cell").parquet(f"{self.root}/data")
+        coded = staged.withColumn("_at", at).select(*NAMES, F.col("_at.cell").alias("cell"), F.col("_at.far").alias("far"))
+        here = f"{self.root}/data/part={tag}"
+        # the id is part of the order, so that a cell of many rows is written by several tasks;
+        # a folder of its own, as a writer who is done takes its folder's temporary files away, another's too
+        coded.repartitionByRange("doc_type", "cell", "chunk_id").write.partitionBy("doc_type", "cell").parquet(here)
         self._delete(staging)
-        fs, p = self._fs(f"{self.root}/data/part={tag}")
-        folders = {unescaped(s.getPath().getName().removeprefix("doc_type=")): s.getPath().getName() for s in fs.listStatus(p)} if fs.exists(p) else {}
+        fs, p = self._fs(here)
+        names = [s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory()]
+        folders = {unescaped(name.removeprefix("doc_type=")): name for name in names}
         if not folders:
             return []
-        here = f"{self.root}/data/part={tag}"
         done = self.spark.read.schema("chunk_id string, doc_id string, far double, doc_type string, cell int").option("basePath", here).parquet(here).fillna({"doc_type": ""})
         ends = [f(c).alias(f"{k}_{n}") for k, c in IDS.items() for n, f in (("least", F.min), ("most", F.max))]
         made = [
@@ -359,6 +368,20 @@ class ChunkStore:
         return best(both).select("query_id", "rank", "chunk_id", "distance", search.score_of(F.col("distance")).alias("score"))
 
 
+def _link(path: str, text: bytes) -> bool:
+    """A local file made whole, or not at all if it is there."""
+    whole = f"{path}.{uuid.uuid4().hex}"
+    with open(whole, "xb") as f:
+        f.write(text)
+    try:
+        os.link(whole, path)
+    except FileExistsError:
+        return False
+    finally:
+        os.unlink(whole)
+    return True
+
+
 def block_of(blocks: Column) -> Column:
     """The block of a filter that ``value`` belongs to."""
     return F.pmod(F.xxhash64("value"), blocks.cast("long"))
