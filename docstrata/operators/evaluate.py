@@ -307,12 +307,18 @@ def wilson(correct: Column, total: Column) -> tuple[Column, Column]:
     return bound(F.greatest(F.lit(0.0), mid - half)), bound(F.least(F.lit(1.0), mid + half))
 
 
+def mean(c: Column) -> Column:
+    """The average of numbers, whose sum does not depend on the order of rows; a plain one where decimals cannot hold them."""
+    exact = c.try_cast("decimal(38,18)")
+    return F.coalesce(F.when(F.count(exact) == F.count(c), F.try_divide(F.try_sum(exact), F.count(c)).cast("double")), F.avg(c))
+
+
 def core_metrics(responses: DataFrame, group: list[str]) -> DataFrame:
     """One row a group; several runs are pooled."""
     hit = F.count_if("correct")
     n = F.count("*")
     low, high = wilson(F.col("correct"), F.col("total"))
-    m = responses.groupBy(*group).agg(n.alias("total"), hit.alias("correct"), F.avg("latency_ms").alias("avg_latency_ms"), F.avg("partial_score").alias("avg_partial_score"))
+    m = responses.groupBy(*group).agg(n.alias("total"), hit.alias("correct"), mean(F.col("latency_ms")).alias("avg_latency_ms"), mean(F.col("partial_score")).alias("avg_partial_score"))
     m = m.withColumn("accuracy", F.col("correct") / F.col("total")).withColumn("hallucination_rate", F.lit(1.0) - F.col("accuracy"))
     return m.withColumn("ci_lower", low).withColumn("ci_upper", high)
 
@@ -342,7 +348,7 @@ def ece_bin(confidence: Column) -> Column:
 def calibration_error(responses: DataFrame, group: list[str]) -> DataFrame:
     """Null where no response states a confidence."""
     known = responses.where(F.col("confidence").isNotNull()).withColumn("_bin", ece_bin(F.col("confidence")))
-    bins = known.groupBy(*group, "_bin").agg(F.count("*").alias("n"), F.avg("confidence").alias("c"), (F.count_if("correct") / F.count("*")).alias("a"))
+    bins = known.groupBy(*group, "_bin").agg(F.count("*").alias("n"), mean(F.col("confidence")).alias("c"), (F.count_if("correct") / F.count("*")).alias("a"))
     gap = F.sum(F.when(F.col("_bin").isNotNull(), F.abs(F.col("a") - F.col("c")) * F.col("n")).otherwise(0.0))
     return bins.groupBy(*group).agg((gap / F.sum("n")).alias("ece"))
 
@@ -474,8 +480,8 @@ def metric_sets(responses: DataFrame, questions: DataFrame | None) -> DataFrame:
     sets = [[c["condition"]], [c["condition"], c["category"]], [c["condition"], c["bin"]], *([] if questions is None else [[c["condition"], c["difficulty"]]])]
     stated = F.col("confidence").isNotNull()
     return r.groupingSets(sets, *c.values()).agg(
-        F.grouping_id().cast("int").alias("set"), F.count("*").alias("total"), F.count_if("correct").alias("correct"), F.avg("latency_ms").alias("avg_latency_ms"), F.avg("partial_score").alias("avg_partial_score"),
-        F.count("confidence").alias("stated"), F.count_if(F.col("correct") & stated).alias("stated_correct"), F.avg("confidence").alias("avg_confidence"),
+        F.grouping_id().cast("int").alias("set"), F.count("*").alias("total"), F.count_if("correct").alias("correct"), mean(F.col("latency_ms")).alias("avg_latency_ms"), mean(F.col("partial_score")).alias("avg_partial_score"),
+        F.count("confidence").alias("stated"), F.count_if(F.col("correct") & stated).alias("stated_correct"), mean(F.col("confidence")).alias("avg_confidence"),
     )
 
 
