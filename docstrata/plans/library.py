@@ -298,7 +298,10 @@ def svd_field_rows(spark, sf_dir):
     " UNION ALL SELECT p_brand, t.p, 'D_E' || p_partkey || '_X', p_partkey * 16 + 4098, 8::INT, 'write-only' FROM part, (VALUES ('P'), ('P2'), ('P3'), ('P4')) t(p)"
 )
 def svd_clusters(spark, sf_dir):
-    """Clusters within clusters, arrays of both, and a chain of derived peripherals that begins at its end."""
+    """Clusters within clusters, arrays of both, and a chain of derived peripherals that begins at its end.
+
+    The parts of a brand are dealt to several files, as one of all could be over the size limit.
+    """
     key = F.col("p_partkey")
     arrays = F.concat(
         F.lit("<cluster><dim>2</dim><dimIncrement>0x1000</dimIncrement><name>C"), key.cast("string"), F.lit("_%s</name><addressOffset>"), (key * 16).cast("string"),
@@ -306,13 +309,13 @@ def svd_clusters(spark, sf_dir):
     )
     inner = F.concat(F.lit("<cluster><name>E"), key.cast("string"), F.lit("</name><addressOffset>"), (key * 16).cast("string"), F.lit("</addressOffset><register><name>X</name><addressOffset>2</addressOffset></register></cluster>"))
     joined = lambda c: F.array_join(F.sort_array(F.collect_list(c)), "")
-    whole = read(spark, sf_dir, "part").groupBy("p_brand").agg(joined(arrays).alias("a"), joined(inner).alias("i"))
+    whole = read(spark, sf_dir, "part").groupBy("p_brand", F.floor(key / 100_000).alias("n")).agg(joined(arrays).alias("a"), joined(inner).alias("i"))
     derived = F.lit("".join(f"<peripheral derivedFrom='{base}'><name>{name}</name></peripheral>" for name, base in (("P4", "P3"), ("P3", "P2"), ("P2", "P"))))
     xml = F.concat(
         F.lit("<device><name>"), "p_brand", F.lit("</name><size>32</size><access>read-write</access><peripherals>"), derived, F.lit("<peripheral><name>P</name><registers>"), "a",
         F.lit("<cluster><name>D</name><addressOffset>0x1000</addressOffset><size>8</size><access>write-only</access>"), "i", F.lit("</cluster></registers></peripheral></peripherals></device>"),
     )
-    found = svd.register_table(svd.peripheral_table(svd.read_devices(_files(whole, F.concat(F.lit("x/"), "p_brand", F.lit(".svd")), xml))))
+    found = svd.register_table(svd.peripheral_table(svd.read_devices(_files(whole, F.concat(F.lit("x/"), "p_brand", F.lit("-"), F.col("n").cast("string"), F.lit(".svd")), xml))))
     return found.select("chip", "peripheral", "name", "address_offset", "size", "access")
 
 
