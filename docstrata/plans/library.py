@@ -164,10 +164,13 @@ def chunk_hard_split(spark, sf_dir):
 
 
 def _paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A document a part, of as many paragraphs of four pieces as the part's size."""
+    """A document a part, of as many paragraphs of four pieces as the part's size.
+
+    Parts are a few bytes each, a file of them is read by one task or few, and the work on each is long: they are dealt out before it.
+    """
     one = lambda i: F.concat(F.lit("para graf numb "), F.lpad(i.cast("string"), 4, "0"))
     content = F.array_join(F.transform(F.sequence(F.lit(1), F.col("p_size").cast("int")), one), "\n\n")
-    return read(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("doc_id"), content.alias("content"))
+    return queries.dealt(read(spark, sf_dir, "part", "p_partkey", "p_size"), "p_partkey").select(F.col("p_partkey").cast("string").alias("doc_id"), content.alias("content"))
 
 
 _PARA = "SELECT p_partkey::VARCHAR AS doc_id, p_size AS n, unnest(range(0, p_size)) AS i FROM part"
