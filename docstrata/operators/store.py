@@ -180,10 +180,23 @@ class ChunkStore:
         rows.write.parquet(f"{self.root}/{path}")
         return self.spark.read.schema(rows.schema).parquet(f"{self.root}/{path}"), path
 
+    def _distinct(self, chunks: DataFrame) -> tuple[DataFrame, str]:
+        """Chunks written once, one of each id: only ids are shuffled, and whole rows where an id is there twice."""
+        staged, path = self._stage(decoded(chunks).select(*NAMES))
+        if staged.groupBy("chunk_id").count().where("count > 1").isEmpty():
+            return staged, path
+        try:
+            return self._stage(staged.dropDuplicates(["chunk_id"]))
+        finally:
+            self._delete(path)
+
     def _write(self, rows: DataFrame) -> list[Part]:
-        """Rows as new parts, one a document type, with their cells and filters."""
+        """Rows of staged chunks and of parts as new parts, one a document type, with their cells and filters.
+
+        The rows are read anew for each step, which is less than to write them once more.
+        """
         tag = uuid.uuid4().hex
-        staged, staging = self._stage(rows.select(*NAMES))
+        staged = rows.select(*NAMES)
         vectors = staged.where(F.size("embedding") > 0)
         sized = vectors.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()
         middles = np.zeros((0, 0))
@@ -199,7 +212,6 @@ class ChunkStore:
         # the id is part of the order, so that a cell of many rows is written by several tasks;
         # a folder of its own, as a writer who is done takes its folder's temporary files away, another's too
         coded.repartitionByRange("doc_type", "cell", "chunk_id").write.partitionBy("doc_type", "cell").parquet(here)
-        self._delete(staging)
         fs, p = self._fs(here)
         names = [s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory()]
         folders = {unescaped(name.removeprefix("doc_type=")): name for name in names}
@@ -251,7 +263,7 @@ class ChunkStore:
 
     def add(self, chunks: DataFrame) -> int:
         """ST2: rows of new chunk ids; the number added. Parts whose filters hold none of the ids are not opened."""
-        staged, path = self._stage(decoded(chunks.dropDuplicates(["chunk_id"])).select(*NAMES))
+        staged, path = self._distinct(chunks)
         ids = staged.select(F.col("chunk_id").alias("value"))
 
         def plan(parts: list[Part]):
@@ -272,7 +284,7 @@ class ChunkStore:
 
     def replace(self, chunks: DataFrame) -> int:
         """Chunks of documents in place of all that the store has of these documents."""
-        staged, path = self._stage(decoded(chunks.dropDuplicates(["chunk_id"])).select(*NAMES))
+        staged, path = self._distinct(chunks)
         docs = staged.select("doc_id").distinct()
 
         def plan(parts: list[Part]):
