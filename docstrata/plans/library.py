@@ -328,7 +328,12 @@ def svd_clusters(spark, sf_dir):
 def table_and_figure_forms(spark, sf_dir):
     cells = F.array(F.array(F.col("p_brand"), F.lit("a|b")), F.array(F.concat(F.lit(" "), F.col("p_type"))), F.array(F.lit("1"), F.lit("2"), F.lit("3")))
     caption = _pick(("A waveform.", "Block diagram", "The LQFP package", "Some circuit", "Photograph"), F.col("p_partkey"))
-    return read(spark, sf_dir, "part").select("p_partkey", pdf.render_table(cells).alias("shown"), detect.figure_type(caption).alias("kind"))
+    return queries.dealt(read(spark, sf_dir, "part"), "p_partkey").select("p_partkey", pdf.render_table(cells).alias("shown"), detect.figure_type(caption).alias("kind"))
+
+
+def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts dealt out: a file of them is read by one task or few, and the work on each is long."""
+    return queries.dealt(read(spark, sf_dir, "part"), "p_partkey")
 
 
 def _spans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -341,7 +346,7 @@ def _spans(spark: SparkSession, sf_dir: str) -> DataFrame:
         span(0, 0, F.concat(F.lit("Part "), F.col("p_partkey").cast("string")), 18.0, 100.0), span(1, 0, F.lit("first line of the text"), 10.0, 200.0),
         span(1, 1, F.concat(F.lit("by "), F.col("p_name")), 10.0, 215.0), span(2, 0, F.lit("footer"), 10.0, 780.0),
     )
-    return read(spark, sf_dir, "part").select(F.col("p_brand").alias("doc_id"), F.col("p_partkey").cast("int").alias("page"), F.explode(rows).alias("s")).select("doc_id", "page", "s.*")
+    return _parts(spark, sf_dir).select(F.col("p_brand").alias("doc_id"), F.col("p_partkey").cast("int").alias("page"), F.explode(rows).alias("s")).select("doc_id", "page", "s.*")
 
 
 @query(
@@ -362,7 +367,7 @@ def page_markdown(spark, sf_dir):
 )
 def page_tables(spark, sf_dir):
     """Pages with a table over the text, which it replaces, with one below it, and with none."""
-    spans, part = _spans(spark, sf_dir), read(spark, sf_dir, "part")
+    spans, part = _spans(spark, sf_dir), _parts(spark, sf_dir)
     pages = spans.select("doc_id", "page").distinct().withColumn("height", F.lit(800.0))
     kind = F.col("p_partkey") % 3
     cells = F.array(F.array(F.lit("Part"), F.lit("Size | mm")), F.array(F.col("p_type"), F.col("p_size").cast("string"), F.lit("cut off")), F.array(F.lit(" two\nlines ")))

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..errors import ParseError
 from ..functions.detect import figure_type
+from ..functions.scoring import let
 from ..functions.text import stem, strip
 from ..schemas import LAYOUT_ITEM, PAGE, PAGE_TABLE, SPAN
 from .files import LIMITS, documents, too_large
@@ -126,7 +127,7 @@ def render_blocks(spans: DataFrame, levels: DataFrame) -> DataFrame:
     text = strip(F.col("text"))
     kept = spans.where(text != "").withColumn("_t", text).withColumn("_s", F.bround("size", 1))
     longest = F.max(F.struct(F.length("_t"), -F.col("line"), -F.col("span"), F.col("_s").alias("s")))["s"]
-    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "span", "_t"))), lambda x: x["_t"]), " ")
+    whole = F.array_join(F.sort_array(F.collect_list(F.struct("line", "span", "_t")))["_t"], " ")
     box = [F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1")]
     blocks = kept.groupBy("doc_id", "page", "block").agg(whole.alias("text"), longest.alias("size"), *box)
     level = levels.select(F.col("doc_id").alias("_d"), F.col("size").alias("_z"), "level")
@@ -135,14 +136,16 @@ def render_blocks(spans: DataFrame, levels: DataFrame) -> DataFrame:
 
 
 def render_table(cells: Column) -> Column:
-    """Rows padded or cut to the header's width; nothing for no rows."""
+    """Rows padded or cut to the header's width; nothing for no rows. Cells are cleaned once, not for each row again."""
     clean = F.transform(cells, lambda row: F.transform(row, lambda c: F.replace(F.replace(strip(F.coalesce(c, F.lit(""))), F.lit("\n"), F.lit(" ")), F.lit("|"), F.lit("\\|"))))
-    width = F.size(F.try_element_at(clean, F.lit(1)))
-    fit = lambda row: F.slice(F.concat(row, F.array_repeat(F.lit(""), F.greatest(width - F.size(row), F.lit(0)))), 1, width)
     line = lambda row: F.concat(F.lit("| "), F.array_join(row, " | "), F.lit(" |"))
-    lines = F.transform(clean, lambda r: line(fit(r)))
-    rule = line(F.array_repeat(F.lit("---"), width))
-    return F.when(F.size(cells) > 0, F.array_join(F.concat(F.slice(lines, 1, 1), F.array(rule), F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0)))), "\n")).otherwise("")
+
+    def lines(rows: Column, width: Column) -> Column:
+        fit = lambda row: F.slice(F.concat(row, F.array_repeat(F.lit(""), F.greatest(width - F.size(row), F.lit(0)))), 1, width)
+        return F.array_insert(F.transform(rows, lambda r: line(fit(r))), 2, line(F.array_repeat(F.lit("---"), width)))
+
+    shown = let(clean, lambda rows: let(F.size(F.try_element_at(rows, F.lit(1))), lambda width: F.array_join(lines(rows, width), "\n")))
+    return F.when(F.size(cells) > 0, shown).otherwise("")
 
 
 def render_pages(spans: DataFrame, tables: DataFrame, pages: DataFrame) -> DataFrame:
@@ -151,9 +154,10 @@ def render_pages(spans: DataFrame, tables: DataFrame, pages: DataFrame) -> DataF
     inside = spans.join(pages, ["doc_id", "page"]).where((F.col("y0") >= HEADER) & (F.col("y1") <= F.col("height") - FOOTER))
     text = outside_tables(render_blocks(inside, levels), tables).select("doc_id", "page", F.col("y0").alias("y"), F.lit(0).alias("kind"), F.col("block").alias("pos"), "text")
     boxes = tables.select("doc_id", "page", F.col("y0").alias("y"), F.lit(1).alias("kind"), F.col("table").alias("pos"), render_table(F.col("cells")).alias("text"))
-    entries = text.unionByName(boxes).where("text != ''")
-    joined = lambda order, t: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, t))), lambda x: x[t]), "\n\n")
-    by_page = entries.groupBy("doc_id", "page").agg(joined(["y", "kind", "pos"], "text").alias("text"))
+    entries = text.unionByName(boxes)
+    # empty texts go here, not by a filter: that would be pushed down to the scan, with the rendering of the tables in it
+    joined = lambda order, t: F.array_join(F.sort_array(F.collect_list(F.when(F.col(t) != "", F.struct(*order, t))))[t], "\n\n")
+    by_page = entries.groupBy("doc_id", "page").agg(joined(["y", "kind", "pos"], "text").alias("text")).where("text != ''")
     marked = by_page.withColumn("text", F.concat(F.lit("<!-- PAGE:"), F.col("page").cast("string"), F.lit(" -->\n"), F.col("text")))
     whole = marked.groupBy("doc_id").agg(joined(["page"], "text").alias("content"))
     counts = pages.groupBy("doc_id").agg(F.count("*").alias("page_count")).join(tables.groupBy("doc_id").agg(F.count("*").alias("table_count")), "doc_id", "left")
